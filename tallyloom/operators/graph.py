@@ -20,6 +20,11 @@ def _slim(edges: DataFrame) -> Stored:
     return store(edges.groupBy("u", "v").agg(F.min("w").alias("w")), "edges")
 
 
+def or_infinity(distance: Column) -> Column:
+    """Unreachable as infinity instead of NULL."""
+    return F.coalesce(distance.cast("double"), F.lit(float("inf")))
+
+
 # --- reachability and distances ------------------------------------------------------------------
 
 def _relax(edges: DataFrame, start: DataFrame, keys: list[str], value: str,
@@ -153,29 +158,32 @@ def all_pairs(edges: DataFrame) -> DataFrame:
 def topological_levels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``(id, level)``: level 0 has no predecessor, every other vertex is one above its highest one.
 
-    Vertices on a cycle or behind one get no row. Each round settles the vertices without an open
-    incoming edge and closes the edges they send out.
+    Vertices on a cycle or behind one get no row. Each round closes the edges sent out by the
+    vertices settled last and settles those that have no open incoming edge left.
     """
-    links = store(edges.select("u", "v").distinct(), "links")
-    ids = links.df.select(F.col("u").alias("id")).unionByName(links.df.select(F.col("v").alias("id")))
+    links = store(edges.select("u", "v").distinct(), "links").df
+    ids = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id")))
     if vertices is not None:
         ids = ids.unionByName(vertices.select("id"))
-    remaining = store(ids.distinct(), "open")
-    open_edges, level, settled = links, 0, None
-    while remaining.rows:
-        blocked = open_edges.df.select(F.col("v").alias("id")).distinct()
-        free = store(remaining.df.join(blocked, "id", "left_anti").withColumn("level", F.lit(level)), "level")
-        if not free.rows:
-            break
-        settled = free.df if settled is None else settled.unionByName(free.df)
-        gone = small(free.rows, free.df.select("id"))
-        remaining = store(remaining.df.join(gone, "id", "left_anti"), "open")
-        done = small(free.rows, free.df.select(F.col("id").alias("u")))
-        open_edges = store(open_edges.df.join(done, "u", "left_anti"), "links")
+    incoming = links.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("open"))
+    start = ids.distinct().join(incoming, "id", "left").select(
+        "id", F.coalesce("open", F.lit(0)).alias("open"), F.when(F.col("open").isNull(), 0).alias("level"))
+    level = 0
+    state = store(start, "topo", settled=F.count_if(F.col("level") == 0))
+    while state.seen["settled"]:
+        front = state.df.filter(F.col("level") == level).select(F.col("id").alias("u"))
+        closed = (
+            links.join(small(int(state.seen["settled"]), front), "u")
+            .groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("_closed"))
+        )
         level += 1
-    if settled is None:
-        return remaining.df.withColumn("level", F.lit(0)).limit(0)
-    return settled
+        left = F.col("open") - F.coalesce("_closed", F.lit(0))
+        advanced = state.df.join(closed, "id", "left").select(
+            "id", left.alias("open"),
+            F.coalesce("level", F.when(left == 0, F.lit(level))).alias("level"))
+        before, state = state, store(advanced, "topo", settled=F.count_if(F.col("level") == level))
+        before.drop()
+    return state.df.filter(F.col("level").isNotNull()).select("id", "level")
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

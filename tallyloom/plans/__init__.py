@@ -1,6 +1,6 @@
 """The registered queries, grouped by the tables they read."""
 
-from tallyloom.plans import event_plans, order_plans
+from tallyloom.plans import event_plans, graph_plans, order_plans, stream_plans, text_plans
 from tallyloom.plans.registry import ORACLES, QUERIES, Query
 
 

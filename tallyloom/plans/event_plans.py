@@ -180,13 +180,13 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("safe_parse", """
-SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k,
        event_type = 'error' AS malformed FROM events""")
 def safe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rows carry their bare kind, which is no JSON, in place of their properties."""
     raw = F.when(F.col("event_type") == "error", F.col("event_type")).otherwise(F.col("props"))
     parsed = load(spark, sf_dir, "events").select("event_id", F.try_parse_json(raw).alias("v"))
-    return parsed.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"),
+    return parsed.select("event_id", F.coalesce(F.try_variant_get("v", "$.k", "bigint"), F.lit(-1)).alias("k"),
                          F.col("v").isNull().alias("malformed"))
 
 
@@ -232,9 +232,10 @@ def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("reverse_chain", """
-SELECT event_id AS id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS succ FROM events""")
+SELECT event_id AS id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS succ FROM events""")
 def reverse_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.reverse_chain(event_chain(spark, sf_dir))
+    back = gr.reverse_chain(event_chain(spark, sf_dir))
+    return back.select("id", F.coalesce("succ", F.lit(-1)).alias("succ"))
 
 
 @query("chain_ranks", """

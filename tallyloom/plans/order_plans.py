@@ -158,7 +158,7 @@ def quantity_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("cube_revenue", """
-SELECT l_returnflag, l_linestatus, year(l_shipdate) AS ship_year,
+SELECT l_returnflag, l_linestatus, coalesce(year(l_shipdate), -1) AS ship_year,
        grouping(l_returnflag, l_linestatus, year(l_shipdate)) AS grouping,
        CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue,
        count(*) AS n
@@ -168,7 +168,7 @@ def cube_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     kept = F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
     cube = ag.cube_sum(items, ["l_returnflag", "l_linestatus", "ship_year"], price * kept, "revenue")
-    return cube.withColumn("revenue", F.col("revenue").cast("double"))
+    return cube.withColumns({"revenue": F.col("revenue").cast("double"), "ship_year": F.coalesce("ship_year", F.lit(-1))})
 
 
 @query("kth_price", """

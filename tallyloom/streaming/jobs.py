@@ -25,11 +25,12 @@ AVAILABLE_NOW = {"availableNow": True}
 def read_files(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None,
                **options: str) -> DataFrame:
     """Stream of one parquet table: the file or folder ``name`` under ``folder``, new files included."""
-    schema = schema or spark.read.parquet(f"{folder.rstrip('/')}/{name}").schema
+    folder = folder.rstrip("/")
+    schema = schema or spark.read.parquet(f"{folder}/{name}").schema
     reader = spark.readStream.schema(schema)
     for key, value in options.items():
         reader = reader.option(key, value)
-    stream = reader.parquet(f"{folder.rstrip('/')}/{name}")
+    stream = reader.parquet(f"{folder}/{{{name}}}")  # as a pattern, since a plain path must be a folder
     naive = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else stream
 
