@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.operators.scan import OrderedGroups, running_sum, same_keys
+from tallyloom.sources.store import small, store
 
 
 def success_summary(df: DataFrame, keys: list[str], ok: Column) -> DataFrame:
@@ -144,10 +145,12 @@ def frequent_combinations(df: DataFrame, basket: str, item: str, k: int, min_sup
     once, and only the distinct item sets are expanded. An item set never holds more than the
     frequent items, of which there are at most (distinct basket-item pairs) / min_support.
     """
-    held = df.select(basket, item).distinct()
-    common = held.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_support)
+    held = store(df.select(basket, item).distinct(), "held").df
+    common = store(
+        held.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_support).select(item),
+        "common")
     sets = (
-        held.join(common.select(item), item, "left_semi")
+        held.join(small(common.rows, common.df), item, "left_semi")
         .groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("_items"))
         .filter(F.size("_items") >= k)
         .groupBy("_items").agg(F.count(F.lit(1)).alias("_n"))

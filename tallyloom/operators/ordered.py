@@ -7,7 +7,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,9 +157,8 @@ def kth_smallest(df: DataFrame, keys: list[str], value: str, k: int, out: str =
     limit = max_rows or max_group_rows(df)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     cold, hot, _ = split_hot(data, keys, limit)
-    counts = equal_range(cold, keys, "_v", limit)
-    hit = (F.col("first_pos") <= k) & (F.col("last_pos") >= k)
-    found = counts.filter(hit).select(*keys, F.col("_v").alias(out))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))
+    found = cold.withColumn("_rn", place).filter(F.col("_rn") == k + 1).select(*keys, F.col("_v").alias(out))
     return found if hot is None else found.unionByName(_narrow(hot, keys, k, out, limit))
 
 

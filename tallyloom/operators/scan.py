@@ -21,6 +21,8 @@ from tallyloom.sources.store import store
 
 MAX_ROWS_SETTING = "spark.tallyloom.maxGroupRows"
 MAX_ROWS_DEFAULT = 2_000_000
+MAX_CHUNKS = 10_000
+"""Chunks per scan; beyond that the chunks grow instead (each is sorted on its own and may spill)."""
 CHUNK = "_chunk"
 
 
@@ -122,7 +124,8 @@ class OrderedGroups:
         limit = max_rows or max_group_rows(df)
         cold, hot, rows = split_hot(df, keys, limit)
         if hot is not None:
-            ranged = hot.repartitionByRange(max(2, ceil(2 * rows / limit)), *keys, *order)
+            chunks = min(max(2, ceil(2 * rows / limit)), MAX_CHUNKS)
+            ranged = hot.repartitionByRange(chunks, *keys, *order)
             hot = store(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks").df
         return OrderedGroups(cold, hot, keys, order, descending)
 

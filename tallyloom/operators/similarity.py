@@ -22,14 +22,15 @@ def versions(df: DataFrame, key: Column, id_col: str, text_col: str) -> DataFram
 
     Gives ``(id_a, id_b, text_a, text_b)``, where a is the earlier one: at most one pair per row, also
     in a key that holds a large share of the table. Only ids and key hashes are sorted; the texts are
-    fetched afterwards by their unique id.
+    fetched afterwards by their unique id. The last fetch is a shuffle join, which leaves the pairs
+    spread by ``id_b`` for the per-pair work and aggregates that follow.
     """
     slim = df.select(F.col(id_col).alias("id_b"), key.alias("_key"))
     linked = with_previous(slim, ["_key"], ["id_b"], id_a="id_b").filter(F.col("id_a").isNotNull())
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     older = texts.toDF("id_a", "text_a")
     newer = texts.toDF("id_b", "text_b")
-    return linked.select("id_a", "id_b").join(older, "id_a").join(newer, "id_b")
+    return linked.select("id_a", "id_b").join(older, "id_a").join(newer.hint("merge"), "id_b")
 
 
 def overlap_scores(pairs: DataFrame, ids: list[str], units: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -58,20 +59,37 @@ def overlap_scores(pairs: DataFrame, ids: list[str], units: dict[str, tuple[Colu
     return counted.groupBy(*ids).agg(*[score(name) for name in units])
 
 
+def character_score(a: Column, b: Column) -> Column:
+    """The same overlap for the characters of two texts, within the row.
+
+    A text has few distinct characters, and removing one from it tells how often it occurs.
+    """
+    def count(text: Column, c: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, c))
+
+    both = F.aggregate(
+        F.array_distinct(tx.characters(a)), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * both / total)
+
+
 def overall(scores: dict[str, Column]) -> Column:
     """Weighted sum of the four scores."""
     return sum((F.lit(w) * scores[name] for name, w in WEIGHTS.items()), F.lit(0.0))
 
 
+def _ratio(a, b) -> float:
+    a, b = (x if isinstance(x, str) else list(x) for x in (a, b))
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
 def _matching_ratio(sides: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in sides:
-        yield pd.Series([
-            SequenceMatcher(None, list(a), list(b)).ratio() for a, b in zip(left, right)
-        ], dtype="float64")
+        yield pd.Series([_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
 matching_ratio = F.pandas_udf(_matching_ratio, T.DoubleType())
-"""Exact matching-block ratio of two arrays of units; the slow path, for pairs that are already joined."""
+"""Exact matching-block ratio of two texts or arrays of units; the slow path, for pairs already joined."""
 
 
 def _common_length(a: list[str], b: list[str]) -> int:

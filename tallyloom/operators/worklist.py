@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,25 @@ def pass_rates(cases: DataFrame, keys: list[str], passed: Column, tested: Column
     )
 
 
+def roll_up(rates: DataFrame, keys: list[str]) -> DataFrame:
+    """``pass_rates`` of a coarser key from those of a finer one."""
+    return rates.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("found", "tested", "skipped", "passed")],
+        (F.sum("passed") == F.sum("tested")).alias("all_passed"),
+    )
+
+
+def phase_status(phases: dict[str, tuple[DataFrame, DataFrame]], on: list[str]) -> DataFrame:
+    """Per phase how many of its inputs are completed and how many are still pending."""
+    rows = []
+    for name, (inputs, done) in phases.items():
+        state = with_context(inputs.select(*on), done.select(*on).distinct(), on, "_done")
+        rows.append(state.agg(
+            F.lit(name).alias("phase"), F.count_if("_done").alias("completed"),
+            F.count_if(~F.col("_done")).alias("pending")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def similarity_summary(pairs: DataFrame, score: Column, exact: Column, available: Column) -> DataFrame:
     """Mean score and bucket counts over the available comparisons.
 

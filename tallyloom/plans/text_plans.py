@@ -11,7 +11,7 @@ from tallyloom.operators import ordered as od
 from tallyloom.operators import similarity as si
 from tallyloom.operators import worklist as wl
 from tallyloom.plans.registry import query
-from tallyloom.sources.tables import load
+from tallyloom.sources.tables import load, spread
 
 # SQL spellings of the same fixed values
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -70,6 +70,17 @@ def outcome_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("doc_id", status.alias("status"))
 
 
+@query("phase_status", """
+SELECT 'label' AS phase, count(l.doc_id) AS completed, count(*) - count(l.doc_id) AS pending
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+UNION ALL SELECT 'accept', count(*) FILTER (toxic = 0), count(*) FILTER (toxic <> 0) FROM labels WHERE quality = 1""")
+def phase_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelling of all documents, and acceptance (not toxic) of those labelled as good."""
+    documents, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    good = labels.filter(F.col("quality") == 1)
+    return wl.phase_status({"label": (documents, labels), "accept": (good, good.filter(F.col("toxic") == 0))}, ["doc_id"])
+
+
 # --- text functions ------------------------------------------------------------------------------------
 
 @query("request_text", r"""
@@ -138,12 +149,13 @@ SELECT doc_id, len(list_filter(ls, lambda x: regexp_matches(lower(x), '429|quota
        len(ls)::BIGINT AS lines
 FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)""")
 def classify_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = tx.lines(F.col("text"))
 
     def hits(whole_words: bool) -> Column:
         return F.size(F.filter(rows, lambda x: tx.is_rate_limited(x, whole_words))).cast("bigint")
 
-    return load(spark, sf_dir, "documents").select(
+    return documents.select(
         "doc_id", hits(False).alias("flagged"), hits(True).alias("flagged_words"),
         F.size(rows).cast("bigint").alias("lines"))
 
@@ -159,7 +171,8 @@ NORMAL = (
 @query("normalise_text", f"SELECT doc_id, md5({NORMAL.format('text')}) AS digest, "
                          f"length({NORMAL.format('text')}) AS length FROM documents")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = load(spark, sf_dir, "documents").select("doc_id", tx.normalise(F.col("text")).alias("t"))
+    documents = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = documents.select("doc_id", tx.normalise(F.col("text")).alias("t"))
     return clean.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("length"))
 
 
@@ -170,7 +183,8 @@ TOKENS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
 SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs
 FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY token""")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = load(spark, sf_dir, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
+    documents = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = documents.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
     per_doc = words.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
@@ -187,7 +201,8 @@ WITH RECURSIVE cut(doc_id, chunk_no, piece, rest) AS (
           FROM cut WHERE rest IS NOT NULL)))
 SELECT doc_id, chunk_no, length(piece) AS length, md5(piece) AS digest FROM cut WHERE chunk_no >= 0""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = load(spark, sf_dir, "documents").select(
+    documents = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    pieces = documents.select(
         "doc_id", F.posexplode(tx.wrap(F.col("text"), 400)).alias("chunk_no", "piece"))
     return pieces.select("doc_id", F.col("chunk_no").cast("bigint"), F.length("piece").cast("bigint").alias("length"),
                          F.md5("piece").alias("digest"))
@@ -289,11 +304,12 @@ def scored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id_a", "id_b", tx.normalise(F.col("text_a")).alias("a"), tx.normalise(F.col("text_b")).alias("b"),
         (tx.strip(F.col("text_a")) == tx.strip(F.col("text_b"))).alias("exact_match"))
     a, b = F.col("a"), F.col("b")
+    scored = pairs.withColumn("character_score", si.character_score(a, b))
     units = {
-        "character": (tx.characters(a), tx.characters(b)), "line": (tx.line_units(a), tx.line_units(b)),
-        "token": (tx.tokens(a), tx.tokens(b)), "structure": (tx.punctuation(a), tx.punctuation(b)),
+        "line": (tx.line_units(a), tx.line_units(b)), "token": (tx.tokens(a), tx.tokens(b)),
+        "structure": (tx.punctuation(a), tx.punctuation(b)),
     }
-    return si.overlap_scores(pairs, ["id_a", "id_b", "exact_match"], units)
+    return si.overlap_scores(scored, ["id_a", "id_b", "exact_match", "character_score"], units)
 
 
 @query("pair_similarity", SCORES_SQL + """
@@ -358,7 +374,7 @@ def exact_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id_a", "id_b", tx.normalise(F.col("text_a")).alias("a"), tx.normalise(F.col("text_b")).alias("b"))
     a, b = F.col("a"), F.col("b")
     ratios = si.exact_scores(pairs, ["id_a", "id_b"], {
-        "character": (tx.characters(a), tx.characters(b)), "line": (tx.line_units(a), tx.line_units(b)),
+        "character": (a, b), "line": (tx.line_units(a), tx.line_units(b)),
         "token": (tx.tokens(a), tx.tokens(b)), "structure": (tx.punctuation(a), tx.punctuation(b))})
     total = si.overall({name: F.col(f"{name}_ratio") for name in si.WEIGHTS})
     return ratios.withColumn("overall_ratio", total)
@@ -412,5 +428,6 @@ r AS (SELECT doc_id, item_id, diag, island, count(*) + 4 AS run FROM k GROUP BY
 SELECT doc_id, item_id, max(run) AS longest_run, count(*) AS runs FROM r GROUP BY ALL""")
 def contamination_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tx.tokens(F.col("text"))
-    return si.shared_runs(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"),
+    documents = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return si.shared_runs(documents, load(spark, sf_dir, "benchmark"),
                           "doc_id", "item_id", words, words, 5)

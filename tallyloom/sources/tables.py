@@ -15,6 +15,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table out over all cores before CPU-heavy work on its rows.
+
+    A table that is read in at least as many splits as there are cores stays as it is, so a shuffle
+    is only ever added to inputs of a few hundred megabytes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def key_from_name(name: Column, suffix: str) -> Column:
     """File stem: the last path segment without ``suffix``."""
     last = F.substring_index(name, "/", -1)

@@ -111,12 +111,14 @@ def stream_levels(stream: DataFrame, key: str, at: str, unique: str, delta: Colu
     out = f"{folder}/out"
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        before = state.before(batch_id)
         fresh = batch.select(key, at, unique, delta.cast("bigint").alias("_step"), F.lit(True).alias("_new"))
-        known = state.before(batch_id).select(key, at, unique, F.col("level").alias("_step"), F.lit(False).alias("_new"))
+        known = before.select(key, at, unique, F.col("level").alias("_step"), F.lit(False).alias("_new"))
         leveled = clamped_level(fresh.unionByName(known), [key], [at, unique], F.col("_step"), max_rows=max_rows)
-        leveled = leveled.withColumn("level", F.col("level").cast("bigint"))
-        leveled.filter("_new").select(key, unique, "level").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last = leveled.groupBy(key).agg(F.max_by(F.struct(at, unique, "level"), F.struct(at, unique)).alias("_last"))
+        written = f"{out}/batch={batch_id}"
+        leveled.filter("_new").select(key, at, unique, "level").write.mode("overwrite").parquet(written)
+        both = spark.read.schema(state.schema).parquet(written).unionByName(before)
+        last = both.groupBy(key).agg(F.max_by(F.struct(at, unique, "level"), F.struct(at, unique)).alias("_last"))
         state.replace(batch_id, last.select(key, f"_last.{at}", f"_last.{unique}", "_last.level"))
 
     each_batch(stream, work, f"{folder}/progress", trigger)
