@@ -5,7 +5,6 @@ from __future__ import annotations
 from bisect import bisect_left
 from math import ceil, sqrt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -126,6 +126,18 @@ def shortest_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("dist", F.col("dist").cast("double"))
 
 
+@query("reachable_trade", f"""
+WITH RECURSIVE {TRADE_SQL}, hop(v, hops) USING KEY (v) AS (
+  SELECT (SELECT min(o_custkey) FROM orders)::BIGINT, 0::BIGINT
+  UNION SELECT DISTINCT e.v, x.hops + 1 FROM hop x JOIN edges e ON e.u = x.v
+        LEFT JOIN recurring.hop o ON o.v = e.v WHERE o.v IS NULL)
+SELECT v AS target, hops FROM hop""")
+def reachable_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything the first customer is linked to, with the number of links."""
+    first = load(spark, sf_dir, "orders").select("o_custkey").agg(F.min("o_custkey").alias("source"))
+    return gr.reachable(trade_edges(spark, sf_dir), first).select("target", "hops")
+
+
 @query("all_pairs", f"""
 WITH RECURSIVE {NATION_SQL}, dist(u, v, d) USING KEY (u, v) AS (
   SELECT x, x, 0::BIGINT FROM (SELECT u AS x FROM edges UNION SELECT v FROM edges)
