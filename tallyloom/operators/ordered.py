@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tallyloom.operators.scan import (
     OrderedGroups, max_group_rows, previous, row_count, running_min, running_sum, split_hot,
 )
-from tallyloom.sources.store import store
+from tallyloom.sources.store import small, store
 
 
 def clamped_level(df: DataFrame, keys: list[str], order: list[str], delta: Column, out: str = "level",
@@ -155,47 +155,45 @@ def kth_smallest(df: DataFrame, keys: list[str], value: str, k: int, out: str =
     """
     limit = max_rows or max_group_rows(df)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    cold, hot, _ = split_hot(data, keys, limit)
+    parts = split_hot(data, keys, limit)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))
-    found = cold.withColumn("_rn", place).filter(F.col("_rn") == k + 1).select(*keys, F.col("_v").alias(out))
-    return found if hot is None else found.unionByName(_narrow(hot, keys, k, out, limit))
+    found = parts.cold.withColumn("_rn", place).filter(F.col("_rn") == k + 1).select(*keys, F.col("_v").alias(out))
+    return found if parts.hot is None else found.unionByName(_narrow(parts.hot, keys, k, out, limit))
 
 
 def _narrow(hot: DataFrame, keys: list[str], k: int, out: str, limit: int) -> DataFrame:
+    on = keys or ["_all"]
+    hot = hot if keys else hot.withColumn("_all", F.lit(1))
+
+    def inside() -> DataFrame:
+        """Rows between the current bounds of their group."""
+        within = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+        return hot.join(small(bounds.rows, bounds.df), on).filter(within)
+
+    unsettled = F.count_if((F.col("_n") > limit) & (F.col("_lo") < F.col("_hi")))
     bounds = store(
-        hot.groupBy(*keys).agg(
+        hot.groupBy(*on).agg(
             F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
             F.lit(k).cast("bigint").alias("_k"), F.count(F.lit(1)).alias("_n"),
         ).filter(F.col("_n") > k),
-        "kth", open=F.count_if((F.col("_n") > limit) & (F.col("_lo") < F.col("_hi"))),
+        "kth", unsettled=unsettled,
     )
-    while bounds.seen["open"]:
-        pad = [] if keys else ["_one"]
-        left = hot if keys else hot.withColumn("_one", F.lit(1))
-        right = bounds.df if keys else bounds.df.withColumn("_one", F.lit(1))
-        on = [*keys, *pad]
+    before = F.col("_upto") - F.col("_n")
+    holds = (before <= F.col("_k")) & (F.col("_k") < F.col("_upto"))
+    while bounds.seen["unsettled"]:
         share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
         bins = (
-            left.join(right, on).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+            inside()
             .withColumn("_bin", F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0)))
             .groupBy(*on, "_bin", "_k")
             .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
         )
         upto = OrderedGroups.of(bins, on, ["_bin"], max_rows=BINS + 1).with_running(_upto=running_sum("_n"))
-        before = F.col("_upto") - F.col("_n")
-        kept = upto.rows().filter((before <= F.col("_k")) & (F.col("_k") < F.col("_upto")))
-        kept = kept.select(*keys, "_lo", "_hi", (F.col("_k") - before).alias("_k"), "_n")
-        bounds = store(
-            kept, "kth", open=F.count_if((F.col("_n") > limit) & (F.col("_lo") < F.col("_hi")))
-        )
-    left = hot if keys else hot.withColumn("_one", F.lit(1))
-    right = bounds.df if keys else bounds.df.withColumn("_one", F.lit(1))
-    on = keys or ["_one"]
-    inside = left.join(right, on).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    counts = inside.groupBy(*on, "_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        kept = upto.rows().filter(holds).select(*on, "_lo", "_hi", (F.col("_k") - before).alias("_k"), "_n")
+        bounds = store(kept, "kth", unsettled=unsettled)
+    counts = inside().groupBy(*on, "_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
     upto = OrderedGroups.of(counts, on, ["_v"], max_rows=limit + 1).with_running(_upto=running_sum("_n"))
-    hit = (F.col("_upto") - F.col("_n") <= F.col("_k")) & (F.col("_k") < F.col("_upto"))
-    return upto.rows().filter(hit).select(*keys, F.col("_v").alias(out))
+    return upto.rows().filter(holds).select(*keys, F.col("_v").alias(out))
 
 
 # --- longest increasing subsequence ------------------------------------------------------------------
@@ -209,7 +207,7 @@ def longest_increasing(df: DataFrame, keys: list[str], order: list[str], value:
     """
     limit = max_rows or max_group_rows(df)
     data = df.select(*keys, *order, F.col(value).cast("double").alias("_v"))
-    cold, hot, rows = split_hot(data, keys, limit)
+    parts = split_hot(data, keys, limit)
     key_fields = [data.schema[k] for k in keys]
     schema = T.StructType([*key_fields, T.StructField(out, T.LongType())])
 
@@ -230,12 +228,13 @@ def longest_increasing(df: DataFrame, keys: list[str], order: list[str], value:
             yield pd.DataFrame([(*current, len(ends))], columns=[*keys, out])
 
     folded = (
-        cold.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "_v")
+        parts.cold.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "_v")
         .mapInPandas(fold, schema)
     )
-    if hot is None:
+    if parts.hot is None:
         return folded
-    return folded.unionByName(_wavefront(hot, keys, order, out, ceil(sqrt(rows / limit)) + 1, schema))
+    side = ceil(sqrt(parts.hot_rows / limit)) + 1
+    return folded.unionByName(_wavefront(parts.hot, keys, order, out, side, schema))
 
 
 def _wavefront(hot: DataFrame, keys: list[str], order: list[str], out: str, parts: int,
@@ -254,7 +253,8 @@ def _wavefront(hot: DataFrame, keys: list[str], order: list[str], out: str, part
     placed = store(grid, "grid").df
     corner = placed.groupBy(*keys).agg(F.min("_t").alias("_t0"), F.min("_u").alias("_u0"),
                                        F.max("_t").alias("_t1"), F.max("_u").alias("_u1"))
-    cells = placed.join(store(corner, "corner").df, keys).withColumns({
+    ends = store(corner, "corner")
+    cells = placed.join(small(ends.rows, ends.df), keys).withColumns({
         "_t": F.col("_t") - F.col("_t0"), "_u": F.col("_u") - F.col("_u0"),
         "_tn": F.col("_t1") - F.col("_t0"), "_un": F.col("_u1") - F.col("_u0"),
     }).drop("_t0", "_u0", "_t1", "_u1")

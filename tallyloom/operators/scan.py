@@ -17,7 +17,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.sources.store import store
+from tallyloom.sources.store import small, store
 
 MAX_ROWS_SETTING = "spark.tallyloom.maxGroupRows"
 MAX_ROWS_DEFAULT = 2_000_000
@@ -34,20 +34,31 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def split_hot(df: DataFrame, keys: list[str], max_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """``(rows of ordinary groups, rows of oversized groups or None, number of oversized rows)``.
+@dataclass(frozen=True)
+class Split:
+    """Rows of ordinary groups, rows of oversized groups (None if there are none), and their numbers."""
+
+    cold: DataFrame
+    hot: DataFrame | None = None
+    hot_rows: int = 0
+    hot_keys: int = 0
+
+
+def split_hot(df: DataFrame, keys: list[str], max_rows: int) -> Split:
+    """Part the groups of more than ``max_rows`` rows from the others.
 
     There are at most ``rows / max_rows`` oversized keys, so the table of them is small by design.
     """
     if not keys:
         rows = df.count()
-        return (df.limit(0), df, rows) if rows > max_rows else (df, None, 0)
+        return Split(df.limit(0), df, rows, 1) if rows > max_rows else Split(df)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
     if counts.isEmpty():
-        return df, None, 0
+        return Split(df)
     hot = store(counts, "hot", total=F.sum("_n"))
-    match = same_keys(df, hot.df, keys)
-    return df.join(hot.df, match, "left_anti"), df.join(hot.df, match, "left_semi"), int(hot.seen["total"])
+    match, table = same_keys(df, hot.df, keys), small(hot.rows, hot.df)
+    return Split(df.join(table, match, "left_anti"), df.join(table, match, "left_semi"),
+                 int(hot.seen["total"]), hot.rows)
 
 
 @dataclass(frozen=True)
@@ -115,6 +126,8 @@ class OrderedGroups:
     keys: list[str]
     order: list[str]
     descending: bool = False
+    carry_rows: int = 0
+    """Upper bound of (key, chunk) pairs; keys are contiguous over the chunks, so chunks + keys."""
 
     @staticmethod
     def of(
@@ -122,12 +135,13 @@ class OrderedGroups:
         max_rows: int | None = None,
     ) -> OrderedGroups:
         limit = max_rows or max_group_rows(df)
-        cold, hot, rows = split_hot(df, keys, limit)
-        if hot is not None:
-            chunks = min(max(2, ceil(2 * rows / limit)), MAX_CHUNKS)
-            ranged = hot.repartitionByRange(chunks, *keys, *order)
-            hot = store(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks").df
-        return OrderedGroups(cold, hot, keys, order, descending)
+        parts = split_hot(df, keys, limit)
+        if parts.hot is None:
+            return OrderedGroups(parts.cold, None, keys, order, descending)
+        chunks = min(max(2, ceil(2 * parts.hot_rows / limit)), MAX_CHUNKS)
+        ranged = parts.hot.repartitionByRange(chunks, *keys, *order)
+        hot = store(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks").df
+        return OrderedGroups(parts.cold, hot, keys, order, descending, chunks + parts.hot_keys)
 
     def _sorted(self, keys: list[str], order: list[str]) -> Window:
         cols = [F.col(c).desc() if self.descending else F.col(c).asc() for c in order]
@@ -157,7 +171,7 @@ class OrderedGroups:
         match = reduce(
             lambda a, b: a & b, [local[k].eqNullSafe(carries[f"_k_{k}"]) for k in scope]
         )
-        hot = local.join(carries, match).select(
+        hot = local.join(small(self.carry_rows, carries), match).select(
             *[local[c] for c in self.hot.columns],
             *[
                 s.joined(F.col(f"_l_{n}"), F.col(f"_c_{n}"), F.col("_first")).alias(n)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions import text as tx
 from tallyloom.operators.ordered import with_previous
+from tallyloom.sources.store import small, store
 
 # fixed values: the weights of the overall score
 WEIGHTS = {"character": 0.2, "line": 0.3, "token": 0.3, "structure": 0.2}
@@ -25,7 +26,7 @@ def versions(df: DataFrame, key: Column, id_col: str, text_col: str) -> DataFram
     fetched afterwards by their unique id. The last fetch is a shuffle join, which leaves the pairs
     spread by ``id_b`` for the per-pair work and aggregates that follow.
     """
-    slim = df.select(F.col(id_col).alias("id_b"), key.alias("_key"))
+    slim = store(df.select(F.col(id_col).alias("id_b"), key.alias("_key")), "keys").df
     linked = with_previous(slim, ["_key"], ["id_b"], id_a="id_b").filter(F.col("id_a").isNotNull())
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     older = texts.toDF("id_a", "text_a")
@@ -176,7 +177,8 @@ def shared_runs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     start belong to the n-th end.
     """
     a = _grams(left, left_id, left_units, n, "a")
-    b = _grams(right, right_id, right_units, n, "b")
+    stored = store(_grams(right, right_id, right_units, n, "b"), "grams")
+    b = small(stored.rows, stored.df)
     starts = ~F.col("a_before").eqNullSafe(F.col("b_before")) | F.col("a_before").isNull()
     ends = ~F.col("a_after").eqNullSafe(F.col("b_after")) | F.col("a_after").isNull()
     met = a.join(b, (a["gram"] == b["gram"]) & (starts | ends)).select(
