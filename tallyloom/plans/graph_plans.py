@@ -8,18 +8,16 @@ from pyspark.sql.window import Window
 
 from tallyloom.operators import graph as gr
 from tallyloom.plans.registry import query
+from tallyloom.sources.store import store
 from tallyloom.sources.tables import load
 
-LINKS = 5
-"""Links kept per nation: its strongest supplier nations."""
-
-NATION_SQL = f"""
+NATION_SQL = """
   counted AS (
     SELECT c_nationkey AS u, s_nationkey AS v, count(*) AS n
     FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
     JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
   edges AS (SELECT u::BIGINT AS u, v::BIGINT AS v, n % 97 + 1 AS w FROM counted
-            QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, v) <= {LINKS})
+            QUALIFY n * count(*) OVER (PARTITION BY u) > sum(n) OVER (PARTITION BY u))
 """
 
 
@@ -30,19 +28,20 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(orders, "key").groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(u, v, w)``: each customer nation's strongest supplier nations other than itself."""
+def nation_edges(spark: SparkSession, sf_dir: str, traded: DataFrame | None = None) -> DataFrame:
+    """``(u, v, w)``: from each customer nation to the supplier nations it buys more from than on average."""
     customers = load(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("u"))
     suppliers = load(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("v"))
+    traded = traded if traded is not None else trade(spark, sf_dir)
     counted = (
-        trade(spark, sf_dir).join(customers, "o_custkey").join(suppliers, "l_suppkey")
+        traded.join(customers, "o_custkey").join(suppliers, "l_suppkey")
         .filter("u <> v").groupBy("u", "v").agg(F.sum("n").alias("n"))
     )
-    strongest = Window.partitionBy("u").orderBy(F.col("n").desc(), "v")
-    kept = counted.withColumn("rn", F.row_number().over(strongest)).filter(F.col("rn") <= LINKS)
-    return kept.select("u", "v", (F.col("n") % 97 + 1).alias("w"))
+    own = Window.partitionBy("u")
+    strong = counted.withColumns({"links": F.count(F.lit(1)).over(own), "total": F.sum("n").over(own)})
+    return strong.filter(F.col("n") * F.col("links") > F.col("total")).select("u", "v", (F.col("n") % 97 + 1).alias("w"))
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,15 +61,19 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE {NATION_SQL}, walk AS (
   SELECT n_nationkey::BIGINT AS source, n_nationkey::BIGINT AS target FROM nation
   UNION SELECT source, e.v FROM walk JOIN edges e ON e.u = target)
-SELECT o_orderkey, w.source IS NOT NULL AS found FROM orders JOIN customer ON c_custkey = o_custkey
-LEFT JOIN walk w ON w.source = c_nationkey AND w.target = o_orderkey % 25""")
+SELECT DISTINCT o_custkey, l_suppkey, w.source IS NOT NULL AS found
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
+JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN walk w ON w.source = s_nationkey AND w.target = c_nationkey""")
 def path_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Can each order's customer nation be linked to the nation numbered like the order (modulo 25)?"""
+    """For every customer and supplier that trade: do links also lead back from the supplier's nation?"""
+    traded = store(trade(spark, sf_dir), "trade").df
     customers = load(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("start"))
-    probes = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customers, "o_custkey").select(
-        "o_orderkey", "start", (F.col("o_orderkey") % 25).alias("goal"))
-    return gr.path_exists(nation_edges(spark, sf_dir), probes, "start", "goal").select("o_orderkey", "found")
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("goal"))
+    suppliers = load(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("start"))
+    probes = traded.select("o_custkey", "l_suppkey").join(customers, "o_custkey").join(suppliers, "l_suppkey")
+    edges = nation_edges(spark, sf_dir, traded)
+    return gr.path_exists(edges, probes, "start", "goal").select("o_custkey", "l_suppkey", "found")
 
 
 DIST_SQL = """

@@ -63,9 +63,9 @@ def store(df: DataFrame, label: str, partition_by: list[str] | None = None, **ob
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    seen = dict(watch.get)
-    rows = int(seen.pop("_rows", 0) or 0)
-    return Stored(spark.read.schema(df.schema).parquet(path), path, rows, seen)
+    got = dict(watch.get)  # without any entry if the planner proved the result empty
+    rows = int(got.get("_rows") or 0)
+    return Stored(spark.read.schema(df.schema).parquet(path), path, rows, {n: got.get(n) for n in observed})
 
 
 def small(stored_rows: int, df: DataFrame) -> DataFrame:

@@ -123,3 +123,16 @@ def test_chains(spark):
         gr.chain_ranks(df)
     nothing = df.limit(0)
     assert gr.cyclic(nothing).count() == gr.reverse_chain(nothing).count() == 0
+
+
+def test_empty_graphs(spark):
+    edges = spark.createDataFrame([], "u bigint, v bigint, w bigint")
+    none = spark.createDataFrame([], "source bigint")
+    one = spark.createDataFrame([(5,)], "source bigint")
+    assert gr.reachable(edges, none).count() == 0
+    assert [tuple(r) for r in gr.reachable(edges, one).collect()] == [(5, 5, 0)]
+    assert [tuple(r) for r in gr.shortest_from(edges, 5).collect()] == [(5, 0)]
+    assert gr.all_pairs(edges).count() == 0
+    assert gr.topological_levels(edges).count() == 0
+    assert gr.spanning_forest(edges).count() == 0
+    assert gr.chain_ranks(spark.createDataFrame([], "id bigint, succ bigint")).count() == 0

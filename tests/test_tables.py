@@ -184,6 +184,17 @@ def test_flatten_any_depth(spark):
     assert flat == {0: ["1", "2", "3", "4", "5"], 2: ['"x"', "null"], 4: ["1"]}
 
 
+def test_empty_inputs(spark):
+    trees = spark.createDataFrame([], "i bigint, t string").select("i", F.parse_json("t").alias("v"))
+    assert ne.flatten_variant(trees, ["i"], "v").count() == 0
+    items = spark.createDataFrame([], "k string, w bigint, v bigint")
+    assert se.best_under_capacity(items, ["k"], F.col("w"), F.col("v"), F.lit(5)).count() == 0
+    assert ag.granularity(items, ["k"], F.col("w")).count() == 0
+    assert ag.frequent_combinations(items, "k", "w", 2, 1).count() == 0
+    assert {r.n for r in ag.histogram(items, "w", 3).collect()} == {0}
+    assert ag.counting_sort(items, "w", 3).count() == 0
+
+
 def test_apply_capturing(spark):
     df = spark.createDataFrame([("4",), ("x",), (None,)], "s string")
     got = ne.apply_capturing(df, lambda s: int(s) * 2, ["s"], T.LongType()).collect()
