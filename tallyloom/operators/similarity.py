@@ -152,19 +152,18 @@ def line_diff(pairs: DataFrame, ids: list[str], left: str, right: str) -> DataFr
 
 def _grams(df: DataFrame, id_col: str, units: Column, n: int, prefix: str) -> DataFrame:
     """Every n-gram with its position and the units just before and after it (NULL at the ends)."""
-    words = df.select(F.col(id_col), units.alias("_w")).filter(F.size("_w") >= n)
-    # padding the ends lets one slice fetch a gram together with its neighbours
-    return words.select(
-        F.col(id_col),
-        F.posexplode(F.transform(
-            F.sequence(F.lit(1), F.size("_w") - F.lit(n - 1)),
-            lambda i: F.struct(
-                F.array_join(F.slice("_w", i, n), "\u0001").alias("gram"),
-                F.get("_w", i - 2).alias("before"), F.get("_w", i + F.lit(n - 1)).alias("after"),
-            ),
-        )).alias(f"{prefix}_pos", "_g"),
-    ).select(id_col, f"{prefix}_pos", F.col("_g.gram").alias("gram"),
-             F.col("_g.before").alias(f"{prefix}_before"), F.col("_g.after").alias(f"{prefix}_after"))
+    def gram(i: Column) -> Column:
+        return F.struct(
+            F.array_join(F.slice("_w", i, n), "\u0001").alias("gram"),
+            F.get("_w", i - 2).alias("before"), F.get("_w", i + F.lit(n - 1)).alias("after"))
+
+    # an empty list for short texts instead of a filter, which would split the text a second time
+    count = F.size("_w") - F.lit(n - 1)
+    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    cut = df.select(id_col, units.alias("_w")).select(
+        id_col, F.posexplode(F.transform(starts, gram)).alias(f"{prefix}_pos", "_g"))
+    return cut.select(id_col, f"{prefix}_pos", "_g.gram", F.col("_g.before").alias(f"{prefix}_before"),
+                      F.col("_g.after").alias(f"{prefix}_after"))
 
 
 def shared_runs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
