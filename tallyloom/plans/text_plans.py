@@ -183,7 +183,8 @@ TOKENS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
 SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs
 FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY token""")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Texts are spread by document, so the counts per document need no shuffle of single words."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     words = documents.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
     per_doc = words.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))

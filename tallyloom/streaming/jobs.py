@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +92,13 @@ class BatchState:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id - 1}")
 
+    def latest(self) -> int | None:
+        """Number of the last batch, None before the first."""
+        try:
+            return self.spark.read.parquet(self.path).agg(F.max("batch")).first()[0]
+        except AnalysisException:  # nothing written yet
+            return None
+
     def replace(self, batch_id: int, df: DataFrame) -> None:
         df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.mode("overwrite").parquet(
             f"{self.path}/batch={batch_id}")
@@ -129,9 +137,9 @@ def stream_reorder(stream: DataFrame, key: str, order: list[str], k: int, folder
                    flush: bool = True, max_rows: int | None = None, trigger: dict | None = None) -> str:
     """Bounded reorder: per key the k largest rows seen are held back, the others are released in order.
 
-    If no row arrives more than k places late, the released sequence is sorted. ``flush`` releases
-    what is held at the end of the input. ``order`` must end in a unique column. Returns the output
-    folder with ``(key, seq, order...)``.
+    If no row arrives more than k places late, the released sequence is sorted. ``flush`` adds what is
+    held at the end of the input; if more input comes, the next batch replaces that part. ``order`` must
+    end in a unique column. Returns the output folder with ``(key, seq, order...)``.
     """
     spark = stream.sparkSession
     fields = [stream.schema[c] for c in [key, *order]]
@@ -152,16 +160,14 @@ def stream_reorder(stream: DataFrame, key: str, order: list[str], k: int, folder
         now = rows.groupBy(key).agg(F.count(F.lit(1)).alias("released"))
         counts.replace(batch_id, before.unionByName(now).groupBy(key).agg(F.sum("released").alias("released")))
 
-    last = {"id": -1}
-
     def work(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(key, *order).unionByName(held.before(batch_id))
         held.replace(batch_id, top(rows))
         keep = held.before(batch_id + 1)
         release(rows.join(keep, [key, *order], "left_anti"), batch_id)
-        last["id"] = batch_id
 
     each_batch(stream, work, f"{folder}/progress", trigger)
-    if flush and last["id"] >= 0:
-        release(held.before(last["id"] + 1), last["id"] + 1)
+    last = held.latest() if flush else None
+    if last is not None:
+        release(held.before(last + 1), last + 1)
     return out

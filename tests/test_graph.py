@@ -53,6 +53,7 @@ def test_reachability_and_distances(spark, seed):
 
 
 def test_negative_edges(spark):
+    # fixed values with known distances
     graph = {("A", "B"): 3, ("A", "C"): 3, ("A", "F"): 5, ("C", "B"): -2, ("C", "D"): 7, ("C", "E"): 4,
              ("D", "E"): -5, ("E", "F"): -1, ("X", "A"): 1}
     got = {r.v: r.dist for r in gr.shortest_from(frame(spark, graph, "string"), "A").collect()}

@@ -59,9 +59,10 @@ def test_reorder_over_batches(spark, tmp_path, limit):
         put(spark, tmp_path, late[lo:lo + 30])
         stream = jobs.read_files(spark, str(tmp_path), "t").select("k", "ts", "id")
         out = jobs.stream_reorder(stream, "k", ["ts", "id"], 4, str(tmp_path / "reorder"),
-                                  flush=lo == 60, max_rows=limit)
+                                  flush=lo > 0, max_rows=limit)
         if lo == 0:
             assert spark.read.parquet(out).count() < 30  # some rows are still held back
+    jobs.stream_reorder(stream, "k", ["ts", "id"], 4, str(tmp_path / "reorder"), max_rows=limit)  # no new rows
     got = {}
     for r in spark.read.parquet(out).orderBy("k", "seq").collect():
         got.setdefault(r.k, []).append((r.seq, r.id))

@@ -156,7 +156,7 @@ def knapsack(capacity, items):
 
 def test_best_under_capacity(spark):
     rng = random.Random(4)
-    cases = {
+    cases = {  # the first few are fixed values
         "a": (100, [(60, 10), (50, 8), (20, 4), (20, 4), (8, 3), (3, 2)]),
         "b": (40, [(30, 10), (50, 5), (10, 20), (40, 25)]),
         "c": (26, [(12, 24), (7, 13), (11, 23), (8, 15), (9, 16)]),
