@@ -99,6 +99,22 @@ def code_block(text: Column, tag: str = "python") -> Column:
     )
 
 
+def bare_code(text: Column) -> Column:
+    """A response that starts with a fence, without its fences: the short way to get at the code.
+
+    After a tagged fence all fence marks go; after a plain one the first and the last line.
+    """
+    fence = "```"
+    whole = strip(text)
+    rows = F.split(whole, "\n", -1)
+    unfenced = strip(F.replace(whole, F.lit(fence)))
+    return (
+        F.when(whole.startswith(fence + "python"), strip(F.replace(F.replace(whole, F.lit(fence + "python")), F.lit(fence))))
+        .when(whole.startswith(fence) & (F.size(rows) > 2), F.array_join(F.slice(rows, 2, F.size(rows) - 2), "\n"))
+        .when(whole.startswith(fence), unfenced).otherwise(whole)
+    )
+
+
 def page_block(html: Column) -> Column:
     """The same preference order on markup: title, else the longest paragraph, else all visible text."""
     title = F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)

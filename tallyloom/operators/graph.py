@@ -220,7 +220,9 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "e")
             .groupBy("a", "b").agg(F.min("e").alias("e"))
         )
-        linked = store(relabelled, "forest")
+        before, linked = linked, store(relabelled, "forest")
+        before.drop()
+        roots.drop()
     if chosen is None:
         return edges.select("u", "v", "w").limit(0)
     return chosen
@@ -234,6 +236,7 @@ def _jump_to_roots(parents: Stored) -> Stored:
             parents.df.join(small(parents.rows, up), "p")
             .select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")),
             "roots", moved=F.count_if("moved"))
+        parents.drop()
         result = Stored(jumped.df.select("c", "p"), jumped.path, jumped.rows)
         if not jumped.seen["moved"]:
             return result

@@ -319,7 +319,8 @@ def _wavefront(hot: DataFrame, keys: list[str], order: list[str], out: str, part
             .withColumns({"_kind": F.lit("row"), "_len": F.lit(None)}).select(*shape)
         )
         for sent in messages:
-            here = here.unionByName(sent.df.filter(F.col("_t") + F.col("_u") == diag))
+            inside = (F.col("_t") <= F.col("_tn")) & (F.col("_u") <= F.col("_un"))
+            here = here.unionByName(sent.df.filter(inside & (F.col("_t") + F.col("_u") == diag)))
         solved = store(here.groupBy(*keys, "_t", "_u").applyInPandas(solve, cell_schema), "wave")
         final = solved.df.filter((F.col("_kind") == "corner") & (F.col("_t") > F.col("_tn"))
                                  & (F.col("_u") > F.col("_un")))

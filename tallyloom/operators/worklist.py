@@ -33,19 +33,23 @@ def with_context(inputs: DataFrame, context: DataFrame, on: list[str], available
     return joined.withColumn(available, F.coalesce(F.col(available), F.lit(False)))
 
 
-def reconcile(expected: DataFrame, actual: DataFrame, on: str, tolerance: float) -> DataFrame:
+def reconcile(expected: DataFrame, actual: DataFrame, on: str, tolerance: float,
+              error: str | None = None) -> DataFrame:
     """Compare ``expected.expected`` with ``actual.actual`` per key.
 
     PASS within the tolerance, FAIL beyond it, ERROR where the actual value is missing, UNEXPECTED
-    where nothing was expected.
+    where nothing was expected. With a column of error texts on the actual side, a text that starts
+    with TIMEOUT gives TIMEOUT and any other text gives ERROR.
     """
     joined = expected.join(actual, on, "full_outer")
+    problem = F.col(error) if error else F.lit(None).cast("string")
     same = F.col("expected").eqNullSafe(F.col("actual")) | (
         F.abs(F.col("expected") - F.col("actual")) <= tolerance
     )
     return joined.withColumn(
         "status",
         F.when(F.col("expected").isNull(), "UNEXPECTED")
+        .when(problem.startswith("TIMEOUT"), "TIMEOUT").when(problem.isNotNull(), "ERROR")
         .when(F.col("actual").isNull(), "ERROR").when(same, "PASS").otherwise("FAIL"),
     )
 

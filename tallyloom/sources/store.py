@@ -31,8 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder for written tables."""
+    return f"{shared_dir(spark)}/tallyloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables this application wrote; DataFrames that still read them become invalid."""
+    delete(spark, work_dir(spark))
 
 
 @dataclass
@@ -46,9 +61,7 @@ class Stored:
 
     def drop(self) -> None:
         """Delete the files; call only when no live DataFrame reads them any more."""
-        spark = self.df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(self.df.sparkSession, self.path)
 
 
 def store(df: DataFrame, label: str, partition_by: list[str] | None = None, **observed: Column) -> Stored:

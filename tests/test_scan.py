@@ -146,7 +146,7 @@ def lis(values):
     return max(best, default=0)
 
 
-@pytest.mark.parametrize("limit", [15, 60, 10_000])
+@pytest.mark.parametrize("limit", [15, 60, 10_000])  # all keys oversized, one of them, none
 @pytest.mark.parametrize("seed", [3, 4])
 def test_longest_increasing(spark, limit, seed):
     rng = random.Random(seed)
@@ -182,3 +182,12 @@ def test_balance(spark):
 def test_backoff(spark):
     got = spark.range(7).select(od.backoff(F.col("id"), 4.0, 30.0).alias("d")).collect()
     assert [r.d for r in got] == [4.0, 8.0, 16.0, 30.0, 30.0, 30.0, 30.0]
+
+
+def test_longest_increasing_of_several_oversized_keys(spark):
+    """Keys on grids of different sizes finish in different rounds."""
+    rng = random.Random(8)
+    data = [(k, t, k * 1000 + t, rng.randrange(60) + t // 2) for k, n in enumerate((160, 90, 40, 15, 3)) for t in range(n)]
+    table = spark.createDataFrame(data, "k bigint, t bigint, id bigint, x bigint").repartition(3)
+    got = {r.k: r.length for r in od.longest_increasing(table, ["k"], ["t", "id"], "x", max_rows=6).collect()}
+    assert got == {k: lis([r[3] for r in part]) for k, part in groups(data).items()}

@@ -55,6 +55,8 @@ def test_store(spark):
     assert (kept.rows, kept.seen, kept.df.count()) == (10, {"evens": 5}, 10)
     assert kept.path.startswith(st.shared_dir(spark))
     kept.drop()
+    other = st.store(spark.range(3), "t")
+    assert other.path.startswith(st.work_dir(spark)) and other.df.count() == 3
     assert st.store(spark.range(0), "t").rows == 0
 
 
@@ -222,5 +224,9 @@ def test_reconcile(spark):
     actual = spark.createDataFrame([(1, 2.05), (2, 2.2), (4, 1.0)], "k int, actual double")
     cases = wl.reconcile(expected, actual, "k", 0.1)
     assert {r.k: r.status for r in cases.collect()} == {1: "PASS", 2: "FAIL", 3: "ERROR", 4: "UNEXPECTED"}
+    broken = spark.createDataFrame([(1, None, "TIMEOUT: 5s"), (2, None, "boom"), (3, 1.0, None)],
+                                   "k int, actual double, problem string")
+    states = wl.reconcile(expected, broken, "k", 0.1, "problem").collect()
+    assert {r.k: r.status for r in states} == {1: "TIMEOUT", 2: "ERROR", 3: "PASS"}
     rates = wl.pass_rates(cases, [], F.col("status") == "PASS", F.col("status") != "ERROR").first()
     assert (rates.found, rates.tested, rates.skipped, rates.passed, rates.all_passed) == (4, 3, 1, 1, False)

@@ -80,6 +80,13 @@ def test_code_block(spark):
     assert column(spark, list(cases), tx.code_block) == list(cases.values())
 
 
+def test_bare_code(spark):
+    f = "```"
+    cases = {f"{f}python\nx = 1\n{f}\n": "x = 1", f"{f}\na\nb\n{f}": "a\nb", f"{f} a{f}": "a", "  plain ": "plain",
+             f"say {f}x{f}": f"say {f}x{f}"}
+    assert column(spark, list(cases), tx.bare_code) == list(cases.values())
+
+
 def test_verdicts(spark):
     rows = [
         ("VALIDATION: PASSED\nISSUES: None", True, "old", False),
