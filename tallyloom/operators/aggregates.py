@@ -113,6 +113,10 @@ def granularity(df: DataFrame, keys: list[str], value: Column, out: str = "gcd")
 
 # --- cubes and combinations --------------------------------------------------------------------------
 
+WIDE_SET = 200
+"""Item sets beyond this size are expanded by more than one task."""
+
+
 def cube_sum(df: DataFrame, dims: list[str], measure: Column, out: str) -> DataFrame:
     """Sum and row count for every subset of ``dims``.
 
@@ -142,22 +146,30 @@ def frequent_combinations(df: DataFrame, basket: str, item: str, k: int, min_sup
     """k-item combinations held together by at least ``min_support`` baskets.
 
     Rare items are dropped first (no combination with them can qualify), equal item sets are counted
-    once, and only the distinct item sets are expanded. An item set never holds more than the
-    frequent items, of which there are at most (distinct basket-item pairs) / min_support.
+    once, and only the distinct item sets are expanded, one item per step. An item set never holds
+    more than the frequent items, of which there are at most (distinct basket-item pairs) /
+    min_support. If there are wide sets, their first items are dealt out before the next step.
     """
     held = store(df.select(basket, item).distinct(), "held").df
     common = store(
         held.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_support).select(item),
         "common")
-    sets = (
+    sets = store(
         held.join(small(common.rows, common.df), item, "left_semi")
-        .groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("_items"))
-        .filter(F.size("_items") >= k)
-        .groupBy("_items").agg(F.count(F.lit(1)).alias("_n"))
-    )
+        .groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("_rest"))
+        .filter(F.size("_rest") >= k)
+        .groupBy("_rest").agg(F.count(F.lit(1)).alias("_n")),
+        "sets", widest=F.max(F.size("_rest")))
+    rows = sets.df.withColumn("items", F.array().cast(sets.df.schema["_rest"].dataType))
+    for missing in range(k - 1, -1, -1):
+        picked = rows.filter(F.size("_rest") > missing).select("_n", "items", "_rest", F.posexplode("_rest").alias("_at", "_x"))
+        rows = picked.select(
+            "_n", F.concat("items", F.array("_x")).alias("items"),
+            F.slice("_rest", F.col("_at") + 2, F.size("_rest")).alias("_rest"))
+        if missing == k - 1 and (sets.seen["widest"] or 0) > WIDE_SET:
+            rows = rows.repartition(F.xxhash64("items", "_rest"))
     return (
-        sets.select(F.explode(combinations(F.col("_items"), k)).alias("items"), "_n")
-        .groupBy("items").agg(F.sum("_n").cast("bigint").alias("support"))
+        rows.groupBy("items").agg(F.sum("_n").cast("bigint").alias("support"))
         .filter(F.col("support") >= min_support)
     )
 

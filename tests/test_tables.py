@@ -230,3 +230,10 @@ def test_reconcile(spark):
     assert {r.k: r.status for r in states} == {1: "TIMEOUT", 2: "ERROR", 3: "PASS"}
     rates = wl.pass_rates(cases, [], F.col("status") == "PASS", F.col("status") != "ERROR").first()
     assert (rates.found, rates.tested, rates.skipped, rates.passed, rates.all_passed) == (4, 3, 1, 1, False)
+
+
+def test_frequent_combinations_of_wide_sets(spark):
+    rows = [(b, i) for b in range(3) for i in range(b, 260)]
+    df = spark.createDataFrame(rows, "b bigint, i bigint").repartition(3)
+    found = ag.frequent_combinations(df, "b", "i", 2, 3)
+    assert found.count() == 258 * 257 // 2 and found.filter("support <> 3").count() == 0
