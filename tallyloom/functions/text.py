@@ -70,7 +70,8 @@ def tags(html: Column) -> Column:
 def is_rate_limited(message: Column, whole_words: bool = False) -> Column:
     """Does the message name a rate limit? The plain form also matches inside longer words."""
     pattern = "|".join(RATE_WORDS)
-    return F.lower(message).rlike(rf"\b({pattern})\b" if whole_words else pattern)
+    alone = rf"(^|[^\p{{L}}\p{{N}}_])({pattern})([^\p{{L}}\p{{N}}_]|$)"
+    return F.lower(message).rlike(alone if whole_words else pattern)
 
 
 def longest(items: Column) -> Column:

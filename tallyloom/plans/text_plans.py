@@ -145,7 +145,7 @@ def labelled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("classify_messages", r"""
 SELECT doc_id, len(list_filter(ls, lambda x: regexp_matches(lower(x), '429|quota|rate|limit')))::BIGINT AS flagged,
-       len(list_filter(ls, lambda x: regexp_matches(lower(x), '\b(429|quota|rate|limit)\b')))::BIGINT AS flagged_words,
+       len(list_filter(ls, lambda x: regexp_matches(lower(x), '(^|[^\p{L}\p{N}_])(429|quota|rate|limit)([^\p{L}\p{N}_]|$)')))::BIGINT AS flagged_words,
        len(ls)::BIGINT AS lines
 FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)""")
 def classify_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

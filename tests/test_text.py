@@ -103,9 +103,9 @@ def test_verdicts(spark):
 
 
 def test_messages_and_request(spark):
-    texts = ["Error 429", "QUOTA exceeded", "generate it", "rate limit", "fine", "limits"]
-    assert column(spark, texts, tx.is_rate_limited) == [True, True, True, True, False, True]
-    assert column(spark, texts, lambda t: tx.is_rate_limited(t, True)) == [True, True, False, True, False, False]
+    texts = ["Error 429", "QUOTA exceeded", "generate it", "rate limit", "fine", "limits", "érate"]
+    assert column(spark, texts, tx.is_rate_limited) == [True, True, True, True, False, True, True]
+    assert column(spark, texts, lambda t: tx.is_rate_limited(t, True)) == [True, True, False, True, False, False, False]
     build = lambda t: tx.request_text("Do {t}.{context}!", "Note:", {"t": t}, F.when(t != "fine", F.upper(t)))
     assert column(spark, ["a", "fine"], build) == ["Do a.\nNote:\nA!", "Do fine.!"]
 
