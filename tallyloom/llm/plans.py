@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import ngram_join
+from tallyloom.llm import ngram_join, substring_dedup
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,3 +24,11 @@ def query(fn: Query) -> Query:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after removing 20-word windows that start earlier somewhere else."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed",
+                      F.coalesce(F.sha2(F.col("kept"), 256), "unchanged_sha256").alias("kept_sha256"))
