@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ngram_join, substring_dedup
+from tallyloom.llm import bpe_automaton, ngram_join, substring_dedup
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +33,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed",
                       F.coalesce(F.sha2(F.col("kept"), 256), "unchanged_sha256").alias("kept_sha256"))
+
+
+@query
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level token ids and of the text decoded from them."""
+    return bpe_automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
