@@ -208,12 +208,13 @@ class Segments:
     """Texts as rows of cached segments.
 
     A text may be cut before every space that stands alone between two other characters: the
-    pre-split pattern never joins what such a space parts. Segments repeat (they are mostly words), so
-    ``fill`` gets only those not met before and gives their tokens, flat with offsets.
+    pre-split pattern never joins what such a space parts; ``cut`` is for tokenizers with another rule.
+    Segments repeat (they are mostly words), so ``fill`` gets only those not met before and gives their
+    tokens, flat with offsets.
     """
 
-    def __init__(self, fill):
-        self.fill = fill
+    def __init__(self, fill, cut=None):
+        self.fill, self.cut = fill, cut or self._cut
         self.odd = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
         self.alone = regex.compile(r"(?V1)(?<=\P{White_Space})(?= \P{White_Space})")
         self.forget()
@@ -222,7 +223,7 @@ class Segments:
         self.known: dict[str, int] = {}
         self.tokens, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def cut(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
         if not text:
             return []
         if text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or self.odd.search(text):
@@ -288,9 +289,15 @@ class Encoder:
         return ids, ends[np.concatenate([[0], np.cumsum(sizes)])]
 
 
+@lru_cache(maxsize=1)
+def _encoder(spec: str) -> Encoder:
+    """The encoder with the segments that this worker has met, kept from task to task."""
+    return Encoder(compiled(spec))
+
+
 def _encode(text: str, out: str, kept: list[str], spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(compiled(spec.value))
+        encoder = _encoder(spec.value)
         for part in base.slices(batches, text):
             ids, offsets = encoder.encode([x or "" for x in part.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], base.lists(ids, offsets)], [*kept, out])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_automaton, ngram_join, substring_dedup
+from tallyloom.llm import bpe_automaton, ngram_join, substring_dedup, token_files, toxicity
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's byte-level token ids and of the text decoded from them."""
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position, length and checksum of every document's ids, read back from the files written of them."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_from(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.TOXIC, 1).otherwise(0).alias("predicted"))
