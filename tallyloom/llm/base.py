@@ -28,11 +28,32 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage at a durable table."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts the lineage at a durable table.
+
+    The shuffle files of the write go as soon as it has ended; the setting for that is put back.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free(*tables: DataFrame) -> None:
+    """Empty tables made by ``written`` that nothing will read any more."""
+    for df in tables:
+        if files := df.inputFiles():
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
+SUM = "count(*)", "bit_xor(xxhash64(u, v))", "sum(xxhash64(u, v) % 1000003)"
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,8 +66,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     at = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                  .filter("u <> v").distinct())
-    seen = None
-    while True:
+    seen = at.selectExpr(*SUM).first()
+    while seen[0]:
         # large star: larger neighbours of u point to the least of u's neighbourhood
         both = at.select("u", "v").unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")))
@@ -57,11 +78,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        at = written(small)
-        now = at.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(u, v) % 1000003)")).first()
-        if now == seen or not now[0]:
+        at, before = written(small), seen
+        seen = at.selectExpr(*SUM).first()
+        if seen == before:
             break
-        seen = now
     return at.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(
         at.select(F.col("v").alias("id"), F.col("v").alias("comp"))).distinct()
 
@@ -79,8 +99,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+MOST_ROWS = 32_768
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int | str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into runs of whole rows of about ``limit`` text bytes, one row at least."""
+    """Cut record batches into runs of whole rows of about ``limit`` text bytes, one row at least,
+    ``MOST_ROWS`` at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -88,7 +112,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | str, limit: int = 4_00
         at = 0
         while at < batch.num_rows:
             upto = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-            upto = min(max(upto, at + 1), batch.num_rows)
+            upto = min(max(upto, at + 1), at + MOST_ROWS, batch.num_rows)
             yield batch.slice(at, upto - at)
             at = upto
 

@@ -50,12 +50,11 @@ def token_sets(column: pa.Array, size: int, lower: bool) -> tuple[np.ndarray, np
             x = h[w.row[r] : w.row[r + 1]]
             whole.append(words.mix(words.windows(x, len(x)), 100 + len(x))[0])
         flat, owner = np.concatenate([flat, np.array(whole, words.U)]), np.concatenate([owner, short])
-    by = np.lexsort((flat, owner))
-    flat, owner = flat[by], owner[by]
-    first = np.ones(len(flat), bool)
-    first[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
-    flat, owner = flat[first], owner[first]
-    return flat, np.searchsorted(owner, np.arange(len(w.counts) + 1))
+        by = np.argsort(owner, kind="stable")
+        flat, owner = flat[by], owner[by]
+    border = np.searchsorted(owner, np.arange(len(w.counts) + 1))
+    rows = [np.unique(flat[a:b]) for a, b in zip(border[:-1], border[1:], strict=True)]
+    return np.concatenate([np.zeros(0, words.U), *rows]), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
 
 
 def _frequent_in(text: str, size: int, lower: bool):
@@ -87,13 +86,12 @@ def _describe(key: str, text: str, size: int, lower: bool, num: int, den: int, o
             p = np.where(n > 0, n - -(-n * num // den) + 1, 0)
             cut = np.concatenate([[0], np.cumsum(p)])
             columns = []
+            inside = np.arange(len(flat)) - np.repeat(offsets[:-1], n) < np.repeat(p, n)
+            place = owner.astype(words.U) << words.U(48) | common.astype(words.U) << words.U(47)
             for k in range(orders):
-                rank = words.mix(flat, 20 + k)
-                by = np.lexsort((rank, common, owner))
-                inside = np.arange(len(flat)) - np.repeat(offsets[:-1], n) < np.repeat(p, n)
-                prefix = flat[by][inside]
-                values = prefix.view(np.int64) if k == 0 else (prefix >> words.U(32)).astype(np.uint32).view(np.int32)
-                columns.append(base.lists(values, cut))
+                # a token's rank in the order is its name: 48 bits in the index, 32 in the other prefixes
+                prefix = np.sort(place | words.mix(flat, 20 + k) >> words.U(17))[inside] & words.U(2**48 - 1)
+                columns.append(base.lists(prefix.view(np.int64) if k == 0 else (prefix >> words.U(16)).astype(np.uint32).view(np.int32), cut))
             yield pa.RecordBatch.from_arrays(
                 [part.column(key), pa.array(n.astype(np.int64)), *keys, *columns],
                 ["id", "n", "k1", "k2", *[f"p{k}" for k in range(orders)]])
@@ -141,9 +139,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("hub"))
         .filter("members > 1"))
     posts = base.written(posts.join(blocks.select("token", "hub"), "token"))
-    texts = slim.join(posts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     schema = T.StructType([T.StructField("id", kind), T.StructField("tokens", T.ArrayType(T.LongType()))])
-    sets = base.written(texts.mapInArrow(_sets("id", "text", size, lower), schema))
     filters = heads.select("rep", *[f"p{k}" for k in range(1, orders)])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -154,10 +150,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             pairs = pairs.join(a, "a").join(b, "b").filter(
                 " and ".join(f"arrays_overlap(a{k}, b{k})" for k in range(1, orders))).select("a", "b")
             pairs = base.written(pairs)
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = slim.join(base.written(ids), "id", "left_semi")
+        sets = base.written(texts.mapInArrow(_sets("id", "text", size, lower), schema))
         a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
         b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
         both = pairs.join(a, "a").join(b, "b").withColumn("s", F.size(F.array_intersect("x", "y")))
-        return base.written(both.filter(f"{den} * s >= {num} * (size(x) + size(y) - s)").select("a", "b"))
+        links = base.written(both.filter(f"{den} * s >= {num} * (size(x) + size(y) - s)").select("a", "b"))
+        base.free(sets)
+        return links
 
     near = f"least(m, n) * {den} >= greatest(m, n) * {num}"
     spokes = posts.filter("rep <> hub.rep").withColumn("m", F.col("hub.n")).filter(near)
