@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_automaton, ngram_join, substring_dedup, token_files, toxicity
+from tallyloom.llm import bpe_automaton, decontaminate, ngram_join, substring_dedup, token_files, toxicity
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score",
         F.when(F.col("score") >= toxicity.TOXIC, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, test item) pair where the document holds the item."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
