@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_automaton, decontaminate, ngram_join, substring_dedup, token_files, toxicity
+from tallyloom.llm import bpe_automaton, decontaminate, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, test item) pair where the document holds the item."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, hard failures and the label model's verdict of every document."""
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: by pattern, and by the randomness tests."""
+    return secrets.digests(table(spark, sf_dir, "documents"))
