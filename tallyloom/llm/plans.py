@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_automaton, decontaminate, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
+from tallyloom.llm import bpe_automaton, decontaminate, main_text, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: by pattern, and by the randomness tests."""
     return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
