@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_automaton, decontaminate, main_text, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
+from tallyloom.llm import bpe_automaton, decontaminate, line_templates, main_text, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,13 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     out = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of lines, of dropped lines, and the digest of what is left."""
+    out = line_templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_line_templates"] = line_templates.SQL
