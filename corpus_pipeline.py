@@ -4,13 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import base
+from tallyloom.llm import base, bpe_automaton, decontaminate, line_templates, ngram_join, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
-ORACLE_SQL = None
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the toxicity limit, by a model learnt from the labels of what is there."""
+    model = toxicity.fit_from(docs, base.table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, out="_toxicity")
+    return scored.filter(F.col("_toxicity") < toxicity.TOXIC).select(docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without boilerplate lines; one that was nothing else goes. ``n_chars`` follows the text."""
+    left = line_templates.drop_lines(docs)
+    some = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    changed = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.filter(some).withColumn("n_chars", changed).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-word shingles of similarity 0.8 or more: the smallest id.
+
+    Rows without an id stay; of rows that share an id one stays.
+    """
+    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"), size=5, num=8, den=10)
+    first = base.written(groups.filter("doc_id = component_id").select("doc_id").distinct())
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, base.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document left, their number, and digests of the ids and of the text they decode to."""
+    path = public_tokenizers.path(TOKENIZER)
+    ids = bpe_automaton.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
+    return bpe_automaton.decode(ids, path).select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("bpe", encode),
+]
+ORACLE_SQL = None  # the model, the automaton and the retrieval are beyond SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
