@@ -36,7 +36,7 @@ from tallyloom.llm import base
 NEVER = np.int32(2**31 - 1)
 TABLE_BITS = 21
 """Transitions kept by a task: a direct-mapped table of 2**TABLE_BITS entries."""
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 """Distinct segments (mostly words) whose tokens a task keeps before it starts anew."""
 
 # The format's pre-split pattern, and its printable stand-ins for bytes.
@@ -87,7 +87,7 @@ class Hashed:
 
 @dataclass
 class Automaton:
-    """Compiled tables: gadgets by token, removed arcs, the byte trie, arc labels."""
+    """Compiled tables: gadgets by token, removed arcs, the byte trie."""
 
     made: np.ndarray  # rank of the gadget that made a token, -1 for a byte
     left: np.ndarray
@@ -95,7 +95,6 @@ class Automaton:
     removed: Hashed  # (state, token) -> rank of the gadget that removed the arc
     step: Hashed  # (trie node, byte) -> node
     token: np.ndarray  # token that ends at a trie node, -1 if none
-    labels: list[bytes]
     special: dict[str, int]
 
     def __post_init__(self):
@@ -173,7 +172,7 @@ class Automaton:
 def compiled(spec: str) -> Automaton:
     """The automaton of a tokenizer file's text (a byte-level BPE model in the public JSON format)."""
     file = json.loads(spec)
-    model, letters = file["model"], byte_letters()
+    model, labels = file["model"], arc_labels(spec)
     vocab = model["vocab"]
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -184,11 +183,9 @@ def compiled(spec: str) -> Automaton:
         ab = vocab[a + b]
         made[ab], left[ab], right[ab] = rank, vocab[a], vocab[b]
         removed[rank] = vocab[a] << 32 | vocab[b]
-    labels = [b""] * n
     nodes: dict[int, int] = {}
     ends = {}
-    for text, i in vocab.items():
-        labels[i] = bytes(letters[c] for c in text)
+    for i in vocab.values():
         if made[i] < 0 and len(labels[i]) != 1:
             continue  # in the vocabulary, but no merge makes it
         at = 0
@@ -197,11 +194,9 @@ def compiled(spec: str) -> Automaton:
         ends[at] = i
     token = np.full(len(nodes) + 1, -1, np.int32)
     token[list(ends)] = list(ends.values())
-    for text, i in special.items():
-        labels[i] = text.encode()
     return Automaton(
         made, left, right, Hashed(removed, np.arange(len(pairs), dtype=np.int32), int(NEVER)),
-        Hashed(np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int32), -1), token, labels, special)
+        Hashed(np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int32), -1), token, special)
 
 
 class Segments:
@@ -304,12 +299,23 @@ def _encode(text: str, out: str, kept: list[str], spec):
     return run
 
 
+@lru_cache(maxsize=1)
+def arc_labels(spec: str) -> list[bytes]:
+    """The bytes of each token, all that decoding needs of the file."""
+    file, letters = json.loads(spec), byte_letters()
+    found = {i: bytes(letters[c] for c in text) for text, i in file["model"]["vocab"].items()}
+    found |= {t["id"]: t["content"].encode() for t in file["added_tokens"]}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
 def _decode(ids: str, out: str, kept: list[str], spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = compiled(spec.value).labels
+        labels = arc_labels(spec.value)
         for batch in batches:
-            texts = [b"".join([labels[i] for i in row or ()]).decode("utf-8", "replace") for row in _rows(batch.column(ids))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [b"".join([labels[i] for i in row or ()]).decode("utf-8", "replace") for row in _rows(part.column(ids))]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out])
     return run
 
 
