@@ -1,6 +1,6 @@
 """Main text of HTML pages by composite text density.
 
-A page is parsed into its tree of elements. Each element has the characters of its text (C), its tags (T),
+A page is parsed into its tree of elements. Each element has the characters of its text (C), its tags with its own (T),
 and the same inside links (LC, LT); with the body's C and LC its composite density is::
 
     C / T * log(C * T / (LC * LT)) / log(e + C * LC / (C - LC) + C * LCb / Cb)
@@ -179,7 +179,7 @@ def _count(root: Node) -> None:
         node.chars, node.link_chars, node.tags, node.link_tags = chars, link_chars, tags, link_tags
     body, body_link = max(root.chars, 1), root.link_chars
     for node in reversed(order):
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
+        c, t, lc, lt = node.chars, node.tags + 1, node.link_chars, max(node.link_tags, 1)
         if c:
             below = math.log(math.e + c * lc / max(c - lc, 1) + c * body_link / body)
             node.density = c / t * max(math.log(max(c * t / (max(lc, 1) * lt), 1.0)), 0.0) / below
