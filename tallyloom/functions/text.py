@@ -12,8 +12,11 @@ WHITESPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680
 # fixed values: the words that mark a message as a rate-limit error
 RATE_WORDS = ["429", "quota", "rate", "limit"]
 
-# fixed value: a word of letters, digits and underscores, or one other visible character
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+# fixed value: a word of letters, digits and underscores, or one other visible character; white space is
+# what it is at the ends of a text, no-break spaces included
+SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+MARK = rf"[^\p{{L}}\p{{N}}_{SPACES}]"
+TOKEN = r"[\p{L}\p{N}_]+|" + MARK
 
 # fixed value: the part of a line before a '#' that stands outside quotes. A quote after a backslash
 # is an ordinary character. Each alternative starts with a different character, so the possessive
@@ -59,7 +62,7 @@ def tokens(text: Column) -> Column:
 
 def punctuation(text: Column) -> Column:
     """The sequence of non-word marks, as a stand-in for a prose text's structure."""
-    return F.regexp_extract_all(text, F.lit(r"[^\p{L}\p{N}_\s]"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(MARK), F.lit(0))
 
 
 def tags(html: Column) -> Column:

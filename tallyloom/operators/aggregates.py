@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,30 +25,48 @@ def success_summary(df: DataFrame, keys: list[str], ok: Column) -> DataFrame:
 
 
 def status_counts(df: DataFrame, phase: str, status: str, statuses: list[str]) -> DataFrame:
-    """One row per phase with one count column per status."""
+    """One row per phase with one count column per status, and one for all others and NULL."""
     return df.groupBy(phase).agg(
         *[F.count_if(F.col(status) == s).alias(f"n_{s}") for s in statuses],
+        F.count_if(~F.coalesce(F.col(status).isin(*statuses), F.lit(False))).alias("n_other"),
         F.count(F.lit(1)).alias("total"),
     )
 
 
-def histogram(df: DataFrame, value: str, k: int) -> DataFrame:
-    """Counts of the integers 0..k-1, zero where a value does not occur."""
+LARGEST_SCAN = 10_000_000
+"""Buckets that one task may sum up; more are scanned in chunks."""
+
+
+def bucket_count(df: DataFrame, value: str, k: int | None = None) -> int:
+    """Number of buckets 0, 1, ... that hold the whole column: ``k``, or the largest value + 1.
+
+    Raises if a value has no bucket: NULL, below 0, with a fraction, or ``k`` and above.
+    """
+    x = F.col(value)
+    bad = F.count_if(x.isNull() | (x < 0) | (x != F.floor(x)) | (x >= k if k is not None else F.lit(False)))
+    misfits, most = df.agg(bad, F.max(x)).first()
+    if misfits:
+        raise ValueError(f"{misfits} values of {value} fit no bucket")
+    return k if k is not None else int(most) + 1 if most is not None else 0
+
+
+def histogram(df: DataFrame, value: str, k: int | None = None) -> DataFrame:
+    """Counts of the integers 0..k-1, zero where a value does not occur; see ``bucket_count``."""
+    buckets = df.sparkSession.range(bucket_count(df, value, k)).withColumnRenamed("id", "bucket")
     counts = df.groupBy(F.col(value).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    buckets = df.sparkSession.range(k).withColumnRenamed("id", "bucket")
     return buckets.join(counts, "bucket", "left").select(
         "bucket", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n")
     )
 
 
-def counting_sort(df: DataFrame, value: str, k: int, block: int = 100_000) -> DataFrame:
-    """The whole column in ascending order as ``(pos, value)``, rebuilt from the k counts.
+def counting_sort(df: DataFrame, value: str, k: int | None = None, block: int = 100_000) -> DataFrame:
+    """The whole column in ascending order as ``(pos, value)``, rebuilt from the counts; see ``bucket_count``.
 
     A value that fills many rows is first cut into blocks, which are spread over the tasks before
     they are expanded.
     """
     counts = histogram(df, value, k).filter(F.col("n") > 0)
-    upto = OrderedGroups.of(counts, [], ["bucket"], max_rows=k + 1).with_running(_upto=running_sum("n"))
+    upto = OrderedGroups.of(counts, [], ["bucket"], max_rows=LARGEST_SCAN).with_running(_upto=running_sum("n"))
     starts = upto.rows().withColumn("_from", F.col("_upto") - F.col("n"))
     blocks = starts.select(
         F.col("bucket").alias("value"), "_upto",
@@ -63,52 +81,56 @@ def counting_sort(df: DataFrame, value: str, k: int, block: int = 100_000) -> Da
 def granularity(df: DataFrame, keys: list[str], value: Column, out: str = "gcd") -> DataFrame:
     """Greatest common divisor of an integer column per key (0 if all values are 0).
 
-    The divisor is folded per Arrow batch before the shuffle, so a hot key sends a few numbers per
-    partition, and folded again over the sorted partial results.
+    NULL values are skipped, NULL keys are one group. The divisor is folded per Arrow batch before the
+    shuffle, so a hot key sends a few numbers per partition, and folded again over the sorted partial
+    results.
     """
     data = df.select(*keys, F.abs(value.cast("bigint")).alias(out)).filter(F.col(out).isNotNull())
     schema = data.schema
 
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(keys, kind="stable")
-        changed = np.zeros(len(batch), dtype=bool)
-        changed[0] = True
+    def fold(rows: pa.Table) -> pa.Table:
+        """One row for each key, in the order of first appearance."""
+        group = np.zeros(rows.num_rows, np.int64)
         for k in keys:
-            column = batch[k].to_numpy()
-            changed[1:] |= column[1:] != column[:-1]
-        starts = np.flatnonzero(changed)
-        folded = batch[keys].iloc[starts].copy()
-        folded[out] = np.gcd.reduceat(batch[out].to_numpy(), starts)
-        return folded
+            column = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            group = np.unique(group * (len(column.dictionary) + 1) + column.indices.to_numpy(), return_inverse=True)[1]
+        by = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[by], prepend=-1))
+        first = by[starts]
+        divisors = np.gcd.reduceat(rows.column(out).to_numpy()[by], starts)
+        seen = np.argsort(first)
+        folded = rows.select(keys).take(pa.array(first[seen]))
+        return folded.append_column(out, pa.array(divisors[seen]))
 
     def partial(batches):
         held, size = [], 0
         for batch in batches:
-            if len(batch):
-                held.append(fold(batch))
-                size += len(held[-1])
+            if batch.num_rows:
+                held.append(fold(pa.Table.from_batches([batch])))
+                size += held[-1].num_rows
             if size > 200_000:
-                merged = fold(pd.concat(held))
-                held, size = [merged], len(merged)
+                merged = fold(pa.concat_tables(held))
+                held, size = [merged], merged.num_rows
                 if size > 100_000:  # mostly distinct keys: pass them on, nothing more to fold here
-                    yield merged
+                    yield from merged.to_batches()
                     held, size = [], 0
         if held:
-            yield fold(pd.concat(held))
+            yield from fold(pa.concat_tables(held)).to_batches()
 
     def final(batches):
         carry = None
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            both = fold(batch if carry is None else pd.concat([carry, batch]))
-            carry = both.iloc[-1:]
-            yield both.iloc[:-1]
+            mine = pa.Table.from_batches([batch])
+            both = fold(mine if carry is None else pa.concat_tables([carry, mine]))
+            carry = both.slice(both.num_rows - 1)
+            yield from both.slice(0, both.num_rows - 1).to_batches()
         if carry is not None:
-            yield carry
+            yield from carry.to_batches()
 
-    partials = data.mapInPandas(partial, schema)
-    return partials.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(final, schema)
+    partials = data.mapInArrow(partial, schema)
+    return partials.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(final, schema)
 
 
 # --- cubes and combinations --------------------------------------------------------------------------

@@ -275,9 +275,13 @@ def reverse_chain(chain: DataFrame) -> DataFrame:
 def chain_ranks(chain: DataFrame) -> DataFrame:
     """``(id, tail, rank)``: the end of the row's chain and how many steps away it is.
 
-    Doubling needs log2(longest chain) rounds; a cycle raises.
+    A ``succ`` that is not in the table ends the chain like a NULL, as in ``cyclic``. Doubling needs
+    log2(longest chain) rounds; a cycle raises.
     """
     done_cond = F.col("nxt").isNull()
+    known = chain.select(F.col("id").alias("succ"), F.lit(True).alias("_known"))
+    chain = chain.select("id", "succ").join(known, "succ", "left")
+    chain = chain.select("id", F.when(F.col("_known"), F.col("succ")).alias("succ"))
     state = store(
         chain.select("id", F.col("succ").alias("nxt"), F.coalesce("succ", "id").alias("tail"),
                      F.when(F.col("succ").isNull(), 0).otherwise(1).cast("bigint").alias("rank")),

@@ -6,12 +6,13 @@ from bisect import bisect_left
 from math import ceil, sqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.operators.scan import (
-    OrderedGroups, max_group_rows, previous, row_count, running_min, running_sum, split_hot,
+    OrderedGroups, max_group_rows, named_groups, previous, row_count, running_min, running_sum, split_hot,
 )
 from tallyloom.sources.store import small, store
 
@@ -150,29 +151,33 @@ def kth_smallest(df: DataFrame, keys: list[str], value: str, k: int, out: str =
                  max_rows: int | None = None) -> DataFrame:
     """k-th smallest (0-based, duplicates count) of a numeric column; groups of k rows or fewer give none.
 
-    Ordinary groups are numbered. Oversized groups are narrowed: each round counts equal-width bins
-    between the group's bounds and keeps only the bin holding rank k, until that bin is small.
+    NULL values are skipped before anything is counted, NULL keys are one group, and the result has the
+    column's own type. Ordinary groups are numbered. Oversized groups are narrowed: each round counts
+    equal-width bins between the group's bounds and keeps only the bin holding rank k, until that bin is
+    small or holds values that a double cannot tell apart; its values are then counted one by one.
     """
     limit = max_rows or max_group_rows(df)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    data = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     parts = split_hot(data, keys, limit)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))
     found = parts.cold.withColumn("_rn", place).filter(F.col("_rn") == k + 1).select(*keys, F.col("_v").alias(out))
-    return found if parts.hot is None else found.unionByName(_narrow(parts.hot, keys, k, out, limit))
-
+    if parts.hot is None:
+        return found
+    hot, groups = named_groups(parts.hot, keys, "_g")
+    narrowed = _narrow(hot.select("_g", "_v"), k, out, limit)
+    return found.unionByName(narrowed.join(groups, "_g").select(*keys, out))
 
-def _narrow(hot: DataFrame, keys: list[str], k: int, out: str, limit: int) -> DataFrame:
-    on = keys or ["_all"]
-    hot = hot if keys else hot.withColumn("_all", F.lit(1))
 
+def _narrow(hot: DataFrame, k: int, out: str, limit: int) -> DataFrame:
     def inside() -> DataFrame:
         """Rows between the current bounds of their group."""
         within = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-        return hot.join(small(bounds.rows, bounds.df), on).filter(within)
+        return hot.join(small(bounds.rows, bounds.df), "_g").filter(within)
 
-    unsettled = F.count_if((F.col("_n") > limit) & (F.col("_lo") < F.col("_hi")))
+    lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    unsettled = F.count_if((F.col("_n") > limit) & (lo < hi))
     bounds = store(
-        hot.groupBy(*on).agg(
+        hot.groupBy("_g").agg(
             F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
             F.lit(k).cast("bigint").alias("_k"), F.count(F.lit(1)).alias("_n"),
         ).filter(F.col("_n") > k),
@@ -181,60 +186,74 @@ def _narrow(hot: DataFrame, keys: list[str], k: int, out: str, limit: int) -> Da
     before = F.col("_upto") - F.col("_n")
     holds = (before <= F.col("_k")) & (F.col("_k") < F.col("_upto"))
     while bounds.seen["unsettled"]:
-        share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+        share = F.try_divide(F.col("_v").cast("double") - lo, hi - lo)
         bins = (
             inside()
             .withColumn("_bin", F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0)))
-            .groupBy(*on, "_bin", "_k")
+            .groupBy("_g", "_bin", "_k")
             .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
         )
-        upto = OrderedGroups.of(bins, on, ["_bin"], max_rows=BINS + 1).with_running(_upto=running_sum("_n"))
-        kept = upto.rows().filter(holds).select(*on, "_lo", "_hi", (F.col("_k") - before).alias("_k"), "_n")
+        upto = OrderedGroups.of(bins, ["_g"], ["_bin"], max_rows=BINS + 1).with_running(_upto=running_sum("_n"))
+        kept = upto.rows().filter(holds).select("_g", "_lo", "_hi", (F.col("_k") - before).alias("_k"), "_n")
         bounds = store(kept, "kth", unsettled=unsettled)
-    counts = inside().groupBy(*on, "_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    upto = OrderedGroups.of(counts, on, ["_v"], max_rows=limit + 1).with_running(_upto=running_sum("_n"))
-    return upto.rows().filter(holds).select(*keys, F.col("_v").alias(out))
+    counts = inside().groupBy("_g", "_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = OrderedGroups.of(counts, ["_g"], ["_v"], max_rows=limit + 1).with_running(_upto=running_sum("_n"))
+    return upto.rows().filter(holds).select("_g", F.col("_v").alias(out))
 
 
 # --- longest increasing subsequence ------------------------------------------------------------------
 
 def longest_increasing(df: DataFrame, keys: list[str], order: list[str], value: str,
                        out: str = "length", max_rows: int | None = None) -> DataFrame:
-    """Length of the longest strictly increasing subsequence per key.
+    """Length of the longest strictly increasing subsequence per key; a key with NULL values only has none.
 
-    Ordinary groups are folded one after the other from sorted Arrow batches, carrying only the list
-    of smallest ends. Oversized groups go through ``_wavefront``.
+    NULL values are skipped before anything else, NULL keys are one group. Ordinary groups are folded
+    one after the other from sorted Arrow batches, carrying only the list of smallest ends. Oversized
+    groups go through ``_wavefront``, on the rank of each value instead of the value itself.
     """
     limit = max_rows or max_group_rows(df)
-    data = df.select(*keys, *order, F.col(value).cast("double").alias("_v"))
+    data = df.select(*keys, *order, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     parts = split_hot(data, keys, limit)
-    key_fields = [data.schema[k] for k in keys]
-    schema = T.StructType([*key_fields, T.StructField(out, T.LongType())])
+    schema = T.StructType([*[data.schema[k] for k in keys], T.StructField(out, T.LongType())])
+    none = object()
 
     def fold(batches):
-        current, ends = None, []
+        current, ends = none, []
         for batch in batches:
-            done = []
-            for *row_key, v in zip(*[batch[k] for k in keys], batch["_v"]):
+            done, lengths = [], []
+            columns = [batch.column(k).to_pylist() for k in [*keys, "_v"]]
+            for *row_key, v in zip(*columns, strict=True):
                 if row_key != current:
-                    if current is not None:
-                        done.append((*current, len(ends)))
+                    if current is not none:
+                        done.append(current)
+                        lengths.append(len(ends))
                     current, ends = row_key, []
                 at = bisect_left(ends, v)
                 ends[at:at + 1] = [v]
             if done:
-                yield pd.DataFrame(done, columns=[*keys, out])
-        if current is not None:
-            yield pd.DataFrame([(*current, len(ends))], columns=[*keys, out])
+                yield table(batch, done, lengths)
+            last = batch
+        if current is not none:
+            yield table(last, [current], [len(ends)])
+
+    def table(like, done, lengths):
+        columns = [pa.array([d[i] for d in done], like.schema.field(k).type) for i, k in enumerate(keys)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(lengths, pa.int64())], [*keys, out])
 
     folded = (
-        parts.cold.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "_v")
-        .mapInPandas(fold, schema)
+        parts.cold.repartition(*(keys or [F.lit(0)])).sortWithinPartitions(*keys, *order).select(*keys, "_v")
+        .mapInArrow(fold, schema)
     )
     if parts.hot is None:
         return folded
     side = ceil(sqrt(parts.hot_rows / limit)) + 1
-    return folded.unionByName(_wavefront(parts.hot, keys, order, out, side, schema))
+    hot, groups = named_groups(parts.hot, keys, "_g")
+    hot = store(hot, "hot").df
+    ranks = store(equal_range(hot, ["_g"], "_v", max_rows), "ranks").df
+    hot = hot.join(ranks.withColumn("_rank", F.col("first_pos").cast("double")), ["_g", "_v"])
+    found = _wavefront(hot.select("_g", *order, F.col("_rank").alias("_v")), ["_g"], order, out, side,
+                       T.StructType([hot.schema["_g"], T.StructField(out, T.LongType())]))
+    return folded.unionByName(found.join(groups, "_g").select(*keys, out))
 
 
 def _wavefront(hot: DataFrame, keys: list[str], order: list[str], out: str, parts: int,

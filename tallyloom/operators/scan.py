@@ -5,7 +5,9 @@ keys and wrong for a key that holds a third of the table. ``OrderedGroups`` coun
 (one map-side combined aggregate on the key columns). Groups up to ``max_rows`` use the plain window.
 Larger ones are range-partitioned on (key, order) into chunks; running aggregates are taken per chunk,
 the chunk totals are accumulated over the few chunks of each key, and the carried value is combined
-with the chunk-local one. Both ways give the same rows.
+with the chunk-local one. Both ways give the same rows: NULL keys are one group, NULL values are skipped by
+the aggregates. Sums are only exact for integers and decimals; sums of doubles may differ in the last
+digits, as they are added up in another order.
 """
 
 from __future__ import annotations
@@ -61,6 +63,20 @@ def split_hot(df: DataFrame, keys: list[str], max_rows: int) -> Split:
                  int(hot.seen["total"]), hot.rows)
 
 
+def named_groups(hot: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """``hot`` with a number ``name`` for each group in place of its keys, and the table of the numbers.
+
+    For operators that join or compare on the key: a number is never NULL and compares exactly. There
+    are at most ``rows / max_rows`` oversized groups, so they are numbered in one task.
+    """
+    if not keys:
+        return hot.withColumn(name, F.lit(1)), hot.sparkSession.range(1).select(F.lit(1).alias(name))
+    groups = store(hot.select(*keys).distinct().withColumn(name, F.row_number().over(Window.orderBy(*keys))), "groups")
+    numbered = hot.join(small(groups.rows, groups.df), same_keys(hot, groups.df, keys))
+    rest = [hot[c] for c in hot.columns if c not in keys]
+    return numbered.select(groups.df[name], *rest), groups.df
+
+
 @dataclass(frozen=True)
 class Running:
     """One running aggregate: ``kind`` is sum, min, max or prev (the value of the preceding row)."""

@@ -18,9 +18,18 @@ def best_under_capacity(items: DataFrame, keys: list[str], weight: Column, value
     At most capacity / w items of weight w can be taken, and then the most valuable ones, so each
     (key, weight) shrinks to that many rows before anything else happens. Its prefix sums are a small
     table (weight used -> value). The tables of a key are merged in pairs, halving their number per
-    round, and states that weigh more without being worth more are dropped.
+    round, and states that weigh more without being worth more are dropped. Items of weight 0 are always
+    taken if they are worth something; items of negative or NULL weight, and of NULL value, never are.
+    NULL keys are one group.
     """
+    groups = store(items.select(*keys, capacity.alias("_cap")).distinct().withColumn(
+        "_g", F.xxhash64(F.to_json(F.struct(*keys, "_cap"), {"ignoreNullFields": "false"}))), "groups")
+    if groups.df.select("_g").distinct().count() != groups.rows:
+        raise ValueError("two groups share a hash")
+    own, keys = keys, ["_g"]
+    items = items.select("*", F.xxhash64(F.to_json(F.struct(*own, capacity.alias("_cap")), {"ignoreNullFields": "false"})).alias("_g"))
     sized = items.select(*keys, weight.alias("_w"), value.alias("_v"), capacity.alias("_cap"))
+    free = sized.filter((F.col("_w") == 0) & (F.col("_v") > 0) & (F.col("_cap") >= 0)).groupBy("_g").agg(F.sum("_v").alias("_free"))
     sized = sized.filter((F.col("_w") > 0) & (F.col("_w") <= F.col("_cap")) & (F.col("_v") > 0))
     most = sized.agg(F.max(F.floor(F.col("_cap") / F.col("_w")))).first()[0] or 0
     best_first = F.col("_v").desc()
@@ -50,7 +59,9 @@ def best_under_capacity(items: DataFrame, keys: list[str], weight: Column, value
         state_next = store(_merge(state.df, keys), "budget", slots=F.max("_slot"))
         state.drop()
         state, slots_left = state_next, slots_left // 2
-    return state.df.groupBy(*keys).agg(F.max("_val").alias(out))
+    best = state.df.groupBy("_g").agg(F.max("_val").alias("_best")).join(free, "_g", "left")
+    total = F.col("_best") + F.coalesce("_free", F.lit(0))
+    return groups.df.join(best, "_g").select(*own, total.cast(state.df.schema["_val"].dataType).alias(out))
 
 
 def _merge(state: DataFrame, keys: list[str]) -> DataFrame:

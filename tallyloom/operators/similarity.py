@@ -198,6 +198,9 @@ def shared_runs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 # --- edit distance -----------------------------------------------------------------------------------
 
+TINY_PARTS = 64
+
+
 def fuzzy_pairs(names: DataFrame, name: str, d: int) -> DataFrame:
     """Pairs of distinct strings within edit distance ``d``, as ``(name_a, name_b, distance)``.
 
@@ -238,9 +241,10 @@ def fuzzy_pairs(names: DataFrame, name: str, d: int) -> DataFrame:
     met = probe.join(index, ["long_len", "i", "piece"]).filter(
         (F.col("short_w") != F.col("long_w")) & (distance >= 0)
     )
+    # all pairs of these are in the result; each string meets the others in the part of its hash
     tiny = words.filter(F.col("len") <= d)
-    short = tiny.select(F.col("w").alias("short_w"), F.lit(0).alias("_k")).join(
-        tiny.select(F.col("w").alias("long_w"), F.lit(0).alias("_k")), "_k"
+    short = tiny.select(F.col("w").alias("short_w"), F.pmod(F.xxhash64("w"), F.lit(TINY_PARTS)).alias("_k")).join(
+        tiny.select(F.col("w").alias("long_w"), F.explode(F.sequence(F.lit(0), F.lit(TINY_PARTS - 1))).cast("bigint").alias("_k")), "_k"
     ).filter(F.col("short_w") < F.col("long_w"))
     return (
         met.select("short_w", "long_w").unionByName(short.select("short_w", "long_w"))

@@ -173,10 +173,11 @@ def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
                            ["ts", "event_id"], ["event_id", "event_type"])
 
 
-@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = load(spark, sf_dir, "events").select("event_id", prop_k().alias("k"))
-    return parsed.filter(F.col("k").isNotNull())
+    """Only records that are no JSON are left out; a valid one without the field keeps its row."""
+    readable = load(spark, sf_dir, "events").filter(F.try_parse_json("props").isNotNull())
+    return readable.select("event_id", prop_k().alias("k"))
 
 
 @query("safe_parse", """
@@ -190,14 +191,14 @@ def safe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("v").isNull().alias("malformed"))
 
 
-def _reciprocal(k: int) -> float:
-    return 100.0 / (k - 50)
+def _reciprocal(k: int | None) -> float | None:
+    return None if k is None else 100.0 / (k - 50)
 
 
 @query("captured_errors", """
 SELECT event_id, CASE WHEN k <> 50 THEN 100.0::DOUBLE / (k - 50) END AS value,
        CASE WHEN k = 50 THEN 'ZeroDivisionError: division by zero' END AS error
-FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
+FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props))""")
 def captured_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A per-row function that fails on some rows keeps its errors as data."""
     rows = json_props(spark, sf_dir)

@@ -54,21 +54,22 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PASS_SQL = RECONCILE_SQL + """, rates AS (
-  SELECT n_name, count(*) AS found, count(*) FILTER (status <> 'ERROR') AS tested,
+  SELECT coalesce(n_name, 'unknown') AS n_name, count(*) AS found, count(*) FILTER (status <> 'ERROR') AS tested,
          count(*) FILTER (status = 'ERROR') AS skipped, count(*) FILTER (status = 'PASS') AS passed,
          count(*) FILTER (status = 'PASS') = count(*) FILTER (status <> 'ERROR') AS all_passed
-  FROM cases JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name)
+  FROM cases LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
 """
 
 
 @query("pass_rate", PASS_SQL + "SELECT * FROM rates")
 def pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted per customer first, so that neither join moves single orders."""
+    """Counted per customer first, so that neither join moves single orders; cases of no order are "unknown"."""
     per_customer = wl.pass_rates(order_cases(spark, sf_dir), ["o_custkey"], F.col("status") == "PASS", F.col("status") != "ERROR")
     customers = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nations = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    per_nation = wl.roll_up(per_customer.join(customers, "o_custkey"), ["c_nationkey"])
-    return wl.roll_up(per_nation.join(nations, "c_nationkey"), ["n_name"])
+    per_nation = wl.roll_up(per_customer.join(customers, "o_custkey", "left"), ["c_nationkey"])
+    named = per_nation.join(nations, "c_nationkey", "left").withColumn("n_name", F.coalesce("n_name", F.lit("unknown")))
+    return wl.roll_up(named, ["n_name"])
 
 
 @query("pass_overview", PASS_SQL + """
@@ -83,7 +84,8 @@ def pass_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("status_by_phase", """
 SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS "n_F", count(*) FILTER (o_orderstatus = 'O') AS "n_O",
-       count(*) FILTER (o_orderstatus = 'P') AS "n_P", count(*) AS total FROM orders GROUP BY 1""")
+       count(*) FILTER (o_orderstatus = 'P') AS "n_P",
+       count(*) FILTER (coalesce(o_orderstatus NOT IN ('F', 'O', 'P'), true)) AS n_other, count(*) AS total FROM orders GROUP BY 1""")
 def status_by_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.status_counts(load(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
 
@@ -121,11 +123,11 @@ def short_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("short_key_clashes", """
 SELECT bits, count(*) AS codes, sum(n)::BIGINT AS keys, max(n) AS most FROM (
-  SELECT right(to_base(o_custkey, 2), 8) AS code, length(right(to_base(o_custkey, 2), 8)) AS bits, count(DISTINCT o_custkey) AS n
-  FROM orders WHERE o_custkey > 0 GROUP BY 1, 2) GROUP BY bits""")
+  SELECT CASE WHEN o_custkey = 0 THEN '' ELSE right(to_base(o_custkey, 2), 8) END AS code, length(code) AS bits, count(DISTINCT o_custkey) AS n
+  FROM orders GROUP BY 1, 2) GROUP BY bits""")
 def short_key_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many customers would share a code if only the last eight binary digits were kept."""
-    keys = load(spark, sf_dir, "orders").filter("o_custkey > 0").select("o_custkey").distinct()
+    keys = load(spark, sf_dir, "orders").select("o_custkey").distinct()
     codes = keys.groupBy(F.right(ag.radix(F.col("o_custkey"), 2), F.lit(8)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
     return codes.groupBy(F.length("code").cast("bigint").alias("bits")).agg(
         F.count(F.lit(1)).alias("codes"), F.sum("n").alias("keys"), F.max("n").alias("most"))
@@ -134,16 +136,16 @@ def short_key_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- line items --------------------------------------------------------------------------------------
 
 @query("quantity_histogram", """
-SELECT b.bucket, count(l_quantity) AS n FROM (SELECT unnest(range(64)) AS bucket) b
+SELECT b.bucket, count(l_quantity) AS n FROM (SELECT unnest(range(max(CAST(l_quantity AS BIGINT)) + 1)) AS bucket FROM lineitem) b
 LEFT JOIN lineitem ON CAST(l_quantity AS BIGINT) = b.bucket GROUP BY b.bucket""")
 def quantity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ag.histogram(load(spark, sf_dir, "lineitem"), "l_quantity", 64)
+    return ag.histogram(load(spark, sf_dir, "lineitem"), "l_quantity")
 
 
 @query("counting_sort", """
 SELECT row_number() OVER (ORDER BY l_quantity) - 1 AS pos, CAST(l_quantity AS BIGINT) AS value FROM lineitem""")
 def counting_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ag.counting_sort(load(spark, sf_dir, "lineitem"), "l_quantity", 64)
+    return ag.counting_sort(load(spark, sf_dir, "lineitem"), "l_quantity")
 
 
 @query("quantity_granularity", """

@@ -176,18 +176,23 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("length"))
 
 
-TOKENS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
+def in_braces(pattern: str) -> str:
+    """A pattern inside a text that ``format`` will fill."""
+    return pattern.replace("{", "{{").replace("}", "}}")
+
+
+TOKENS = "regexp_extract_all({0}, '" + in_braces(tx.TOKEN) + "')"
 
 
 @query("token_counts", f"""
 SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs
 FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY token""")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts are spread by document, so the counts per document need no shuffle of single words."""
-    documents = load(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    words = documents.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
-    per_doc = words.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    """In a document's sorted tokens each token knows if it is its first, so one map-side combined count is all."""
+    sorted_ = spread(load(spark, sf_dir, "documents").select("text")).select(F.sort_array(tx.tokens(F.col("text"))).alias("w"))
+    first = F.transform("w", lambda t, i: F.struct(t.alias("token"), (~F.get("w", i - 1).eqNullSafe(t)).alias("first")))
+    words = sorted_.select(F.inline(first))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("docs"))
 
 
 @query("chunk_documents", """
@@ -264,7 +269,7 @@ def flatten_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the previous one that opens with the same line."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
-    first_line = F.xxhash64(F.substring_index("text", "\n", 1))
+    first_line = F.sha2(F.substring_index("text", "\n", 1), 256)
     return si.versions(documents, first_line, "doc_id", "text")
 
 
@@ -291,7 +296,7 @@ def sql_scores(source: str, kinds: dict[str, str]) -> str:
 
 CHARS = "CASE WHEN {0} = '' THEN [] ELSE string_split({0}, '') END"
 LINES = "list_filter(string_split({0}, chr(10)), lambda x: x <> '')"
-MARKS = r"regexp_extract_all({0}, '[^\p{{L}}\p{{N}}_\s]')"
+MARKS = "regexp_extract_all({0}, '" + in_braces(tx.MARK) + "')"
 KINDS_SQL = {"character": CHARS, "line": LINES, "token": TOKENS, "structure": MARKS}
 
 SCORES_SQL = VERSIONS_SQL + f""", clean AS (

@@ -73,6 +73,7 @@ def test_unconnected_and_single_vertices(spark):
 
 
 def test_topological_levels(spark):
+    # fixed values: a golden graph, with a cycle and a repeated edge added
     edges = [(5, 11), (7, 11), (7, 8), (3, 8), (3, 10), (11, 2), (11, 9), (11, 10), (8, 9), (20, 21), (21, 20), (21, 22), (5, 11)]
     df = spark.createDataFrame(edges, "u bigint, v bigint")
     extra = spark.createDataFrame([(99,), (5,)], "id bigint")
@@ -95,7 +96,7 @@ def kruskal(edges):
     return kept
 
 
-@pytest.mark.parametrize("edges", [
+@pytest.mark.parametrize("edges", [  # the first three are fixed values
     {(1, 2): 10, (2, 3): 15, (3, 4): 10, (1, 4): 10},
     {(1, 2): 6, (1, 3): 1, (2, 4): 2},
     {(1, 2): 3, (4, 5): 1, (5, 5): 0, (2, 1): 2},
@@ -122,6 +123,9 @@ def test_chains(spark):
     assert ranks == {i: (30, 30 - i) for i in range(1, 31)} | {70: (70, 0)}
     with pytest.raises(ValueError):
         gr.chain_ranks(df)
+    loose = spark.createDataFrame([(1, 2), (2, 99), (3, None)], "id bigint, succ bigint")
+    assert {r.id: (r.tail, r.rank) for r in gr.chain_ranks(loose).collect()} == {1: (2, 1), 2: (2, 0), 3: (3, 0)}
+    assert {r.id: r.cyclic for r in gr.cyclic(loose).collect()} == {1: False, 2: False, 3: False}
     nothing = df.limit(0)
     assert gr.cyclic(nothing).count() == gr.reverse_chain(nothing).count() == 0
 

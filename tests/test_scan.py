@@ -191,3 +191,53 @@ def test_longest_increasing_of_several_oversized_keys(spark):
     table = spark.createDataFrame(data, "k bigint, t bigint, id bigint, x bigint").repartition(3)
     got = {r.k: r.length for r in od.longest_increasing(table, ["k"], ["t", "id"], "x", max_rows=6).collect()}
     assert got == {k: lis([r[3] for r in part]) for k, part in groups(data).items()}
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """NULL keys (the largest group), NULL values and ties."""
+    rng = random.Random(11)
+    rows = [(rng.choice([None, None, None, 1, 2]), rng.randrange(60), i, rng.choice([None, -3, 0, 1, 1, 2, 5, 9])) for i in range(300)]
+    return rows, spark.createDataFrame(rows, "k bigint, t bigint, id bigint, x bigint").repartition(4)
+
+
+def by_key(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        out.setdefault(r[0], []).append(r[3])
+    return out
+
+
+@pytest.mark.parametrize("limit", [5, 90, 10_000])
+def test_null_keys_and_values(holes, limit):
+    rows, table = holes
+    values = {k: [v for v in vs if v is not None] for k, vs in by_key(rows).items()}
+    lengths = od.longest_increasing(table, ["k"], ["t", "id"], "x", max_rows=limit).collect()
+    assert {r.k: r.length for r in lengths} == {k: lis(vs) for k, vs in values.items()} and len(lengths) == 3
+    kth = od.kth_smallest(table, ["k"], "x", 20, max_rows=limit).collect()
+    assert {r.k: r.kth for r in kth} == {k: sorted(vs)[20] for k, vs in values.items()} and len(kth) == 3
+
+
+def test_all_limits_give_the_same_rows_with_null_keys(holes):
+    _, table = holes
+    ways = {
+        "level": lambda n: od.clamped_level(table, ["k"], ["t", "id"], F.coalesce("x", F.lit(0)), max_rows=n),
+        "segment": lambda n: od.best_segment(table, ["k"], ["t", "id"], F.col("x"), max_rows=n),
+        "balance": lambda n: od.balance(table, ["k"], ["t", "id"], F.col("x"), max_rows=n),
+        "trailing": lambda n: od.trailing_count(table, ["k"], "t", "id", 4, max_rows=n),
+        "numbered": lambda n: od.numbered(table, ["k"], ["x", "id"], max_rows=n),
+        "next": lambda n: od.with_next(table, ["k"], ["t", "id"], max_rows=n, succ="x"),
+        "batch": lambda n: od.batch_number(table, ["k"], ["t", "id"], 7, max_rows=n),
+        "moved": lambda n: od.displacement(table, ["k"], ["id"], ["x", "id"], 3, max_rows=n),
+        "range": lambda n: od.equal_range(table, ["k"], "x", max_rows=n),
+    }
+    for name, way in ways.items():
+        results = [sorted(map(str, way(n).collect())) for n in (5, 10_000)]
+        assert results[0] == results[1], name
+
+
+@pytest.mark.parametrize("limit", [2, 10_000])
+def test_kth_is_exact_for_large_numbers(spark, limit):
+    table = spark.createDataFrame([(2**53 + 3,), (2**53 + 1,), (2**53 + 2,), (2**53 + 1,)], "x bigint")
+    for k, want in enumerate([1, 1, 2, 3]):
+        assert [r.kth for r in od.kth_smallest(table, [], "x", k, max_rows=limit).collect()] == [2**53 + want]

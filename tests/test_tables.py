@@ -82,6 +82,26 @@ def test_granularity(spark):
     assert {(r.k, r.s): r.gcd for r in ag.granularity(df, ["k", "s"], F.col("x")).collect()} == want
 
 
+def test_granularity_of_null_keys_and_values(spark):
+    rows = [(None, 4), (None, 6), (None, None), (2**60 + 1, 10), (2**60, 15), (2**60, 25), (5, None)]
+    df = spark.createDataFrame(rows, "k bigint, x bigint").repartition(4)
+    got = [(r.k, r.gcd) for r in ag.granularity(df, ["k"], F.col("x")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2), (2**60 + 1, 10), (2**60, 5)], key=str)
+
+
+@pytest.mark.parametrize("odd", [None, -3.0, 1.9, 64.0])
+def test_a_value_without_a_bucket_raises(spark, odd):
+    df = spark.createDataFrame([(1.0,), (odd,)], "v double")
+    with pytest.raises(ValueError):
+        ag.counting_sort(df, "v", 64)
+
+
+def test_buckets_reach_the_largest_value(spark):
+    df = spark.createDataFrame([(1.0,), (64.0,), (1.0,)], "v double")
+    assert sorted((r.pos, r.value) for r in ag.counting_sort(df, "v").collect()) == [(0, 1), (1, 1), (2, 64)]
+    assert ag.histogram(df, "v").count() == 65 and ag.histogram(df.limit(0), "v").count() == 0
+
+
 def test_cube_covers_every_subset(spark):
     rows = [("x", 1, "p", 2), ("x", 2, "q", 3), ("y", 1, "p", 4), ("x", 1, "p", 5)]
     df = spark.createDataFrame(rows, "a string, b int, c string, m int")
@@ -120,6 +140,7 @@ def test_frequent_combinations(spark):
 
 
 def test_radix_bitmap_and_cover(spark):
+    # fixed values: numbers, bases and their digits
     df = spark.createDataFrame([(8227, 18), (73, 8), (16, 19), (31, 16), (41, 2), (0, 7), (8237, 34)], "n bigint, b int")
     codes = {}
     for base in {18, 8, 19, 16, 2, 7, 34}:
@@ -156,6 +177,14 @@ def knapsack(capacity, items):
     return max(best.values())
 
 
+def test_selection_edge_cases(spark):
+    rows = [("zero", 5, 0, 7), ("zero", 5, 3, 5), (None, 5, 3, 3), (None, 5, 2, 4), (None, 5, 9, 9), ("neg", 5, -1, 9), ("neg", 5, None, 9),
+            ("neg", 5, 1, None), ("worthless", 5, 0, 0), ("only", 5, 0, 2), ("tight", 0, 0, 4), ("tight", 0, 1, 4)]
+    df = spark.createDataFrame(rows, "name string, cap bigint, w bigint, v bigint").repartition(3)
+    got = {r.name: r.best_value for r in se.best_under_capacity(df, ["name"], F.col("w"), F.col("v"), F.col("cap")).collect()}
+    assert got == {"zero": 12, None: 7, "neg": 0, "worthless": 0, "only": 2, "tight": 4}
+
+
 def test_best_under_capacity(spark):
     rng = random.Random(4)
     cases = {  # the first few are fixed values

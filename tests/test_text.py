@@ -18,51 +18,52 @@ def column(spark, texts, build):
     return [r.o for r in df.select("i", build(F.col("t")).alias("o")).orderBy("i").collect()]
 
 
-def quoted_cut(line):
-    """Cut at the first '#' outside quotes; a quote right after a backslash is none."""
-    inside = None
-    for i, c in enumerate(line):
-        if c in "\"'" and (i == 0 or line[i - 1] != "\\"):
-            inside = c if inside is None else (None if c == inside else inside)
-        elif c == "#" and inside is None:
-            return line[:i]
-    return line
+#: lines and what is left of them without the comment
+COMMENTS = [
+    ("a = 1  # one", "a = 1"), ("b = '#no' # yes", "b = '#no'"), ('x = "it\'s # in" # out', 'x = "it\'s # in"'), ("'open # stays", "'open # stays"),
+    ("a \\' # cut", "a \\'"), ("q = 'a\\'#b' # c", "q = 'a\\'#b'"), ("\u00a0wide # gone", "wide"), ("###", ""), ("", ""), ("  ", ""),
+    ("no comment", "no comment"), ('"a" "b" # c', '"a" "b"'), ("''#x", "''"), ('"\'" # y', '"\'"'), ("\\# z", "\\"), ("\\\\' # still one", "\\\\'"),
+    ("'a' '#' \"#\" # d # e", "'a' '#' \"#\""), ("x#", "x"), ("tab\t#\t", "tab"),
+]
 
 
 def test_normalise(spark):
-    rng = random.Random(5)
-    texts = ["a = 1  # one\n\n  b = '#no' # yes\n", "", "\n \n", "x = \"it's # in\" # out", "'open # stays",
-             "a \\' # cut", "q = 'a\\'#b' # c", " wide # gone", "###", "long " * 30_000 + "# tail"]
-    texts += ["".join(rng.choice("ab#\"'\\ \n") for _ in range(rng.randrange(40))) for _ in range(400)]
-    want = ["\n".join(x for x in (quoted_cut(line).strip() for line in t.split("\n")) if x) for t in texts]
-    assert column(spark, texts, tx.normalise) == want
+    lines = [line for line, _ in COMMENTS]
+    assert column(spark, lines, tx.normalise) == [left for _, left in COMMENTS]
+    together = ["\n".join(lines), "\n".join(reversed(lines)), "long " * 30_000 + "# tail", "\n \n"]
+    left = [left for _, left in COMMENTS if left]
+    assert column(spark, together, tx.normalise) == ["\n".join(left), "\n".join(reversed(left)), ("long " * 30_000).strip(), ""]
 
 
 def test_tokens_and_units(spark):
-    texts = ["x_1 = f(a, 'b')  # ok", "Été ça_va: 3½ !", "", " \t", "a\nb\n\n c "]
+    texts = ["x_1 = f(a, 'b')  # ok", "Été ça_va: 3½ !", "", " \t", "a\nb\n\n c ", "prix\u00a012\u202f€", "全\u3000角", "a\u2003b\x1cc\x85d"]
     assert column(spark, texts, tx.tokens) == [re.findall(r"\w+|[^\w\s]", t) for t in texts]
     assert column(spark, texts, tx.characters) == [list(t) for t in texts]
     assert column(spark, texts, tx.line_units) == [[x.strip() for x in t.split("\n") if x.strip()] for t in texts]
 
 
-def cut(text, cols):
-    pieces = []
-    while len(text) > cols:
-        end = text.rfind(" ", 0, cols + 1)
-        end = cols if end <= 0 else end
-        pieces.append(text[:end])
-        text = text[end:]
-    return [*pieces, text]
+@pytest.mark.parametrize(("text", "pieces"), [
+    ("", [""]), ("short", ["short"]), ("one two three", ["one two", " three"]), ("abcdefghij", ["abcdefg", "hij"]),
+    (" yyyyyyyyy z", [" yyyyyy", "yyy z"]), ("a b c d e f", ["a b c d", " e f"]), ("1234567 8", ["1234567", " 8"]),
+])
+def test_wrap_by_hand(spark, text, pieces):
+    assert column(spark, [text], lambda t: tx.wrap(t, 7)) == [pieces]
 
 
 @pytest.mark.parametrize("cols", [1, 7, 50])
-def test_wrap(spark, cols):
+def test_wrap_properties(spark, cols):
+    """Pieces add up to the text, none is too long, and each ends at the last space that fits, if there is one."""
     rng = random.Random(6)
     texts = ["".join(rng.choice("ab  \né") for _ in range(rng.randrange(120))) for _ in range(200)]
     texts += ["", "short", "x" * 130, " " + "y" * 60 + " z", "one two\nthree " * 20]
-    got = column(spark, texts, lambda t: tx.wrap(t, cols))
-    assert got == [cut(t, cols) for t in texts]
-    assert ["".join(p) for p in got] == texts and max(len(x) for p in got for x in p) <= cols
+    for text, got in zip(texts, column(spark, texts, lambda t: tx.wrap(t, cols)), strict=True):
+        assert "".join(got) == text and all(len(p) <= cols for p in got)
+        for i, piece in enumerate(got[:-1]):
+            reach = "".join(got[i:])[1 : cols + 1]
+            if " " in reach:
+                assert got[i + 1][0] == " " and " " not in reach[len(piece) :]
+            else:
+                assert len(piece) == cols
 
 
 def test_code_block(spark):
