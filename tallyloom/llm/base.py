@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a folder of this process where that is unset.
+    """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    The setting is read from the session and never changed. Only a local master may leave it unset.
+    The setting is read from the session and never changed. Only a session inside one process may leave it
+    unset; its tables then go to a folder of its own that is deleted when the process ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../tallyloom-scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark.conf.get("spark.master", ""))
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _local_root(master: str) -> str:
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    root = tempfile.mkdtemp(prefix="tallyloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -208,15 +208,16 @@ class Segments:
     tokens, flat with offsets.
     """
 
-    def __init__(self, fill, cut=None):
+    def __init__(self, fill, cut=None, given: tuple | None = None):
         self.fill, self.cut = fill, cut or self._cut
+        self.given = given or ([], np.zeros(0, np.int32), np.zeros(1, np.int64))  # segments, tokens, offsets
         self.odd = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
         self.alone = regex.compile(r"(?V1)(?<=\P{White_Space})(?= \P{White_Space})")
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.tokens, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        found, self.tokens, self.offsets = self.given
+        self.known: dict[str, int] = dict(zip(found, range(len(found)), strict=True))
 
     def _cut(self, text: str) -> list[str]:
         if not text:
@@ -228,18 +229,20 @@ class Segments:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, with text offsets."""
         cut = [self.cut(t) for t in texts]
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS + len(self.given[0]):
             self.forget()
-        new = list(set().union(*cut) - self.known.keys())
-        if new:
+        flat = list(chain.from_iterable(cut))
+        code = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(code < 0).tolist()
+        if missing:
+            new = list({flat[i] for i in missing})
             tokens, offsets = self.fill(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.offsets = np.concatenate([self.offsets, len(self.tokens) + offsets[1:]])
             self.tokens = np.concatenate([self.tokens, tokens])
-        sizes = np.array([len(x) for x in cut], np.int64)
-        code = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+            code[missing] = [self.known[flat[i]] for i in missing]
         ids, ends = gathered(self.tokens, self.offsets, code)
-        return ids, ends[np.concatenate([[0], np.cumsum(sizes)])]
+        return ids, ends[np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int64)]
 
 
 def gathered(tokens: np.ndarray, offsets: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

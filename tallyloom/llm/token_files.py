@@ -19,10 +19,12 @@ bytes and a lost executor leaves nothing half written under a final name.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -45,6 +47,8 @@ SMALL_LANES = 32
 FILE_TOKENS = 1 << 22
 MAGIC = b"LANS0001"
 HEAD = "<8sIIQQQQI"  # magic, bits, spare, first, documents, ids, blocks, table checksum
+FREQUENT_WORDS = 400_000
+"""Words that are encoded once and sent to all tasks; the others are encoded where they occur."""
 BLOCK_ROW = np.dtype([("ids", "<u4"), ("lanes", "<u4"), ("words", "<u8"), ("offset", "<u8"), ("crc", "<u4")])
 
 
@@ -187,8 +191,8 @@ def unpack(data: bytes, table: Table) -> tuple[int, list[int | None], np.ndarray
 
 
 @lru_cache(maxsize=1)
-def _segments(spec: str) -> Segments:
-    """The tokenizer with the words that this worker has met, kept from task to task."""
+def _library(spec: str):
+    """Encodes a list of words: tokens flat, and offsets."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -200,38 +204,90 @@ def _segments(spec: str) -> Segments:
         sizes = np.array([len(i) for i in ids], np.int64)
         return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
 
-    # white space ends words and is dropped by this tokenizer, so words may be encoded one by one
-    return Segments(fill, lambda text: [x for x in text.replace("\n", " ").split(" ") if x])
+    return fill
 
 
-def _tokenise(spec, end_id: int):
+def cut_words(text: str) -> list[str]:
+    """White space ends words and is dropped by the tokenizer, so words may be encoded one by one; "" has no ids."""
+    return text.replace("\n", " ").split(" ")
+
+
+_HELD: dict[str, Segments] = {}
+
+
+def _segments(name: str, spec: str, given: tuple) -> Segments:
+    """The words that this worker has met in the run ``name``, kept from task to task."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Segments(_library(spec), cut_words, given)
+    return _HELD[name]
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words that a batch of rows holds more than once, with their number."""
+    for batch in batches:
+        counts = Counter()
+        for text in batch.column("text").to_pylist():
+            counts.update(cut_words(text or ""))
+        found = [(w, n) for w, n in counts.items() if n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["word", "n"])
+
+
+def _word_ids(spec):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                tokens, offsets = _library(spec.value)(batch.column("word").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("word"), base.lists(tokens, offsets)], ["word", "ids"])
+    return run
+
+
+def frequent_words(docs: DataFrame, spec) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The ``FREQUENT_WORDS`` most frequent words with their ids, each encoded once for all tasks (some 15 MB)."""
+    counts = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word")
+    got = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(_word_ids(spec), "word string, ids array<int>").toArrow()
+    ids = got.column("ids").combine_chunks()
+    return (got.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False),
+            np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64))
+
+
+def id_type(spec: str) -> str:
+    """Two bytes an id if the tokenizer's ids fit, else four."""
+    file = json.loads(spec)
+    return "<u2" if max([*file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"])]) < 65_536 else "<u4"
+
+
+def _tokenise(name: str, spec, given, end_id: int, kind: str):
     """Rows of one range of keys, in order, to ids with the running position inside the range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = _segments(spec.value)
+        segments = _segments(name, spec.value, given.value)
         part, done = TaskContext.get().partitionId(), 0
         for rows in base.slices(batches, "text"):
             ids, offsets = segments.encode([x or "" for x in rows.column("text").to_pylist()])
             lengths = np.diff(offsets) + 1
-            ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
+            ids = np.insert(ids, offsets[1:], end_id).astype(kind)
             borders = np.concatenate([[0], np.cumsum(lengths)])
-            raw = ids.tobytes()
+            raw, size = ids.tobytes(), ids.itemsize
             yield pa.RecordBatch.from_arrays(
                 [rows.column("id"), pa.array(np.full(len(lengths), part, np.int32)), pa.array(done + borders[:-1]),
-                 pa.array(lengths), pa.array([raw[4 * a : 4 * b] for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary())],
+                 pa.array(lengths), pa.array([raw[size * a : size * b] for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary())],
                 ["id", "part", "at", "n", "ids"])
             done += int(borders[-1])
     return run
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        data = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")
-        got = np.bincount(data, minlength=len(total))
-        got[: len(total)] += total
-        total = got
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["token", "n"])
+def _counts(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            data = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)
+            got = np.bincount(data, minlength=len(total))
+            got[: len(total)] += total
+            total = got
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["token", "n"])
+    return run
 
 
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -240,11 +296,11 @@ def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
-def _write_file(path: str, shared):
+def _write_file(path: str, shared, kind: str):
     """One file from the rows of a run of ids; a row of the manifest."""
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("start", "ascending")])
-        ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), "<u4")
+        ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), kind)
         number, first = rows.column("file")[0].as_py(), rows.column("start")[0].as_py()
         data = pack(rows.column("id").to_pylist(), rows.column("n").to_numpy(), ids, first, Table(*shared.value))
         fs, folder = _open(f"{path}/ids")
@@ -268,14 +324,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
-    kind = T.StructField("id", T.LongType())
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    width, given = id_type(spec.value), spark.sparkContext.broadcast(frequent_words(slim, spec))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = base.written(
         slim.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(
-            _tokenise(spec, end_id), T.StructType([kind, T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()),
+            _tokenise(uuid.uuid4().hex, spec, given, end_id, width), T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()),
                                                    T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])))
-    counts = rows.select("ids").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = rows.select("ids").mapInArrow(_counts(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = counts.orderBy("token").collect()  # at most the vocabulary
     tokens = np.array([r.token for r in found], np.int64)
     scaled = Table.scale(np.array([r.n for r in found], np.int64)) if found else tokens
@@ -290,7 +346,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     placed = rows.join(F.broadcast(base.written(sums)), "part").withColumn("start", F.col("before") + F.col("at"))
     placed = placed.withColumn("file", F.floor(F.col("start") / FILE_TOKENS).cast("long"))
     return base.written(placed.select("file", "start", "id", "n", "ids").groupBy("file").applyInArrow(
-        _write_file(path, shared), "file long, first long, documents long, ids long, bytes long"))
+        _write_file(path, shared, width), "file long, first long, documents long, ids long, bytes long"))
 
 
 def _read(shared):
