@@ -90,8 +90,8 @@ def shortest_from(edges: DataFrame, source: Column | int, max_rounds: int | None
     return everyone.join(found, "v", "left")
 
 
-def shortest_pair(edges: DataFrame, source: int, goal: int) -> DataFrame:
-    """One row ``(source, goal, dist)`` for positive lengths; NULL if unreachable.
+def shortest_pair(edges: DataFrame, source, goal) -> DataFrame:
+    """One row ``(source, goal, dist)`` for positive lengths; NULL if unreachable. Ids may be of any type.
 
     Vertices at or beyond the best length known for the goal are not expanded.
     """
@@ -99,8 +99,9 @@ def shortest_pair(edges: DataFrame, source: int, goal: int) -> DataFrame:
     kind = slim.schema["w"].dataType
     spark = edges.sparkSession
     same = F.col("source") == F.col("goal")
-    ends = spark.range(1).select(F.lit(source).cast("bigint").alias("source"), F.lit(goal).cast("bigint").alias("goal"))
-    state = store(ends.select(F.col("source").cast("bigint").alias("v"), F.lit(0).cast(kind).alias("dist"),
+    node = slim.schema["v"].dataType
+    ends = spark.range(1).select(F.lit(source).cast(node).alias("source"), F.lit(goal).cast(node).alias("goal"))
+    state = store(ends.select(F.col("source").alias("v"), F.lit(0).cast(kind).alias("dist"),
                               F.lit(0).alias("_r"), F.lit(0).alias("_now")),
                   "pair", open=F.count(F.lit(1)), best=F.min(F.when(F.col("v") == goal, F.col("dist"))))
     now = 0
@@ -111,7 +112,7 @@ def shortest_pair(edges: DataFrame, source: int, goal: int) -> DataFrame:
             front = front.filter(F.col("dist") < F.lit(state.seen["best"]))
         front = small(int(state.seen["open"]), front.select(F.col("v").alias("u"), "dist"))
         moved = (
-            slim.join(front, "u").select(F.col("v").cast("bigint").alias("v"), (F.col("dist") + F.col("w")).alias("dist"))
+            slim.join(front, "u").select("v", (F.col("dist") + F.col("w")).alias("dist"))
             .groupBy("v").agg(F.min("dist").alias("dist")).withColumn("_r", F.lit(now))
         )
         merged = (

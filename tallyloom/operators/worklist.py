@@ -54,6 +54,42 @@ def reconcile(expected: DataFrame, actual: DataFrame, on: str, tolerance: float,
     )
 
 
+def against_both(cases: DataFrame, actual: str, expected: str, truth: str, tolerance: float) -> DataFrame:
+    """Flags of a three-way check: does the actual value match the expected one, the true one, both?
+
+    A missing actual value matches nothing; a missing expected or true value is matched by none.
+    """
+    def near(other: str) -> Column:
+        return F.coalesce(F.abs(F.col(actual) - F.col(other)) <= tolerance, F.lit(False))
+
+    return cases.withColumns({"matches_expected": near(expected), "matches_truth": near(truth),
+                              "matches_both": near(expected) & near(truth)})
+
+
+def unsettled(cases: DataFrame, key: str) -> DataFrame:
+    """The failed and skipped cases themselves, with the reason: one row for each case that did not pass."""
+    return cases.filter(F.col("status") != "PASS").select(key, "status")
+
+
+def phase_chain(inputs: DataFrame, phases: list[tuple[str, DataFrame]], on: list[str]) -> DataFrame:
+    """Per phase of a chain: completed, ready (every phase before is completed) and blocked inputs.
+
+    The phases' records are joined to the inputs one after the other and counted in one pass; records of
+    unknown inputs count nowhere.
+    """
+    state = inputs.select(*on).distinct()
+    for name, done in phases:
+        state = with_context(state, done.select(*on).distinct(), on, f"_{name}")
+    before, counts = F.lit(True), []
+    for name, _ in phases:
+        own = F.col(f"_{name}")
+        counts.append(F.struct(
+            F.lit(name).alias("phase"), F.count_if(own).alias("completed"),
+            F.count_if(~own & before).alias("ready"), F.count_if(~own & ~before).alias("blocked")))
+        before = before & own
+    return state.agg(F.array(*counts).alias("_all")).select(F.inline("_all"))
+
+
 def pass_rates(cases: DataFrame, keys: list[str], passed: Column, tested: Column) -> DataFrame:
     """Found, tested, skipped and passed cases per key; a key succeeds if all tested cases pass."""
     found, n_tested, n_passed = F.count(F.lit(1)), F.count_if(tested), F.count_if(tested & passed)

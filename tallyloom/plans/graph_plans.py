@@ -129,6 +129,18 @@ def shortest_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("dist", F.col("dist").cast("double"))
 
 
+@query("shortest_trade_pair", f"""
+WITH RECURSIVE {TRADE_SQL}, {DIST_SQL.format(source="(SELECT min(o_custkey) FROM orders)")}
+SELECT (SELECT min(o_custkey) FROM orders)::VARCHAR AS source, (SELECT max(o_custkey) FROM orders)::VARCHAR AS goal,
+       (SELECT d FROM dist WHERE v = (SELECT max(o_custkey) FROM orders))::DOUBLE AS dist""")
+def shortest_trade_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first customer to the last one, over ids that are strings."""
+    ends = load(spark, sf_dir, "orders").agg(F.min("o_custkey"), F.max("o_custkey")).first()
+    named = trade_edges(spark, sf_dir).select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), "w")
+    found = gr.shortest_pair(named, str(ends[0]), str(ends[1]))
+    return found.withColumn("dist", F.col("dist").cast("double"))
+
+
 @query("reachable_trade", f"""
 WITH RECURSIVE {TRADE_SQL}, hop(v, hops) USING KEY (v) AS (
   SELECT (SELECT min(o_custkey) FROM orders)::BIGINT, 0::BIGINT

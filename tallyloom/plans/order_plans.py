@@ -53,6 +53,30 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_cases(spark, sf_dir).select("o_orderkey", "expected", "actual", "status")
 
 
+@query("unsettled_cases", RECONCILE_SQL + "SELECT o_orderkey, status FROM cases WHERE status <> 'PASS'")
+def unsettled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wl.unsettled(order_cases(spark, sf_dir), "o_orderkey")
+
+
+@query("reconcile_three_ways", f"""
+WITH billed AS (
+  SELECT l_orderkey AS o_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS actual,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS truth
+  FROM lineitem GROUP BY 1)
+SELECT o.o_orderkey, coalesce(abs(actual - o_totalprice) <= {TOLERANCE / 10}, false) AS matches_expected,
+       coalesce(abs(actual - truth) <= {TOLERANCE / 10}, false) AS matches_truth,
+       coalesce(abs(actual - o_totalprice) <= {TOLERANCE / 10} AND abs(actual - truth) <= {TOLERANCE / 10}, false) AS matches_both
+FROM orders o LEFT JOIN billed b ON b.o_orderkey = o.o_orderkey""")
+def reconcile_three_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was billed against the order's total (expected) and against the discounted price (truth)."""
+    price, left = F.col("l_extendedprice").cast("decimal(18,2)"), F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
+    billed = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum(price).cast("double").alias("actual"), F.sum(price * left).cast("double").alias("truth"))
+    cases = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("expected")).join(billed, "o_orderkey", "left")
+    return wl.against_both(cases, "actual", "expected", "truth", TOLERANCE / 10).select(
+        "o_orderkey", "matches_expected", "matches_truth", "matches_both")
+
+
 PASS_SQL = RECONCILE_SQL + """, rates AS (
   SELECT coalesce(n_name, 'unknown') AS n_name, count(*) AS found, count(*) FILTER (status <> 'ERROR') AS tested,
          count(*) FILTER (status = 'ERROR') AS skipped, count(*) FILTER (status = 'PASS') AS passed,
@@ -123,8 +147,9 @@ def short_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("short_key_clashes", """
 SELECT bits, count(*) AS codes, sum(n)::BIGINT AS keys, max(n) AS most FROM (
-  SELECT CASE WHEN o_custkey = 0 THEN '' ELSE right(to_base(o_custkey, 2), 8) END AS code, length(code) AS bits, count(DISTINCT o_custkey) AS n
-  FROM orders GROUP BY 1, 2) GROUP BY bits""")
+  SELECT code, length(code) AS bits, count(DISTINCT o_custkey) AS n
+  FROM (SELECT o_custkey, CASE WHEN o_custkey = 0 THEN '' ELSE right(to_base(o_custkey, 2), 8) END AS code FROM orders)
+  GROUP BY 1, 2) GROUP BY bits""")
 def short_key_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many customers would share a code if only the last eight binary digits were kept."""
     keys = load(spark, sf_dir, "orders").select("o_custkey").distinct()

@@ -81,6 +81,19 @@ def phase_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wl.phase_status({"label": (documents, labels), "accept": (good, good.filter(F.col("toxic") == 0))}, ["doc_id"])
 
 
+@query("phase_chain", """
+WITH s AS (SELECT d.doc_id, count(l.doc_id) > 0 AS a, coalesce(bool_or(l.quality = 1), false) AS b,
+                  coalesce(bool_or(l.toxic = 0), false) AS c FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1)
+SELECT 'label' AS phase, count(*) FILTER (a) AS completed, count(*) FILTER (NOT a) AS ready, 0::BIGINT AS blocked FROM s
+UNION ALL SELECT 'pass', count(*) FILTER (b), count(*) FILTER (NOT b AND a), count(*) FILTER (NOT b AND NOT a) FROM s
+UNION ALL SELECT 'accept', count(*) FILTER (c), count(*) FILTER (NOT c AND a AND b), count(*) FILTER (NOT c AND NOT (a AND b)) FROM s""")
+def phase_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through labelling, a good quality and acceptance: what is done, ready and waiting at each step."""
+    documents, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    phases = [("label", labels), ("pass", labels.filter("quality = 1")), ("accept", labels.filter("toxic = 0"))]
+    return wl.phase_chain(documents, phases, ["doc_id"])
+
+
 # --- text functions ------------------------------------------------------------------------------------
 
 @query("request_text", r"""
