@@ -168,9 +168,10 @@ def frequent_combinations(df: DataFrame, basket: str, item: str, k: int, min_sup
     """k-item combinations held together by at least ``min_support`` baskets.
 
     Rare items are dropped first (no combination with them can qualify), equal item sets are counted
-    once, and only the distinct item sets are expanded, one item per step. An item set never holds
-    more than the frequent items, of which there are at most (distinct basket-item pairs) /
-    min_support. If there are wide sets, their first items are dealt out before the next step.
+    once, and only the distinct item sets are expanded, one item per step. Between the steps only
+    combinations that are frequent themselves go on, as no larger one can be more frequent. An item
+    set never holds more than the frequent items, of which there are at most (distinct basket-item
+    pairs) / min_support. If there are wide sets, their first items are dealt out before the next step.
     """
     held = store(df.select(basket, item).distinct(), "held").df
     common = store(
@@ -190,6 +191,11 @@ def frequent_combinations(df: DataFrame, basket: str, item: str, k: int, min_sup
             F.slice("_rest", F.col("_at") + 2, F.size("_rest")).alias("_rest"))
         if missing == k - 1 and (sets.seen["widest"] or 0) > WIDE_SET:
             rows = rows.repartition(F.xxhash64("items", "_rest"))
+        if 0 < missing < k - 1:
+            level = store(rows.filter(F.size("_rest") >= missing), "level").df
+            going = store(level.groupBy("items").agg(F.sum("_n").alias("_s"))
+                          .filter(F.col("_s") >= min_support).select("items"), "going")
+            rows = level.join(small(going.rows, going.df), "items", "left_semi")
     return (
         rows.groupBy("items").agg(F.sum("_n").cast("bigint").alias("support"))
         .filter(F.col("support") >= min_support)

@@ -133,7 +133,7 @@ def test_frequent_combinations(spark):
     for b, i in rows:
         baskets.setdefault(b, set()).add(i)
     df = spark.createDataFrame(rows, "b bigint, i string")
-    for k, support in [(2, 5), (3, 2)]:
+    for k, support in [(2, 5), (3, 2), (4, 2)]:
         count = Counter(c for items in baskets.values() for c in itertools.combinations(sorted(items), k))
         got = {tuple(r["items"]): r.support for r in ag.frequent_combinations(df, "b", "i", k, support).collect()}
         assert got == {c: n for c, n in count.items() if n >= support}
