@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.operators import ordered as od
 from tallyloom.plans.event_plans import LEVELS_SQL, error_step
 from tallyloom.plans.registry import query
 from tallyloom.sources.store import new_path
@@ -17,6 +18,16 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return jobs.read_files(spark, sf_dir, f"{name}.parquet")
 
 
+def in_order(spark: SparkSession, df: DataFrame, by: str, files: int) -> DataFrame:
+    """The table as a stream of several files in the order of ``by``, one file for each micro-batch."""
+    folder = new_path(spark, "arrivals")
+    low, high = df.select(F.min(F.col(by).cast("double")), F.max(F.col(by).cast("double"))).first()
+    part = F.least(F.floor((F.col(by).cast("double") - low) / (high - low + 1) * files), F.lit(files - 1))
+    for i in range(files):  # written one after the other, as they would arrive
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
+    return jobs.read_files(spark, folder, "rows", maxFilesPerTrigger="1")
+
+
 @query("stream_rate", """
 WITH w AS (SELECT user_id, unnest(range(epoch_us(ts) // 300000000 - 11, epoch_us(ts) // 300000000 + 1)) * 300 AS window_start
            FROM events)
@@ -33,18 +44,23 @@ def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_error_level", LEVELS_SQL + "SELECT event_id, user_id, level FROM levels")
 def stream_error_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = stream(spark, sf_dir, "events").withColumn("at", F.unix_micros("ts"))
-    out = jobs.stream_levels(events, "user_id", "at", "event_id", error_step(), new_path(spark, "levels"))
+    """The events arrive in four files, in the order of time, one file a micro-batch."""
+    days = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "props")
+    events = in_order(spark, days, "ts", 4)
+    out = jobs.stream_levels(events, "user_id", "ts", "event_id", error_step(), new_path(spark, "levels"))
     return spark.read.parquet(out).select("event_id", "user_id", "level")
 
 
 @query("stream_reorder", """
 SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderkey FROM orders""")
 def stream_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of each customer, arriving by key, released by date through a buffer of eight."""
-    orders = stream(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
-    out = jobs.stream_reorder(orders, "o_custkey", ["o_orderdate", "o_orderkey"], 8, new_path(spark, "reorder"))
-    return spark.read.parquet(out).select("o_custkey", "seq", "o_orderkey")
+    """Orders arriving by key in four micro-batches, released by date through a buffer as large as they are late."""
+    rows = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    late = od.displacement(rows, ["o_custkey"], ["o_orderkey"], ["o_orderdate", "o_orderkey"], 0)
+    most = late.agg(F.max("moved")).first()[0] or 0
+    orders = in_order(spark, rows, "o_orderkey", 4)
+    out = jobs.stream_reorder(orders, "o_custkey", ["o_orderdate", "o_orderkey"], int(most) + 1, new_path(spark, "reorder"))
+    return out.select("o_custkey", "seq", "o_orderkey")
 
 
 @query("stream_dedup", "SELECT event_id, user_id, event_type FROM events")

@@ -1,23 +1,23 @@
 """Structured Streaming counterparts of the batch operators.
 
 Every job reads files, keeps its progress in a checkpoint folder and runs with
-``trigger(availableNow=True)`` or any other trigger the caller passes. Jobs whose state is one row per
-key carry it in a small table per micro-batch (``foreachBatch``): a batch reads the state of the batch
-before it and replaces its own output, so a repeated batch changes nothing, and a hot key is split
-inside the batch by the same operators as in a batch job.
+``trigger(availableNow=True)`` or any other trigger the caller passes. Jobs with a state for each key
+keep it in the engine's keyed state, which is versioned with the progress, so a repeated batch changes nothing
+and only the keys of a batch are rewritten. The rows of one key in one micro-batch are handled together:
+bound them with ``maxFilesPerTrigger``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
-from pyspark.errors import AnalysisException
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.streaming.state import GroupState
 
-from tallyloom.operators.ordered import clamped_level, numbered
 from tallyloom.sources.store import new_path
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -46,15 +46,6 @@ def append_files(stream: DataFrame, out: str, progress: str, trigger: dict | Non
     query.awaitTermination()
 
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], progress: str,
-               trigger: dict | None = None) -> None:
-    query = (
-        stream.writeStream.foreachBatch(work).option("checkpointLocation", progress)
-        .trigger(**(trigger or AVAILABLE_NOW)).start()
-    )
-    query.awaitTermination()
-
-
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     """Run an append-mode stream over what is there now and return the rows it wrote."""
     spark = stream.sparkSession
@@ -81,93 +72,93 @@ def distinct_events(stream: DataFrame, at: str, unique: list[str], lateness: str
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark(unique)
 
 
-class BatchState:
-    """One folder per micro-batch; a batch reads its predecessor's and replaces its own."""
+def _plain(df: DataFrame, column: str) -> Column:
+    """A column as a number that Python compares like the engine: instants in microseconds."""
+    return F.unix_micros(column) if isinstance(df.schema[column].dataType, T.TimestampType) else F.col(column)
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
 
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id - 1}")
-
-    def latest(self) -> int | None:
-        """Number of the last batch, None before the first."""
-        try:
-            return self.spark.read.parquet(self.path).agg(F.max("batch")).first()[0]
-        except AnalysisException:  # nothing written yet
-            return None
-
-    def replace(self, batch_id: int, df: DataFrame) -> None:
-        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.mode("overwrite").parquet(
-            f"{self.path}/batch={batch_id}")
+def _typed(df: DataFrame, column: str) -> Column:
+    """The inverse of ``_plain``."""
+    return F.timestamp_micros(column) if isinstance(df.schema[column].dataType, T.TimestampType) else F.col(column)
 
 
 def stream_levels(stream: DataFrame, key: str, at: str, unique: str, delta: Column, folder: str,
-                  max_rows: int | None = None, trigger: dict | None = None) -> str:
-    """``clamped_level`` over a stream; rows of a key must not arrive earlier than its last batch ended.
+                  trigger: dict | None = None) -> str:
+    """``clamped_level`` over a stream: ``(key, at, unique, level, late)`` in the returned output folder.
 
-    A key's level so far enters a batch as a first row that adds exactly that level. Returns the
-    output folder.
+    A row that lies before the last row of its key in an earlier batch is late: it comes out with a NULL
+    level and changes nothing. A NULL step adds nothing; NULL keys are one group.
     """
-    spark = stream.sparkSession
-    key_type, at_type, id_type = (stream.schema[c].dataType for c in (key, at, unique))
-    state = BatchState(spark, f"{folder}/state", T.StructType([
-        T.StructField(key, key_type), T.StructField(at, at_type), T.StructField(unique, id_type),
-        T.StructField("level", T.LongType())]))
+    rows = stream.select(key, _plain(stream, at).alias(at), unique, F.coalesce(delta.cast("bigint"), F.lit(0)).alias("_step"))
+    out_schema = T.StructType([rows.schema[key], rows.schema[at], rows.schema[unique],
+                               T.StructField("level", T.LongType()), T.StructField("late", T.BooleanType())])
+    kept = T.StructType([T.StructField("at", rows.schema[at].dataType), T.StructField("id", rows.schema[unique].dataType),
+                         T.StructField("level", T.LongType())])
+
+    def follow(_, frames, state: GroupState):
+        batch = pd.concat(list(frames)).sort_values([at, unique], kind="stable").reset_index(drop=True)
+        late = np.zeros(len(batch), bool)
+        level = 0
+        if state.exists:
+            last_at, last_id, level = state.get
+            late = ((batch[at] < last_at) | (batch[at] == last_at) & (batch[unique] <= last_id)).to_numpy()
+        total = level + np.cumsum(batch["_step"].to_numpy()[~late])
+        levels = total - np.minimum(0, np.minimum.accumulate(total)) if len(total) else total
+        if len(levels):
+            end = batch[~late].iloc[-1]
+            state.update((end[at], end[unique], int(levels[-1])))
+        found = iter(levels.tolist())
+        yield pd.DataFrame({key: batch[key], at: batch[at], unique: batch[unique],
+                            "level": pd.array([None if x else next(found) for x in late], "Int64"), "late": late})
+
+    leveled = rows.groupBy(key).applyInPandasWithState(follow, out_schema, kept, "append", "NoTimeout")
     out = f"{folder}/out"
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        before = state.before(batch_id)
-        fresh = batch.select(key, at, unique, delta.cast("bigint").alias("_step"), F.lit(True).alias("_new"))
-        known = before.select(key, at, unique, F.col("level").alias("_step"), F.lit(False).alias("_new"))
-        leveled = clamped_level(fresh.unionByName(known), [key], [at, unique], F.col("_step"), max_rows=max_rows)
-        written = f"{out}/batch={batch_id}"
-        leveled.filter("_new").select(key, at, unique, "level").write.mode("overwrite").parquet(written)
-        both = spark.read.schema(state.schema).parquet(written).unionByName(before)
-        last = both.groupBy(key).agg(F.max_by(F.struct(at, unique, "level"), F.struct(at, unique)).alias("_last"))
-        state.replace(batch_id, last.select(key, f"_last.{at}", f"_last.{unique}", "_last.level"))
-
-    each_batch(stream, work, f"{folder}/progress", trigger)
+    append_files(leveled.withColumn(at, _typed(stream, at)), out, f"{folder}/progress", trigger)
     return out
 
 
 def stream_reorder(stream: DataFrame, key: str, order: list[str], k: int, folder: str,
-                   flush: bool = True, max_rows: int | None = None, trigger: dict | None = None) -> str:
+                   flush: bool = True, trigger: dict | None = None) -> DataFrame:
     """Bounded reorder: per key the k largest rows seen are held back, the others are released in order.
 
-    If no row arrives more than k places late, the released sequence is sorted. ``flush`` adds what is
-    held at the end of the input; if more input comes, the next batch replaces that part. ``order`` must
-    end in a unique column. Returns the output folder with ``(key, seq, order...)``.
+    If no row arrives more than k places late, the released sequence is sorted. Gives the rows written so
+    far, ``(key, seq, order...)``; with ``flush`` what the state still holds follows them. ``order`` must end
+    in a unique column and hold numbers, instants or strings; NULL sorts first. NULL keys are one group.
     """
     spark = stream.sparkSession
-    fields = [stream.schema[c] for c in [key, *order]]
-    held = BatchState(spark, f"{folder}/held", T.StructType(fields))
-    counts = BatchState(spark, f"{folder}/counts", T.StructType([
-        T.StructField(key, stream.schema[key].dataType), T.StructField("released", T.LongType())]))
-    out = f"{folder}/out"
-    largest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-
-    def top(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_rn", F.row_number().over(largest)).filter(F.col("_rn") <= k).drop("_rn")
-
-    def release(rows: DataFrame, batch_id: int) -> None:
-        before = counts.before(batch_id)
-        seq = numbered(rows, [key], order, "_rn", max_rows).join(before, key, "left")
-        seq = seq.withColumn("seq", F.col("_rn") + F.coalesce("released", F.lit(0)))
-        seq.select(key, "seq", *order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        now = rows.groupBy(key).agg(F.count(F.lit(1)).alias("released"))
-        counts.replace(batch_id, before.unionByName(now).groupBy(key).agg(F.sum("released").alias("released")))
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(key, *order).unionByName(held.before(batch_id))
-        held.replace(batch_id, top(rows))
-        keep = held.before(batch_id + 1)
-        release(rows.join(keep, [key, *order], "left_anti"), batch_id)
-
-    each_batch(stream, work, f"{folder}/progress", trigger)
-    last = held.latest() if flush else None
-    if last is not None:
-        release(held.before(last + 1), last + 1)
-    return out
+    rows = stream.select(key, *[_plain(stream, c).alias(c) for c in order])
+    values = T.StructType([rows.schema[c] for c in order])
+    out_schema = T.StructType([rows.schema[key], T.StructField("seq", T.LongType()), *values.fields])
+
+    def place(row: list) -> list:
+        return [(v is not None, v) for v in row]
+
+    def release(group, frames, state: GroupState):
+        held, done = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        for frame in frames:
+            held += [list(r) for r in zip(*(_values(frame[c]) for c in order), strict=True)]
+        held.sort(key=place)
+        free, held = held[: max(0, len(held) - k)], held[max(0, len(held) - k) :]
+        state.update((json.dumps(held), done + len(free)))
+        columns = list(zip(*free, strict=True)) if free else [[]] * len(order)
+        fixed = {key: pd.Series([group[0]] * len(free), dtype=object), "seq": range(done + 1, done + 1 + len(free))}
+        yield pd.DataFrame(fixed | {c: pd.Series(list(v), dtype=object) for c, v in zip(order, columns, strict=True)})
+
+    released = rows.groupBy(key).applyInPandasWithState(release, out_schema, "held string, done bigint", "append", "NoTimeout")
+    out, progress = f"{folder}/out", f"{folder}/progress"
+    append_files(released.select(key, "seq", *[_typed(stream, c).alias(c) for c in order]), out, progress, trigger)
+    schema = T.StructType([stream.schema[key], T.StructField("seq", T.LongType()), *[stream.schema[c] for c in order]])
+    done = spark.read.schema(schema).parquet(out)
+    if not flush:
+        return done
+    state = spark.read.format("statestore").load(progress).select(
+        F.col(f"key.{key}").alias(key), F.col("value.groupState.held").alias("held"), F.col("value.groupState.done").alias("done"))
+    held = F.from_json("held", T.ArrayType(T.ArrayType(T.StringType())))
+    rest = state.select(key, "done", F.posexplode(held).alias("_n", "_row"))
+    rest = rest.select(key, (F.col("done") + F.col("_n") + 1).alias("seq"),
+                       *[F.get("_row", F.lit(i)).cast(values[c].dataType).alias(c) for i, c in enumerate(order)])
+    return done.unionByName(rest.select(key, "seq", *[_typed(stream, c).alias(c) for c in order]))
+
+
+def _values(column: pd.Series) -> list:
+    return [None if pd.isna(v) else v for v in column.tolist()]

@@ -33,8 +33,7 @@ def test_new_files_are_picked_up_once(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(40))
 
 
-@pytest.mark.parametrize("limit", [12, 10_000])
-def test_levels_carry_over_batches(spark, tmp_path, limit):
+def test_levels_carry_over_batches(spark, tmp_path):
     data = rows(120)
     state, want = {}, {}
     for i, _, k, x in data:
@@ -42,14 +41,19 @@ def test_levels_carry_over_batches(spark, tmp_path, limit):
     for lo in range(0, 120, 30):
         put(spark, tmp_path, data[lo:lo + 30])
         stream = jobs.read_files(spark, str(tmp_path), "t", maxFilesPerTrigger="1")
-        out = jobs.stream_levels(stream, "k", "ts", "id", F.col("x"), str(tmp_path / "levels"), max_rows=limit)
-    assert {r.id: r.level for r in spark.read.parquet(out).collect()} == want
+        out = jobs.stream_levels(stream, "k", "ts", "id", F.col("x"), str(tmp_path / "levels"))
+    got = spark.read.parquet(out).collect()
+    assert {r.id: r.level for r in got} == want and not any(r.late for r in got)
+    assert {r.id: r.ts.replace(tzinfo=None) for r in got} == {d[0]: d[1] for d in data}
+    put(spark, tmp_path, [(500, data[0][1], 0, 9), (501, data[-1][1] + dt.timedelta(1), 0, 1), (502, data[0][1], None, 2)])
+    jobs.stream_levels(stream, "k", "ts", "id", F.col("x"), str(tmp_path / "levels"))
+    more = {r.id: (r.k, r.level, r.late) for r in spark.read.parquet(out).collect() if r.id >= 500}
+    assert more == {500: (0, None, True), 501: (0, state[0] + 1, False), 502: (None, 2, False)}
 
 
-@pytest.mark.parametrize("limit", [12, 10_000])
-def test_reorder_over_batches(spark, tmp_path, limit):
+def test_reorder_over_batches(spark, tmp_path):
     rng = random.Random(2)
-    data = rows(90)
+    data = [(i, ts, None if k == 3 else k, x) for i, ts, k, x in rows(90)]
     late = []  # blocks of four, shuffled: nothing is more than three places late
     for lo in range(0, 90, 4):
         block = data[lo:lo + 4]
@@ -58,13 +62,12 @@ def test_reorder_over_batches(spark, tmp_path, limit):
     for lo in range(0, 90, 30):
         put(spark, tmp_path, late[lo:lo + 30])
         stream = jobs.read_files(spark, str(tmp_path), "t").select("k", "ts", "id")
-        out = jobs.stream_reorder(stream, "k", ["ts", "id"], 4, str(tmp_path / "reorder"),
-                                  flush=lo > 0, max_rows=limit)
+        out = jobs.stream_reorder(stream, "k", ["ts", "id"], 4, str(tmp_path / "reorder"), flush=lo > 0)
         if lo == 0:
-            assert spark.read.parquet(out).count() < 30  # some rows are still held back
-    jobs.stream_reorder(stream, "k", ["ts", "id"], 4, str(tmp_path / "reorder"), max_rows=limit)  # no new rows
+            assert out.count() < 30  # some rows are still held back
+    out = jobs.stream_reorder(stream, "k", ["ts", "id"], 4, str(tmp_path / "reorder"))  # no new rows
     got = {}
-    for r in spark.read.parquet(out).orderBy("k", "seq").collect():
+    for r in out.orderBy("k", "seq").collect():
         got.setdefault(r.k, []).append((r.seq, r.id))
     want = {}
     for i, _, k, _ in data:
