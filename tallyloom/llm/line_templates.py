@@ -32,8 +32,8 @@ def _pair(name: str, *of: Column | str) -> list[Column]:
 
 
 def tokens(line: Column) -> Column:
-    """Tokens of a line; a line of white space has none."""
-    return F.filter(F.split(line, SPACES), lambda t: t != "")
+    """Tokens of a line; a line of white space has one empty one."""
+    return F.split(F.btrim(line, F.lit(" \t\x0b\f\r")), SPACES)
 
 
 def masked(token: Column) -> Column:
