@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ def split_item(text: str) -> tuple[str, str]:
 def shingles(h: np.ndarray) -> np.ndarray:
     """Distinct shingles of a word sequence; fewer words are one shingle."""
     size = min(SHINGLE, len(h))
-    return np.unique(words.windows(h, size)) if size else h[:0]
+    return words.distinct(words.windows(h, size)) if size else h[:0]
 
 
 @dataclass
@@ -147,7 +148,7 @@ def retrieve(index: Index, w: words.Words, h: np.ndarray) -> tuple[np.ndarray, .
         own = inside - back
         ok = (own >= 0) & (own < n[owner])
         pairs.append((first[owner] + own)[ok] * len(index.terms) + place[at][ok])
-    pairs = np.unique(np.concatenate(pairs))
+    pairs = words.distinct(np.concatenate(pairs))
     passage, term = pairs // len(index.terms), pairs % len(index.terms)
     # pivot
     by = np.lexsort((index.top[term], passage))
@@ -270,9 +271,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     schema = T.StructType([T.StructField("_key", docs.schema[key].dataType)]
                           + [T.StructField("item", T.StringType()), T.StructField("first_word", T.LongType())]
                           + [T.StructField(c, T.DoubleType()) for c in ("bm25", "question_overlap", "answer_overlap")])
-    out = docs.sparkSession.createDataFrame([], schema)
-    for shared in indexes(items, item_key, item_text):
-        out = out.unionByName(slim.mapInArrow(_find("_key", "_text", shared), schema))
+    found = [slim.mapInArrow(_find("_key", "_text", shared), schema) for shared in indexes(items, item_key, item_text)]
+    out = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
     return out.select(F.col("_key").alias(key), F.col("item").cast(items.schema[item_key].dataType).alias(item_key),
                       "first_word", "bm25", "question_overlap", "answer_overlap")
 

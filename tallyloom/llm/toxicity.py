@@ -43,7 +43,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             found.append(words.join(h[:-gap], h[gap:], gap)[inside])
             rows.append(owner[gap:][inside])
     place, row = np.concatenate(found) >> words.U(64 - BITS), np.concatenate(rows).astype(words.U)
-    both = np.unique(row << words.U(BITS) | place)
+    both = words.distinct(row << words.U(BITS) | place)
     return (both & words.U(2**BITS - 1)).astype(np.int64), np.searchsorted(both >> words.U(BITS), np.arange(len(texts) + 1))
 
 

@@ -86,6 +86,14 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, offsets, start, end, np.searchsorted(start, offsets))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending."""
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 def join(left: np.ndarray, right: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of two adjoining windows."""
     return mix(left * U(0xD6E8FEB86659FD93) + mix(right, 7) * U(0xA0761D6478BD642F), seed)
