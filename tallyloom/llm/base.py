@@ -112,7 +112,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 MOST_ROWS = 32_768
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int | str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int | str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of whole rows of about ``limit`` text bytes, one row at least,
     ``MOST_ROWS`` at most."""
     for batch in batches:

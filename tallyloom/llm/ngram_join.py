@@ -12,15 +12,19 @@ frequent ``FREQUENT`` are sent to the tasks (8 bytes each, so at most 1 MB). Any
 valid orders; a good one keeps lines and passages that many documents share out of the prefixes.
 
 Rows with one and the same set are one class before any join; a class is joined by its smallest
-document id. Blocks (classes with a common prefix token) are linked in two passes. The first compares
-every member with the block's hub, the second compares only members that are not yet known to be
-connected. So a group of thousands of near copies costs its size, not its square, and every
-component comes out whole: a link is left unverified only between documents already connected.
+document id. Blocks (classes with a common prefix token) are linked in passes. The first compares every
+member with the block's hub. Blocks whose members are then not all connected are blocked more finely:
+sets this similar differ in at most D tokens, so of D + 1 parts of the token space (cut by a hash) they
+agree on one entirely, and members meet only under the contents of a part. Again members are compared
+with the hub of such a finer block first, and only pairs that are still not known to be connected are
+compared one by one. So a group of thousands of near copies costs about its size, not its square, and
+every component comes out whole: a link is left unverified only between documents already connected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,8 @@ from tallyloom.llm import base, words
 FREQUENT = 131_072
 """Tokens in the frequent list, a parameter of the order and not of the result."""
 OFTEN = 4
-"""Times that a task must meet a token before it reports it as perhaps frequent."""
+"""Times that a task must meet a token among ``COUNTED`` before it reports it as perhaps frequent."""
+COUNTED = 2_000_000
 
 
 def token_sets(column: pa.Array, size: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -53,18 +58,34 @@ def token_sets(column: pa.Array, size: int, lower: bool) -> tuple[np.ndarray, np
         by = np.argsort(owner, kind="stable")
         flat, owner = flat[by], owner[by]
     border = np.searchsorted(owner, np.arange(len(w.counts) + 1))
-    rows = [np.unique(flat[a:b]) for a, b in zip(border[:-1], border[1:], strict=True)]
+    rows = [words.distinct(flat[a:b]) for a, b in zip(border[:-1], border[1:], strict=True)]
     return np.concatenate([np.zeros(0, words.U), *rows]), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
 
 
+def prefixes(flat: np.ndarray, offsets: np.ndarray, num: int, den: int, often: np.ndarray, order: int):
+    """Each set's prefix under one order, ascending, as 48-bit ranks, flat with row offsets."""
+    n = np.diff(offsets)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.minimum(np.searchsorted(often, flat), max(len(often) - 1, 0))
+    common = often[place] == flat if len(often) else np.zeros(len(flat), bool)
+    p = np.where(n > 0, n - -(-n * num // den) + 1, 0)
+    rank = owner.astype(words.U) << words.U(48) | common.astype(words.U) << words.U(47) | words.mix(flat, 20 + order) >> words.U(17)
+    inside = np.arange(len(flat)) - np.repeat(offsets[:-1], n) < np.repeat(p, n)
+    return np.sort(rank)[inside] & words.U(2**48 - 1), np.concatenate([[0], np.cumsum(p)])
+
+
 def _frequent_in(text: str, size: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [token_sets(part.column(text), size, lower)[0] for part in base.slices([batch], text)]
-            tokens, n = np.unique(np.concatenate(got) if got else np.zeros(0, words.U), return_counts=True)
-            keep = n >= OFTEN
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+        got, held = [], 0
+        for part in chain(base.slices(batches, text), [None]):
+            if part is not None:
+                got.append(token_sets(part.column(text), size, lower)[0])
+                held += len(got[-1])
+            if got and (part is None or held > COUNTED):
+                tokens, n = np.unique(np.concatenate(got), return_counts=True)
+                keep = n >= OFTEN
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+                got, held = [], 0
     return run
 
 
@@ -74,23 +95,16 @@ def _describe(key: str, text: str, size: int, lower: bool, num: int, den: int, o
         for part in base.slices(batches, text):
             flat, offsets = token_sets(part.column(text), size, lower)
             n = np.diff(offsets)
-            owner = np.repeat(np.arange(len(n)), n)
             keys = []
             for seed in (11, 12):
                 summed = np.zeros(len(flat) + 1, words.U)
                 np.cumsum(words.mix(flat, seed), out=summed[1:])
                 total = summed[offsets[1:]] - summed[offsets[:-1]]
                 keys.append(pa.array(words.mix(total + n.astype(words.U), seed).view(np.int64)))
-            place = np.minimum(np.searchsorted(often, flat), max(len(often) - 1, 0))
-            common = often[place] == flat if len(often) else np.zeros(len(flat), bool)
-            p = np.where(n > 0, n - -(-n * num // den) + 1, 0)
-            cut = np.concatenate([[0], np.cumsum(p)])
             columns = []
-            inside = np.arange(len(flat)) - np.repeat(offsets[:-1], n) < np.repeat(p, n)
-            place = owner.astype(words.U) << words.U(48) | common.astype(words.U) << words.U(47)
             for k in range(orders):
                 # a token's rank in the order is its name: 48 bits in the index, 32 in the other prefixes
-                prefix = np.sort(place | words.mix(flat, 20 + k) >> words.U(17))[inside] & words.U(2**48 - 1)
+                prefix, cut = prefixes(flat, offsets, num, den, often, k)
                 columns.append(base.lists(prefix.view(np.int64) if k == 0 else (prefix >> words.U(16)).astype(np.uint32).view(np.int32), cut))
             yield pa.RecordBatch.from_arrays(
                 [part.column(key), pa.array(n.astype(np.int64)), *keys, *columns],
@@ -98,6 +112,49 @@ def _describe(key: str, text: str, size: int, lower: bool, num: int, den: int, o
     return run
 
 
+def _parts(size: int, lower: bool, num: int, den: int, frequent):
+    """Keys under which similar sets surely meet: the contents of one part of the token space.
+
+    Sizes fall into classes of ratio ``den / num``, so similar sets are of one class or of neighbours, and
+    each set is listed in its own class and the next. An empty part says little; it is listed once for
+    each token of the first order's prefix, of which similar sets share one as well.
+    """
+    width = np.log(den / num) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value
+        for part in base.slices(batches, "text"):
+            flat, offsets = token_sets(part.column("text"), size, lower)
+            n = np.diff(offsets)
+            prefix, cut = prefixes(flat, offsets, num, den, often, 0)
+            owner = np.repeat(np.arange(len(n)), n)
+            rows, keys = [], []
+            for up in (0, 1):
+                level = np.floor(np.log(np.maximum(n, 1)) / width).astype(np.int64) + up
+                largest = np.exp((level + 1) * width)
+                parts = np.floor(2 * largest * (den - num) / (den + num) + 1e-6).astype(np.int64) + 1
+                border = np.concatenate([[0], np.cumsum(parts)])
+                slot = border[owner] + (words.mix(flat, 31) % parts[owner].astype(words.U)).astype(np.int64)
+                by = np.argsort(slot, kind="stable")
+                summed = np.concatenate([np.zeros(1, words.U), np.cumsum(words.mix(flat[by], 32))])
+                ends = np.searchsorted(slot[by], np.arange(border[-1] + 1))
+                row = np.repeat(np.arange(len(n)), parts)
+                name = words.mix((np.arange(border[-1]) - border[row]).astype(words.U), 33) + words.mix(level[row].astype(words.U), 34)
+                some = (ends[1:] > ends[:-1]) & (n[row] > 0)
+                rows.append(row[some])
+                keys.append(words.join(name, summed[ends[1:]] - summed[ends[:-1]])[some])
+                none = np.flatnonzero(~some & (n[row] > 0))
+                counts = np.diff(cut)[row[none]]
+                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(cut[row[none]], counts)
+                rows.append(np.repeat(row[none], counts))
+                keys.append(words.join(np.repeat(name[none], counts), prefix[at], 5))
+            row, key = np.concatenate(rows), np.concatenate(keys)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(pa.array(row)), part.column("label").take(pa.array(row)), pa.array(n[row]), pa.array(key.view(np.int64))],
+                ["rep", "label", "n", "token"])
+    return run
+
+
 def _sets(key: str, text: str, size: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.slices(batches, text):
@@ -151,7 +208,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
                 " and ".join(f"arrays_overlap(a{k}, b{k})" for k in range(1, orders))).select("a", "b")
             pairs = base.written(pairs)
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = slim.join(base.written(ids), "id", "left_semi")
+        texts = slim.join(ids, "id", "left_semi")
         sets = base.written(texts.mapInArrow(_sets("id", "text", size, lower), schema))
         a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
         b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
@@ -161,26 +218,43 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         return links
 
     near = f"least(m, n) * {den} >= greatest(m, n) * {num}"
-    spokes = posts.filter("rep <> hub.rep").withColumn("m", F.col("hub.n")).filter(near)
-    first = verified(base.written(spokes.select(
-        F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()))
-
-    # what the hubs already connect: each class under its smallest linked class, and that one's
-    both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hook = base.written(both.groupBy("a").agg(F.min("b").alias("h")).withColumn("h", F.least("a", "h")))
-    up = hook.select(F.col("a").alias("h"), F.col("h").alias("hh"))
-    label = base.written(hook.join(up, "h", "left").select(F.col("a").alias("rep"), F.coalesce("hh", "h").alias("label")))
-    named = posts.filter("rep <> hub.rep").join(label, "rep", "left").select(
-        "token", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    named = base.written(named)
-    mixed = base.written(named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-                         .filter("x <> y").select("token"))
-    open_ = base.written(named.join(mixed, "token", "left_semi"))
-    other = open_.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    rest = open_.withColumnRenamed("rep", "a").join(other, "token").filter(f"a < b and label <> other and {near}")
-    second = verified(base.written(rest.select("a", "b").distinct()))
-
-    comps = base.written(base.components(first.unionByName(second)))
+
+    def spokes(members: DataFrame) -> DataFrame:
+        """Links of members (token, rep, n, hub) to the hubs of their blocks."""
+        found = members.filter("rep <> hub.rep").withColumn("m", F.col("hub.n")).filter(near)
+        return verified(base.written(found.select(
+            F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()))
+
+    def labels(links: DataFrame) -> DataFrame:
+        """Each linked class under its smallest linked class, and that one's: equal labels are connected."""
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = base.written(both.groupBy("a").agg(F.min("b").alias("h")).withColumn("h", F.least("a", "h")))
+        up = hook.select(F.col("a").alias("h"), F.col("h").alias("hh"))
+        return base.written(hook.join(up, "h", "left").select(F.col("a").alias("rep"), F.coalesce("hh", "h").alias("label")))
+
+    def still_open(members: DataFrame) -> DataFrame:
+        """Members (token, rep, n, label) of blocks in which not all labels are equal."""
+        mixed = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+        return base.written(members.join(base.written(mixed.select("token")), "token", "left_semi"))
+
+    first = spokes(posts)
+    named = base.written(posts.join(labels(first), "rep", "left").select("token", "rep", "n", F.coalesce("label", "rep").alias("label")))
+    todo = still_open(named).groupBy(F.col("rep").alias("id")).agg(F.min("label").alias("label"))
+    base.free(posts, named)
+    texts = slim.join(base.written(todo), "id").select("id", "text", "label")
+    schema2 = T.StructType([T.StructField("rep", kind), T.StructField("label", kind), T.StructField("n", T.LongType()), T.StructField("token", T.LongType())])
+    fine = base.written(texts.mapInArrow(_parts(size, lower, num, den, frequent), schema2))
+    fine = still_open(fine)
+    hubs = fine.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "label")).alias("hub"))
+    hubbed = base.written(fine.join(base.written(hubs), "token"))
+    second = spokes(hubbed.filter("label <> hub.label"))
+    linked = first.unionByName(second)
+    fine = still_open(hubbed.filter("rep <> hub.rep").drop("label").join(labels(linked), "rep", "left").select(
+        "token", "rep", "n", F.coalesce("label", "rep").alias("label")))
+    other = fine.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    rest = fine.withColumnRenamed("rep", "a").join(other, "token").filter(f"a < b and label <> other and {near}")
+    third = verified(base.written(rest.select("a", "b").distinct()))
+    comps = base.written(base.components(linked.unionByName(third)))
     members = rows.join(classes, ["k1", "k2"], "left")
     members = base.written(members.select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")))
     out = members.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
