@@ -6,10 +6,10 @@ alphabet would look: chi-squared uniformity of the symbols, runs above and below
 alphabet, and serial correlation of neighbours. Fisher's sum of the three log p-values is the
 string's distance from randomness; small is random.
 
-What is found must be told from words, so its null distribution is words: the distances of all runs of letters
-of the corpus, in length classes, as a histogram with a fixed number of bins. A run's p-value is the
-share of words of its length class (those of fewer letters included where a class has too few) that look at
-least as random. Within each length class the Benjamini-Hochberg rule holds the share of false discoveries
+What is found must be told from words, so its null distribution is words: the distances of all long runs of
+letters of the corpus, and of the letters in the middle of each text, cut to the length of each class, as a
+histogram with a fixed number of bins. A run's p-value is the share of its length class (with the shorter
+ones where a class has too few) that look at least as random. Within each length class the Benjamini-Hochberg rule holds the share of false discoveries
 below ``FALSE_SHARE``; it needs only the counts of the bins, so all of the corpus is counted and nothing
 but bins is collected.
 """
@@ -34,6 +34,7 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LETTERS, DIGITS = re.compile(r"[A-Za-z]+"), re.compile(r"\S*\d\S*")
 
 ALPHABETS = {
     "decimal": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -43,6 +44,7 @@ ALPHABETS = {
 }
 BINS, BIN = 400, 0.1
 FALSE_SHARE = 0.01
+ENOUGH = 300
 CLASSES = (16, 20, 24, 32, 48, 64, 128)
 
 
@@ -68,11 +70,9 @@ def distance(run: str, name: str) -> float:
     letters = ALPHABETS[name]
     x = [letters.index(c) for c in run.rstrip("=") if c in letters]
     n, k = len(x), len(letters)
-    bins = max(2, min(k, n // 4))
-    seen = np.bincount([v * bins // k for v in x], minlength=bins)
-    chance = np.bincount([v * bins // k for v in range(k)], minlength=bins) / k
-    chi = float(((seen - n * chance) ** 2 / (n * chance)).sum())
-    cube = ((chi / (bins - 1)) ** (1 / 3) - (1 - 2 / (9 * (bins - 1)))) / math.sqrt(2 / (9 * (bins - 1)))
+    seen = np.bincount(x, minlength=k)
+    chi = float(((seen - n / k) ** 2).sum() * k / n)  # one cell a symbol: repeated letters tell words from keys
+    cube = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
     uniform = 0.5 * math.erfc(cube / math.sqrt(2))
     high = [v * 2 >= k for v in x]
     up = sum(high)
@@ -109,6 +109,13 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def plain(text: str) -> list[tuple[int, str]]:
+    """For each length class as many letters from the middle of the text, if words without digits have so many."""
+    middle = len(text) // 2
+    found = ((c, "".join(LETTERS.findall(DIGITS.sub(" ", text[max(0, middle - 3 * c) : middle + 3 * c])))[:c]) for c in CLASSES)
+    return [(c, w) for c, w in found if len(w) == c]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Histogram rows (found or null, class, bin, n) of a task's texts."""
     counts: dict[tuple, int] = {}
@@ -116,7 +123,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             runs = RUN.findall(text or "")
             keys = [(False, length_class(len(w)), min(BINS - 1, int(distance(w, encoding(w)) / BIN))) for w in runs if w.isalpha()]
-            if len(keys) < len(runs):
+            keys += [(False, c, min(BINS - 1, int(distance(w, encoding(w)) / BIN))) for c, w in plain(text or "")]
+            if not all(w.isalpha() for w in runs):
                 keys += [(True, size, place) for _, _, size, place in candidates(text, base_spans(text))]
             for key in keys:
                 counts[key] = counts.get(key, 0) + 1
@@ -130,9 +138,10 @@ def limits(rows: list[tuple[bool, int, int, int]]) -> dict[int, int]:
     null, seen = {c: np.zeros(BINS) for c in CLASSES}, {c: np.zeros(BINS) for c in CLASSES}
     for found, size, place, n in rows:
         (seen if found else null)[size][place] += n
-    out, words = {}, np.zeros(BINS)
-    for c in CLASSES:  # words get rare with length: shorter ones stand in
-        words = words + null[c]
+    out, shorter = {}, np.zeros(BINS)
+    for c in CLASSES:  # where words of this length are rare, shorter ones stand in, which look more random
+        shorter = shorter + null[c]
+        words = null[c] if null[c].sum() >= ENOUGH else shorter
         total = words.sum()
         p = (np.cumsum(words) + 1) / (total + 1)
         taken = np.cumsum(seen[c])
@@ -176,9 +185,13 @@ def joined(found: str = "found", kinds: tuple[str, ...] = KINDS):
     return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans as text."""
     spans = find_secrets(docs, key, text)
     return spans.select(
-        key, *[F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
+        key, *[F.size(F.filter("found", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(joined(kinds=KINDS[:3]), 256).alias("base_sha256"), joined().alias("spans"))
