@@ -39,6 +39,8 @@ FREQUENT = 131_072
 OFTEN = 4
 """Times that a task must meet a token among ``COUNTED`` before it reports it as perhaps frequent."""
 COUNTED = 2_000_000
+FEW = 24
+"""Members up to which a block is compared as it is; larger ones are blocked more finely first."""
 
 
 def token_sets(column: pa.Array, size: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +197,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     blocks = base.written(posts.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("hub"))
         .filter("members > 1"))
-    posts = base.written(posts.join(blocks.select("token", "hub"), "token"))
+    posts = base.written(posts.join(blocks, "token"))
     schema = T.StructType([T.StructField("id", kind), T.StructField("tokens", T.ArrayType(T.LongType()))])
     filters = heads.select("rep", *[f"p{k}" for k in range(1, orders)])
 
@@ -238,9 +240,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         return base.written(members.join(base.written(mixed.select("token")), "token", "left_semi"))
 
     first = spokes(posts)
-    named = base.written(posts.join(labels(first), "rep", "left").select("token", "rep", "n", F.coalesce("label", "rep").alias("label")))
-    todo = still_open(named).groupBy(F.col("rep").alias("id")).agg(F.min("label").alias("label"))
-    base.free(posts, named)
+    named = base.written(posts.join(labels(first), "rep", "left").select(
+        "token", "rep", "n", "members", F.coalesce("label", "rep").alias("label")))
+    named_open = still_open(named)
+    few = named_open.filter(F.col("members") <= FEW).drop("members")
+    todo = named_open.filter(F.col("members") > FEW).groupBy(F.col("rep").alias("id")).agg(F.min("label").alias("label"))
     texts = slim.join(base.written(todo), "id").select("id", "text", "label")
     schema2 = T.StructType([T.StructField("rep", kind), T.StructField("label", kind), T.StructField("n", T.LongType()), T.StructField("token", T.LongType())])
     fine = base.written(texts.mapInArrow(_parts(size, lower, num, den, frequent), schema2))
@@ -248,12 +252,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     hubs = fine.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "label")).alias("hub"))
     hubbed = base.written(fine.join(base.written(hubs), "token"))
     second = spokes(hubbed.filter("label <> hub.label"))
+
+    def compared(members: DataFrame) -> DataFrame:
+        """Links of members (token, rep, n, label) of one block with different labels."""
+        other = members.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+        rest = members.withColumnRenamed("rep", "a").join(other, "token").filter(f"a < b and label <> other and {near}")
+        return verified(base.written(rest.select("a", "b").distinct()))
+
     linked = first.unionByName(second)
     fine = still_open(hubbed.filter("rep <> hub.rep").drop("label").join(labels(linked), "rep", "left").select(
         "token", "rep", "n", F.coalesce("label", "rep").alias("label")))
-    other = fine.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    rest = fine.withColumnRenamed("rep", "a").join(other, "token").filter(f"a < b and label <> other and {near}")
-    third = verified(base.written(rest.select("a", "b").distinct()))
+    third = compared(fine).unionByName(compared(few))
     comps = base.written(base.components(linked.unionByName(third)))
     members = rows.join(classes, ["k1", "k2"], "left")
     members = base.written(members.select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")))
