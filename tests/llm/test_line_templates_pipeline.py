@@ -25,7 +25,7 @@ def corpus(seed):
         if i % 4 == 0:
             lines.append(fixed[1])
         if i % 5 == 0:
-            lines.insert(1, f"Posted on day {i} by user {pick.choice(['anna', 'bob', 'carl', 'dora'])} in the daily news section of this site")
+            lines.insert(1, f"Posted on day {i} by user {''.join(pick.choice('abcdefgh') for _ in range(9))} in the daily news section of this site")
         rows.append((i, "\n".join(lines)))
     copy = "\n".join(line() for _ in range(8))
     rows += [(100 + i, copy) for i in range(6)]  # exact copies
