@@ -4,8 +4,9 @@ The index is inverted: for each term its test items with their BM25 weight, and,
 ``BLOCK`` items, the largest weight in the block. Items are sorted into length classes; documents are read
 in passages of twice the class length that overlap by half, so every item lies whole in some passage.
 Each passage is a query of its distinct terms and retrieves *all* items with a score of at least
-``SHARE`` of the item's score against its own text. Block-max WAND keeps that cheap, for all passages
-of a batch at once:
+``SHARE`` of the item's score against its own text, or of its question's where the question alone proves
+a leak, and every item that verification can accept (``least_score``). Block-max WAND keeps that cheap, for all
+passages of a batch at once:
 
 1. pivot: terms in order of their largest weight anywhere are set aside while their sum stays below
    ``SLACK`` of the least threshold; a passage whose terms can't reach any threshold is done;
@@ -21,6 +22,7 @@ tasks is bounded by that.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,6 +70,33 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return words.distinct(words.windows(h, size)) if size else h[:0]
 
 
+def least_score(parts: list[np.ndarray], weight: dict[int, float]) -> float:
+    """A bound below the score of every passage that verification accepts for these parts of an item.
+
+    A passage may lack ``1 - OVERLAP`` of the distinct shingles, and a term is missing only if all shingles
+    that hold it are. A shingle holds at most ``SHINGLE`` terms, so what the missing terms weigh is at most
+    what a fractional knapsack of that many places holds.
+    """
+    held: dict[int, int] = {}
+    total = 0
+    for part in parts:
+        size = min(SHINGLE, len(part))
+        grams = {tuple(part[i : i + size].tolist()) for i in range(len(part) - size + 1)} if size else set()
+        total += len(grams)
+        for gram in grams:
+            for term in set(gram):
+                held[term] = held.get(term, 0) + 1
+    room = SHINGLE * (total - math.ceil(OVERLAP * total - 1e-9))
+    left = sum(weight[t] for t in held)
+    for term in sorted(held, key=lambda t: held[t] / max(weight[t], 1e-12)):
+        part_of = min(1.0, room / held[term])
+        left -= weight[term] * part_of
+        room -= held[term] * part_of
+        if room <= 0:
+            break
+    return max(left, 0.0)
+
+
 @dataclass
 class Index:
     """Postings of one length class, in compressed rows by term."""
@@ -96,6 +125,15 @@ def _spread(row: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(row[which], counts), np.repeat(np.arange(len(which)), counts)
 
 
+def _threshold(question: np.ndarray, answer: np.ndarray, weight: dict[int, float]) -> float:
+    """The least score at which an item is retrieved: below it verification accepts no passage."""
+    least = min(SHARE * sum(weight.values()), least_score([question, answer], weight))
+    if len(shingles(question)) >= QUESTION_SHINGLES:
+        own = sum(weight[t] for t in set(question.tolist()))
+        least = min(least, SHARE * own, least_score([question], weight))
+    return least
+
+
 def build(items: list[tuple], frequency: dict[int, int], total: int, mean: float) -> list[Index]:
     """Indexes of ``(id, text)`` items by length class, with the whole test set's term statistics."""
     w = normal([t for _, t in items])
@@ -117,7 +155,9 @@ def build(items: list[tuple], frequency: dict[int, int], total: int, mean: float
             term.append(t)
             item.append(np.full(len(t), j))
             weight.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * w.counts[i] / mean)))
-        least = np.array([SHARE * x.sum() for x in weight])
+        parts = [[normal([x]).hashes() for x in split_item(items[i][1])] for i in members]
+        least = np.array([_threshold(q, a, dict(zip(t.tolist(), x.tolist(), strict=True)))
+                          for (q, a), t, x in zip(parts, term, weight, strict=True)])
         term, item, weight = np.concatenate(term), np.concatenate(item), np.concatenate(weight)
         terms, place = np.unique(term, return_inverse=True)
         by = np.lexsort((item, place))
@@ -125,7 +165,6 @@ def build(items: list[tuple], frequency: dict[int, int], total: int, mean: float
         row = np.searchsorted(place, np.arange(len(terms) + 1))
         key = place * (len(members) // BLOCK + 1) + item // BLOCK
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        parts = [[normal([x]).hashes() for x in split_item(items[i][1])] for i in members]
         out.append(Index(
             length, [items[i][0] for i in members], terms, np.maximum.reduceat(weight, row[:-1]), row, item, weight,
             np.searchsorted(place[first], np.arange(len(terms) + 1)), item[first] // BLOCK, np.maximum.reduceat(weight, first),

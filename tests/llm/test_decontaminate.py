@@ -51,6 +51,39 @@ def test_finds_all_leaks_and_nothing_else(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in truth} | {900, 901, 902}
 
 
+def test_questions_without_their_long_answers(spark):
+    """A copied question of 8 or more shingles is a leak, however little of the item's score it has."""
+    pick = random.Random(9)
+    rare = [f"r{i}" for i in range(4000)]
+    questions = [[pick.choice(rare) for _ in range(12 + i % 9)] for i in range(40)]
+    items = [(i, " ".join(q) + "? " + " ".join(pick.choice(rare) for _ in range(40 + 10 * (i % 12))) + ".") for i, q in enumerate(questions)]
+    docs = []
+    for i, q in enumerate(questions):
+        before, after = ([pick.choice(rare) for _ in range(pick.randint(0, 200))] for _ in range(2))
+        docs.append((i, " ".join(before + q + after)))
+        docs.append((100 + i, " ".join(before + q[: len(q) - (len(q) - 4) // 5] + after)))  # 4/5 of the shingles
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, i) for i in range(40)} | {(100 + i, i) for i in range(40)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(left, right).collect()} == want
+    assert decontaminate.without_leaks(left, right).count() == 0
+
+
+def test_no_accepted_passage_scores_below_the_threshold():
+    import numpy as np
+
+    pick = random.Random(3)
+    for _ in range(300):
+        w = np.array([pick.randrange(30) for _ in range(pick.randint(12, 25))])
+        weight = {t: pick.random() ** 4 * 10 for t in w.tolist()}
+        own = grams([str(x) for x in w])
+        kept = set(w.tolist())
+        for t in sorted(kept, key=lambda t: -weight[t]):  # leave out the heaviest words that verification can spare
+            there = kept - {t}
+            if sum(all(int(x) in there for x in g) for g in own) >= 0.8 * len(own):
+                kept = there
+        assert sum(weight[t] for t in kept) >= decontaminate.least_score([w], weight) - 1e-9
+
+
 def test_a_test_set_in_parts_gives_the_same(spark, monkeypatch):
     items, docs, truth = corpus(5)
     left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
