@@ -1,16 +1,16 @@
 """Secrets in texts: fixed patterns, and strings that a battery of randomness tests takes for keys.
 
-The battery looks at runs of key characters. For each it infers the encoding (the smallest alphabet
+The battery looks at runs of key characters, each side of an inner ``=`` for itself. For each string it infers the encoding (the smallest alphabet
 that holds the run: decimal, hex, base 32, letters and digits, base 64) and asks how a random string over that
 alphabet would look: chi-squared uniformity of the symbols, runs above and below the middle of the
 alphabet, and serial correlation of neighbours. Fisher's sum of the three log p-values is the
 string's distance from randomness; small is random.
 
-What is found must be told from words, so its null distribution is words: the distances of all long runs of
-letters of the corpus, and of the letters in the middle of each text, cut to the length of each class, as a
+What is found must be told from words, so its null distribution is words: the distances of the
+letters in the middle of each text, cut to the length of each class, as a
 histogram with a fixed number of bins. A run's p-value is the share of its length class (with the shorter
-ones where a class has too few) that look at least as random. Within each length class the Benjamini-Hochberg rule holds the share of false discoveries
-below ``FALSE_SHARE``; it needs only the counts of the bins, so all of the corpus is counted and nothing
+ones where a class has too few) that look at least as random. Within each length class, for strings with a digit and
+without one each, the Benjamini-Hochberg rule holds the share of false discoveries below ``FALSE_SHARE``; it needs only the counts of the bins, so all of the corpus is counted and nothing
 but bins is collected.
 """
 
@@ -34,7 +34,11 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+VALUE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_-]))?")
+PIECES = re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*"), re.compile(r"[A-Za-z0-9]+=*")
 LETTERS, DIGITS = re.compile(r"[A-Za-z]+"), re.compile(r"\S*\d\S*")
+NULL, WITH_DIGIT, NO_DIGIT = range(3)
+"""Groups of counted strings: letters of the texts, and the candidates, which are many more without digits."""
 
 ALPHABETS = {
     "decimal": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -93,19 +97,35 @@ def length_class(n: int) -> int:
     return max((c for c in CLASSES if c <= n), default=CLASSES[0])
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """``(start, end, class, bin)`` of runs that no fixed pattern touches and that hold a digit.
+def parts(run: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of the strings of a run to test, of the shortest length class at least.
 
-    Runs of digits only (card and order numbers) are identifiers and no keys.
+    Names and values part at ``=``; padding stays with its value. What no alphabet holds mixes the signs of
+    base 64 with those of base64url: it is cut at the ones, at the others, and at both.
+    """
+    out = set()
+    for value in VALUE.finditer(run):
+        if encoding(value[0]):
+            out.add(value.span())
+            continue
+        for piece in PIECES:
+            out |= {(value.start() + m.start(), value.start() + m.end()) for m in piece.finditer(value[0])}
+    return sorted((a, b) for a, b in out if len(run[a:b].rstrip("=")) >= CLASSES[0])
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """``(start, end, group, class, bin)`` of strings that no fixed pattern touches, with a digit or without.
+
+    Strings of digits only (card and order numbers) are identifiers and no keys.
     """
     out = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run) or any(a < m.end() and m.start() < b for a, b, _ in spans):
-            continue
-        name = encoding(run)
-        if name and len(run.rstrip("=")) >= CLASSES[0]:
-            out.append((m.start(), m.end(), length_class(len(run)), min(BINS - 1, int(distance(run, name) / BIN))))
+        for a, b in parts(m[0]):
+            run, a, b = m[0][a:b], m.start() + a, m.start() + b
+            if run.rstrip("=").isdigit() or any(x < b and a < y for x, y, _ in spans):
+                continue
+            group = WITH_DIGIT if any(c.isdigit() for c in run) else NO_DIGIT
+            out.append((a, b, group, length_class(len(run)), min(BINS - 1, int(distance(run, encoding(run)) / BIN))))
     return out
 
 
@@ -117,36 +137,43 @@ def plain(text: str) -> list[tuple[int, str]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Histogram rows (found or null, class, bin, n) of a task's texts."""
+    """Histogram rows (group, class, bin, n) of a task's texts."""
     counts: dict[tuple, int] = {}
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            runs = RUN.findall(text or "")
-            keys = [(False, length_class(len(w)), min(BINS - 1, int(distance(w, encoding(w)) / BIN))) for w in runs if w.isalpha()]
-            keys += [(False, c, min(BINS - 1, int(distance(w, encoding(w)) / BIN))) for c, w in plain(text or "")]
-            if not all(w.isalpha() for w in runs):
-                keys += [(True, size, place) for _, _, size, place in candidates(text, base_spans(text))]
+            keys = [(NULL, c, min(BINS - 1, int(distance(w, encoding(w)) / BIN))) for c, w in plain(text or "")]
+            keys += [x[2:] for x in candidates(text or "", base_spans(text or ""))]
             for key in keys:
                 counts[key] = counts.get(key, 0) + 1
-    found, size, place = zip(*counts, strict=True) if counts else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.bool_()), pa.array(size, pa.int32()), pa.array(place, pa.int32()),
-                                      pa.array(list(counts.values()), pa.int64())], ["found", "size", "bin", "n"])
+    group, size, place = zip(*counts, strict=True) if counts else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(size, pa.int32()), pa.array(place, pa.int32()),
+                                      pa.array(list(counts.values()), pa.int64())], ["group", "size", "bin", "n"])
 
 
-def limits(rows: list[tuple[bool, int, int, int]]) -> dict[int, int]:
-    """For each length class the last bin that Benjamini-Hochberg takes as keys, -1 for none."""
-    null, seen = {c: np.zeros(BINS) for c in CLASSES}, {c: np.zeros(BINS) for c in CLASSES}
-    for found, size, place, n in rows:
-        (seen if found else null)[size][place] += n
+def limits(rows: list[tuple[int, int, int, int]]) -> dict[tuple[int, int], int]:
+    """For each group and length class the last bin that Benjamini-Hochberg takes as keys, -1 for none."""
+    counts = {(g, c): np.zeros(BINS) for g in (NULL, WITH_DIGIT, NO_DIGIT) for c in CLASSES}
+    for group, size, place, n in rows:
+        counts[group, size][place] += n
     out, shorter = {}, np.zeros(BINS)
     for c in CLASSES:  # where words of this length are rare, shorter ones stand in, which look more random
-        shorter = shorter + null[c]
-        words = null[c] if null[c].sum() >= ENOUGH else shorter
+        shorter = shorter + counts[NULL, c]
+        words = counts[NULL, c] if counts[NULL, c].sum() >= ENOUGH else shorter
         total = words.sum()
         p = (np.cumsum(words) + 1) / (total + 1)
-        taken = np.cumsum(seen[c])
-        good = np.flatnonzero((taken > 0) & (p <= FALSE_SHARE * taken / max(seen[c].sum(), 1)))
-        out[c] = int(good[-1]) if len(good) else -1
+        for group in (WITH_DIGIT, NO_DIGIT):
+            taken = np.cumsum(counts[group, c])
+            good = np.flatnonzero((taken > 0) & (p <= FALSE_SHARE * taken / max(taken[-1], 1)))
+            out[group, c] = int(good[-1]) if len(good) else -1
+    return out
+
+
+def _outermost(found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of the random kind without those that lie inside another: one string cut in several ways counts once."""
+    out: list[tuple[int, int, int]] = []
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b, 3))
     return out
 
 
@@ -157,7 +184,7 @@ def _scan(kept: list[str], shared):
             out = []
             for text in batch.column("_text").to_pylist():
                 spans = base_spans(text or "")
-                spans += [(a, b, 3) for a, b, size, place in candidates(text or "", spans) if place <= last[size]]
+                spans += _outermost([(a, b) for a, b, group, size, place in candidates(text or "", spans) if place <= last[group, size]])
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, kind)], [*kept, "found"])
@@ -171,8 +198,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     none. All rows come back as often as given; repeated texts count each time in the statistics.
     """
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
-    counted = slim.select(F.col("_text").alias("text")).mapInArrow(_count, "found boolean, size int, bin int, n long")
-    rows = counted.groupBy("found", "size", "bin").agg(F.sum("n").alias("n")).collect()  # at most 2 * classes * BINS rows
+    counted = slim.select(F.col("_text").alias("text")).mapInArrow(_count, "group int, size int, bin int, n long")
+    rows = counted.groupBy("group", "size", "bin").agg(F.sum("n").alias("n")).collect()  # at most 3 * classes * BINS rows
     shared = docs.sparkSession.sparkContext.broadcast(limits([tuple(r) for r in rows]))
     kind = "found array<struct<kind: string, start: long, end: long>>"
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(kind).fields])

@@ -100,6 +100,41 @@ def test_base_spans_and_random_keys(spark):
     assert secrets.digests(docs.limit(0)).count() == 0
 
 
+def syllables(pick, n):
+    parts = "inter nation al iza tion un contro vers ial ly mis under stand ings dis pro por ate char acter istic counter revolu ary".split()
+    return " ".join("".join(pick.choice(parts) for _ in range(pick.randint(1, 5))) for _ in range(n))
+
+
+def test_keys_after_names_in_paths_and_without_digits(spark):
+    pick = random.Random(11)
+    alnum = string.ascii_letters + string.digits
+
+    def key(letters, n=40):
+        return "".join(pick.choice(letters) for _ in range(n))
+
+    keys = {"named": [("KEY_NAME=", key(alnum + "+/"), "") for _ in range(60)], "query": [("http://site?auth=", key(alnum), "") for _ in range(60)],
+            "padded": [("name=", key(alnum, 38), "==") for _ in range(60)], "path": [("some_name/", key(alnum), "/last-part") for _ in range(60)],
+            "letters": [("", key(string.ascii_letters), "") for _ in range(60)]}
+    rows = [(kind, f"{syllables(pick, 4)} ", *k) for kind, some in keys.items() for k in some]
+    texts = [before + a + k + b + " here" for _, before, a, k, b in rows] + [syllables(pick, 60) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.spans for r in secrets.digests(docs).collect()}
+    found = Counter()
+    for i, (kind, before, a, k, b) in enumerate(rows):
+        at = len(before + a)
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("random")]
+        found[kind] += any(x <= at and at + len(k) <= y for x, y in spans)
+    assert all(found[kind] >= 30 for kind in keys), found
+    assert sum("random" in got[len(rows) + i] for i in range(600)) <= 6
+
+
+def test_strings_of_a_run():
+    key = "Zk3v9QpL7xW2mT8bN4rY6cHd"
+    for run, want in (("sig=" + key, [key]), ("AWS_SECRET_ACCESS_KEY=" + key + "==", ["AWS_SECRET_ACCESS_KEY", key + "=="]), (key, [key]),
+                      ("a-b/" + key + "/c_d", ["b/" + key + "/c", key]), ("x=1=" + key, [key])):
+        assert sorted({run[a:b] for a, b in secrets.parts(run)}) == sorted(want)
+
+
 def test_battery_tells_random_from_regular():
     pick = random.Random(1)
     far = [secrets.distance(x, secrets.encoding(x)) for x in ("abababababababab1212", "0123456789abcdefghij", "aaaaaaaaaaaaaaaaaaaaaaaa1", "counterrevolutionaries2")]
