@@ -6,10 +6,10 @@ alphabet would look: chi-squared uniformity of the symbols, runs above and below
 alphabet, and serial correlation of neighbours. Fisher's sum of the three log p-values is the
 string's distance from randomness; small is random.
 
-What is found must be told from words, so its null distribution is words: the distances of the
-letters in the middle of each text, cut to the length of each class, as a
-histogram with a fixed number of bins. A run's p-value is the share of its length class (with the shorter
-ones where a class has too few) that look at least as random. Within each length class, for strings with a digit and
+What is found must be told from words, so its null distribution is words: the distances of all letters of
+every text (without words that hold a digit), cut into consecutive strings of the length of each class, as a
+histogram with a fixed number of bins. A run's p-value is the share of its length class that look at least as
+random, smoothed by the p-value of the next shorter class as if that were ``SHORTER`` strings more. Within each length class, for strings with a digit and
 without one each, the Benjamini-Hochberg rule holds the share of false discoveries below ``FALSE_SHARE``; it needs only the counts of the bins, so all of the corpus is counted and nothing
 but bins is collected.
 """
@@ -36,7 +36,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 VALUE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_-]))?")
 PIECES = re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*"), re.compile(r"[A-Za-z0-9]+=*")
-LETTERS, DIGITS = re.compile(r"[A-Za-z]+"), re.compile(r"\S*\d\S*")
+DIGITS = re.compile(r"(?<!\S)[^\s\d]*+\d\S*")
+NOT_LETTERS = bytes(b for b in range(256) if not chr(b).isascii() or not chr(b).isalpha())
 NULL, WITH_DIGIT, NO_DIGIT = range(3)
 """Groups of counted strings: letters of the texts, and the candidates, which are many more without digits."""
 
@@ -46,9 +47,13 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+#: For each byte a bit for each alphabet that has it, and its place in each.
+HELD = np.array([sum(1 << i for i, x in enumerate(ALPHABETS.values()) if chr(b) in x) for b in range(256)])
+PLACES = np.array([[max(0, x.find(chr(b))) for b in range(256)] for x in ALPHABETS.values()])
 BINS, BIN = 400, 0.1
 FALSE_SHARE = 0.01
-ENOUGH = 300
+SHORTER = 300
+"""For how many strings of a length class the distribution of the next shorter class counts."""
 CLASSES = (16, 20, 24, 32, 48, 64, 128)
 
 
@@ -129,22 +134,63 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def plain(text: str) -> list[tuple[int, str]]:
-    """For each length class as many letters from the middle of the text, if words without digits have so many."""
-    middle = len(text) // 2
-    found = ((c, "".join(LETTERS.findall(DIGITS.sub(" ", text[max(0, middle - 3 * c) : middle + 3 * c])))[:c]) for c in CLASSES)
-    return [(c, w) for c, w in found if len(w) == c]
+def plain(text: str) -> bytes:
+    """All letters of the text's words without digits."""
+    return DIGITS.sub(" ", text).encode("ascii", "ignore").translate(None, NOT_LETTERS)
+
+
+def distances(rows: np.ndarray) -> np.ndarray:
+    """``distance`` under ``encoding`` of strings of one length: a matrix of bytes, a row each, that some alphabet holds."""
+    m, n = rows.shape
+    which = np.bitwise_and.reduce(HELD[rows], axis=1)
+    out = np.zeros(m)
+    for bit, letters in enumerate(ALPHABETS.values()):
+        own = np.flatnonzero(which & -which == 1 << bit)  # the first alphabet that holds all symbols
+        if not len(own):
+            continue
+        k, x = len(letters), PLACES[bit][rows[own]]
+        seen = np.bincount((x + k * np.arange(len(own))[:, None]).ravel(), minlength=len(own) * k).reshape(-1, k)
+        chi = (seen * seen).sum(1) * k / n - n
+        cube = (np.cbrt(chi / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+        high = x * 2 >= k
+        up, runs = high.sum(1), 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+        mean = 1 + 2 * up * (n - up) / n
+        spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+        runs_p = np.where((up > 0) & (up < n), _erfc(np.abs(runs - mean) / spread / math.sqrt(2)), 2.0 ** (1 - n))
+        v = x - x.mean(1, keepdims=True)
+        serial = (v[:, 1:] * v[:, :-1]).sum(1) / np.maximum((v * v).sum(1), 1e-9)
+        serial_p = _erfc(np.abs(serial + 1 / n) * math.sqrt(n / 2))
+        out[own] = -2 * sum(np.log(np.maximum(p, 1e-12)) for p in (0.5 * _erfc(cube / math.sqrt(2)), runs_p, serial_p))
+    return out
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erfc, x.tolist()), float, len(x))
+
+
+def null_counts(texts: list[str | None]) -> dict[int, np.ndarray]:
+    """For each length class how many strings of each bin all letters of the texts make, cut one after the other."""
+    letters = [plain(t) for t in texts if t]
+    out = {}
+    for c in CLASSES:
+        rows = np.frombuffer(b"".join(x[: len(x) // c * c] for x in letters), np.uint8).reshape(-1, c)
+        out[c] = np.zeros(BINS, np.int64)
+        for some in np.array_split(rows, max(1, rows.size // 100_000)):
+            out[c] += np.bincount(np.minimum(BINS - 1, (distances(some) / BIN).astype(np.int64)), minlength=BINS)
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Histogram rows (group, class, bin, n) of a task's texts."""
     counts: dict[tuple, int] = {}
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            keys = [(NULL, c, min(BINS - 1, int(distance(w, encoding(w)) / BIN))) for c, w in plain(text or "")]
-            keys += [x[2:] for x in candidates(text or "", base_spans(text or ""))]
-            for key in keys:
-                counts[key] = counts.get(key, 0) + 1
+    for batch in base.slices(batches, "text"):
+        texts = batch.column("text").to_pylist()
+        for c, bins in null_counts(texts).items():
+            for place in np.flatnonzero(bins).tolist():
+                counts[NULL, c, place] = counts.get((NULL, c, place), 0) + int(bins[place])
+        for text in texts:
+            for *_, group, size, place in candidates(text or "", base_spans(text or "")):
+                counts[group, size, place] = counts.get((group, size, place), 0) + 1
     group, size, place = zip(*counts, strict=True) if counts else ((), (), ())
     yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(size, pa.int32()), pa.array(place, pa.int32()),
                                       pa.array(list(counts.values()), pa.int64())], ["group", "size", "bin", "n"])
@@ -155,12 +201,10 @@ def limits(rows: list[tuple[int, int, int, int]]) -> dict[tuple[int, int], int]:
     counts = {(g, c): np.zeros(BINS) for g in (NULL, WITH_DIGIT, NO_DIGIT) for c in CLASSES}
     for group, size, place, n in rows:
         counts[group, size][place] += n
-    out, shorter = {}, np.zeros(BINS)
-    for c in CLASSES:  # where words of this length are rare, shorter ones stand in, which look more random
-        shorter = shorter + counts[NULL, c]
-        words = counts[NULL, c] if counts[NULL, c].sum() >= ENOUGH else shorter
-        total = words.sum()
-        p = (np.cumsum(words) + 1) / (total + 1)
+    out, p, weight = {}, np.ones(BINS), 1
+    for c in CLASSES:  # the next shorter words count for some of this length: they look more random
+        p = (np.cumsum(counts[NULL, c]) + weight * p) / (counts[NULL, c].sum() + weight)
+        weight = SHORTER
         for group in (WITH_DIGIT, NO_DIGIT):
             taken = np.cumsum(counts[group, c])
             good = np.flatnonzero((taken > 0) & (p <= FALSE_SHARE * taken / max(taken[-1], 1)))

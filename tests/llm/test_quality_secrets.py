@@ -135,6 +135,36 @@ def test_strings_of_a_run():
         assert sorted({run[a:b] for a, b in secrets.parts(run)}) == sorted(want)
 
 
+def test_null_distribution_is_all_letters():
+    pick = random.Random(5)
+    texts = [syllables(pick, 900).title() + " x1y " + "a" * 500 + " " + syllables(pick, n) + " ABCDEF" * n for n in (1, 40, 300)] + [None, "", "é1 no 2"]
+    letters = ["".join(re.findall("[A-Za-z]", " ".join(w for w in (t or "").split() if not re.search(r"\d", w)))) for t in texts]
+    for c, bins in secrets.null_counts(texts).items():
+        cut = [x[i : i + c] for x in letters for i in range(0, len(x) - c + 1, c)]
+        want = np.sort([secrets.distance(w, secrets.encoding(w)) for w in cut])
+        rows = np.frombuffer("".join(cut).encode(), np.uint8).reshape(-1, c)
+        assert bins.sum() == len(cut) > 20 and np.allclose(np.sort(secrets.distances(rows)), want)
+    assert secrets.null_counts(["f" * 2_000_000])[128].sum() == 15_625
+
+
+def test_one_rule_for_every_number_of_words():
+    """One more string of words hardly moves the limit of a class."""
+    def last(n):
+        words = [(secrets.NULL, 16, place, 40) for place in range(60, 160)] + [(secrets.NULL, 32, 150, n)]
+        return secrets.limits(words + [(secrets.WITH_DIGIT, 32, place, 1) for place in range(40, 160)])[secrets.WITH_DIGIT, 32]
+    got = [last(n) for n in range(290, 311)]
+    assert max(got) - min(got) <= 1
+
+
+def test_a_rare_key_among_many_candidates(spark):
+    pick = random.Random(13)
+    keys = ["".join(pick.choice(string.ascii_letters + string.digits) for _ in range(64)) for _ in range(8)]
+    texts = [f"a {k} b" for k in keys] + [syllables(pick, 3000) + " " + " ".join("counter" * 9 + str(pick.randrange(10)) for _ in range(30)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.spans for r in secrets.digests(docs).collect()}
+    assert sum(got[i] == "random:2:66" for i in range(8)) >= 4 and not any("random" in got[i] for i in range(8, 88))
+
+
 def test_battery_tells_random_from_regular():
     pick = random.Random(1)
     far = [secrets.distance(x, secrets.encoding(x)) for x in ("abababababababab1212", "0123456789abcdefghij", "aaaaaaaaaaaaaaaaaaaaaaaa1", "counterrevolutionaries2")]
