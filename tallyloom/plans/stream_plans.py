@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.operators import ordered as od
 from tallyloom.plans.event_plans import LEVELS_SQL, error_step
@@ -13,18 +14,27 @@ from tallyloom.sources.tables import load
 from tallyloom.streaming import jobs
 
 
+FILE_ROWS = 1_000_000
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     load(spark, sf_dir, name)  # pins the session time zone
     return jobs.read_files(spark, sf_dir, f"{name}.parquet")
 
 
-def in_order(spark: SparkSession, df: DataFrame, by: str, files: int) -> DataFrame:
-    """The table as a stream of several files in the order of ``by``, one file for each micro-batch."""
-    folder = new_path(spark, "arrivals")
-    low, high = df.select(F.min(F.col(by).cast("double")), F.max(F.col(by).cast("double"))).first()
-    part = F.least(F.floor((F.col(by).cast("double") - low) / (high - low + 1) * files), F.lit(files - 1))
-    for i in range(files):  # written one after the other, as they would arrive
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
+def in_order(spark: SparkSession, df: DataFrame, by: list[str], most: int = FILE_ROWS) -> DataFrame:
+    """The table as a stream of several files in the order of ``by``, one file for each micro-batch.
+
+    ``by`` ends in a unique column. A file has about ``most`` rows; NULLs come in the first one.
+    """
+    cut, folder = new_path(spark, "cut"), new_path(spark, "arrivals")
+    files = max(4, -(-df.count() // most))
+    ranged = df.repartitionByRange(files, *[F.col(c).asc_nulls_first() for c in by])
+    ranged.withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(cut)
+    parts = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(cut)
+    numbers = sorted(r[0] for r in parts.select("_part").distinct().collect())  # one for each file
+    for i in numbers or [0]:  # written one after the other, as they would arrive
+        parts.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/rows")
     return jobs.read_files(spark, folder, "rows", maxFilesPerTrigger="1")
 
 
@@ -44,21 +54,22 @@ def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_error_level", LEVELS_SQL + "SELECT event_id, user_id, level FROM levels")
 def stream_error_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events arrive in four files, in the order of time, one file a micro-batch."""
+    """The events arrive in files in the order of time, one file a micro-batch."""
     days = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "props")
-    events = in_order(spark, days, "ts", 4)
+    events = in_order(spark, days, ["ts", "event_id"])
     out = jobs.stream_levels(events, "user_id", "ts", "event_id", error_step(), new_path(spark, "levels"))
-    return spark.read.parquet(out).select("event_id", "user_id", "level")
+    schema = T.StructType([*days.select("event_id", "user_id").schema.fields, T.StructField("level", T.LongType())])
+    return spark.read.schema(schema).parquet(out).select("event_id", "user_id", "level")
 
 
 @query("stream_reorder", """
 SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderkey FROM orders""")
 def stream_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders arriving by key in four micro-batches, released by date through a buffer as large as they are late."""
+    """Orders arriving by key in micro-batches, released by date through a buffer as large as they are late."""
     rows = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
     late = od.displacement(rows, ["o_custkey"], ["o_orderkey"], ["o_orderdate", "o_orderkey"], 0)
     most = late.agg(F.max("moved")).first()[0] or 0
-    orders = in_order(spark, rows, "o_orderkey", 4)
+    orders = in_order(spark, rows, ["o_orderkey"])
     out = jobs.stream_reorder(orders, "o_custkey", ["o_orderdate", "o_orderkey"], int(most) + 1, new_path(spark, "reorder"))
     return out.select("o_custkey", "seq", "o_orderkey")
 

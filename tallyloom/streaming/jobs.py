@@ -87,7 +87,7 @@ def stream_levels(stream: DataFrame, key: str, at: str, unique: str, delta: Colu
     """``clamped_level`` over a stream: ``(key, at, unique, level, late)`` in the returned output folder.
 
     A row that lies before the last row of its key in an earlier batch is late: it comes out with a NULL
-    level and changes nothing. A NULL step adds nothing; NULL keys are one group.
+    level and changes nothing. A NULL step adds nothing; NULL keys are one group; a NULL time is before all others.
     """
     rows = stream.select(key, _plain(stream, at).alias(at), unique, F.coalesce(delta.cast("bigint"), F.lit(0)).alias("_step"))
     out_schema = T.StructType([rows.schema[key], rows.schema[at], rows.schema[unique],
@@ -95,18 +95,23 @@ def stream_levels(stream: DataFrame, key: str, at: str, unique: str, delta: Colu
     kept = T.StructType([T.StructField("at", rows.schema[at].dataType), T.StructField("id", rows.schema[unique].dataType),
                          T.StructField("level", T.LongType())])
 
+    whole = isinstance(rows.schema[at].dataType, T.IntegralType)
+
     def follow(_, frames, state: GroupState):
-        batch = pd.concat(list(frames)).sort_values([at, unique], kind="stable").reset_index(drop=True)
+        batch = pd.concat(list(frames)).sort_values([at, unique], kind="stable", na_position="first").reset_index(drop=True)
+        none = batch[at].isna()
         late = np.zeros(len(batch), bool)
         level = 0
         if state.exists:
             last_at, last_id, level = state.get
-            late = ((batch[at] < last_at) | (batch[at] == last_at) & (batch[unique] <= last_id)).to_numpy()
+            same, before = (none, False) if last_at is None else (batch[at] == last_at, none | (batch[at] < last_at))
+            late = (before | same & (batch[unique] <= last_id)).to_numpy(bool)
         total = level + np.cumsum(batch["_step"].to_numpy()[~late])
         levels = total - np.minimum(0, np.minimum.accumulate(total)) if len(total) else total
         if len(levels):
             end = batch[~late].iloc[-1]
-            state.update((end[at], end[unique], int(levels[-1])))
+            last_at = None if pd.isna(end[at]) else int(end[at]) if whole else end[at]
+            state.update((last_at, end[unique], int(levels[-1])))
         found = iter(levels.tolist())
         yield pd.DataFrame({key: batch[key], at: batch[at], unique: batch[unique],
                             "level": pd.array([None if x else next(found) for x in late], "Int64"), "late": late})

@@ -107,3 +107,31 @@ def test_duplicates_within_the_watermark(spark, tmp_path):
         stream = jobs.read_files(spark, str(tmp_path), "t")
         jobs.append_files(jobs.distinct_events(stream, "ts", ["id"], "1 day"), out, progress)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(30))
+
+
+def test_arrivals_in_order_with_nulls_and_a_bound(spark, tmp_path, monkeypatch):
+    from tallyloom.plans import stream_plans
+
+    start = dt.datetime(2024, 1, 1)
+    data = [(i, None if i % 10 == 0 else start + dt.timedelta(minutes=i // 50), i % 3, 1) for i in range(1000)]
+    table = spark.createDataFrame(data, SCHEMA).repartition(5)
+    monkeypatch.setattr(stream_plans, "new_path", lambda _, label: str(tmp_path / label))
+    stream = stream_plans.in_order(spark, table, ["ts", "id"], 100)
+    files = spark.read.parquet(str(tmp_path / "arrivals" / "rows")).groupBy(F.input_file_name()).count().collect()
+    assert sum(r[1] for r in files) == 1000 and max(r[1] for r in files) <= 200
+    out = jobs.stream_levels(stream, "k", "ts", "id", F.col("x"), str(tmp_path / "levels"))
+    got = spark.read.parquet(out).collect()
+    assert len(got) == 1000 and not any(r.late for r in got)
+    want, level = {}, {}
+    for i, _, k, _ in sorted(data, key=lambda d: (d[1] is not None, d[1] or start, d[0])):
+        level[k] = want[i] = level.get(k, 0) + 1
+    assert {r.id: r.level for r in got} == want
+
+
+def test_streams_over_empty_tables(spark, tmp_path):
+    from tallyloom.plans import stream_plans
+
+    for name in ("events", "orders"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert stream_plans.stream_error_level(spark, str(tmp_path)).count() == 0
+    assert stream_plans.stream_reorder(spark, str(tmp_path)).count() == 0
