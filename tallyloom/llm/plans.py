@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_automaton, decontaminate, line_templates, main_text, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
+from tallyloom.llm import bpe_automaton, decontaminate, line_templates, main_text, merkle_manifest, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,17 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_line_templates"] = line_templates.SQL
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot and root, the digest of its proof, and whether the proof holds once some lengths are changed."""
+    docs = table(spark, sf_dir, "documents")
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    out = merkle_manifest.manifest(
+        docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang",
+        {"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+ORACLES["op13_merkle_manifest"] = merkle_manifest.SQL
