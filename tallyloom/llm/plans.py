@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_automaton, decontaminate, line_templates, main_text, merkle_manifest, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
+from tallyloom.llm import bpe_automaton, decontaminate, lexical_packing, line_templates, main_text, merkle_manifest, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,12 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_line_templates"] = line_templates.SQL
 
 
+@query
+def op12_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in the 4096-token sequence that it was packed into."""
+    return lexical_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, subroot and root, the digest of its proof, and whether the proof holds once some lengths are changed."""
