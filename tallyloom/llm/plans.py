@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_automaton, decontaminate, lexical_packing, line_templates, main_text, merkle_manifest, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
+from tallyloom.llm import bpe_automaton, decontaminate, hard_negatives, lexical_packing, line_templates, main_text, merkle_manifest, ngram_join, quality, secrets, substring_dedup, token_files, toxicity
 from tallyloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,16 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_line_templates"] = line_templates.SQL
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the anchors' nearest rows of their label, the rows of other labels that score just below them."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_hard_negatives"] = hard_negatives.SQL
+
+
 @query
 def op12_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in the 4096-token sequence that it was packed into."""
