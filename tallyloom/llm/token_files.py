@@ -19,15 +19,11 @@ bytes and a lost executor leaves nothing half written under a final name.
 
 from __future__ import annotations
 
-import json
 import os
 import struct
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm import base
-from tallyloom.llm.bpe_automaton import Segments, read_spec
+from tallyloom.llm.bpe_automaton import read_spec
+from tallyloom.llm.word_ids import encoder, id_type
 
 BITS = 20
 LOW = np.uint64(1 << 31)
@@ -47,8 +44,6 @@ SMALL_LANES = 32
 FILE_TOKENS = 1 << 22
 MAGIC = b"LANS0001"
 HEAD = "<8sIIQQQQI"  # magic, bits, spare, first, documents, ids, blocks, table checksum
-FREQUENT_WORDS = 400_000
-"""Words that are encoded once and sent to all tasks; the others are encoded where they occur."""
 BLOCK_ROW = np.dtype([("ids", "<u4"), ("lanes", "<u4"), ("words", "<u8"), ("offset", "<u8"), ("crc", "<u4")])
 
 
@@ -190,81 +185,13 @@ def unpack(data: bytes, table: Table) -> tuple[int, list[int | None], np.ndarray
     return first, [None if z else k for k, z in zip(keys.tolist(), null.tolist(), strict=True)], lengths, ids
 
 
-@lru_cache(maxsize=1)
-def _library(spec: str):
-    """Encodes a list of words: tokens flat, and offsets."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(spec)
-    batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-
-    def fill(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in batch(found, add_special_tokens=False)]
-        sizes = np.array([len(i) for i in ids], np.int64)
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
-
-    return fill
-
-
-def cut_words(text: str) -> list[str]:
-    """White space ends words and is dropped by the tokenizer, so words may be encoded one by one; "" has no ids."""
-    return text.replace("\n", " ").split(" ")
-
-
-_HELD: dict[str, Segments] = {}
-
-
-def _segments(name: str, spec: str, given: tuple) -> Segments:
-    """The words that this worker has met in the run ``name``, kept from task to task."""
-    if name not in _HELD:
-        _HELD.clear()
-        _HELD[name] = Segments(_library(spec), cut_words, given)
-    return _HELD[name]
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that a batch of rows holds more than once, with their number."""
-    for batch in batches:
-        counts = Counter()
-        for text in batch.column("text").to_pylist():
-            counts.update(cut_words(text or ""))
-        found = [(w, n) for w, n in counts.items() if n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["word", "n"])
-
-
-def _word_ids(spec):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                tokens, offsets = _library(spec.value)(batch.column("word").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("word"), base.lists(tokens, offsets)], ["word", "ids"])
-    return run
-
-
-def frequent_words(docs: DataFrame, spec) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The ``FREQUENT_WORDS`` most frequent words with their ids, each encoded once for all tasks (some 15 MB)."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word")
-    got = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(_word_ids(spec), "word string, ids array<int>").toArrow()
-    ids = got.column("ids").combine_chunks()
-    return (got.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False),
-            np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64))
-
-
-def id_type(spec: str) -> str:
-    """Two bytes an id if the tokenizer's ids fit, else four."""
-    file = json.loads(spec)
-    return "<u2" if max([*file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"])]) < 65_536 else "<u4"
-
-
-def _tokenise(name: str, spec, given, end_id: int, kind: str):
+def _tokenise(spec, end_id: int, kind: str):
     """Rows of one range of keys, in order, to ids with the running position inside the range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = _segments(name, spec.value, given.value)
+        words = encoder(spec.value)
         part, done = TaskContext.get().partitionId(), 0
         for rows in base.slices(batches, "text"):
-            ids, offsets = segments.encode([x or "" for x in rows.column("text").to_pylist()])
+            ids, offsets = words.encode([x or "" for x in rows.column("text").to_pylist()])
             lengths = np.diff(offsets) + 1
             ids = np.insert(ids, offsets[1:], end_id).astype(kind)
             borders = np.concatenate([[0], np.cumsum(lengths)])
@@ -325,11 +252,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    width, given = id_type(spec.value), spark.sparkContext.broadcast(frequent_words(slim, spec))
+    width = id_type(spec.value)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = base.written(
         slim.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(
-            _tokenise(uuid.uuid4().hex, spec, given, end_id, width), T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()),
+            _tokenise(spec, end_id, width), T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()),
                                                    T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])))
     counts = rows.select("ids").mapInArrow(_counts(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = counts.orderBy("token").collect()  # at most the vocabulary

@@ -32,9 +32,15 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 """The pattern that ``KIND`` follows: runs of letters, single digits, runs of signs."""
 
 
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+"""White space to Python but not to the tokenizer."""
+
+
 def cut_words(text: str) -> list[str]:
-    """White space ends words and is dropped by the tokenizer, so words may be encoded one by one; "" has no ids."""
-    return text.replace("\n", " ").split(" ")
+    """White space ends words and is dropped by the tokenizer, so words may be encoded one by one."""
+    if any(c in text for c in SEPARATORS):
+        return text.replace("\n", " ").split(" ")
+    return text.split()
 
 
 def follows_kinds(spec: dict) -> bool:
