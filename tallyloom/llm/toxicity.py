@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import base, words
@@ -68,41 +69,65 @@ def bias_of(z: np.ndarray, n: np.ndarray) -> float:
     return -z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA + L2)
 
 
-def _fit(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("at", "ascending"), ("text", "ascending"), ("label", "ascending")])
-    x = []
-    for part in base.slices(iter(rows.combine_chunks().to_batches()), "text"):
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in base.slices(batches, "text"):
         flat, offsets = features(part.column("text"))
-        x += [flat[a:b].astype(np.int32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("at"), part.column("label"), base.lists(flat.astype(np.int32), offsets)], ["at", "label", "x"])
+
+
+def _fit(rows: pa.Table) -> pa.Table:
+    rows = rows.combine_chunks()
+    x = [v.values.to_numpy() for v in rows.column("x").combine_chunks()]
+    order, y = rows.column("at").to_pylist(), rows.column("label").to_pylist()
+    by = sorted(range(len(x)), key=lambda i: (order[i], x[i].tobytes(), y[i]))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(EPOCHS):
-        ftrl(x, rows.column("label").to_numpy(), z, n)
+        ftrl([x[i] for i in by], np.array([y[i] for i in by]), z, n)
     w = weights_of(z[:-1], n[:-1])
     at = np.flatnonzero(w)
     return pa.table({"place": np.append(at, -1), "weight": np.append(w[at], bias_of(z, n))})
 
 
+def order_of(key: Column) -> Column:
+    """The order in which labelled rows are taken: by a hash of the key's text."""
+    return F.xxhash64(key.cast("string"))
+
+
+def last_of(keys: DataFrame, sample: int) -> int | None:
+    """The hash at which ``sample`` rows of ``keys(at)`` are reached; every task hands on that many numbers at most."""
+    return keys.orderBy("at").limit(sample).agg(F.max("at")).first()[0]
+
+
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE):
     """``(places, weights, bias)`` learnt from labelled rows.
 
     Rows with a null key or label are left out; a null text is empty. At most ``sample`` rows are used,
-    those with the least hash of the key. Without rows the model is empty and scores everything 0.5.
+    those with the least hash of the key: the hashes are looked through first, and only the texts of rows
+    up to the last one needed are turned to features. Without rows the model is empty and scores everything 0.5.
     """
     known = rows.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(
-        F.xxhash64(F.col(key).cast("string")).alias("at"), F.col(text).alias("text"), F.col(label).cast("double").alias("label"))
-    chosen = known.orderBy("at", "text", "label").limit(sample)
+        order_of(F.col(key)).alias("at"), F.col(text).alias("text"), F.col(label).cast("double").alias("label"))
+    return _learnt(known, last_of(known.select("at"), sample), sample)
+
+
+def _learnt(known: DataFrame, last: int | None, sample: int):
+    """The model of ``known(at, text, label)`` rows up to the hash ``last``, ``sample`` of them at most."""
+    if last is None:
+        return np.zeros(0, np.int32), np.zeros(0), 0.0
+    chosen = known.filter(F.col("at") <= last).mapInArrow(_features, "at long, label double, x array<int>")
+    chosen = chosen.orderBy("at", "x", "label").limit(sample)
     got = chosen.groupBy(F.lit(0).alias("one")).applyInArrow(_fit, "place long, weight double").toArrow()  # at most 2**BITS + 1 rows
     place, weight = got.column("place").to_numpy(), got.column("weight").to_numpy()
     return place[place >= 0].astype(np.int32), weight[place >= 0], float(weight[place < 0].sum())
 
 
-def _score(kept: list[str], out: str, model):
+def _score(kept: list[str], text: str, out: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, value, bias = model.value
         w = np.zeros(1 << BITS)
         w[place] = value
-        for part in base.slices(batches, "_text"):
-            flat, offsets = features(part.column("_text"))
+        for part in base.slices(batches, text):
+            flat, offsets = features(part.column(text))
             total = np.concatenate([[0], np.cumsum(w[flat])])
             score = total[offsets[1:]] - total[offsets[:-1]] + bias
             score = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
@@ -118,7 +143,8 @@ def score(docs: DataFrame, model, text: str = "text", out: str = "score") -> Dat
     kept = [c for c in docs.columns if c != out]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(kept).schema.add(out, "double")
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(_score(kept, out, shared), schema)
+    own = f"text-{uuid4().hex}"
+    return docs.select(*kept, F.col(text).alias(own)).mapInArrow(_score(kept, own, out, shared), schema)
 
 
 def held_out(key: str = "doc_id"):
@@ -126,8 +152,17 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def fit_from(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text"):
-    """A model from ``labels(<key>, toxic)``, without the held-out rows."""
-    known = labels.select(F.col(key).alias("_id"), F.col("toxic").cast("int").alias("label")).filter(~held_out("_id"))
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(known, "_id")
-    return fit(rows, "_id", "text", "label")
+def fit_from(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE):
+    """A model from ``labels(<key>, toxic)``, without the held-out rows.
+
+    Which rows are used is settled by keys alone; then both sides are cut to those before they meet, so the
+    texts that move are those of the sample.
+    """
+    known = labels.select(F.col(key).alias("id"), F.col("toxic").cast("double").alias("label"))
+    known = known.filter(~held_out("id") & F.col("id").isNotNull() & F.col("label").isNotNull())
+    there = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    at = order_of(F.col("id"))
+    last = last_of(there.select("id").join(known, "id").select(at.alias("at")), sample)
+    if last is not None:
+        known, there = known.filter(at <= last), there.filter(at <= last)
+    return _learnt(there.join(known, "id").select(at.alias("at"), "text", "label"), last, sample)

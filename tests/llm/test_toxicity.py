@@ -67,3 +67,23 @@ def test_query(spark):
 
     got = plans.op9_toxicity(spark, "/root/testdata/sf0.001").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in got)
+
+
+def test_columns_of_any_name_and_a_key_with_several_texts(spark):
+    rows = [(i % 7, "idiot " * 5 if i % 2 else "fine words", i, "a", "b") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at long, _text string, x string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, toxic int")
+    model = toxicity.fit_from(docs, labels, sample=20)
+    got = toxicity.score(docs, model)
+    assert got.columns == [*docs.columns, "score"] and got.count() == 200
+    assert set(got.drop("score").collect()) == set(docs.collect())
+
+
+def test_the_sample_is_that_of_the_least_hashes(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.filter(~toxicity.held_out()).select("doc_id", toxicity.order_of(toxicity.F.col("doc_id")).alias("h")).join(docs, "doc_id")
+    least = known.orderBy("h").limit(50).select("doc_id")
+    a, b = toxicity.fit_from(docs, labels, sample=50), toxicity.fit_from(docs.join(least, "doc_id"), labels)
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[2] == b[2]
+    c = toxicity.fit(docs.join(labels, "doc_id").join(least, "doc_id"), label="toxic", sample=50)
+    assert (a[0] == c[0]).all() and (a[1] == c[1]).all() and a[2] == c[2]
