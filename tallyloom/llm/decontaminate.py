@@ -113,8 +113,8 @@ class Index:
     block_top: np.ndarray
     least: np.ndarray  # threshold of each item
     block_least: np.ndarray
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
+    question: list[tuple[set[int], int]]  # shingles, and the words of each
+    answer: list[tuple[set[int], int]]
 
 
 def _spread(row: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def build(items: list[tuple], frequency: dict[int, int], total: int, mean: float
             length, [items[i][0] for i in members], terms, np.maximum.reduceat(weight, row[:-1]), row, item, weight,
             np.searchsorted(place[first], np.arange(len(terms) + 1)), item[first] // BLOCK, np.maximum.reduceat(weight, first),
             least, np.minimum.reduceat(least, np.arange(0, len(least), BLOCK)),
-            [shingles(q) for q, _ in parts], [shingles(a) for _, a in parts]))
+            *([(set(shingles(x).tolist()), min(SHINGLE, len(x))) for x in own] for own in zip(*parts, strict=True))))
     return out
 
 
@@ -229,16 +229,31 @@ def retrieve(index: Index, w: words.Words, h: np.ndarray) -> tuple[np.ndarray, .
     return row, (number - first[row]) * step, item[ok], score[ok]
 
 
+class Spans:
+    """Hashed word windows of a batch of rows, by size; each size is made when it is first asked for."""
+
+    def __init__(self, h: np.ndarray):
+        self.h, self.of = h, {}
+
+    def within(self, begin: int, end: int, size: int) -> set[int]:
+        if size not in self.of:
+            self.of[size] = words.windows(self.h, size)
+        return set(self.of[size][begin : max(begin, end - size + 1)].tolist())
+
+
 def leaks(indexes: list[Index], texts: list[str | None]) -> list[tuple]:
     """``(row, item id, first word, score, question share, answer share)`` of every leak, best passage each."""
     w = normal(texts)
     h = w.hashes()
+    spans = Spans(h)
     best: dict[tuple, tuple] = {}
     for index in indexes:
         for row, begin, item, score in zip(*(x.tolist() for x in retrieve(index, w, h)), strict=True):
-            there = h[w.row[row] + begin : min(w.row[row] + begin + 2 * index.length, w.row[row + 1])]
-            q, a = index.question[item], index.answer[item]
-            found = [_found(there, part) for part in (q, a)]
+            first = int(w.row[row]) + begin
+            last = min(first + 2 * index.length, int(w.row[row + 1]))
+            parts = index.question[item], index.answer[item]
+            found = [len(part & spans.within(first, last, size)) if size else 0 for part, size in parts]
+            (q, _), (a, _) = parts
             share = [f / max(1, len(part)) for f, part in zip(found, (q, a), strict=True)]
             if sum(found) >= OVERLAP * (len(q) + len(a)) or share[0] >= OVERLAP and len(q) >= QUESTION_SHINGLES:
                 key = (row, index.ids[item])
@@ -246,19 +261,11 @@ def leaks(indexes: list[Index], texts: list[str | None]) -> list[tuple]:
     return [(row, i, -begin, score, q, a) for (row, i), (q, a, score, begin) in sorted(best.items(), key=lambda x: x[0][0])]
 
 
-def _found(there: np.ndarray, part: np.ndarray) -> int:
-    """How many of the shingles stand in the passage; a part shorter than a shingle is looked for whole."""
-    if not len(part):
-        return 0
-    return int(max(len(np.intersect1d(part, words.windows(there, size))) for size in range(1, SHINGLE + 1)
-                   if len(there) >= size and (size == SHINGLE or len(part) == 1)) if len(there) else 0)
-
-
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         w = normal(batch.column("text").to_pylist())
-        h, owner = w.hashes().view(np.int64), w.owner()
-        yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(owner)), pa.array(owner), pa.array(h)], ["part", "row", "term"])
+        h, owner = w.hashes().view(np.int64), pa.array(w.owner())
+        yield pa.RecordBatch.from_arrays([batch.column("part").take(owner), batch.column("row").take(owner), pa.array(h)], ["part", "row", "term"])
 
 
 def indexes(items: DataFrame, key: str = "item_id", text: str = "text"):
@@ -269,10 +276,9 @@ def indexes(items: DataFrame, key: str = "item_id", text: str = "text"):
     parts = -(-size // PART_BYTES)
     if not parts:
         return
-    slim = base.written(slim.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")))
-    rows = slim.select("part", "text").mapInArrow(_item_terms, "part int, row long, term long")
-    rows = base.written(rows.withColumn("task", F.spark_partition_id()))
-    number = base.written(rows.groupBy("term").agg(F.countDistinct("task", "row").alias("df"), F.count(F.lit(1)).alias("tf")))
+    slim = base.written(slim.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("row", F.monotonically_increasing_id()))
+    rows = base.written(slim.select("part", "row", "text").mapInArrow(_item_terms, "part int, row long, term long"))
+    number = base.written(rows.groupBy("term").agg(F.countDistinct("row").alias("df"), F.count(F.lit(1)).alias("tf")))
     total = slim.count()
     mean = max(1.0, (number.agg(F.sum("tf")).first()[0] or 0) / max(total, 1))
     for part in range(parts):
@@ -304,7 +310,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     or question and answer together, stand in one passage by a share of ``OVERLAP`` of their shingles or
     more; the values are those of the best passage. Words are lower-cased runs of letters and digits.
     Null, empty and wordless texts and items leak nothing. Repeated rows come back as often as given, a
-    null key as null. An empty test set gives no rows.
+    null key as null. An empty test set gives no rows. Where both keys have one name, the item's is
+    returned as ``item_<name>``. Columns but the keys and texts are not read.
     """
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     schema = T.StructType([T.StructField("_key", docs.schema[key].dataType)]
@@ -312,7 +319,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                           + [T.StructField(c, T.DoubleType()) for c in ("bm25", "question_overlap", "answer_overlap")])
     found = [slim.mapInArrow(_find("_key", "_text", shared), schema) for shared in indexes(items, item_key, item_text)]
     out = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
-    return out.select(F.col("_key").alias(key), F.col("item").cast(items.schema[item_key].dataType).alias(item_key),
+    return out.select(F.col("_key").alias(key), F.col("item").cast(items.schema[item_key].dataType).alias(item_key if item_key != key else f"item_{item_key}"),
                       "first_word", "bm25", "question_overlap", "answer_overlap")
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -149,3 +150,29 @@ def test_whole_tables_against_brute_force(spark):
         there = grams(plain_words(r.text))
         want |= {(r.doc_id, i) for i, g in own.items() if len(g & there) >= 0.8 * len(g)}
     assert got == want and len(want) > 20
+
+
+def test_document_frequencies_over_many_batches(spark):
+    """Items of one task that come in several Arrow batches are items of their own."""
+    texts = [f"shared words here {c * 3} {c * 4}" for c in "abcdef"]
+    items = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "item_id long, text string, row long").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        (index,) = next(iter(decontaminate.indexes(items))).value
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    h = {w: decontaminate.normal([w]).hashes()[0] for w in ("shared", "aaa")}
+    weight = {w: index.top[list(index.terms).index(x)] for w, x in h.items()}
+    length = decontaminate.K1 + 1  # every item has the mean length and every term once
+    assert abs(weight["shared"] - math.log1p(0.5 / 6.5) * length / length) < 1e-9
+    assert abs(weight["aaa"] - math.log1p(5.5 / 1.5)) < 1e-9
+
+
+def test_keys_of_one_name_and_clashing_columns(spark):
+    text = "what is the tallest of all the mountains that stand on the small round island? it is the old grey one"
+    docs = spark.createDataFrame([("d", f"before {text} after", 1, 2.0)], "id string, text string, first_word int, bm25 double")
+    items = spark.createDataFrame([("i", text, "p")], "id string, text string, part string")
+    out = decontaminate.find_leaks(docs, items, key="id", item_key="id")
+    assert out.columns[:2] == ["id", "item_id"] and [tuple(r)[:2] for r in out.collect()] == [("d", "i")]
+    assert decontaminate.without_leaks(docs, items, item_key="id").count() == 0
