@@ -11,6 +11,8 @@ from tallyloom.operators import ordered as od
 from tallyloom.operators import similarity as si
 from tallyloom.operators import worklist as wl
 from tallyloom.plans.registry import query
+from tallyloom.sources import files
+from tallyloom.sources.store import new_path
 from tallyloom.sources.tables import load, spread
 
 # SQL spellings of the same fixed values
@@ -41,6 +43,61 @@ def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url").startswith("https:").alias("secure"))
 
 
+SCORED = """
+SELECT d.doc_id, d.source, d.n_chars, l.quality, CASE WHEN l.doc_id IS NULL THEN 'PENDING' WHEN l.quality = 1 THEN 'PASSED' ELSE 'FAILED' END AS status
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record a document, as a scoring step would leave it."""
+    labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
+    status = F.when(F.col("_known").isNull(), "PENDING").when(F.col("quality") == 1, "PASSED").otherwise("FAILED")
+    return load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(
+        labels.withColumn("_known", F.lit(True)), "doc_id", "left").select("doc_id", "source", "n_chars", "quality", status.alias("status"))
+
+
+@query("record_files", f"SELECT CAST(doc_id AS VARCHAR) AS key, s.* FROM ({SCORED}) s")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored documents written as one JSON file each and read back."""
+    records, path = scored(spark, sf_dir), new_path(spark, "records")
+    files.write_records(records, path, F.col("doc_id"))
+    return files.read_records(spark, path, records.schema).filter(~F.col("bad")).select("key", "record.*")
+
+
+@query("text_files", f"""
+SELECT CAST(doc_id AS VARCHAR) AS key, octet_length(encode(body)) AS bytes, md5(body) AS digest
+FROM (SELECT doc_id, coalesce({sql_strip("replace(text, chr(13) || chr(10), chr(10))")}, '') AS body FROM documents)""")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts written as one file each, next to files of another suffix, and read back by name."""
+    docs, path = load(spark, sf_dir, "documents"), new_path(spark, "texts")
+    body = tx.strip(F.replace("text", F.lit("\r\n"), F.lit("\n")))
+    files.write_files(docs, path, F.col("doc_id"), body, ".txt")
+    files.write_files(load(spark, sf_dir, "labels"), path, F.col("doc_id"), F.lit("a note, not a text"), "_note.txt", append=True)
+    back = files.read_files(spark, path, ".txt", "_note.txt")
+    return back.filter(F.col("problem").isNull()).select("key", "bytes", F.md5("text").alias("digest"))
+
+
+@query("record_phases", f"""
+WITH s AS ({SCORED}), texts AS (SELECT doc_id, length(text) % 5 = 0 AS torn FROM documents)
+SELECT s.source, CASE WHEN t.torn THEN 'UNREADABLE' ELSE s.status END AS status, count(*) AS files,
+       coalesce(CAST(sum(CASE WHEN NOT t.torn THEN s.n_chars END) AS BIGINT), 0) AS chars
+FROM s JOIN texts t ON t.doc_id = s.doc_id GROUP BY 1, 2""")
+def record_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pending to summary over files: records are written, some of them torn off as by a crash, read back, and
+    counted by what they say; a torn one is counted too and known by its key."""
+    docs, path = load(spark, sf_dir, "documents"), new_path(spark, "phases")
+    records = scored(spark, sf_dir)
+    torn = docs.select("doc_id", (F.length("text") % 5 == 0).alias("torn"))
+    whole = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"})
+    text = F.when(F.col("torn"), F.substring(whole, F.lit(1), F.length(whole) - F.lit(7))).otherwise(whole)
+    files.write_files(records.join(torn, "doc_id"), path, F.col("doc_id"), text, ".json")
+    back = files.read_records(spark, path, records.schema)
+    known = docs.select(F.col("doc_id").cast("string").alias("key"), F.col("source").alias("of"))
+    return back.join(known, "key").groupBy(
+        F.col("of").alias("source"), F.when(F.col("bad"), "UNREADABLE").otherwise(F.col("record.status")).alias("status")).agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("record.n_chars"), F.lit(0)).alias("chars"))
+
+
 @query("pending_documents", """
 SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def pending_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
