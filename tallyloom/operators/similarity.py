@@ -198,19 +198,39 @@ def shared_runs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 # --- edit distance -----------------------------------------------------------------------------------
 
-TINY_PARTS = 64
+def deletions(word: Column, d: int) -> Column:
+    """Hashes of all strings that up to ``d`` deletions make of a word, itself included."""
+    none = F.array().cast("array<string>")
+
+    def shorter(v: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(v))
+        cut = F.transform(places, lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))
+        return F.when(F.length(v) > 0, cut).otherwise(none)
+
+    def step(state: Column, _: Column) -> Column:
+        more = F.array_distinct(F.flatten(F.transform(state["last"], shorter)))
+        return F.struct(F.concat(state["all"], more).alias("all"), more.alias("last"))
+
+    start = F.struct(F.array(word).alias("all"), F.array(word).alias("last"))
+    return F.transform(F.aggregate(F.sequence(F.lit(1), F.lit(d)), start, step)["all"], lambda v: F.xxhash64(v))
 
 
 def fuzzy_pairs(names: DataFrame, name: str, d: int) -> DataFrame:
-    """Pairs of distinct strings within edit distance ``d``, as ``(name_a, name_b, distance)``.
+    """Pairs of distinct strings within edit distance ``d`` (1 or more), as ``(name_a, name_b, distance)``.
 
-    Cut the longer string of a pair into d + 1 even pieces: d edits leave one piece untouched, and
-    it then occurs in the shorter string at most d places away. Strings meet on (length, piece number,
-    piece) only; the distance is checked inside the join. Strings of up to d characters are all within
-    d of each other.
+    Strings of up to 2d + 1 characters meet in a deletion index: two strings within d edits of each other have a common
+    string that each becomes by d deletions or fewer, and a string that short has few of those.
+
+    Of a pair with a longer string, cut that into d + 1 even pieces of two characters or more: d edits leave one piece
+    untouched, and it then occurs in the shorter string at most d places away. Strings meet on (length, piece number, piece).
+
+    Either way strings meet on a key of their content only, and the distance is checked inside the join. Nulls pair with
+    nothing; repeated strings count once.
     """
-    words = names.select(F.col(name).alias("w")).distinct().withColumn("len", F.length("w"))
-    pieces = d + 1
+    if d < 1:
+        raise ValueError("the distance must be 1 or more")
+    words = names.select(F.col(name).alias("w")).filter(F.col("w").isNotNull()).distinct().withColumn("len", F.length("w"))
+    pieces, brief = d + 1, 2 * d + 1
 
     def start(length: Column, i: Column) -> Column:
         # the last (length mod pieces) pieces are one character longer
@@ -220,15 +240,16 @@ def fuzzy_pairs(names: DataFrame, name: str, d: int) -> DataFrame:
         return F.floor(length / pieces) + F.when(i >= pieces - length % pieces, 1).otherwise(0)
 
     index = (
-        words.filter(F.col("len") > d)
+        words.filter(F.col("len") > brief)
         .select("w", "len", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("i"))
         .select(F.col("w").alias("long_w"), F.col("len").alias("long_len"), "i", F.substring(
             "w", (start(F.col("len"), F.col("i")) + 1).cast("int"),
             width(F.col("len"), F.col("i")).cast("int")).alias("piece"))
     )
     probe = (
-        words.select("w", "len", F.explode(F.sequence(F.col("len"), F.col("len") + d)).alias("long_len"))
-        .filter(F.col("long_len") > d)
+        words.filter(F.col("len") + d > brief)
+        .select("w", "len", F.explode(F.sequence(F.col("len"), F.col("len") + d)).alias("long_len"))
+        .filter(F.col("long_len") > brief)
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("i"))
         .withColumns({"p": start(F.col("long_len"), F.col("i")).cast("int"),
                       "n": width(F.col("long_len"), F.col("i")).cast("int")})
@@ -237,17 +258,12 @@ def fuzzy_pairs(names: DataFrame, name: str, d: int) -> DataFrame:
         .select(F.col("w").alias("short_w"), "long_len", "i", F.explode(F.array_distinct(F.transform(
             F.sequence("lo", "hi"), lambda q: F.substring("w", q + 1, F.col("n"))))).alias("piece"))
     )
-    distance = F.levenshtein("short_w", "long_w", d)
-    met = probe.join(index, ["long_len", "i", "piece"]).filter(
-        (F.col("short_w") != F.col("long_w")) & (distance >= 0)
-    )
-    # all pairs of these are in the result; each string meets the others in the part of its hash
-    tiny = words.filter(F.col("len") <= d)
-    short = tiny.select(F.col("w").alias("short_w"), F.pmod(F.xxhash64("w"), F.lit(TINY_PARTS)).alias("_k")).join(
-        tiny.select(F.col("w").alias("long_w"), F.explode(F.sequence(F.lit(0), F.lit(TINY_PARTS - 1))).cast("bigint").alias("_k")), "_k"
-    ).filter(F.col("short_w") < F.col("long_w"))
+    near = F.levenshtein("short_w", "long_w", d) >= 0
+    met = probe.join(index, ["long_len", "i", "piece"]).filter((F.col("short_w") != F.col("long_w")) & near)
+    short = words.filter(F.col("len") <= brief).select("w", F.explode(deletions(F.col("w"), d)).alias("key"))
+    same = short.select(F.col("w").alias("short_w"), "key").join(short.select(F.col("w").alias("long_w"), "key"), "key")
     return (
-        met.select("short_w", "long_w").unionByName(short.select("short_w", "long_w"))
+        met.select("short_w", "long_w").unionByName(same.filter((F.col("short_w") < F.col("long_w")) & near).select("short_w", "long_w"))
         .select(F.least("short_w", "long_w").alias("name_a"), F.greatest("short_w", "long_w").alias("name_b"))
         .distinct()
         .withColumn("distance", F.levenshtein("name_a", "name_b").cast("bigint"))

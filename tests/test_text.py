@@ -197,6 +197,25 @@ def test_fuzzy_pairs(spark, d):
     assert got == {k: v for k, v in want.items() if v <= d}
 
 
+def test_fuzzy_pairs_of_short_strings(spark):
+    words = {a + b + c for a in ("", "a", "b", "é") for b in ("", "a", "c", "中") for c in ("", "b", "aa")}
+    df = spark.createDataFrame([(w,) for w in [*words, None, None, "a"]], "w string")
+    got = {(r.name_a, r.name_b): r.distance for r in si.fuzzy_pairs(df, "w", 2).collect()}
+    assert got == {(a, b): edits(a, b) for a in words for b in words if a < b and edits(a, b) <= 2}
+    assert si.fuzzy_pairs(df.limit(0), "w", 2).count() == 0
+    plan = si.fuzzy_pairs(df, "w", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_deletions(spark):
+    row = spark.createDataFrame([("abca", "", "x")], "w string, e string, x string").select(
+        si.deletions(F.col("w"), 2).alias("w"), si.deletions(F.col("e"), 2).alias("e"), si.deletions(F.col("x"), 3).alias("x"))
+    want = {"abca", "bca", "aca", "aba", "abc", "ca", "ba", "bc", "aa", "ac", "ab"}
+    hashes = {r.h for r in spark.createDataFrame([(v,) for v in want], "v string").select(F.xxhash64("v").alias("h")).collect()}
+    got = row.first()
+    assert set(got.w) == hashes and len(got.e) == 1 and len(got.x) == 2
+
+
 def test_line_diff(spark):
     pairs = [(1, "a\nb\na\nc", "a\nc\nc"), (2, "same\n", "same\n"), (3, "", "x")]
     df = spark.createDataFrame(pairs, "i bigint, t string, u string")
