@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import text as tx
+from tallyloom.operators.matching import ratios
 from tallyloom.operators.ordered import with_previous
 from tallyloom.sources.store import small, store
 
@@ -79,18 +80,24 @@ def overall(scores: dict[str, Column]) -> Column:
     return sum((F.lit(w) * scores[name] for name, w in WEIGHTS.items()), F.lit(0.0))
 
 
-def _ratio(a, b) -> float:
-    a, b = (x if isinstance(x, str) else list(x) for x in (a, b))
-    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+def _units(sides: list[pd.Series]) -> list[list[np.ndarray]]:
+    """Texts as code points, arrays as numbers of their distinct values; null is empty."""
+    values = [x for side in sides for x in side]
+    if any(isinstance(x, str) for x in values):
+        return [[np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) for x in side] for side in sides]
+    arrays = [np.asarray([] if x is None else x, object) for x in values]
+    codes = pd.factorize(np.concatenate([np.zeros(0, object), *arrays]))[0].astype(np.int64)
+    cut = np.split(codes, np.cumsum([len(x) for x in arrays])[:-1]) if arrays else []
+    return [cut[: len(sides[0])], cut[len(sides[0]) :]]
 
 
 def _matching_ratio(sides: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in sides:
-        yield pd.Series([_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
+        yield pd.Series(ratios(*_units([left, right])), dtype="float64")
 
 
 matching_ratio = F.pandas_udf(_matching_ratio, T.DoubleType())
-"""Exact matching-block ratio of two texts or arrays of units; the slow path, for pairs already joined."""
+"""Exact matching-block ratio of two texts or arrays of units, a batch of pairs at once; for pairs already joined."""
 
 
 def _common_length(a: list[str], b: list[str]) -> int:

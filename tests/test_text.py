@@ -232,3 +232,38 @@ def test_versions_chain_in_a_hot_key(spark):
         spark.conf.unset("spark.tallyloom.maxGroupRows")
     hot = [i for i in range(90) if i % 3 or i == 0]
     assert got == {(a, b, f"text {a}", f"text {b}") for a, b in zip(hot, hot[1:])}
+
+
+def test_matching_ratio_of_odd_rows(spark):
+    from difflib import SequenceMatcher
+
+    rows = [("abcd", "bcde"), (None, None), (None, "x"), ("", ""), ("é中\U0001f600a", "中\U0001f600b"), ("a" * 5000, "a" * 4000 + "b"), ("x y " * 80, "y x " * 90)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a string, b string")
+    words = lambda c: F.split(F.coalesce(c, F.lit("")), " ")
+    got = {r.i: r for r in si.exact_scores(df, ["i"], {"text": (F.col("a"), F.col("b")), "word": (words(F.col("a")), words(F.col("b")))}).collect()}
+    for i, (a, b) in enumerate(rows):
+        a, b = a or "", b or ""
+        assert got[i].text_ratio == pytest.approx(SequenceMatcher(None, a, b).ratio(), abs=1e-12)
+        assert got[i].word_ratio == pytest.approx(SequenceMatcher(None, a.split(" "), b.split(" ")).ratio(), abs=1e-12)
+
+
+def test_exact_similarity_equals_the_plain_rule(spark):
+    """The whole query against the standard matcher, pair by pair."""
+    from difflib import SequenceMatcher
+
+    from tallyloom.functions import text as tx
+    from tallyloom.plans import text_plans
+
+    where = "/root/testdata/sf0.001"
+    got = {(r.id_a, r.id_b): r for r in text_plans.exact_similarity(spark, where).collect()}
+    pairs = text_plans.document_versions(spark, where).select("id_a", "id_b", tx.normalise(F.col("text_a")).alias("a"), tx.normalise(F.col("text_b")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    rows = pairs.select("id_a", "id_b", F.struct("a", tx.line_units(a).alias("l"), tx.tokens(a).alias("t"), tx.punctuation(a).alias("p")).alias("a"),
+                        F.struct(b, tx.line_units(b).alias("l"), tx.tokens(b).alias("t"), tx.punctuation(b).alias("p")).alias("b")).collect()
+    assert len(rows) == len(got) > 0
+    weights = [si.WEIGHTS[k] for k in ("character", "line", "token", "structure")]
+    for r in rows:
+        want = [SequenceMatcher(None, x, y).ratio() for x, y in zip(tuple(r.a), tuple(r.b))]
+        found = got[r.id_a, r.id_b]
+        assert [found.character_ratio, found.line_ratio, found.token_ratio, found.structure_ratio] == pytest.approx(want, abs=1e-12)
+        assert found.overall_ratio == pytest.approx(sum(w * x for w, x in zip(weights, want)), abs=1e-9)
