@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.operators import graph as gr
+from tallyloom.operators import paths as pa
 from tallyloom.plans.registry import query
 from tallyloom.sources.store import store
 from tallyloom.sources.tables import load
@@ -76,6 +77,32 @@ def path_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.path_exists(edges, probes, "start", "goal").select("o_custkey", "l_suppkey", "found")
 
 
+GOODS_SQL = """
+  traded AS (SELECT o_custkey AS c, -1 - l_suppkey AS s, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS returned
+             FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+  links AS (SELECT s AS u, c AS v FROM traded WHERE n >= 3 UNION ALL SELECT c, s FROM traded WHERE returned >= 2)
+"""
+
+
+@query("goods_paths", f"""
+WITH RECURSIVE {GOODS_SQL}, walk AS (
+  SELECT DISTINCT c AS source, c AS target FROM traded
+  UNION SELECT source, v FROM walk JOIN links ON u = target)
+SELECT t.c AS customer, t.s AS supplier, w.source IS NOT NULL AS found
+FROM traded t LEFT JOIN walk w ON w.source = t.c AND w.target = t.s""")
+def goods_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every customer and supplier that trade: can goods get back from the customer to the supplier, over suppliers
+    that take returns and customers they deliver to?"""
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    items = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
+    traded = items.join(orders, "l_orderkey").groupBy(F.col("o_custkey").alias("customer"), (-1 - F.col("l_suppkey")).alias("supplier")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    traded = store(traded, "goods").df
+    out = traded.filter("n >= 3").select(F.col("supplier").alias("u"), F.col("customer").alias("v"))
+    back = traded.filter("returned >= 2").select(F.col("customer").alias("u"), F.col("supplier").alias("v"))
+    return pa.connected(out.unionByName(back), traded.select("customer", "supplier"), "customer", "supplier")
+
+
 DIST_SQL = """
   dist(v, d) USING KEY (v) AS (
     SELECT {source}::BIGINT, 0::BIGINT
