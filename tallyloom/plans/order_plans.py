@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import aggregates as ag
+from tallyloom.operators import itemsets as it
 from tallyloom.operators import ordered as od
 from tallyloom.operators import selection as se
 from tallyloom.operators import similarity as si
@@ -246,6 +247,17 @@ def frequent_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.col("items")[i].alias(f"brand_{i + 1}") for i in range(3)], "support")
 
 
+@query("frequent_sets", BRANDS_SQL.replace("WITH", "WITH RECURSIVE", 1).rstrip() + """,
+grown AS (
+  SELECT l_orderkey, p_brand AS items, p_brand AS last FROM held
+  UNION ALL SELECT g.l_orderkey, g.items || ',' || h.p_brand, h.p_brand FROM grown g JOIN held h ON h.l_orderkey = g.l_orderkey AND h.p_brand > g.last)
+SELECT items, length(items) - length(replace(items, ',', '')) + 1 AS size, count(*) AS support FROM grown GROUP BY 1, 2 HAVING count(*) >= 4""")
+def frequent_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of brands of any size that at least four orders hold together."""
+    found = it.frequent_sets(order_brands(spark, sf_dir), "l_orderkey", "p_brand", 4)
+    return found.select(F.array_join("items", ",").alias("items"), F.size("items").cast("bigint").alias("size"), "support")
+
+
 # --- parts -------------------------------------------------------------------------------------------
 
 @query("fuzzy_part_names", """
