@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions import tables
 from tallyloom.operators import aggregates as ag
 from tallyloom.operators import graph as gr
 from tallyloom.operators import nested as ne
@@ -98,7 +99,7 @@ def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("best", F.col("best").cast("double"))
 
 
-@query("lis_by_user", """
+RISE_SQL = """
 WITH RECURSIVE seq AS (
   SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 fold(user_id, rn, ends) AS (
@@ -107,7 +108,17 @@ fold(user_id, rn, ends) AS (
   SELECT f.user_id, s.rn, list_concat(list_filter(f.ends, lambda e: e < s.v), [s.v],
          f.ends[len(list_filter(f.ends, lambda e: e < s.v)) + 2 :])
   FROM fold f JOIN seq s ON s.user_id = f.user_id AND s.rn = f.rn + 1)
-SELECT user_id, max(len(ends))::BIGINT AS length FROM fold GROUP BY user_id""")
+SELECT user_id, max(len(ends))::BIGINT AS length FROM fold GROUP BY user_id"""
+
+
+@query("rise_table_function", RISE_SQL)
+def rise_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in SQL: the table function names its own partitioning and order."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM longest_rise(TABLE(SELECT * FROM {rows}), 'user_id', 'at, event_id', 'value')", rows=events(spark, sf_dir))
+
+
+@query("lis_by_user", RISE_SQL)
 def lis_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return od.longest_increasing(events(spark, sf_dir), ["user_id"], ["at", "event_id"], "value")
 

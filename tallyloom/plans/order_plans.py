@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import tables
 from tallyloom.operators import aggregates as ag
 from tallyloom.operators import itemsets as it
 from tallyloom.operators import ordered as od
@@ -174,7 +175,7 @@ def counting_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.counting_sort(load(spark, sf_dir, "lineitem"), "l_quantity")
 
 
-@query("quantity_granularity", """
+GRANULARITY_SQL = """
 WITH RECURSIVE v AS (
   SELECT l_partkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity) AS rn
   FROM (SELECT DISTINCT l_partkey, l_quantity FROM lineitem)),
@@ -182,7 +183,19 @@ fold AS (
   SELECT l_partkey, rn, q AS g FROM v WHERE rn = 1
   UNION ALL
   SELECT f.l_partkey, v.rn, gcd(f.g, v.q) FROM fold f JOIN v ON v.l_partkey = f.l_partkey AND v.rn = f.rn + 1)
-SELECT l_partkey, min(g) AS gcd FROM fold GROUP BY l_partkey""")
+SELECT l_partkey, min(g) AS gcd FROM fold GROUP BY l_partkey"""
+
+
+@query("fold_table_function", GRANULARITY_SQL)
+def fold_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in SQL, in two steps: each task's states, then all of a key's."""
+    tables.register(spark)
+    rows = load(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("bigint").alias("q"))
+    return spark.sql("""SELECT l_partkey, value AS gcd FROM fold_all(TABLE(
+        SELECT * FROM fold_part(TABLE(SELECT * FROM {rows}), 'l_partkey', 'q', 'gcd')), 'l_partkey', 'gcd')""", rows=rows)
+
+
+@query("quantity_granularity", GRANULARITY_SQL)
 def quantity_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.granularity(load(spark, sf_dir, "lineitem"), ["l_partkey"], F.col("l_quantity"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import tables
 from tallyloom.functions import text as tx
 from tallyloom.operators import nested as ne
 from tallyloom.operators import ordered as od
@@ -265,7 +266,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("docs"))
 
 
-@query("chunk_documents", """
+CHUNK_SQL = """
 WITH RECURSIVE cut(doc_id, chunk_no, piece, rest) AS (
   SELECT doc_id, -1::BIGINT, '', text FROM documents
   UNION ALL
@@ -275,7 +276,18 @@ WITH RECURSIVE cut(doc_id, chunk_no, piece, rest) AS (
     FROM (SELECT *, 401 - strpos(reverse(substr(rest, 2, 400)), ' ')
                     - CASE WHEN strpos(reverse(substr(rest, 2, 400)), ' ') = 0 THEN 401 ELSE 0 END AS sp
           FROM cut WHERE rest IS NOT NULL)))
-SELECT doc_id, chunk_no, length(piece) AS length, md5(piece) AS digest FROM cut WHERE chunk_no >= 0""")
+SELECT doc_id, chunk_no, length(piece) AS length, md5(piece) AS digest FROM cut WHERE chunk_no >= 0"""
+
+
+@query("chunk_table_function", CHUNK_SQL)
+def chunk_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in SQL, as a lateral join with a row generator."""
+    tables.register(spark)
+    return spark.sql("""SELECT doc_id, no AS chunk_no, CAST(length(piece) AS BIGINT) AS length, md5(piece) AS digest
+        FROM {docs} AS d, LATERAL wrap_text(d.text, 400)""", docs=spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("chunk_documents", CHUNK_SQL)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     pieces = documents.select(
