@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, a batch of rows at a time, for word-level tokenizers.
 
-For a tokenizer that drops white space, a text's ids are those of its words one behind the other, so a word
-met before costs a dictionary look-up. A word not met before goes through the library, or, where the
+For a tokenizer that drops white space, a text's ids are those of its words one behind the other. Words are found
+and hashed (128 bits) for a whole batch at once, and one met before costs a look-up. A word not met before goes through the library, or, where the
 tokenizer's file has the steps named in ``follows_kinds`` and the word consists of Latin letters, digits and
 ASCII signs, through ``Merges``: the file's merges, applied to the pieces of all new words of a batch at once. Tests hold the ids against the library's.
 """
@@ -11,10 +11,12 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
+from tallyloom.llm import words
 from tallyloom.llm.bpe_automaton import NEVER, Hashed, byte_letters, gathered
 
 MOST_WORDS = 400_000
@@ -32,17 +34,6 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 """The pattern that ``KIND`` follows: runs of letters, single digits, runs of signs."""
 
 
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-"""White space to Python but not to the tokenizer."""
-
-
-def cut_words(text: str) -> list[str]:
-    """White space ends words and is dropped by the tokenizer, so words may be encoded one by one."""
-    if any(c in text for c in SEPARATORS):
-        return text.replace("\n", " ").split(" ")
-    return text.split()
-
-
 def follows_kinds(spec: dict) -> bool:
     """Whether the file says: compose, blank, lower-case, cut into ``PIECES``, bytes as letters, merge."""
     before, cut, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
@@ -72,30 +63,40 @@ class Merges:
         if len(np.unique(self.made)) != len(pairs):
             raise ValueError("two merges make one token")
 
+    def ranks(self, ids: np.ndarray, piece: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at some places; a piece's last token begins none."""
+        out = np.full(len(at), NEVER, np.int32)
+        inside = np.flatnonzero(at + 1 < len(ids))
+        inside = inside[piece[at[inside]] == piece[at[inside] + 1]]
+        here = at[inside]
+        out[inside] = self.rank.get(ids[here] << 24 | ids[here + 1])
+        return out
+
     def apply(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces of UTF-8 bytes (none of them empty), flat with offsets."""
         ids, piece = self.inner[data], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         ids[offsets[1:] - 1] = self.last[data[offsets[1:] - 1]]
+        rank = self.ranks(ids, piece, np.arange(len(ids)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(ids):
-            inside = piece[1:] == piece[:-1]
-            rank = np.full(len(ids), NEVER, np.int32)
-            at = np.flatnonzero(inside)
-            rank[at] = self.rank.get(ids[at] << 24 | ids[at + 1])
-            first = np.flatnonzero(np.concatenate([[True], ~inside]))
+            first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
             best = np.minimum.reduceat(rank, first)
             size = np.diff(np.append(first, len(ids)))
-            ends = np.repeat(best == NEVER, size)
-            if ends.any():
-                done.append((piece[ends], ids[ends]))
-            here = np.flatnonzero((rank == np.repeat(best, size)) & ~ends)
+            gone = np.repeat(best == NEVER, size)
+            if gone.any():
+                done.append((piece[gone], ids[gone]))
+            here = np.flatnonzero((rank == np.repeat(best, size)) & ~gone)
             if len(here):  # of places that overlap, every second one
                 run = np.concatenate([[True], (here[1:] != here[:-1] + 1)])
                 since = np.arange(len(here)) - np.maximum.accumulate(np.where(run, np.arange(len(here)), 0))
                 here = here[since % 2 == 0]
                 ids[here] = self.made[rank[here]]
-                ends[here + 1] = True
-            ids, piece = ids[~ends], piece[~ends]
+                gone[here + 1] = True
+            kept = ~gone
+            at = (np.cumsum(kept) - 1)[here]
+            ids, piece, rank = ids[kept], piece[kept], rank[kept]
+            for changed in (at, at[at > 0] - 1):  # only pairs next to a merge are new
+                rank[changed] = self.ranks(ids, piece, changed)
         if not done:
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         owner, found = (np.concatenate(x) for x in zip(*done, strict=True))
@@ -103,6 +104,40 @@ class Merges:
         return found[by], np.searchsorted(owner[by], np.arange(len(offsets)))
 
 
+class Numbers:
+    """Numbers of words by their hashes: an open table that is searched and filled in bulk."""
+
+    def __init__(self, most: int):
+        self.bits = max(4, int(4 * most).bit_length())
+        self.h, self.g = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
+        self.number = np.full(1 << self.bits, -1, np.int32)
+
+    def get(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Numbers, -1 for a word that is not in the table."""
+        out, open_ = np.full(len(h), -1, np.int64), np.arange(len(h))
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(open_):
+            there = self.number[at]
+            hit = (there >= 0) & (self.h[at] == h[open_]) & (self.g[at] == g[open_])
+            out[open_[hit]] = there[hit]
+            more = (there >= 0) & ~hit
+            open_, at = open_[more], (at[more] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def put(self, h: np.ndarray, g: np.ndarray, number: np.ndarray) -> None:
+        """Distinct words that are not in the table."""
+        at, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = np.flatnonzero(self.number[at[todo]] < 0)
+            _, first = np.unique(at[todo[free]], return_index=True)
+            some = todo[free[first]]
+            self.h[at[some]], self.g[at[some]], self.number[at[some]] = h[some], g[some], number[some]
+            left = np.ones(len(todo), bool)
+            left[free[first]] = False
+            todo = todo[left]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+
 class WordIds:
     """Texts to ids, with the words met so far."""
 
@@ -114,15 +149,16 @@ class WordIds:
         file = json.loads(spec)
         self.merges = Merges(file["model"]) if follows_kinds(file) else None
         self.special = [t["content"] for t in file["added_tokens"]]
-        self.known: dict[str, int] = {}
         self.tokens, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.met = np.zeros(0, np.int64)
-
-    def fill(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words in an order of its own, with their ids, flat with offsets."""
-        easy = self.easy(words) if self.merges is not None and words else np.zeros(len(words), bool)
-        plain = [w for w, ok in zip(words, easy.tolist(), strict=True) if ok]
-        whole = [w for w, ok in zip(words, easy.tolist(), strict=True) if not ok]
+        self.h, self.g, self.met = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known = Numbers(MOST_WORDS)
+
+    def fill(self, given: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the words in an order of its own, with their ids, flat with offsets."""
+        easy = self.easy(given) if self.merges is not None and given else np.zeros(len(given), bool)
+        order = np.concatenate([np.flatnonzero(easy), np.flatnonzero(~easy)])
+        plain = [w for w, ok in zip(given, easy.tolist(), strict=True) if ok]
+        whole = [w for w, ok in zip(given, easy.tolist(), strict=True) if not ok]
         ids, ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
         if plain:
             data = np.frombuffer("\n".join(plain).lower().encode(), np.uint8)
@@ -136,7 +172,7 @@ class WordIds:
         rest = [e.ids for e in self.library.encode_batch_fast(whole, add_special_tokens=False)]
         more = np.cumsum([len(x) for x in rest], dtype=np.int64) + ends[-1]
         ids = np.concatenate([ids, np.fromiter(chain.from_iterable(rest), np.int64)]).astype(np.int32)
-        return plain + whole, ids, np.concatenate([ends, more])
+        return order, ids, np.concatenate([ends, more])
 
     def easy(self, words: list[str]) -> np.ndarray:
         """Words of ASCII signs without apostrophes, digits, and letters up to U+017F, once lower-cased."""
@@ -152,33 +188,44 @@ class WordIds:
         return ok
 
     def shrink(self) -> None:
-        """Keep the words met most often, in the order they came."""
+        """Keep the words met most often."""
         least = max(2, int(np.partition(self.met, -MOST_WORDS // 2)[-MOST_WORDS // 2]) + 1)
         kept = np.flatnonzero(self.met >= least)
-        names = list(self.known)
-        self.known = {names[i]: k for k, i in enumerate(kept.tolist())}
         self.tokens, self.offsets = gathered(self.tokens, self.offsets, kept)
-        self.met = np.ones(len(kept), np.int64)
+        self.h, self.g, self.met = self.h[kept], self.g[kept], np.ones(len(kept), np.int64)
+        self.known = Numbers(MOST_WORDS)
+        self.known.put(self.h, self.g, np.arange(len(kept)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, with text offsets."""
-        cut = [cut_words(t) for t in texts]
-        if len(self.known) > MOST_WORDS:
+        if len(self.h) > MOST_WORDS:
             self.shrink()
-        flat = list(chain.from_iterable(cut))
-        code = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(code < 0).tolist()
-        if missing:
-            new, tokens, offsets = self.fill(list({flat[i]: None for i in missing}))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        w = words.words(pa.array(texts, pa.large_string()))
+        h, g = w.hashes(0), w.hashes(1)
+        code = self.known.get(h, g)
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            by = missing[np.lexsort((g[missing], h[missing]))]
+            first = np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (g[by][1:] != g[by][:-1])])
+            new, raw = by[first], w.data.tobytes()
+            found = [raw[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]
+            order, tokens, offsets = self.fill(found)
+            number = np.empty(len(new), np.int64)
+            number[order] = len(self.h) + np.arange(len(new))
+            code[by] = number[np.cumsum(first) - 1]
+            self.h, self.g = np.concatenate([self.h, h[new[order]]]), np.concatenate([self.g, g[new[order]]])
             self.offsets = np.concatenate([self.offsets, len(self.tokens) + offsets[1:]])
             self.tokens = np.concatenate([self.tokens, tokens])
-            code[missing] = [self.known[flat[i]] for i in missing]
-        met = np.bincount(code, minlength=len(self.known))
+            if len(self.h) > 2 * MOST_WORDS:  # more new words in one batch than the table is made for
+                self.known = Numbers(len(self.h))
+                self.known.put(self.h, self.g, np.arange(len(self.h)))
+            else:
+                self.known.put(h[new], g[new], number)
+        met = np.bincount(code, minlength=len(self.h))
         met[: len(self.met)] += self.met
         self.met = met
         ids, ends = gathered(self.tokens, self.offsets, code)
-        return ids, ends[np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int64)]
+        return ids, ends[w.row]
 
 
 @lru_cache(maxsize=1)

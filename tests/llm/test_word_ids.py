@@ -24,9 +24,9 @@ def test_words_get_the_librarys_ids():
     letters = "".join(map(chr, range(33, 0x180)))
     words = list(dict.fromkeys(ODD + ["".join(pick.choice(letters) for _ in range(pick.randint(1, 9))) for _ in range(8000)]
                                + ["".join(pick.choice("aabcdelnorst") for _ in range(pick.randint(1, 64))) for _ in range(3000)]))
-    given, ids, ends = e.fill(words)
-    assert sorted(given) == sorted(words)
-    for k, w in enumerate(given):
+    order, ids, ends = e.fill(words)
+    assert sorted(order.tolist()) == list(range(len(words)))
+    for k, w in enumerate(words[i] for i in order.tolist()):
         assert ids[ends[k] : ends[k + 1]].tolist() == want(e, w), w
     assert [len(x) for x in e.fill([])] == [0, 0, 1]
 
@@ -47,3 +47,15 @@ def test_a_file_of_another_kind_goes_through_the_library():
     assert e.merges is None
     ids, _ = e.encode(["Some Words, other words"])
     assert ids.tolist() == want(e, "Some Words, other words")
+
+
+def test_numbers_of_words():
+    import numpy as np
+
+    h, g = (np.random.default_rng(k).integers(0, 40, 900, dtype=np.uint64) << np.uint64(58) for k in (1, 2))  # few hashes: long probes
+    pairs = list(dict.fromkeys(zip(h.tolist(), g.tolist(), strict=True)))
+    h, g = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
+    table = word_ids.Numbers(len(h))
+    table.put(h[:500], g[:500], np.arange(500))
+    table.put(h[500:800], g[500:800], np.arange(500, len(h[:800])))
+    assert table.get(h, g).tolist() == [k if k < 800 else -1 for k in range(len(h))]
