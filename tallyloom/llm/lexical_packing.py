@@ -3,7 +3,7 @@
 1. Every text is encoded where it stands; only ids move from here on. Term statistics (a term is a token id,
    so there are as many as the vocabulary has) are counted over all documents.
 2. Documents are sorted by their two heaviest terms and dealt out by range, so that documents about one thing
-   stand next to each other and a group of copies, however large, is cut by its keys. A task reads its range
+   stand next to each other and a group of copies, however large, is cut by a hash of its rows. A task reads its range
    in order and closes a shard of the index whenever it has ``SHARD_TOKENS`` ids; memory is bounded by that and by the
    longest document.
 3. In a shard, the first unused document is the seed of a window. Its distinct terms query the shard's inverted
@@ -55,15 +55,27 @@ def _encode(spec, end_id: int, kind: str):
 
 def terms_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, term, count)`` of some documents, by row and term."""
-    row, term, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, x in enumerate(ids):
-        if len(x):
-            x = np.sort(x, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            row.append(np.full(len(first), k))
-            term.append(x[first])
-            count.append(np.diff(np.append(first, len(x))))
-    return np.concatenate(row), np.concatenate(term).astype(np.int64), np.concatenate(count)
+    row = np.repeat(np.arange(len(ids), dtype=np.uint64), [len(x) for x in ids])
+    flat = np.concatenate([*ids, np.zeros(0, ids[0].dtype if ids else np.uint16)])
+    small = flat.dtype.itemsize == 2 and len(ids) <= 1 << 16
+    kind, bits = (np.uint32, 16) if small else (np.uint64, 32)  # narrow keys sort fastest
+    key = np.sort(row.astype(kind) << kind(bits) | flat.astype(kind))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    found = key[first]
+    return (found >> kind(bits)).astype(np.int64), (found & kind((1 << bits) - 1)).astype(np.int64), np.diff(np.append(first, len(key)))
+
+
+GROUP_TOKENS = 1 << 20
+
+
+def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``GROUP_TOKENS`` ids, one row at least."""
+    group = np.cumsum(batch.column("n").to_numpy()) // GROUP_TOKENS
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, int(np.searchsorted(group, group[at], "right")) - at)
+        at += part.num_rows
+        yield part
 
 
 def arrays(column: pa.Array, kind: str) -> list[np.ndarray]:
@@ -74,9 +86,8 @@ def _frequencies(kind: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in arrays(batch.column("ids"), kind):
-                _, term, _ = terms_of([x])
-                df[term] += 1
+            for part in groups(batch):
+                df += np.bincount(terms_of(arrays(part.column("ids"), kind))[1], minlength=vocabulary)
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], ["term", "df"])
     return run
@@ -99,18 +110,11 @@ def heaviest(ids: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     return out
 
 
-GROUP_TOKENS = 1 << 20
-
-
 def _routes(kind: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, _ = shared.value
         for batch in batches:
-            group = np.cumsum(batch.column("n").to_numpy()) // GROUP_TOKENS if batch.num_rows else np.zeros(0)
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, int(np.searchsorted(group, group[at], "right")) - at)
-                at += part.num_rows
+            for part in groups(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heaviest(arrays(part.column("ids"), kind), idf))], ["key", "n", "ids", "route"])
     return run
 
@@ -280,15 +284,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text
         return spark.createDataFrame([], pieces).withColumnRenamed("key", key)
     if kind != "<u2":
         vocabulary = 1 + max(r[0] for r in rows.select("ids").mapInArrow(_largest(kind), "id long").groupBy().max("id").collect())
-    found = rows.select("ids").mapInArrow(_frequencies(kind, vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    found = rows.select("n", "ids").mapInArrow(_frequencies(kind, vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     got = found.toArrow()  # at most the vocabulary
     df = np.zeros(vocabulary)
     df[got.column("term").to_numpy()] = got.column("df").to_numpy()
     shared = spark.sparkContext.broadcast((np.log1p((total - df + 0.5) / (df + 0.5)), tokens / total))
     routed = rows.mapInArrow(_routes(kind, shared), T.StructType([*schema, T.StructField("route", T.LongType())]))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    near = ["route", "key", "n", "ids"]
-    placed = routed.repartitionByRange(parts, *near).sortWithinPartitions(*near)
+    # equal routes are dealt out by a hash, so that range bounds, which pass the driver, are two numbers each
+    placed = routed.withColumn("spread", F.xxhash64("key", "ids"))
+    placed = placed.repartitionByRange(parts, "route", "spread").sortWithinPartitions("route", "spread", "key", "ids")
     out = placed.select("key", "ids").mapInArrow(
         _pack(kind, window, shard_tokens, shared), pieces)
     return out.withColumnRenamed("key", key)
