@@ -75,17 +75,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("at"), part.column("label"), base.lists(flat.astype(np.int32), offsets)], ["at", "label", "x"])
 
 
-def _fit(rows: pa.Table) -> pa.Table:
-    rows = rows.combine_chunks()
-    x = [v.values.to_numpy() for v in rows.column("x").combine_chunks()]
-    order, y = rows.column("at").to_pylist(), rows.column("label").to_pylist()
-    by = sorted(range(len(x)), key=lambda i: (order[i], x[i].tobytes(), y[i]))
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    for _ in range(EPOCHS):
-        ftrl([x[i] for i in by], np.array([y[i] for i in by]), z, n)
-    w = weights_of(z[:-1], n[:-1])
-    at = np.flatnonzero(w)
-    return pa.table({"place": np.append(at, -1), "weight": np.append(w[at], bias_of(z, n))})
+def _fit(sample: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [], []
+        for batch in batches:  # in order; features stay as compact arrays
+            flat, ends = batch.column("x").flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column("x").value_lengths().to_numpy())])
+            x += [flat[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)][: sample - len(x)]
+            y += batch.column("label").to_pylist()[: sample - len(y)]
+        z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+        for _ in range(EPOCHS):
+            ftrl(x, np.array(y), z, n)
+        w = weights_of(z[:-1], n[:-1])
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias_of(z, n)))], ["place", "weight"])
+    return run
 
 
 def order_of(key: Column) -> Column:
@@ -115,8 +118,8 @@ def _learnt(known: DataFrame, last: int | None, sample: int):
     if last is None:
         return np.zeros(0, np.int32), np.zeros(0), 0.0
     chosen = known.filter(F.col("at") <= last).mapInArrow(_features, "at long, label double, x array<int>")
-    chosen = chosen.orderBy("at", "x", "label").limit(sample)
-    got = chosen.groupBy(F.lit(0).alias("one")).applyInArrow(_fit, "place long, weight double").toArrow()  # at most 2**BITS + 1 rows
+    chosen = chosen.repartition(1).sortWithinPartitions("at", "x", "label")  # the sample; FTRL is sequential
+    got = chosen.mapInArrow(_fit(sample), "place long, weight double").toArrow()  # at most 2**BITS + 1 rows
     place, weight = got.column("place").to_numpy(), got.column("weight").to_numpy()
     return place[place >= 0].astype(np.int32), weight[place >= 0], float(weight[place < 0].sum())
 
