@@ -48,7 +48,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document left, their number, and digests of the ids and of the text they decode to."""
     path = public_tokenizers.path(TOKENIZER)
-    ids = bpe_automaton.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
+    # written in between, so that a task runs one Python worker at a time
+    ids = base.written(bpe_automaton.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"))
     return bpe_automaton.decode(ids, path).select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
