@@ -7,6 +7,7 @@ row count is small.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from tallyloom.sources.store import Stored, small, store
 
 
+MOST_TABLES = 32
+"""Tables of settled rows that are kept apart before they are written as one."""
+
+
 def _slim(edges: DataFrame) -> Stored:
     """One row per (u, v) with the smallest weight."""
     return store(edges.groupBy("u", "v").agg(F.min("w").alias("w")), "edges")
@@ -156,35 +161,94 @@ def all_pairs(edges: DataFrame) -> DataFrame:
 
 # --- order and trees -----------------------------------------------------------------------------
 
+def _chain_heads(links: DataFrame, inner: Stored) -> list[Stored]:
+    """Tables ``(id, head, n)``: the vertex ``n`` steps before ``id`` that starts its chain.
+
+    ``inner(id)`` are vertices with one edge in and one out. Pointers to predecessors are doubled; a row
+    leaves the loop once it points to a vertex that is not inner. A round in which none leaves proves that
+    only cycles are left, and those get no row.
+    """
+    ids = small(inner.rows, inner.df.select(F.col("id").alias("head"), F.lit(True).alias("_inner")))
+
+    def split(rows: DataFrame) -> Stored:
+        marked = rows.join(ids, "head", "left").select("id", "head", "n", F.col("_inner").isNull().alias("done"))
+        return store(marked, "heads", open=F.count_if(~F.col("done")))
+
+    own = links.select(F.col("u").alias("head"), F.col("v").alias("id"), F.lit(1).cast("bigint").alias("n"))
+    state = split(own.join(small(inner.rows, inner.df), "id", "left_semi"))
+    finished, before = [], None
+    while True:
+        if state.rows > state.seen["open"]:
+            finished.append(state)
+        if not state.seen["open"] or state.seen["open"] == before:
+            return finished
+        before = state.seen["open"]
+        going = state.df.filter(~F.col("done")).drop("done")
+        known = reduce(DataFrame.unionByName, [t.df.filter("done").drop("done") for t in finished], going)
+        known = known.select(F.col("id").alias("head"), F.col("head").alias("_far"), F.col("n").alias("_more"))
+        state = split(going.join(known, "head").select("id", F.col("_far").alias("head"), (F.col("n") + F.col("_more")).alias("n")))
+
+
 def topological_levels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``(id, level)``: level 0 has no predecessor, every other vertex is one above its highest one.
 
-    Vertices on a cycle or behind one get no row. Each round closes the edges sent out by the
-    vertices settled last and settles those that have no open incoming edge left.
+    Vertices on a cycle or behind one get no row, and a NULL end is no vertex. Runs of vertices with one
+    edge in and one out are first contracted by pointer doubling to one edge with a length, so the
+    rounds that follow count the branchings of the longest path and not its steps. Each of those rounds
+    closes the edges sent out by the vertices settled last; settled vertices leave the loop.
     """
-    links = store(edges.select("u", "v").distinct(), "links").df
-    ids = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id")))
+    links = store(edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull()).select("u", "v").distinct(), "links").df
+    ends = links.select(F.col("u").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(
+        links.select(F.col("v").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     if vertices is not None:
-        ids = ids.unionByName(vertices.select("id"))
-    incoming = links.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("open"))
-    start = ids.distinct().join(incoming, "id", "left").select(
-        "id", F.coalesce("open", F.lit(0)).alias("open"), F.when(F.col("open").isNull(), 0).alias("level"))
-    level = 0
-    state = store(start, "topo", settled=F.count_if(F.col("level") == 0))
+        alone = vertices.filter(F.col("id").isNotNull()).select("id", F.lit(0).alias("i"), F.lit(0).alias("o"))
+        ends = ends.unionByName(alone)
+    degrees = store(ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o")), "degrees").df
+    is_inner = (F.col("i") == 1) & (F.col("o") == 1)
+    inner = store(degrees.filter(is_inner).select("id"), "inner")
+    chains = [t.df.filter("done").select("id", "head", "n") for t in _chain_heads(links, inner)]
+    runs = reduce(DataFrame.unionByName, chains) if chains else None
+
+    one = F.lit(1).cast("bigint")
+    joined = links.join(small(inner.rows, inner.df.withColumnRenamed("id", "v")), "v", "left_anti")
+    if runs is None:
+        short = joined.select("u", "v", one.alias("length"))
+    else:
+        short = joined.join(runs.withColumnRenamed("id", "u"), "u", "left").select(
+            F.coalesce("head", "u").alias("u"), "v", (one + F.coalesce("n", F.lit(0))).alias("length"))
+    short = store(short.groupBy("u", "v").agg(F.max("length").alias("length")), "contracted").df
+
+    incoming = short.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("open"))
+    start = degrees.filter(~is_inner).select("id").join(incoming, "id", "left").select(
+        "id", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("bigint").alias("level"))
+    state = store(start, "topo", settled=F.count_if(F.col("open") == 0))
+    settled = []
     while state.seen["settled"]:
-        front = state.df.filter(F.col("level") == level).select(F.col("id").alias("u"))
+        settled.append(state)
+        front = state.df.filter(F.col("open") == 0).select(F.col("id").alias("u"), "level")
         closed = (
-            links.join(small(int(state.seen["settled"]), front), "u")
-            .groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("_closed"))
+            short.join(small(int(state.seen["settled"]), front), "u").groupBy(F.col("v").alias("id"))
+            .agg(F.count(F.lit(1)).alias("_closed"), F.max(F.col("level") + F.col("length")).alias("_level"))
         )
-        level += 1
-        left = F.col("open") - F.coalesce("_closed", F.lit(0))
-        advanced = state.df.join(closed, "id", "left").select(
-            "id", left.alias("open"),
-            F.coalesce("level", F.when(left == 0, F.lit(level))).alias("level"))
-        before, state = state, store(advanced, "topo", settled=F.count_if(F.col("level") == level))
-        before.drop()
-    return state.df.filter(F.col("level").isNotNull()).select("id", "level")
+        advanced = state.df.filter(F.col("open") > 0).join(closed, "id", "left").select(
+            "id", (F.col("open") - F.coalesce("_closed", F.lit(0))).alias("open"), F.greatest("level", "_level").alias("level"))
+        state = store(advanced, "topo", settled=F.count_if(F.col("open") == 0))
+        if len(settled) == MOST_TABLES:
+            together = store(_settled(settled), "settled")
+            for t in settled:
+                t.drop()
+            settled = [together]
+    if not settled:
+        return degrees.select("id", F.lit(0).cast("bigint").alias("level")).limit(0)
+    levels = _settled(settled).select("id", "level")
+    if runs is None:
+        return levels
+    behind = runs.join(levels.withColumnRenamed("id", "head"), "head").select("id", (F.col("level") + F.col("n")).alias("level"))
+    return levels.unionByName(behind)
+
+
+def _settled(tables: list[Stored]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [t.df.filter(F.col("open") == 0) for t in tables])
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

@@ -22,11 +22,9 @@ def flatten_variant(df: DataFrame, ids: list[str], column: str) -> DataFrame:
     open_rows = df.select(*ids, F.array().cast("array<int>").alias("path"), F.col(column).alias("leaf"))
     leaves = None
     while True:
-        open_rows.createOrReplaceTempView("_open")
-        step = spark.sql(
-            f"SELECT {', '.join(ids)}, concat(path, array(pos)) AS path, value AS leaf, "
-            "schema_of_variant(value) LIKE 'ARRAY%' AS nested FROM _open, LATERAL variant_explode(leaf)"
-        )
+        step = open_rows.lateralJoin(spark.tvf.variant_explode(F.col("leaf").outer())).select(
+            *ids, F.concat("path", F.array("pos")).alias("path"), F.col("value").alias("leaf"),
+            F.schema_of_variant("value").startswith("ARRAY").alias("nested"))
         level = store(step, "flatten", nested=F.count_if("nested"))
         flat = level.df.filter(~F.col("nested")).drop("nested")
         leaves = flat if leaves is None else leaves.unionByName(flat)

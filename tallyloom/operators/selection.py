@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.sources.store import store
+from tallyloom.sources.store import small, store
 
 PARTIAL_LIMIT = 1000
 """Row numbers up to this are limited per partition before the shuffle (a planner threshold)."""
@@ -22,13 +25,13 @@ def best_under_capacity(items: DataFrame, keys: list[str], weight: Column, value
     taken if they are worth something; items of negative or NULL weight, and of NULL value, never are.
     NULL keys are one group.
     """
-    groups = store(items.select(*keys, capacity.alias("_cap")).distinct().withColumn(
-        "_g", F.xxhash64(F.to_json(F.struct(*keys, "_cap"), {"ignoreNullFields": "false"}))), "groups")
-    if groups.df.select("_g").distinct().count() != groups.rows:
-        raise ValueError("two groups share a hash")
+    groups = store(items.select(*keys, capacity.alias("_cap")).distinct().withColumn("_g", F.monotonically_increasing_id()), "groups")
     own, keys = keys, ["_g"]
-    items = items.select("*", F.xxhash64(F.to_json(F.struct(*own, capacity.alias("_cap")), {"ignoreNullFields": "false"})).alias("_g"))
-    sized = items.select(*keys, weight.alias("_w"), value.alias("_v"), capacity.alias("_cap"))
+    name = {c: f"_k{i}" for i, c in enumerate([*own, "_cap"])}
+    sized = items.select(*own, capacity.alias("_cap"), weight.alias("_w"), value.alias("_v"))
+    same_group = reduce(and_, [sized[c].eqNullSafe(F.col(k)) for c, k in name.items()])
+    numbers = small(groups.rows, groups.df.select("_g", *[F.col(c).alias(k) for c, k in name.items()]))
+    sized = store(sized.join(numbers, same_group).select("_g", "_w", "_v", "_cap"), "items").df
     free = sized.filter((F.col("_w") == 0) & (F.col("_v") > 0) & (F.col("_cap") >= 0)).groupBy("_g").agg(F.sum("_v").alias("_free"))
     sized = sized.filter((F.col("_w") > 0) & (F.col("_w") <= F.col("_cap")) & (F.col("_v") > 0))
     most = sized.agg(F.max(F.floor(F.col("_cap") / F.col("_w")))).first()[0] or 0
@@ -50,7 +53,7 @@ def best_under_capacity(items: DataFrame, keys: list[str], weight: Column, value
         "classes",
     ).df
     used, val = (F.lit(0).cast(taken.schema[c].dataType).alias(c) for c in ("_used", "_val"))
-    first = items.select(*keys, capacity.alias("_cap")).distinct().withColumn("_slot", F.lit(0))
+    first = groups.df.select("_g", "_cap").withColumn("_slot", F.lit(0))
     nothing = taken.select(*keys, "_cap", "_slot").unionByName(first).distinct()
     start = taken.unionByName(nothing.select(*keys, "_cap", "_slot", used, val))
     state = store(start, "budget", slots=F.max("_slot"))

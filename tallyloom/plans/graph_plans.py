@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.operators import graph as gr
+from tallyloom.operators import ordered as od
 from tallyloom.operators import paths as pa
 from tallyloom.plans.registry import query
 from tallyloom.sources.store import store
@@ -198,7 +199,23 @@ WITH RECURSIVE {NATION_SQL}, walk AS (
 SELECT id, max(level) AS level FROM walk GROUP BY id""")
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     forward = nation_edges(spark, sf_dir).filter("u < v")
-    return gr.topological_levels(forward, nations(spark, sf_dir))
+    return gr.topological_levels(forward, nations(spark, sf_dir)).withColumn("level", F.col("level").cast("int"))
+
+
+@query("event_depth", """
+WITH rows AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n,
+                     count(*) OVER (PARTITION BY event_type) AS last FROM events),
+ends AS (SELECT (-10 - user_id % 10)::BIGINT AS id, max(last) AS level FROM rows WHERE n = last GROUP BY ALL)
+SELECT event_id AS id, n - 1 AS level FROM rows
+UNION ALL SELECT id, level FROM ends UNION ALL SELECT -1, max(level) + 1 FROM ends HAVING count(*) > 0""")
+def event_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of a deep graph: events of a type follow each other, the last ones lead to classes of users, those to one end."""
+    events = load(spark, sf_dir, "events").select("event_id", "event_type", "ts", "user_id")
+    after = od.with_next(events, ["event_type"], ["ts", "event_id"], next="event_id")
+    group = (F.lit(-10) - F.col("user_id") % 10).cast("bigint")
+    steps = after.select(F.col("event_id").alias("u"), F.coalesce("next", group).alias("v"))
+    last = after.filter(F.col("next").isNull()).select(group.alias("u"), F.lit(-1).cast("bigint").alias("v")).distinct()
+    return gr.topological_levels(steps.unionByName(last))
 
 
 @query("spanning_tree", f"""

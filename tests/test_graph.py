@@ -81,6 +81,24 @@ def test_topological_levels(spark):
     assert got == {5: 0, 7: 0, 3: 0, 99: 0, 11: 1, 8: 1, 10: 2, 2: 2, 9: 2}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_topological_levels_of_deep_graphs(spark, seed):
+    """Long chains that branch and meet, cycles of plain chain vertices, and what lies behind a cycle."""
+    rng = random.Random(seed)
+    edges = {(i, i + 1) for i in range(300) if i % 70 != 69} | {(rng.randrange(0, 140), rng.randrange(141, 300)) for _ in range(6)}
+    edges |= {(500 + i, 500 + (i + 1) % 9) for i in range(9)} | {(600, 600), (700, 701), (701, 700), (701, 702), (702, 703), (703, 704)}
+    edges |= {(800 + i, 900 + i % 3) for i in range(12)} | {(900, 901), (901, 902)}
+    into, level = {}, {}
+    for u, v in edges:
+        into.setdefault(v, set()).add(u)
+        into.setdefault(u, set())
+    while ready := [v for v, us in into.items() if v not in level and us <= level.keys()]:
+        level |= {v: max((level[u] + 1 for u in into[v]), default=0) for v in ready}
+    df = spark.createDataFrame([*edges, *list(edges)[:5], (None, 3), (4, None)], "u bigint, v bigint")
+    got = gr.topological_levels(df, spark.createDataFrame([(None,), (5000,)], "id bigint")).collect()
+    assert len(got) == len(level) + 1 and {r.id: r.level for r in got} == level | {5000: 0}
+
+
 def kruskal(edges):
     root, kept = {}, set()
 

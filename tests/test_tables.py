@@ -199,7 +199,8 @@ def test_best_under_capacity(spark):
         cases[f"r{n}"] = (rng.randrange(5, 80), [(rng.randrange(1, 30), rng.randrange(1, 50)) for _ in range(25)])
     rows = [(name, cap, w, v) for name, (cap, items) in cases.items() for w, v in items]
     df = spark.createDataFrame(rows, "name string, cap bigint, w bigint, v bigint").repartition(5)
-    got = {r.name: r.best_value for r in se.best_under_capacity(df, ["name"], F.col("w"), F.col("v"), F.col("cap")).collect()}
+    wide = df.withColumns({"_g": F.lit(7), "_w": F.lit("x"), "_cap": F.lit(None), "_k0": F.lit(1)})  # names used inside
+    got = {r.name: r.best_value for r in se.best_under_capacity(wide, ["name"], F.col("w"), F.col("v"), F.col("cap")).collect()}
     assert got == {name: knapsack(*case) for name, case in cases.items() if name != "none"} | {"none": 0}
 
 
