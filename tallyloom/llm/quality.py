@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -91,8 +92,8 @@ def _features(text: str, kept: list[str]):
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(<key>, *FEATURES)`` of whole texts; a null text has no words and all counts 0."""
     schema = T.StructType([docs.schema[key], *[T.StructField(f, T.LongType()) for f in FEATURES]])
-    slim = docs.select(F.col(key), F.col(text).alias("_text"))
-    return slim.mapInArrow(_features("_text", [key]), schema)
+    own = f"text-{uuid4().hex}"
+    return docs.select(F.col(key), F.col(text).alias(own)).mapInArrow(_features(own, [key]), schema)
 
 
 def vote(rule: tuple) -> Column:
@@ -126,47 +127,78 @@ class Model:
         return np.log(self.prior / (1 - self.prior)) + picked.sum(1)
 
 
-#: Where the estimate starts, and by ``STRENGTH`` documents what it is drawn to: rules are better than chance.
-START_GOOD, START_BAD, START_PRIOR, STRENGTH = (0.002, 0.998), (0.4, 0.6), 0.9, 10.0
+#: What the estimate is drawn to by ``STRENGTH`` documents: rules are better than chance. Nothing in a large corpus.
+PRIOR_GOOD, PRIOR_BAD, PRIOR, STRENGTH = (0.002, 0.998), (0.4, 0.6), 0.9, 10.0
 
 
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, steps: int = 500) -> Model:
-    """The model that best explains the counted vote patterns."""
+def majority(votes: np.ndarray) -> np.ndarray:
+    """Share of good votes among the votes cast, with one of each kind added: where the estimate starts."""
+    return ((votes > 0).sum(1) + 1) / ((votes != 0).sum(1) + 2)
+
+
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, steps: int = 2000) -> Model:
+    """The model that best explains the counted vote patterns.
+
+    It starts from the majority of each document's votes, and no rule is taken to be better than another: one
+    that often disagrees with the others loses weight, and a lone bad vote of it is overruled. Rules of one
+    cause (``symbols`` and ``symbol_ends``) count as two voters.
+    """
     rules = votes.shape[1]
     one_hot = (votes[:, :, None] == np.array([-1, 1])).astype(float)
-    start_good, start_bad = (np.tile(np.array(x), (rules, 1)) for x in (START_GOOD, START_BAD))
-    model = Model(START_PRIOR, start_good, start_bad)
+    drawn_good, drawn_bad = (np.tile(np.array(x) * STRENGTH, (rules, 1)) for x in (PRIOR_GOOD, PRIOR_BAD))
+    good, model = majority(votes), Model(0.5, np.full((rules, 2), 0.5), np.full((rules, 2), 0.5))
     for _ in range(steps):
-        good = 1 / (1 + np.exp(-model.log_odds(votes)))
         g, b = counts * good, counts * (1 - good)
-        on_good = np.einsum("p,prv->rv", g, one_hot) + STRENGTH * start_good
-        on_bad = np.einsum("p,prv->rv", b, one_hot) + STRENGTH * start_bad
-        new = Model(float((g.sum() + STRENGTH * START_PRIOR) / (counts.sum() + STRENGTH)),
+        on_good, on_bad = (np.einsum("p,prv->rv", x, one_hot) + drawn for x, drawn in ((g, drawn_good), (b, drawn_bad)))
+        new = Model(float((g.sum() + STRENGTH * PRIOR) / (counts.sum() + STRENGTH)),
                     on_good / on_good.sum(1, keepdims=True), on_bad / on_bad.sum(1, keepdims=True))
-        moved = max(abs(new.prior - model.prior), np.abs(new.on_good - model.on_good).max(), np.abs(new.on_bad - model.on_bad).max())
-        model = new
+        moved = max(abs(new.prior - model.prior), np.abs(new.on_good - model.on_good).max(initial=0), np.abs(new.on_bad - model.on_bad).max(initial=0))
+        model, good = new, 1 / (1 + np.exp(-np.clip(new.log_odds(votes), -500, 500)))
         if moved < 1e-10:
             break
     return model
 
 
+NAMES = [f"vote_{name}" for name in RULES]
+
+
+def with_votes(found: DataFrame) -> DataFrame:
+    return found.select("*", *[vote(r).alias(name) for name, r in zip(NAMES, RULES.values(), strict=True)])
+
+
+def learnt(voted: DataFrame) -> Model:
+    """The label model of documents with votes."""
+    patterns = voted.groupBy(*NAMES).count().orderBy(*NAMES).toArrow()  # at most 3 ** rules rows
+    table = np.array([patterns.column(c).to_numpy() for c in NAMES], np.int64).T.reshape(-1, len(NAMES))
+    return expectation_maximisation(table, patterns.column("count").to_numpy().astype(float))
+
+
+def accuracies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(rule, right_on_good, right_on_bad)``: how often each rule's votes are right, as estimated without labels.
+
+    Without documents both are what the estimate is drawn to.
+    """
+    texts = docs.select(F.lit(None).cast("long").alias("key"), F.col(text).alias("text"))
+    model = learnt(with_votes(features(texts, "key", "text")))
+    rows = list(zip(RULES, model.on_good[:, 1].tolist(), model.on_bad[:, 0].tolist(), strict=True))
+    return docs.sparkSession.createDataFrame(rows, "rule string, right_on_good double, right_on_bad double")
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``(<key>, *FEATURES, base_failed, posterior, kept)`` for every row.
 
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated 3-word windows.
     ``kept``: not failed, and a posterior of ``threshold`` or more. A null, empty or wordless text
-    fails. Repeated rows come back as often as given and each counts as a document; keys may be null.
+    fails. Repeated rows come back as often as given and each counts as a document; keys may be null. A
+    key named like one of these columns takes its place.
     """
-    found = base.written(features(docs, key, text))
-    votes = [vote(r).alias(f"vote_{name}") for name, r in RULES.items()]
-    names = [f"vote_{name}" for name in RULES]
-    voted = found.select("*", *votes)
-    patterns = voted.groupBy(*names).count().orderBy(*names).toArrow()  # at most 3 ** rules rows
-    table = np.array([patterns.column(c).to_numpy() for c in names], np.int64).T.reshape(-1, len(names))
-    model = expectation_maximisation(table, patterns.column("count").to_numpy().astype(float))
+    own = f"key-{uuid4().hex}"
+    voted = with_votes(base.written(features(docs.select(F.col(key).alias(own), F.col(text).alias("text")), own, "text")))
+    model = learnt(voted)
     odds = F.lit(float(np.log(model.prior / (1 - model.prior))))
-    for name, (bad, none, good) in zip(names, model.weights().tolist(), strict=True):
+    for name, (bad, none, good) in zip(NAMES, model.weights().tolist(), strict=True):
         odds = odds + F.when(F.col(name) > 0, good).when(F.col(name) < 0, bad).otherwise(none)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (voted.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
-            .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*names))
+    out = (voted.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*NAMES))
+    return out.select(F.col(own).alias(key), *[c for c in out.columns if c not in (own, key)])

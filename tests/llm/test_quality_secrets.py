@@ -68,6 +68,73 @@ def test_clean_documents_stay_and_bad_ones_go(spark):
     assert got[got.quality == 0].kept.mean() <= 0.3
 
 
+def plain_model(rows, steps=2000):
+    """Expectation-maximisation document by document, in plain numbers; rows are lists of votes."""
+    m = len(rows[0])
+    good = [(sum(v > 0 for v in r) + 1) / (sum(v != 0 for v in r) + 2) for r in rows]
+    for _ in range(steps):
+        prior = (sum(good) + 9) / (len(rows) + 10)
+        right = {}
+        for kind, weight, drawn in ((1, good, {-1: 0.02, 1: 9.98}), (0, [1 - g for g in good], {-1: 4, 1: 6})):
+            for j in range(m):
+                n = {v: drawn[v] + sum(w for w, r in zip(weight, rows, strict=True) if r[j] == v) for v in (-1, 1)}
+                right[kind, j] = {v: n[v] / (n[-1] + n[1]) for v in n}
+        before, good = good, []
+        for r in rows:
+            a, b = prior, 1 - prior
+            for j, v in enumerate(r):
+                if v:
+                    a, b = a * right[1, j][v], b * right[0, j][v]
+            good.append(a / (a + b))
+        if max(abs(x - y) for x, y in zip(before, good, strict=True)) < 1e-11:
+            break
+    return good
+
+
+def plain_vote(row, rule):
+    value, good_from, good_to, bad_below, bad_above = rule
+    top, _, under = value.partition(" / ")
+    if under and not row[under]:
+        return 0
+    x = row[top] / row[under] if under else row[top]
+    if bad_below is not None and x < bad_below or bad_above is not None and x > bad_above:
+        return -1
+    return int((good_from is None or x >= good_from) and (good_to is None or x <= good_to))
+
+
+def test_query_equals_a_plain_model(spark):
+    got = plans.op3_quality_rules(spark, SF).collect()
+    counts = {r.doc_id: r for r in quality.features(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    votes = [[plain_vote(counts[r.doc_id], rule) for rule in quality.RULES.values()] for r in got]
+    for r, want in zip(got, plain_model(votes), strict=True):
+        assert abs(r.posterior - want) < 1e-6
+        assert r.kept is (not r.base_failed and want >= 0.5)
+
+
+def test_posterior_weighs_votes_and_overrules_a_lone_one(spark):
+    """Short documents are mostly good by their labels: the one vote against them is overruled."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.judge(docs).join(labels, "doc_id").toPandas()
+    votes = np.array([[plain_vote(r, rule) for rule in quality.RULES.values()] for r in got.to_dict("records")])
+    against, said = (votes < 0).sum(1), got.posterior >= 0.5
+    assert said[against == 0].all() and not said[against >= 3].any()
+    lone = (against == 1) & (votes[:, 0] < 0)
+    assert lone.sum() > 5 and said[lone].all() and got.quality[lone].mean() > 0.8
+    assert ((got.quality == 1) == said).mean() > 0.95
+    right = {r.rule: r for r in quality.accuracies(docs).collect()}
+    assert list(right) == list(quality.RULES) and right["symbols"].right_on_good > 0.99 and right["symbols"].right_on_bad > 0.4
+    assert right["length"].right_on_bad < 0.2  # a weak rule is found out
+
+
+def test_keys_named_like_a_count_and_empty_tables(spark):
+    docs = spark.createDataFrame([("a", "x y z " * 30), (None, None)], "n_words string, _text string")
+    got = quality.judge(docs, "n_words", "_text")
+    assert got.columns.count("n_words") == 1 and sorted(str(r.n_words) for r in got.collect()) == ["None", "a"]
+    empty = quality.accuracies(docs.limit(0), "_text").collect()
+    assert len(empty) == len(quality.RULES) and all((r.right_on_good, r.right_on_bad) == (0.998, 0.4) for r in empty)
+
+
 def base_spans(text):
     out = []
     for kind, pattern, least, group in (
