@@ -17,6 +17,8 @@ occurrences are written tables, so that Spark splits hot keys.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +93,8 @@ def _recurring(held: DataFrame, min_docs: int) -> DataFrame:
     return once.filter(F.col("n") >= min_docs).select("t1", "t2")
 
 
-def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS,
+               n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` without boilerplate lines, with ``n_lines`` and ``n_dropped``.
 
     Lines end at ``\\n``; what is left is joined by it and otherwise unchanged, and a document may be left
@@ -100,16 +103,17 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) ->
     replaced); repeated rows and equal texts are treated alike and count as one document.
     """
     drops = boilerplate(docs, text, min_docs)
-    own = ["_d1", "_d2"]
-    keyed = docs.select("*", *[c.alias(f"_d{k}") for k, c in zip((1, 2), _pair("d", text), strict=True)])
-    drops = drops.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("drop").alias("_drop"))
+    own = uuid4().hex
+    keys, drop = [f"d1_{own}", f"d2_{own}"], f"drop_{own}"
+    keyed = docs.select("*", *[c.alias(k) for k, c in zip(keys, _pair("d", text), strict=True)])
+    drops = drops.select(F.col("d1").alias(keys[0]), F.col("d2").alias(keys[1]), F.col("drop").alias(drop))
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_drop", i))
-    out = keyed.join(drops, own, "left").withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))})
-    return out.drop("_drop", *own)
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(drop, i))
+    out = keyed.join(drops, keys, "left").withColumns({
+        n_lines: F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        n_dropped: F.coalesce(F.size(drop), F.lit(0)).cast("long"),
+        text: F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))})
+    return out.drop(drop, *keys)
 
 
 #: The same for ``op2_line_templates`` in DuckDB's SQL, on strings instead of keys.

@@ -22,6 +22,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -280,4 +281,5 @@ def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFr
     """
     kept = [c for c in pages.columns if c not in (column, out)]
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField(out, T.StringType())])
-    return pages.select(*kept, F.col(column).alias("_html")).mapInArrow(_extract("_html", out, kept), schema)
+    own = f"html-{uuid4().hex}"
+    return pages.select(*kept, F.col(column).alias(own)).mapInArrow(_extract(own, out, kept), schema)

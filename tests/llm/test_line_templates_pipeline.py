@@ -133,3 +133,23 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_shared_ids(spark, tmp_path):
+    fixed = "All rights reserved by the great company of old"
+    own = [" ".join(f"{c}{i}{j}x" for j in range(40)) for i, c in enumerate("abcdefgh")]
+    rows = [(i, f"{t}\n{fixed}") for i, t in enumerate(own[:4])]
+    rows += [(0, own[4]), (0, own[5]), (0, own[5]), (9, own[4]), (None, own[4]), (None, None), (0, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "1 AS n_dropped", "2 AS n_lines", "3 AS _d1", "4 AS _drop", "5 AS _toxicity", "6 AS _text",
+        "7 AS id", "8 AS rep", "9 AS h1", "10 AS line", "11 AS component_id")
+    spark.createDataFrame([(i, 0, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        after = base.written(stage(spark, docs, str(tmp_path)))
+        assert after.dtypes == docs.dtypes, name
+        docs = after
+    got = docs.collect()
+    assert all((r.n_dropped, r.n_lines, r._d1, r._drop, r._toxicity, r.rep, r.line) == (1, 2, 3, 4, 5, 8, 10) for r in got)
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got)
+    # the texts that share id 0 stay, the copy under id 9 goes, repeated rows count once
+    assert kept == sorted([*enumerate(own[:4]), (0, own[4]), (0, own[5]), (-1, own[4]), (-1, ""), (0, ""), (7, "")])

@@ -49,7 +49,7 @@ def test_query_gives_every_article(spark):
 
 def test_tables(spark):
     rows = [(i, p, "old", 1) for i, (p, _) in enumerate(PAGES)] + [(None, "<p>x</p>", None, None), (3, "just text", "old", 1)]
-    out = main_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string, _t int"))
-    assert out.columns == ["page_id", "_t", "text"]
+    out = main_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string, _html int"))
+    assert out.columns == ["page_id", "_html", "text"]
     assert sorted(r.text for r in out.collect()) == sorted([w for _, w in PAGES] + ["x", "just text"])
     assert main_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
