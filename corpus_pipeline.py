@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,30 +15,42 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def own_name(label: str) -> str:
+    """A column name that no table has."""
+    return f"{label}_{uuid4().hex}"
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the toxicity limit, by a model learnt from the labels of what is there."""
     model = toxicity.fit_from(docs, base.table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity.TOXIC).select(docs.columns)
+    score = own_name("toxicity")
+    return toxicity.score(docs, model, out=score).filter(F.col(score) < toxicity.TOXIC).select(docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines; one that was nothing else goes. ``n_chars`` follows the text."""
-    left = line_templates.drop_lines(docs)
-    some = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    changed = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.filter(some).withColumn("n_chars", changed).select(docs.columns)
+    """Documents without boilerplate lines; one that was nothing else goes. ``n_chars`` follows the text, where there is one."""
+    lines, dropped = own_name("lines"), own_name("dropped")
+    left = line_templates.drop_lines(docs, n_lines=lines, n_dropped=dropped)
+    left = left.filter((F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(F.col(dropped) > 0, size).otherwise(F.col("n_chars")))
+    return left.select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles of similarity 0.8 or more: the smallest id.
 
-    Rows without an id stay; of rows that share an id one stays.
+    A document is an id with a text: rows that share an id but not their text are compared like any
+    others, the smaller hash of the text coming first; of rows that share both one stays. Rows without an id stay.
     """
-    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"), size=5, num=8, den=10)
-    first = base.written(groups.filter("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    key, names = own_name("key"), [own_name("id"), own_name("h1"), own_name("h2")]
+    parts = [F.col("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    keyed = docs.filter("doc_id IS NOT NULL").withColumns(dict(zip(names, parts, strict=True)))
+    groups = ngram_join.jaccard_components(keyed.select(F.struct(*names).alias(key), "text"), size=5, num=8, den=10, key=key)
+    first = base.written(groups.filter(F.col(key) == F.col("component_id")).select(f"{key}.*").distinct())
+    kept = keyed.join(first, names, "left_semi").dropDuplicates(names).select(docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
