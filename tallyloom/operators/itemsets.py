@@ -1,16 +1,17 @@
-"""Frequent item sets of any size from a vertical layout: for each item the bitmap of the baskets that hold it.
+"""Frequent item sets of any size by pattern growth over merged baskets.
 
-Baskets are numbered and cut into buckets of ``BUCKET`` (what an engine bitmap holds). A set's support is the
-number of bits that its items' bitmaps have in common, so larger sets come of smaller ones by intersection, without
-another look at the baskets: the sets of one bucket that share all items but the last are brought together, and
-each is intersected with those behind it. Bitmaps with few bits travel as lists of places. A level's counts are summed
-over the buckets, and only sets that are frequent go on to the next.
+Baskets with the same items are one row with a weight before anything is counted. A level holds, for each frequent set
+of its size, what the baskets that hold the set have behind its last item, again with equal rows merged to one with the
+sum of their weights. The next level is a count over (set, next item) and one join with the sets that are frequent, for all sets
+and baskets at once: a level never has more rows than there are different (set, rest of a basket), however many baskets repeat
+them, and nothing is computed once per set.
+
+``packed`` and ``unpacked`` turn an engine bitmap into bytes and back; bitmaps with few bits become lists of places.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +21,6 @@ from tallyloom.sources.store import small, store
 BUCKET = 32_768
 SPARSE = BUCKET // 32
 """Bits up to which a list of 16-bit places is at most half the bitmap."""
-AT_ONCE = 1024
-"""Bitmaps that are intersected with one other in one step."""
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -39,26 +38,6 @@ def packed(bits: np.ndarray, count: int) -> bytes:
     return np.flatnonzero(np.unpackbits(bits, bitorder="little")).astype("<u2").tobytes()
 
 
-def _larger(rows: pa.Table) -> pa.Table:
-    """All sets of one item more that some basket of the bucket holds, of sets that differ in their last item only."""
-    rows = rows.sort_by("last").combine_chunks()
-    bits = np.stack([unpacked(x.as_py()) for x in rows.column("bits")])
-    first, second, counts, made = [], [], [], []
-    for i in range(len(bits) - 1):
-        for at in range(i + 1, len(bits), AT_ONCE):
-            both = bits[i] & bits[at : at + AT_ONCE]
-            n = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
-            for j in np.flatnonzero(n).tolist():
-                first.append(i)
-                second.append(at + j)
-                counts.append(int(n[j]))
-                made.append(packed(both[j], int(n[j])))
-    i, j = pa.array(first, pa.int64()), pa.array(second, pa.int64())
-    items = [(a or []) + [x] for a, x in zip(rows.column("items").take(i).to_pylist(), rows.column("last").take(i).to_pylist(), strict=True)]
-    return pa.table({"bucket": rows.column("bucket").take(i), "items": pa.array(items, rows.schema.field("items").type),
-                     "last": rows.column("last").take(j), "bits": pa.array(made, pa.binary()), "n": pa.array(counts, pa.int64())})
-
-
 def frequent_sets(df: DataFrame, basket: str, item: str, min_support: int, longest: int | None = None) -> DataFrame:
     """``(items, support)``: every set of items, in ascending order, that at least ``min_support`` baskets hold together.
 
@@ -66,25 +45,31 @@ def frequent_sets(df: DataFrame, basket: str, item: str, min_support: int, longe
     are left out. A support below 1 counts as 1, so sets that no basket holds never come out.
     """
     least = max(1, min_support)
-    held = store(df.select(F.col(basket).alias("basket"), F.col(item).alias("last")).filter("basket IS NOT NULL AND last IS NOT NULL").distinct(), "held").df
-    single = store(held.groupBy("last").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least), "single")
-    kind = held.schema["last"].dataType
-    held = held.join(small(single.rows, single.df.select("last")), "last", "left_semi")
-    numbers = store(held.select("basket").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers").df
-    out = single.df.select(F.array("last").alias("items"), "support")
-    level = held.join(numbers, "basket").groupBy(F.bitmap_bucket_number("number").alias("bucket"), "last").agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
-    level = store(level.select("bucket", F.array().cast(T.ArrayType(kind)).alias("items"), "last", "bits"), "bits")
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("items", T.ArrayType(kind)), T.StructField("last", kind),
-                           T.StructField("bits", T.BinaryType()), T.StructField("n", T.LongType())])
-    size = 1
-    while level.rows and size != longest:
+    held = store(df.select(F.col(basket).alias("basket"), F.col(item).alias("last")).filter("basket IS NOT NULL AND last IS NOT NULL").distinct(), "held")
+    single = store(held.df.groupBy("last").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least), "single")
+    kind = held.df.schema["last"].dataType
+    kept = held.df.join(small(single.rows, single.df.select("last")), "last", "left_semi")
+    baskets = kept.groupBy("basket").agg(F.sort_array(F.collect_list("last")).alias("rest"))
+    merged = baskets.groupBy("rest").agg(F.count(F.lit(1)).alias("weight"))
+    level = store(merged.select(F.lit(0).cast("bigint").alias("prefix"), "rest", "weight"), "level")
+    held.drop()
+    single.drop()
+    out, before, size = None, None, 0
+    while (level.rows and size != longest) or out is None:
         size += 1
-        grown = store(level.df.groupBy("bucket", "items").applyInArrow(_larger, schema), "grown")
-        frequent = store(grown.df.groupBy("items", "last").agg(F.sum("n").alias("support")).filter(F.col("support") >= least), "frequent")
-        out = out.unionByName(frequent.df.select(F.concat("items", F.array("last")).alias("items"), "support"))
-        kept = grown.df.join(small(frequent.rows, frequent.df.select("items", "last")), ["items", "last"], "left_semi")
-        level.drop()
-        level = store(kept.select("bucket", "items", "last", "bits"), "bits")
-        grown.drop()
+        grown = level.df.select("prefix", F.posexplode("rest").alias("at", "last"), "rest", "weight")
+        counts = grown.groupBy("prefix", "last").agg(F.sum("weight").alias("support")).filter(F.col("support") >= least)
+        if before is None:
+            counts = counts.withColumn("items", F.array().cast(T.ArrayType(kind)))
+        else:
+            counts = counts.join(small(before.rows, before.df.select(F.col("id").alias("prefix"), "items")), "prefix")
+        found = store(counts.select("prefix", "last", F.concat("items", F.array("last")).alias("items"), "support",
+                                    F.monotonically_increasing_id().alias("id")), "frequent")
+        sets = found.df.select("items", "support")
+        out, before = sets if out is None else out.unionByName(sets), found
+        behind = grown.filter(F.col("at") + 1 < F.size("rest")).join(
+            small(found.rows, found.df.select("prefix", "last", "id")), ["prefix", "last"])
+        behind = behind.select(F.col("id").alias("prefix"), F.expr("slice(rest, at + 2, size(rest))").alias("rest"), "weight")
+        done, level = level, store(behind.groupBy("prefix", "rest").agg(F.sum("weight").alias("weight")), "level")
+        done.drop()
     return out

@@ -43,3 +43,21 @@ def test_packing():
         bits[np.random.default_rng(n).choice(itemsets.BUCKET, n, replace=False)] = True
         bits = np.packbits(bits, bitorder="little")
         assert (itemsets.unpacked(itemsets.packed(bits, n)) == bits).all()
+
+
+def test_equal_baskets_are_one_row(spark, monkeypatch):
+    """A level has a row for each different rest of a basket, not for each basket or each set in it."""
+    seen = []
+
+    def watched(df, label, **more):
+        seen.append((label, store(df, label, **more)))
+        return seen[-1][1]
+
+    store = itemsets.store
+    monkeypatch.setattr(itemsets, "store", watched)
+    rows = [(b, i) for b in range(600) for i in range(6 if b % 2 else 3)]
+    df = spark.createDataFrame(rows, "b int, i int")
+    got = {tuple(r["items"]): r.support for r in itemsets.frequent_sets(df, "b", "i", 4).collect()}
+    assert got == plain(rows, 4)
+    levels = [t.rows for label, t in seen if label == "level"]
+    assert levels and levels[0] == 2 and max(levels) <= 2 * len(got)
