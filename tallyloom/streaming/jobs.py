@@ -2,25 +2,30 @@
 
 Every job reads files, keeps its progress in a checkpoint folder and runs with
 ``trigger(availableNow=True)`` or any other trigger the caller passes. Jobs with a state for each key
-keep it in the engine's keyed state, which is versioned with the progress, so a repeated batch changes nothing
-and only the keys of a batch are rewritten. The rows of one key in one micro-batch are handled together:
-bound them with ``maxFilesPerTrigger``.
+keep it in the engine's keyed state, which is versioned with the progress, so a repeated batch changes nothing.
+The keys are dealt over ``GROUPS`` by hash, and a group's keys are worked on together in numpy: a micro-batch costs at most so
+many calls, however many keys it has. A group's state is one table of all its keys as bytes. The rows of one group in
+one micro-batch are handled together: bound them with ``maxFilesPerTrigger``.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState
 
 from tallyloom.sources.store import new_path
 
 AVAILABLE_NOW = {"availableNow": True}
+GROUPS = 1024
+"""Groups that the keys of a job with state are dealt over; a progress folder is bound to it."""
 
 
 def read_files(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None,
@@ -77,9 +82,42 @@ def _plain(df: DataFrame, column: str) -> Column:
     return F.unix_micros(column) if isinstance(df.schema[column].dataType, T.TimestampType) else F.col(column)
 
 
-def _typed(df: DataFrame, column: str) -> Column:
+def _typed(df: DataFrame, column: str, value: Column) -> Column:
     """The inverse of ``_plain``."""
-    return F.timestamp_micros(column) if isinstance(df.schema[column].dataType, T.TimestampType) else F.col(column)
+    return F.timestamp_micros(value) if isinstance(df.schema[column].dataType, T.TimestampType) else value
+
+
+def _grouped(stream: DataFrame, key: str, columns: list[str], **more: Column) -> DataFrame:
+    """``(_group, _key, _v0, _some0, _v1, ...)``: the key as text, so that it is exact beside nulls, and values without nulls.
+
+    A frame then never turns integers into floats; a flag says where a null was, and sorts first.
+    """
+    plain = [_plain(stream, c) for c in columns]
+    kinds = [T.LongType() if isinstance(k, T.TimestampType) else k for k in (stream.schema[c].dataType for c in columns)]
+    none = [F.lit({T.StringType: "", T.DateType: "1970-01-01"}.get(type(k), "0")).cast(k) for k in kinds]
+    values = [x for i, (v, n) in enumerate(zip(plain, none, strict=True))
+              for x in (F.coalesce(v, n).alias(f"_v{i}"), v.isNotNull().alias(f"_some{i}"))]
+    return stream.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("_group"), F.col(key).cast("string").alias("_key"),
+                         *values, *[c.alias(n) for n, c in more.items()])
+
+
+def _ordered(frame: pd.DataFrame, size: int) -> pd.DataFrame:
+    """Rows by key, then by the first ``size`` values, nulls first; ``_code`` numbers the keys."""
+    frame = frame.assign(_code=pd.factorize(frame["_key"], use_na_sentinel=False)[0])
+    by = [c for i in range(size) for c in (f"_some{i}", f"_v{i}")]
+    return frame.sort_values(["_code", *by], kind="stable").reset_index(drop=True)
+
+
+def _bytes(frame: pd.DataFrame, schema: pa.Schema) -> bytes:
+    table = pa.Table.from_pandas(frame, schema, preserve_index=False).replace_schema_metadata(None)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
 def stream_levels(stream: DataFrame, key: str, at: str, unique: str, delta: Column, folder: str,
@@ -89,39 +127,62 @@ def stream_levels(stream: DataFrame, key: str, at: str, unique: str, delta: Colu
     A row that lies before the last row of its key in an earlier batch is late: it comes out with a NULL
     level and changes nothing. A NULL step adds nothing; NULL keys are one group; a NULL time is before all others.
     """
-    rows = stream.select(key, _plain(stream, at).alias(at), unique, F.coalesce(delta.cast("bigint"), F.lit(0)).alias("_step"))
-    out_schema = T.StructType([rows.schema[key], rows.schema[at], rows.schema[unique],
-                               T.StructField("level", T.LongType()), T.StructField("late", T.BooleanType())])
-    kept = T.StructType([T.StructField("at", rows.schema[at].dataType), T.StructField("id", rows.schema[unique].dataType),
-                         T.StructField("level", T.LongType())])
-
-    whole = isinstance(rows.schema[at].dataType, T.IntegralType)
+    rows = _grouped(stream, key, [at, unique], _step=F.coalesce(delta.cast("bigint"), F.lit(0)))
+    values = [f for f in rows.schema.fields if f.name not in ("_group", "_step")]
+    out_schema = T.StructType([*values, T.StructField("level", T.LongType()), T.StructField("late", T.BooleanType())])
+    names = [f.name for f in values]
+    kept = to_arrow_schema(T.StructType([*values, T.StructField("_level", T.LongType())]))
 
     def follow(_, frames, state: GroupState):
-        batch = pd.concat(list(frames)).sort_values([at, unique], kind="stable", na_position="first").reset_index(drop=True)
-        none = batch[at].isna()
-        late = np.zeros(len(batch), bool)
-        level = 0
+        batch = pd.concat(list(frames))[[*names, "_step"]]
+        batch["_old"], batch["_level"] = False, 0
         if state.exists:
-            last_at, last_id, level = state.get
-            same, before = (none, False) if last_at is None else (batch[at] == last_at, none | (batch[at] < last_at))
-            late = (before | same & (batch[unique] <= last_id)).to_numpy(bool)
-        total = level + np.cumsum(batch["_step"].to_numpy()[~late])
-        levels = total - np.minimum(0, np.minimum.accumulate(total)) if len(total) else total
-        if len(levels):
-            end = batch[~late].iloc[-1]
-            last_at = None if pd.isna(end[at]) else int(end[at]) if whole else end[at]
-            state.update((last_at, end[unique], int(levels[-1])))
-        found = iter(levels.tolist())
-        yield pd.DataFrame({key: batch[key], at: batch[at], unique: batch[unique],
-                            "level": pd.array([None if x else next(found) for x in late], "Int64"), "late": late})
-
-    leveled = rows.groupBy(key).applyInPandasWithState(follow, out_schema, kept, "append", "NoTimeout")
+            last = _table(bytes(state.get[0])).to_pandas().assign(_old=True, _step=0)
+            batch = pd.concat([last, batch])  # before equal rows, as the sort is stable
+        batch = _ordered(batch, 2)
+        code, old = batch["_code"].to_numpy(), batch["_old"].to_numpy(bool)
+        # what sorts before or with a key's last row is late; keys without a last row have none
+        place = np.arange(len(batch))
+        upto = np.full(int(code.max()) + 1, -1)
+        upto[code[old]] = place[old]
+        late = place < upto[code]
+        if old.any():  # rows that equal the last one sort behind it
+            mark = upto[code]
+            same = (mark >= 0) & (place > mark)
+            for c in ("_some0", "_v0", "_some1", "_v1"):
+                values_ = batch[c].to_numpy()
+                same &= values_ == values_[np.maximum(mark, 0)]
+            late |= same
+        live = ~late
+        step = np.where(old, batch["_level"], batch["_step"])[live].astype(np.int64)  # a key starts from the level it had
+        level = np.zeros(len(batch), np.int64)
+        level[live] = _clamped(code[live], step)
+        end = batch.assign(_level=level)[live].drop_duplicates("_code", keep="last")
+        state.update((_bytes(end[[*names, "_level"]], kept),))
+        new = ~old
+        out = batch.loc[new, names].reset_index(drop=True)
+        out["level"] = pd.array(level[new], "Int64")
+        out.loc[late[new], "level"] = pd.NA
+        out["late"] = late[new]
+        yield out
+
+    leveled = rows.groupBy("_group").applyInPandasWithState(follow, out_schema, "last binary", "append", "NoTimeout")
     out = f"{folder}/out"
-    append_files(leveled.withColumn(at, _typed(stream, at)), out, f"{folder}/progress", trigger)
+    fields = [F.when(F.col(f"_some{i}"), _typed(stream, c, F.col(f"_v{i}"))).alias(c) for i, c in enumerate((at, unique))]
+    append_files(leveled.select(F.col("_key").cast(stream.schema[key].dataType).alias(key), *fields, "level", "late"), out, f"{folder}/progress", trigger)
     return out
 
 
+def _clamped(code: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Running sums that never fall below 0, anew for each run of equal codes."""
+    first = np.concatenate([[True], code[1:] != code[:-1]])[: len(code)]
+    total = np.cumsum(step)
+    run = np.cumsum(first) - 1
+    total = total - (total - step)[first][run] if len(code) else total
+    lowest = pd.Series(total).groupby(run).cummin().to_numpy()
+    return total - np.minimum(0, lowest)
+
+
 def stream_reorder(stream: DataFrame, key: str, order: list[str], k: int, folder: str,
                    flush: bool = True, trigger: dict | None = None) -> DataFrame:
     """Bounded reorder: per key the k largest rows seen are held back, the others are released in order.
@@ -131,39 +192,57 @@ def stream_reorder(stream: DataFrame, key: str, order: list[str], k: int, folder
     in a unique column and hold numbers, instants or strings; NULL sorts first. NULL keys are one group.
     """
     spark = stream.sparkSession
-    rows = stream.select(key, *[_plain(stream, c).alias(c) for c in order])
-    values = T.StructType([rows.schema[c] for c in order])
-    out_schema = T.StructType([rows.schema[key], T.StructField("seq", T.LongType()), *values.fields])
-
-    def place(row: list) -> list:
-        return [(v is not None, v) for v in row]
-
-    def release(group, frames, state: GroupState):
-        held, done = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        for frame in frames:
-            held += [list(r) for r in zip(*(_values(frame[c]) for c in order), strict=True)]
-        held.sort(key=place)
-        free, held = held[: max(0, len(held) - k)], held[max(0, len(held) - k) :]
-        state.update((json.dumps(held), done + len(free)))
-        columns = list(zip(*free, strict=True)) if free else [[]] * len(order)
-        fixed = {key: pd.Series([group[0]] * len(free), dtype=object), "seq": range(done + 1, done + 1 + len(free))}
-        yield pd.DataFrame(fixed | {c: pd.Series(list(v), dtype=object) for c, v in zip(order, columns, strict=True)})
-
-    released = rows.groupBy(key).applyInPandasWithState(release, out_schema, "held string, done bigint", "append", "NoTimeout")
+    rows = _grouped(stream, key, order)
+    values = [f for f in rows.schema.fields if f.name != "_group"]
+    out_schema = T.StructType([*values, T.StructField("seq", T.LongType())])
+    names = [f.name for f in values]
+    kept = to_arrow_schema(out_schema)
+    counts = pa.schema([("_key", pa.string()), ("done", pa.int64())])
+
+    def release(_, frames, state: GroupState):
+        seen = [f[names] for f in frames]
+        done = None
+        if state.exists:
+            seen.insert(0, _table(bytes(state.get[0])).to_pandas()[names])
+            done = _table(bytes(state.get[1])).to_pandas()
+        rows = _ordered(pd.concat(seen), len(order))
+        code = rows["_code"].to_numpy()
+        count = np.bincount(code)
+        place = np.arange(len(code)) - (np.cumsum(count) - count)[code]
+        keys = rows.drop_duplicates("_code")[["_key", "_code"]]
+        if done is None:
+            before = np.zeros(len(count), np.int64)
+        else:  # a key may have no row here when nothing is held back
+            known = pd.concat([keys, done[["_key"]]])["_key"]
+            number = pd.factorize(known, use_na_sentinel=False)[0]
+            before = np.zeros(int(number.max()) + 1, np.int64)
+            before[number[len(keys) :]] = done["done"].to_numpy()
+        free = place < count[code] - k
+        rows["seq"] = before[code] + place + 1
+        freed = np.bincount(code[free], minlength=len(count))
+        after = pd.DataFrame({"_key": keys["_key"].to_numpy(), "done": before[: len(count)] + freed})
+        if done is not None:
+            rest = done[number[len(keys) :] >= len(keys)]
+            after = pd.concat([after, rest])
+        state.update((_bytes(rows.loc[~free, [*names, "seq"]], kept), _bytes(after, counts)))
+        yield rows.loc[free, [*names, "seq"]]
+
+    def typed(df: DataFrame) -> DataFrame:
+        fields = [F.when(F.col(f"_some{i}"), _typed(stream, c, F.col(f"_v{i}"))).alias(c) for i, c in enumerate(order)]
+        return df.select(F.col("_key").cast(stream.schema[key].dataType).alias(key), "seq", *fields)
+
+    released = rows.groupBy("_group").applyInPandasWithState(release, out_schema, "held binary, done binary", "append", "NoTimeout")
     out, progress = f"{folder}/out", f"{folder}/progress"
-    append_files(released.select(key, "seq", *[_typed(stream, c).alias(c) for c in order]), out, progress, trigger)
+    append_files(typed(released), out, progress, trigger)
     schema = T.StructType([stream.schema[key], T.StructField("seq", T.LongType()), *[stream.schema[c] for c in order]])
     done = spark.read.schema(schema).parquet(out)
     if not flush:
         return done
-    state = spark.read.format("statestore").load(progress).select(
-        F.col(f"key.{key}").alias(key), F.col("value.groupState.held").alias("held"), F.col("value.groupState.done").alias("done"))
-    held = F.from_json("held", T.ArrayType(T.ArrayType(T.StringType())))
-    rest = state.select(key, "done", F.posexplode(held).alias("_n", "_row"))
-    rest = rest.select(key, (F.col("done") + F.col("_n") + 1).alias("seq"),
-                       *[F.get("_row", F.lit(i)).cast(values[c].dataType).alias(c) for i, c in enumerate(order)])
-    return done.unionByName(rest.select(key, "seq", *[_typed(stream, c).alias(c) for c in order]))
+    state = spark.read.format("statestore").load(progress).select(F.col("value.groupState.held").alias("held"))
 
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("held").to_pylist():
+                yield from _table(data).to_batches()
 
-def _values(column: pd.Series) -> list:
-    return [None if pd.isna(v) else v for v in column.tolist()]
+    return done.unionByName(typed(state.mapInArrow(held, out_schema)))

@@ -135,3 +135,24 @@ def test_streams_over_empty_tables(spark, tmp_path):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert stream_plans.stream_error_level(spark, str(tmp_path)).count() == 0
     assert stream_plans.stream_reorder(spark, str(tmp_path)).count() == 0
+
+
+def test_many_keys_are_worked_on_in_few_groups(spark, tmp_path, monkeypatch):
+    """The state has a row for each group of keys, not for each key; keys beside a null one stay exact."""
+    monkeypatch.setattr(jobs, "GROUPS", 4)
+    big = 2**60 + 1
+    data = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), big + i % 300 if i % 7 else None, 1) for i in range(900)]
+    for lo in (0, 500):
+        put(spark, tmp_path, data[lo:lo + 500])
+        stream = jobs.read_files(spark, str(tmp_path), "t")
+        levels = jobs.stream_levels(stream, "k", "ts", "id", F.col("x"), str(tmp_path / "levels"))
+        rows_ = jobs.stream_reorder(stream, "k", ["ts", "id"], 1, str(tmp_path / "reorder"))
+    want, count = {}, {}
+    for i, _, k, _ in data:
+        count[k] = want[i] = count.get(k, 0) + 1
+    keys = {i: k for i, _, k, _ in data}
+    got = {r.id: (r.k, r.level) for r in spark.read.parquet(levels).collect()}
+    assert got == {i: (keys[i], n) for i, n in want.items()}
+    assert {r.id: (r.k, r.seq) for r in rows_.collect()} == got
+    for name in ("levels", "reorder"):
+        assert spark.read.format("statestore").load(str(tmp_path / name / "progress")).count() <= 4
