@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +39,8 @@ def versions(df: DataFrame, key: Column, id_col: str, text_col: str) -> DataFram
     return linked.select("id_a", "id_b").join(older, "id_a").join(newer.hint("merge"), "id_b")
 
 
-def overlap_scores(pairs: DataFrame, ids: list[str], units: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Multiset overlap 2 * sum(min(count)) / total per kind of unit; 1.0 if both sides are empty.
-
-    This bounds the exact matching ratio from above. Units are counted per pair before any shuffle.
-    """
+def _counted(pairs: DataFrame, ids: list[str], units: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """``overlap_scores`` over all rows that share their ids, by one row per unit."""
     def tag(kind: str, col: Column, side: int) -> Column:
         return F.transform(col, lambda x: F.struct(
             F.lit(kind).alias("kind"), x.alias("unit"), F.lit(1 - side).alias("a"), F.lit(side).alias("b")))
@@ -61,6 +62,32 @@ def overlap_scores(pairs: DataFrame, ids: list[str], units: dict[str, tuple[Colu
     return counted.groupBy(*ids).agg(*[score(name) for name in units])
 
 
+def overlap_scores(pairs: DataFrame, ids: list[str], units: dict[str, tuple[Column, Column]],
+                   texts: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """Multiset overlap 2 * sum(min(count)) / total per kind of unit; 1.0 if both sides are empty.
+
+    This bounds the exact matching ratio from above. ``texts`` are scored by their characters, as by
+    ``character_score``: null where a side is, and rows that differ in such a score are different pairs.
+    Units are counted within the row. Rows that share their ids count as one pair: they are found among the
+    scores and counted again together.
+    """
+    texts = texts or {}
+    rows = _by_row(pairs, ids, {**texts, **units}, "score", overlaps)
+    known = reduce(and_, [F.col(f"{n}_known") for n in units], F.lit(True))
+    own = [F.when(F.col(f"{n}_known"), F.col(f"{n}_score")).alias(f"{n}_score") for n in texts]
+    kinds = [F.when(known, F.col(f"{n}_score")).otherwise(1.0).alias(f"{n}_score") for n in units]
+    names = [*ids, *[f"{n}_score" for n in texts]]
+    scores = rows.select(*ids, *own, *kinds)
+    again = store(scores.groupBy(*names).count().filter("count > 1").drop("count"), "shared")
+    if not again.rows:
+        return scores
+    there = small(again.rows, again.df)
+    same = lambda left: reduce(and_, [left[c].eqNullSafe(there[c]) for c in names])
+    scored = pairs.withColumns({f"{n}_score": character_score(*pair) for n, pair in texts.items()})
+    shared = scored.join(there, same(scored), "left_semi")
+    return scores.join(there, same(scores), "left_anti").unionByName(_counted(shared, names, units))
+
+
 def character_score(a: Column, b: Column) -> Column:
     """The same overlap for the characters of two texts, within the row.
 
@@ -80,24 +107,89 @@ def overall(scores: dict[str, Column]) -> Column:
     return sum((F.lit(w) * scores[name] for name, w in WEIGHTS.items()), F.lit(0.0))
 
 
-def _units(sides: list[pd.Series]) -> list[list[np.ndarray]]:
-    """Texts as code points, arrays as numbers of their distinct values; null is empty."""
-    values = [x for side in sides for x in side]
-    if any(isinstance(x, str) for x in values):
-        return [[np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) for x in side] for side in sides]
-    arrays = [np.asarray([] if x is None else x, object) for x in values]
-    codes = pd.factorize(np.concatenate([np.zeros(0, object), *arrays]))[0].astype(np.int64)
-    cut = np.split(codes, np.cumsum([len(x) for x in arrays])[:-1]) if arrays else []
-    return [cut[: len(sides[0])], cut[len(sides[0]) :]]
+# --- whole pairs in numpy ------------------------------------------------------------------------------
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+"""What is sent to Python at once: a pair has two whole texts and all their units."""
 
-def _matching_ratio(sides: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in sides:
-        yield pd.Series(ratios(*_units([left, right])), dtype="float64")
 
+def _characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of a string column as numbers, flat, and how many each row has."""
+    column = column.fill_null("").cast(pa.large_string())
+    _, places, values = column.buffers()
+    ends = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(values, np.uint8)[ends[0] : ends[-1]] if values is not None else np.zeros(0, np.uint8)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    data = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    codes, inside = data[at], np.ones(len(at), bool)
+    for k in (1, 2, 3):  # the bytes of one character make its number
+        inside &= (data[at + k] & 0xC0) == 0x80
+        codes = np.where(inside, codes << 8 | data[at + k], codes)
+    return codes, np.diff(np.searchsorted(at, ends - ends[0]))
 
-matching_ratio = F.pandas_udf(_matching_ratio, T.DoubleType())
-"""Exact matching-block ratio of two texts or arrays of units, a batch of pairs at once; for pairs already joined."""
+
+def _units(left: pa.Array, right: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per side all rows' units as numbers, flat, and how many each row has; a null side has none.
+
+    Texts are cut to characters; the elements of arrays are numbered by their distinct values.
+    """
+    if not pa.types.is_list(left.type):
+        return [_characters(left), _characters(right)]
+    both = pa.chunked_array([left.flatten(), right.flatten()]).combine_chunks()
+    codes = both.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = len(left.flatten())
+    counts = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, right)]
+    return [(codes[:cut], counts[0]), (codes[cut:], counts[1])]
+
+
+def overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Twice the units that both sides of a row have, counted, over all units; 1.0 for two empty sides."""
+    rows = len(left[1])
+    numbers = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)[1]
+    most = max(int(numbers.max(initial=0)) + 1, 1)
+    cut = len(left[0])
+    found = [np.unique(np.repeat(np.arange(rows), n) * most + codes, return_counts=True)
+             for codes, n in ((numbers[:cut], left[1]), (numbers[cut:], right[1]))]
+    key, a, b = np.intersect1d(found[0][0], found[1][0], assume_unique=True, return_indices=True)
+    both = np.zeros(rows, np.int64)
+    np.add.at(both, key // most, np.minimum(found[0][1][a], found[1][1][b]))
+    total = left[1] + right[1]
+    return np.where(total > 0, 2.0 * both / np.maximum(total, 1), 1.0)
+
+
+def matching_ratios(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Exact matching-block ratio of each row."""
+    return ratios(*[np.split(codes, np.cumsum(n)[:-1]) for codes, n in (left, right)])
+
+
+def _by_row(pairs: DataFrame, kept: list[Column | str], units: dict[str, tuple[Column, Column]], suffix: str,
+            score: Callable[[tuple, tuple], np.ndarray]) -> DataFrame:
+    """``kept``, ``score`` of every kind's two sides and whether both are there, row by row, as a written table.
+
+    The columns go to Python in batches of bounded rows and bytes; the settings for that are put back.
+    """
+    spark, names = pairs.sparkSession, list(units)
+    asked = pairs.select(*kept, *[c.alias(f"_{side}{i}") for i, n in enumerate(names) for side, c in zip("ab", units[n], strict=True)])
+    own = asked.columns[: len(asked.columns) - 2 * len(names)]
+    schema = T.StructType([*asked.select(*own).schema.fields, *[T.StructField(f"{n}_{suffix}", T.DoubleType()) for n in names],
+                           *[T.StructField(f"{n}_known", T.BooleanType()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sides = [(batch.column(f"_a{i}"), batch.column(f"_b{i}")) for i in range(len(names))]
+                found = [pa.array(score(*_units(a, b)), pa.float64()) for a, b in sides]
+                known = [pc.and_(a.is_valid(), b.is_valid()) for a, b in sides]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *found, *known], schema.names)
+
+    before = {k: spark.conf.get(k) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        return store(asked.mapInArrow(run, schema), "scores").df
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _common_length(a: list[str], b: list[str]) -> int:
@@ -123,9 +215,8 @@ common_length = F.pandas_udf(_common_lengths, T.LongType())
 
 
 def exact_scores(pairs: DataFrame, ids: list[str], units: dict[str, tuple[Column, Column]]) -> DataFrame:
-    return pairs.select(
-        *ids, *[matching_ratio(a, b).alias(f"{name}_ratio") for name, (a, b) in units.items()]
-    )
+    """Exact matching-block ratio of two texts or arrays of units per kind; for pairs already joined."""
+    return _by_row(pairs, ids, units, "ratio", matching_ratios).select(*ids, *[f"{n}_ratio" for n in units])
 
 
 def line_diff(pairs: DataFrame, ids: list[str], left: str, right: str) -> DataFrame:

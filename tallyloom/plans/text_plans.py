@@ -392,12 +392,11 @@ def scored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id_a", "id_b", tx.normalise(F.col("text_a")).alias("a"), tx.normalise(F.col("text_b")).alias("b"),
         (tx.strip(F.col("text_a")) == tx.strip(F.col("text_b"))).alias("exact_match"))
     a, b = F.col("a"), F.col("b")
-    scored = pairs.withColumn("character_score", si.character_score(a, b))
     units = {
         "line": (tx.line_units(a), tx.line_units(b)), "token": (tx.tokens(a), tx.tokens(b)),
         "structure": (tx.punctuation(a), tx.punctuation(b)),
     }
-    return si.overlap_scores(scored, ["id_a", "id_b", "exact_match", "character_score"], units)
+    return si.overlap_scores(pairs, ["id_a", "id_b", "exact_match"], units, {"character": (a, b)})
 
 
 @query("pair_similarity", SCORES_SQL + """

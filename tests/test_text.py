@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,3 +268,23 @@ def test_exact_similarity_equals_the_plain_rule(spark):
         found = got[r.id_a, r.id_b]
         assert [found.character_ratio, found.line_ratio, found.token_ratio, found.structure_ratio] == pytest.approx(want, abs=1e-12)
         assert found.overall_ratio == pytest.approx(sum(w * x for w, x in zip(weights, want)), abs=1e-9)
+
+
+def test_overlap_of_shared_ids_nulls_and_wide_characters(spark):
+    """Rows sharing their ids are one pair; a null side gives 1.0 by units and null by characters."""
+    rows = [(1, "aé中\U0001f600", "a中中", ["x", "y", "x"], ["x", None]), (2, "ab", "ba", ["p"], ["q"]), (2, "ba", "ab", ["q"], ["q"]),
+            (3, None, "b", ["x"], []), (4, "", "", [], []), (5, "b", "b", None, ["x"]), (None, "c", "d", ["x"], ["x"])]
+    df = spark.createDataFrame(rows, "i int, a string, b string, u array<string>, v array<string>").repartition(3)
+    got = {r.i: (r.character_score, r.unit_score) for r in si.overlap_scores(
+        df, ["i"], {"unit": (F.col("u"), F.col("v"))}, {"character": (F.col("a"), F.col("b"))}).collect()}
+    assert got == {1: (4 / 7, 0.4), 2: (1.0, 0.5), 3: (None, 0.0), 4: (1.0, 1.0), 5: (1.0, 1.0), None: (0.0, 1.0)}
+
+
+def test_pairs_go_to_python_in_bounded_batches(spark, monkeypatch):
+    """Whole texts of many pairs are never in one batch, and the session's own setting stays."""
+    monkeypatch.setitem(si.BATCH, "spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    df = spark.range(100).repartition(1).select("id", F.lit("ab").alias("a"), F.lit("ba").alias("b"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = si._by_row(df, ["id"], {"n": (F.col("a"), F.col("b"))}, "rows", lambda left, _: np.full(len(left[1]), float(len(left[1])))).collect()
+    assert len(got) == 100 and max(r.n_rows for r in got) <= 7
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
