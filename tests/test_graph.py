@@ -159,3 +159,19 @@ def test_empty_graphs(spark):
     assert gr.topological_levels(edges).count() == 0
     assert gr.spanning_forest(edges).count() == 0
     assert gr.chain_ranks(spark.createDataFrame([], "id bigint, succ bigint")).count() == 0
+
+
+def test_long_chains_are_spliced(spark, monkeypatch):
+    """Most inner vertices are taken out before pointers are doubled; levels, cycles and forks stay right."""
+    monkeypatch.setattr(gr, "SPLICED", 60)
+    doubled, heads = [], gr._chain_heads
+    monkeypatch.setattr(gr, "_chain_heads", lambda edges: doubled.append(edges.rows) or heads(edges))
+    chain = [(i, i + 1) for i in range(200, 300)]
+    fork = [(300, 1000), (1000, 1001), (1001, 400), (300, 400), (400, 401)]
+    cycle = [(2000, 2001), (2001, 2002), (2002, 2000), (2100, 2100), (2001, 2200), (2200, 2201)]
+    got = gr.topological_levels(spark.createDataFrame([*chain, *fork, *cycle], "u bigint, v bigint")).collect()
+    want = {i: i - 200 for i in range(200, 301)} | {1000: 101, 1001: 102, 400: 103, 401: 104}
+    assert len(got) == len(want) and {r.id: r.level for r in got} == want
+    assert doubled[0] <= 60 < len(chain)
+    names = spark.createDataFrame([(f"{u:05d}", f"{v:05d}") for u, v in [*chain, *fork]], "u string, v string")
+    assert {int(r.id): r.level for r in gr.topological_levels(names).collect()} == want
