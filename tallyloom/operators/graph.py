@@ -13,7 +13,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.sources.store import BROADCAST_ROWS, Stored, small, store
+from tallyloom.sources.store import BROADCAST_ROWS, Stored, dealt, small, store
 
 
 SPLICED = BROADCAST_ROWS
@@ -22,9 +22,9 @@ MOST_TABLES = 32
 """Tables of settled rows that are kept apart before they are written as one."""
 
 
-def _slim(edges: DataFrame) -> Stored:
-    """One row per (u, v) with the smallest weight."""
-    return store(edges.groupBy("u", "v").agg(F.min("w").alias("w")), "edges")
+def _slim(edges: DataFrame, size: int = 0) -> Stored:
+    """One row per (u, v) with the smallest weight; ``size``, where known, says how many edges there are at most."""
+    return store(dealt(edges, size, "u", "v").groupBy("u", "v").agg(F.min("w").alias("w")), "edges")
 
 
 def or_infinity(distance: Column) -> Column:
@@ -34,7 +34,13 @@ def or_infinity(distance: Column) -> Column:
 
 # --- reachability and distances ------------------------------------------------------------------
 
-def _relax(edges: DataFrame, start: DataFrame, keys: list[str], value: str,
+def _stepped(edges: Stored, front: DataFrame, rows: int) -> DataFrame:
+    """Edges that leave the front; a large front meets them in tasks of bounded rows."""
+    links = edges.df if rows <= BROADCAST_ROWS else dealt(edges.df, edges.rows, "u")
+    return links.join(small(rows, front), "u")
+
+
+def _relax(edges: Stored, start: DataFrame, keys: list[str], value: str,
            step: Column, rounds: int | None, keep: Column | None = None) -> DataFrame:
     """Propagate ``value`` (the smallest wins) from ``start(keys, v, value)`` along the edges.
 
@@ -52,9 +58,9 @@ def _relax(edges: DataFrame, start: DataFrame, keys: list[str], value: str,
         front = state.df.filter(F.col("_r") == now - 1)
         if keep is not None:
             front = front.filter(keep)
-        front = small(int(state.seen["changed"]), front.withColumnRenamed("v", "u").drop("_r", "_now"))
+        front = front.withColumnRenamed("v", "u").drop("_r", "_now")
         moved = (
-            edges.join(front, "u").select(*keys, "v", step.alias(value))
+            _stepped(edges, front, int(state.seen["changed"])).select(*keys, "v", step.alias(value))
             .groupBy(*keys, "v").agg(F.min(value).alias(value)).withColumn("_r", F.lit(now))
         )
         merged = (
@@ -69,7 +75,7 @@ def _relax(edges: DataFrame, start: DataFrame, keys: list[str], value: str,
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(source, target, hops)`` for everything each source reaches, itself included (0 hops)."""
-    links = store(edges.select("u", "v").distinct(), "links").df
+    links = store(edges.select("u", "v").distinct(), "links")
     start = sources.select(F.col("source"), F.col("source").alias("v"), F.lit(0).cast("bigint").alias("hops"))
     found = _relax(links, start.distinct(), ["source"], "hops", F.col("hops") + 1, None)
     return found.withColumnRenamed("v", "target")
@@ -83,30 +89,30 @@ def path_exists(edges: DataFrame, probes: DataFrame, start: str, goal: str) -> D
     return probes.join(hits, [start, goal], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def shortest_from(edges: DataFrame, source: Column | int, max_rounds: int | None = None) -> DataFrame:
+def shortest_from(edges: DataFrame, source: Column | int, max_rounds: int | None = None, size: int = 0) -> DataFrame:
     """``(v, dist)`` for every vertex; NULL where unreachable. Negative edges are fine, negative cycles raise."""
-    slim = _slim(edges)
+    slim = _slim(edges, size)
     vertices = store(
         slim.df.select(F.col("u").alias("v")).unionByName(slim.df.select("v")).distinct(), "vertices")
     kind = slim.df.schema["w"].dataType
     first = source if isinstance(source, Column) else F.lit(source)
     start = vertices.df.sparkSession.range(1).select(
         first.cast(vertices.df.schema["v"].dataType).alias("v"), F.lit(0).cast(kind).alias("dist"))
-    found = _relax(slim.df, start, [], "dist", F.col("dist") + F.col("w"), max_rounds or max(vertices.rows, 1))
+    found = _relax(slim, start, [], "dist", F.col("dist") + F.col("w"), max_rounds or max(vertices.rows, 1))
     everyone = vertices.df.unionByName(start.select("v")).distinct()
     return everyone.join(found, "v", "left")
 
 
-def shortest_pair(edges: DataFrame, source, goal) -> DataFrame:
+def shortest_pair(edges: DataFrame, source, goal, size: int = 0) -> DataFrame:
     """One row ``(source, goal, dist)`` for positive lengths; NULL if unreachable. Ids may be of any type.
 
     Vertices at or beyond the best length known for the goal are not expanded.
     """
-    slim = _slim(edges).df
-    kind = slim.schema["w"].dataType
+    slim = _slim(edges, size)
+    kind = slim.df.schema["w"].dataType
     spark = edges.sparkSession
     same = F.col("source") == F.col("goal")
-    node = slim.schema["v"].dataType
+    node = slim.df.schema["v"].dataType
     ends = spark.range(1).select(F.lit(source).cast(node).alias("source"), F.lit(goal).cast(node).alias("goal"))
     state = store(ends.select(F.col("source").alias("v"), F.lit(0).cast(kind).alias("dist"),
                               F.lit(0).alias("_r"), F.lit(0).alias("_now")),
@@ -117,9 +123,9 @@ def shortest_pair(edges: DataFrame, source, goal) -> DataFrame:
         front = state.df.filter(F.col("_r") == now - 1)
         if state.seen.get("best") is not None:
             front = front.filter(F.col("dist") < F.lit(state.seen["best"]))
-        front = small(int(state.seen["open"]), front.select(F.col("v").alias("u"), "dist"))
+        front = front.select(F.col("v").alias("u"), "dist")
         moved = (
-            slim.join(front, "u").select("v", (F.col("dist") + F.col("w")).alias("dist"))
+            _stepped(slim, front, int(state.seen["open"])).select("v", (F.col("dist") + F.col("w")).alias("dist"))
             .groupBy("v").agg(F.min("dist").alias("dist")).withColumn("_r", F.lit(now))
         )
         merged = (

@@ -10,7 +10,7 @@ from tallyloom.operators import graph as gr
 from tallyloom.operators import ordered as od
 from tallyloom.operators import paths as pa
 from tallyloom.plans.registry import query
-from tallyloom.sources.store import store
+from tallyloom.sources.store import dealt, store
 from tallyloom.sources.tables import load
 
 NATION_SQL = """
@@ -27,7 +27,9 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items per (customer, supplier): the heavy join, aggregated before anything else is joined."""
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey")
     items = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_suppkey")
-    return items.join(orders, "key").groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = items.count()
+    met = dealt(items, rows, "key").join(orders, "key").select("o_custkey", "l_suppkey")
+    return dealt(met, rows, "o_custkey", "l_suppkey").groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 def nation_edges(spark: SparkSession, sf_dir: str, traded: DataFrame | None = None) -> DataFrame:
@@ -148,12 +150,16 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("s").alias("u"), F.col("c").alias("v"), "w"))))
 
 
+def most_edges(spark: SparkSession, sf_dir: str) -> int:
+    return 2 * load(spark, sf_dir, "lineitem").count()
+
+
 @query("shortest_trade", f"""
 WITH RECURSIVE {TRADE_SQL}, {DIST_SQL.format(source="(SELECT min(o_custkey) FROM orders)")}
 SELECT x.v, d.d::DOUBLE AS dist FROM (SELECT DISTINCT v FROM edges) x LEFT JOIN dist d ON d.v = x.v""")
 def shortest_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = load(spark, sf_dir, "orders").agg(F.min("o_custkey")).first()[0]
-    found = gr.shortest_from(trade_edges(spark, sf_dir), first)
+    found = gr.shortest_from(trade_edges(spark, sf_dir), first, size=most_edges(spark, sf_dir))
     return found.withColumn("dist", F.col("dist").cast("double"))
 
 
@@ -165,7 +171,7 @@ def shortest_trade_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the first customer to the last one, over ids that are strings."""
     ends = load(spark, sf_dir, "orders").agg(F.min("o_custkey"), F.max("o_custkey")).first()
     named = trade_edges(spark, sf_dir).select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), "w")
-    found = gr.shortest_pair(named, str(ends[0]), str(ends[1]))
+    found = gr.shortest_pair(named, str(ends[0]), str(ends[1]), size=most_edges(spark, sf_dir))
     return found.withColumn("dist", F.col("dist").cast("double"))
 
 

@@ -19,6 +19,16 @@ BROADCAST_ROWS = 200_000
 """Rows of a few scalar columns that are still small enough to send to every executor."""
 
 
+TASK_ROWS = 1_000_000
+"""Rows of a few scalar columns that one task sorts or groups, where a job knows how many it has."""
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over as many partitions as ``rows`` need, where that is more than the session's."""
+    parts = -(-rows // TASK_ROWS)
+    return df if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a temporary one only for a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)

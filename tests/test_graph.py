@@ -175,3 +175,17 @@ def test_long_chains_are_spliced(spark, monkeypatch):
     assert doubled[0] <= 60 < len(chain)
     names = spark.createDataFrame([(f"{u:05d}", f"{v:05d}") for u, v in [*chain, *fork]], "u string, v string")
     assert {int(r.id): r.level for r in gr.topological_levels(names).collect()} == want
+
+
+def test_large_edge_tables_are_dealt_by_their_rows(spark, monkeypatch):
+    """A task holds a bounded number of rows, whatever the session's number of partitions; distances stay right."""
+    from tallyloom.sources import store
+
+    monkeypatch.setattr(store, "TASK_ROWS", 10)
+    monkeypatch.setattr(gr, "BROADCAST_ROWS", 3)
+    edges = spark.range(200).selectExpr("id % 100 u", "(id * 7 + 1) % 100 v", "id % 5 + 1 w")
+    assert store.dealt(edges, 200, "u", "v").rdd.getNumPartitions() == 20
+    assert store.dealt(edges, 30, "u").rdd.getNumPartitions() == edges.rdd.getNumPartitions()
+    plain = {r.v: r.dist for r in gr.shortest_from(edges, 0).collect()}
+    assert {r.v: r.dist for r in gr.shortest_from(edges, 0, size=200).collect()} == plain
+    assert gr.shortest_pair(edges, 0, 8, size=200).first().dist == plain[8]
