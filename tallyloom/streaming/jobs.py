@@ -11,6 +11,7 @@ one micro-batch are handled together: bound them with ``maxFilesPerTrigger``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from tallyloom.sources.store import new_path
 AVAILABLE_NOW = {"availableNow": True}
 GROUPS = 1024
 """Groups that the keys of a job with state are dealt over; a progress folder is bound to it."""
+WINDOWS = 100_000
+"""Closed windows that are handed on at once."""
 
 
 def read_files(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None,
@@ -59,19 +62,6 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def sliding_rate(stream: DataFrame, at: str, key: str, width: str, slide: str, lateness: str,
-                 limit: int) -> DataFrame:
-    """Rows per key in sliding windows; a window is final once the watermark has passed its end."""
-    counts = (
-        stream.withWatermark(at, lateness)
-        .groupBy(F.window(at, width, slide).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
-    )
-    return counts.select(
-        key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n",
-        (F.col("n") >= limit).alias("limited"),
-    )
-
-
 def distinct_events(stream: DataFrame, at: str, unique: list[str], lateness: str) -> DataFrame:
     """First occurrence of each id within the watermark."""
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark(unique)
@@ -120,6 +110,62 @@ def _table(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+def sliding_rate(stream: DataFrame, at: str, key: str, width: str, slide: str, lateness: str,
+                 limit: int) -> DataFrame:
+    """Rows per key in sliding windows; a window is final once the watermark has passed its end.
+
+    The state holds counts of a key in the smallest steps that windows begin and end at, once and not once per window that
+    covers them; windows are summed when they close. A late row counts where its windows are still open.
+    NULL keys are one key; a NULL time is in no window.
+    """
+    wide, step, late = (pd.Timedelta(x).value // 1000 for x in (width, slide, lateness))
+    grain = gcd(wide, step)
+    # a row's last window ends by then: the watermark is that of ``at``, and no row goes that an open window covers
+    last = F.timestamp_micros(F.unix_micros(at) + wide)
+    timed = stream.filter(F.col(at).isNotNull()).withColumn("_last", last).withWatermark("_last", f"{(late + wide) // 1000} milliseconds")
+    micros = F.unix_micros(at)
+    rows = timed.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("_group"), F.col(key).cast("string").alias("_key"),
+                        (micros - F.pmod(micros, F.lit(grain))).alias("_at"), "_last")
+    out_schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_start", T.LongType()), T.StructField("n", T.LongType())])
+    kept = pa.schema([("_key", pa.string()), ("_at", pa.int64()), ("n", pa.int64())])
+
+    def follow(_, frames, state: GroupState):
+        seen = [f[["_key", "_at"]].assign(n=1) for f in frames if len(f)]
+        done, now = 0, state.getCurrentWatermarkMs() * 1000
+        if state.exists:
+            seen.append(_table(bytes(state.get[0])).to_pandas())
+            done = state.get[1]
+        all_ = pd.concat(seen) if seen else pd.DataFrame({"_key": [], "_at": [], "n": []}).astype({"_key": object, "_at": "int64", "n": "int64"})
+        number, names = pd.factorize(all_["_key"], use_na_sentinel=False)
+        code, when, n = _summed(number, all_["_at"].to_numpy(np.int64), all_["n"].to_numpy(np.int64))
+        first = when - when % step
+        open_ = first + wide > now
+        state.update((_bytes(pd.DataFrame({"_key": names[code[open_]], "_at": when[open_], "n": n[open_]}), kept), now))
+        state.setTimeoutTimestamp(now // 1000 + 1)
+        parts = []
+        for back in range(-(-wide // step)):
+            start = first - back * step
+            closed = (start + wide > np.maximum(when, done)) & (start + wide <= now)
+            parts.append((code[closed], start[closed], n[closed]))
+        code, start, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for i in range(0, len(n), WINDOWS):
+            yield pd.DataFrame({"_key": names[code[i : i + WINDOWS]], "_start": start[i : i + WINDOWS], "n": n[i : i + WINDOWS]})
+
+    closed = rows.groupBy("_group").applyInPandasWithState(follow, out_schema, "held binary, done long", "append", "EventTimeTimeout")
+    return closed.select(
+        F.col("_key").cast(stream.schema[key].dataType).alias(key), F.timestamp_micros("_start").alias("window_start"),
+        F.timestamp_micros(F.col("_start") + wide).alias("window_end"), "n", (F.col("n") >= limit).alias("limited"),
+    )
+
+
+def _summed(code: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of ``n`` for each pair of code and time."""
+    by = np.lexsort((at, code))
+    code, at, n = code[by], at[by], n[by]
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (at[1:] != at[:-1])])[: len(code)])
+    return code[first], at[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def stream_levels(stream: DataFrame, key: str, at: str, unique: str, delta: Column, folder: str,
                   trigger: dict | None = None) -> str:
     """``clamped_level`` over a stream: ``(key, at, unique, level, late)`` in the returned output folder.

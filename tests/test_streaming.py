@@ -156,3 +156,24 @@ def test_many_keys_are_worked_on_in_few_groups(spark, tmp_path, monkeypatch):
     assert {r.id: (r.k, r.seq) for r in rows_.collect()} == got
     for name in ("levels", "reorder"):
         assert spark.read.format("statestore").load(str(tmp_path / name / "progress")).count() <= 4
+
+
+def test_rates_hold_one_state_a_group(spark, tmp_path, monkeypatch):
+    """Windows that overlap twelvefold are not held one by one; null keys are a key, null times are in no window."""
+    monkeypatch.setattr(jobs, "GROUPS", 4)
+    start = dt.datetime(2024, 1, 1)
+    data = [(i, None if i % 11 == 0 else start + dt.timedelta(minutes=i * 3), None if i % 5 == 0 else i % 5, 1) for i in range(200)]
+    put(spark, tmp_path, data)
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    rates = jobs.sliding_rate(jobs.read_files(spark, str(tmp_path), "t"), "ts", "k", "60 minutes", "5 minutes", "10 minutes", 3)
+    jobs.append_files(rates, out, progress)
+    got = {(r.k, r.window_start): (r.n, r.limited) for r in spark.read.parquet(out).collect()}
+    closed, want = max(d[1] for d in data if d[1]) - dt.timedelta(minutes=10), {}
+    for _, ts, k, _ in data:
+        if ts:
+            base = ts.replace(minute=ts.minute // 5 * 5)
+            for at in (base - dt.timedelta(minutes=5 * j) for j in range(12)):
+                if at + dt.timedelta(minutes=60) <= closed:
+                    want[k, at] = want.get((k, at), 0) + 1
+    assert got == {key: (n, n >= 3) for key, n in want.items()}
+    assert 0 < spark.read.format("statestore").load(progress).count() <= 4
