@@ -12,13 +12,19 @@ frequent ``FREQUENT`` are sent to the tasks (8 bytes each, so at most 1 MB). Any
 valid orders; a good one keeps lines and passages that many documents share out of the prefixes.
 
 Rows with one and the same set are one class before any join; a class is joined by its smallest
-document id. Blocks (classes with a common prefix token) are linked in passes. The first compares every
-member with the block's hub. Blocks whose members are then not all connected are blocked more finely:
-sets this similar differ in at most D tokens, so of D + 1 parts of the token space (cut by a hash) they
-agree on one entirely, and members meet only under the contents of a part. Again members are compared
-with the hub of such a finer block first, and only pairs that are still not known to be connected are
-compared one by one. So a group of thousands of near copies costs about its size, not its square, and
-every component comes out whole: a link is left unverified only between documents already connected.
+document id. Every pair must first pass a sketch: ``BITS`` parities of the set's hashed tokens, of which
+two sets differ in no more places than they have tokens that are not common, so no similar pair is lost.
+
+Blocks (classes with a common prefix token) are linked in passes. The first compares every member with
+the block's hub. Blocks whose members are then not all connected are compared in tiles of bounded size,
+sketch against sketch inside a task, and no pair becomes a row unless its sketches are near: first only
+a spanning forest of the near pairs of a tile, nearest first, then, once those are verified, every near
+pair that still lies between two components. So the rows of a group grow with its members and its tiles, and every
+component comes out whole: a link is left unverified only between documents already connected. The
+sketch comparisons in a group that is not connected still grow with its square, some 30 ns each.
+Blocks of more than ``MANY`` members are blocked more finely before: sets this similar differ in at most
+D tokens, so of D + 1 parts of the token space (cut by a hash) they agree on one entirely, and members
+meet only under the contents of a part.
 """
 
 from __future__ import annotations
@@ -39,8 +45,14 @@ FREQUENT = 131_072
 OFTEN = 4
 """Times that a task must meet a token among ``COUNTED`` before it reports it as perhaps frequent."""
 COUNTED = 2_000_000
+BITS = 2048
+"""Places of a sketch. It tells little of sets that differ in more tokens than that; the prefixes still do."""
 FEW = 24
-"""Members up to which a block is compared as it is; larger ones are blocked more finely first."""
+"""Members up to which the pairs of a block become rows; larger blocks are compared in tiles."""
+TILE = 1024
+"""Members of a block that meet as many others in one tile, about."""
+MANY = 32_768
+"""Members from which a block is blocked more finely before its members are compared."""
 
 
 def token_sets(column: pa.Array, size: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +88,92 @@ def prefixes(flat: np.ndarray, offsets: np.ndarray, num: int, den: int, often: n
     return np.sort(rank)[inside] & words.U(2**48 - 1), np.concatenate([[0], np.cumsum(p)])
 
 
+def sketches(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``BITS`` parities of each set's tokens, as one row of 64-bit words a set."""
+    place = (words.mix(flat, 41) % words.U(BITS)).astype(np.int64)
+    found = [np.zeros((0, BITS // 8), np.uint8)]
+    for at in range(0, len(offsets) - 1, 256):  # 256 sets are counted at once
+        ends = offsets[at : at + 257]
+        owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        odd = np.bincount(owner * BITS + place[ends[0] : ends[-1]], minlength=(len(ends) - 1) * BITS) & 1
+        found.append(np.packbits(odd.astype(bool).reshape(-1, BITS), axis=1))
+    return np.concatenate(found).view(np.int64)
+
+
+def near_pairs(x: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray | None, num: int, den: int):
+    """Pairs of rows with different labels whose sketches may be those of similar sets, and how far they are apart.
+
+    With ``side``, only pairs of different sides.
+    """
+    by = np.argsort(n, kind="stable")
+    x, n, label = x[by], n[by], label[by]
+    side = None if side is None else side[by]
+    found = []
+    for at in range(0, len(n), 32):
+        rows = slice(at, min(at + 32, len(n)))
+        upto = int(np.searchsorted(n, n[rows][-1] * den // num, "right"))  # none larger is similar
+        apart = np.bitwise_count(x[rows, None] ^ x[None, at:upto]).sum(axis=2, dtype=np.int64)
+        on = apart * (den + num) <= (n[rows, None] + n[None, at:upto]) * (den - num)
+        on &= label[rows, None] != label[None, at:upto]
+        if side is not None:
+            on &= side[rows, None] != side[None, at:upto]
+        i, j = np.nonzero(np.triu(on, 1))
+        found.append(np.stack([by[i + at], by[j + at], apart[i, j]]))
+    i, j, apart = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    return np.minimum(i, j), np.maximum(i, j), apart
+
+
+def forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) make a spanning forest of the labels, nearest pairs first."""
+    comp = np.unique(label, return_inverse=True)[1]
+    left, chosen = np.lexsort((j, i, apart)), [np.zeros(0, np.int64)]
+    while len(left := left[comp[i[left]] != comp[j[left]]]):
+        a, b, rank = comp[i[left]], comp[j[left]], np.arange(len(left))
+        best = np.full(len(comp), len(left))
+        np.minimum.at(best, a, rank)
+        np.minimum.at(best, b, rank)
+        some = np.flatnonzero(best < len(left))
+        chosen.append(left[np.unique(best[some])])
+        to = np.arange(len(comp))
+        to[some] = a[best[some]] + b[best[some]] - some  # the other end of the nearest pair
+        back = (to[to] == np.arange(len(comp))) & (to > np.arange(len(comp)))
+        to[back] = np.flatnonzero(back)
+        while (to[to] != to).any():
+            to = to[to]
+        comp = to[comp]
+    return np.concatenate(chosen)
+
+
+def _near(num: int, den: int, spanning: bool):
+    """Near pairs (a, b) of each tile; rows come sorted by tile, and a tile may lie in several batches."""
+    def pairs(tile: pa.RecordBatch) -> pa.RecordBatch:
+        n, label = tile.column("n").to_numpy(), tile.column("name").to_numpy()
+        x = tile.column("sketch").flatten().to_numpy().view(words.U).reshape(len(n), -1)
+        side = tile.column("side").to_numpy() if tile.column("i")[0] != tile.column("j")[0] else None
+        i, j, apart = near_pairs(x, n, label, side, num, den)
+        if spanning:
+            kept = forest(label, i, j, apart)
+            i, j = i[kept], j[kept]
+        rep = tile.column("rep")
+        return pa.RecordBatch.from_arrays([rep.take(pa.array(i)), rep.take(pa.array(j))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None or not held.num_rows:
+                continue
+            keys = [held.column(c).to_numpy() for c in ("token", "i", "j")]
+            new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            ends = np.concatenate([[0], np.flatnonzero(new) + 1, [held.num_rows] if batch is None else []]).astype(np.int64)
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                if (out := pairs(held.slice(a, b - a))).num_rows:
+                    yield out
+            held = held.slice(ends[-1])
+    return run
+
+
 def _frequent_in(text: str, size: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
@@ -108,9 +206,10 @@ def _describe(key: str, text: str, size: int, lower: bool, num: int, den: int, o
                 # a token's rank in the order is its name: 48 bits in the index, 32 in the other prefixes
                 prefix, cut = prefixes(flat, offsets, num, den, often, k)
                 columns.append(base.lists(prefix.view(np.int64) if k == 0 else (prefix >> words.U(16)).astype(np.uint32).view(np.int32), cut))
+            sketch = base.lists(sketches(flat, offsets).ravel(), np.arange(len(n) + 1) * (BITS // 64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(key), pa.array(n.astype(np.int64)), *keys, *columns],
-                ["id", "n", "k1", "k2", *[f"p{k}" for k in range(orders)]])
+                [part.column(key), pa.array(n.astype(np.int64)), *keys, *columns, sketch],
+                ["id", "n", "k1", "k2", *[f"p{k}" for k in range(orders)], "sketch"])
     return run
 
 
@@ -187,11 +286,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
 
     schema = T.StructType([
         T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")],
-        *[T.StructField(f"p{k}", T.ArrayType(T.IntegerType() if k else T.LongType())) for k in range(orders)]])
+        *[T.StructField(f"p{k}", T.ArrayType(T.IntegerType() if k else T.LongType())) for k in range(orders)],
+        T.StructField("sketch", T.ArrayType(T.LongType()))])
     rows = base.written(slim.mapInArrow(_describe("id", "text", size, lower, num, den, orders, frequent), schema))
     classes = base.written(rows.filter("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep")))
     heads = rows.join(classes, ["k1", "k2"]).filter("id = rep").dropDuplicates(["k1", "k2"])
-    heads = base.written(heads.select("rep", "n", *[f"p{k}" for k in range(orders)]))
+    heads = base.written(heads.select("rep", "n", *[f"p{k}" for k in range(orders)], "sketch"))
 
     posts = heads.select("rep", "n", F.explode("p0").alias("token"))
     blocks = base.written(posts.groupBy("token").agg(
@@ -199,16 +299,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         .filter("members > 1"))
     posts = base.written(posts.join(blocks, "token"))
     schema = T.StructType([T.StructField("id", kind), T.StructField("tokens", T.ArrayType(T.LongType()))])
-    filters = heads.select("rep", *[f"p{k}" for k in range(1, orders)])
+    apart = "aggregate(zip_with(sa, sb, (x, y) -> cast(bit_count(x ^ y) as bigint)), 0L, (s, x) -> s + x)"
+    likely = [f"{apart} * {den + num} <= (na + nb) * {den - num}", *[f"arrays_overlap(a{k}, b{k})" for k in range(1, orders)]]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b): those whose other prefixes all meet, then those whose sets are similar."""
-        a = filters.select(F.col("rep").alias("a"), *[F.col(f"p{k}").alias(f"a{k}") for k in range(1, orders)])
-        b = filters.select(F.col("rep").alias("b"), *[F.col(f"p{k}").alias(f"b{k}") for k in range(1, orders)])
-        if orders > 1:
-            pairs = pairs.join(a, "a").join(b, "b").filter(
-                " and ".join(f"arrays_overlap(a{k}, b{k})" for k in range(1, orders))).select("a", "b")
-            pairs = base.written(pairs)
+        """Of pairs (a, b): those whose sketches are near and whose other prefixes all meet, then those whose sets are similar."""
+        a, b = (heads.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"),
+                             *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(1, orders)]) for c in "ab")
+        pairs = base.written(pairs.join(a, "a").join(b, "b").filter(" and ".join(likely)).select("a", "b"))
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         texts = slim.join(ids, "id", "left_semi")
         sets = base.written(texts.mapInArrow(_sets("id", "text", size, lower), schema))
@@ -243,27 +341,40 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     named = base.written(posts.join(labels(first), "rep", "left").select(
         "token", "rep", "n", "members", F.coalesce("label", "rep").alias("label")))
     named_open = still_open(named)
-    few = named_open.filter(F.col("members") <= FEW).drop("members")
-    todo = named_open.filter(F.col("members") > FEW).groupBy(F.col("rep").alias("id")).agg(F.min("label").alias("label"))
-    texts = slim.join(base.written(todo), "id").select("id", "text", "label")
-    schema2 = T.StructType([T.StructField("rep", kind), T.StructField("label", kind), T.StructField("n", T.LongType()), T.StructField("token", T.LongType())])
-    fine = base.written(texts.mapInArrow(_parts(size, lower, num, den, frequent), schema2))
-    fine = still_open(fine)
-    hubs = fine.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "label")).alias("hub"))
-    hubbed = base.written(fine.join(base.written(hubs), "token"))
-    second = spokes(hubbed.filter("label <> hub.label"))
-
-    def compared(members: DataFrame) -> DataFrame:
-        """Links of members (token, rep, n, label) of one block with different labels."""
-        other = members.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        rest = members.withColumnRenamed("rep", "a").join(other, "token").filter(f"a < b and label <> other and {near}")
-        return verified(base.written(rest.select("a", "b").distinct()))
-
-    linked = first.unionByName(second)
-    fine = still_open(hubbed.filter("rep <> hub.rep").drop("label").join(labels(linked), "rep", "left").select(
-        "token", "rep", "n", F.coalesce("label", "rep").alias("label")))
-    third = compared(fine).unionByName(compared(few))
-    comps = base.written(base.components(linked.unionByName(third)))
+    few = named_open.filter(F.col("members") <= FEW)
+    large = named_open.filter(f"members > {FEW} and members <= {MANY}")
+    huge = named_open.filter(F.col("members") > MANY)
+    if not huge.isEmpty():
+        todo = huge.groupBy(F.col("rep").alias("id")).agg(F.min("label").alias("label"))
+        texts = slim.join(base.written(todo), "id").dropDuplicates(["id"]).select("id", "text", "label")
+        schema2 = T.StructType([T.StructField("rep", kind), T.StructField("label", kind), T.StructField("n", T.LongType()), T.StructField("token", T.LongType())])
+        fine = still_open(base.written(texts.mapInArrow(_parts(size, lower, num, den, frequent), schema2)))
+        large = large.unionByName(fine.join(fine.groupBy("token").agg(F.count(F.lit(1)).alias("members")), "token"))
+
+    schema3 = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def tiled(members: DataFrame, spanning: bool) -> DataFrame:
+        """Near pairs (a, b) with different labels of members (token, rep, n, label, members) of one block."""
+        cuts = F.ceil(F.col("members") / TILE)
+        own = F.pmod(F.xxhash64("rep"), cuts)
+        tiles = members.select("token", "rep", "n", F.xxhash64("label").alias("name"), own.alias("own"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("other"))
+        tiles = tiles.join(heads.select("rep", "sketch"), "rep").select(
+            "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "name",
+            F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "sketch")
+        tiles = tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        pairs = tiles.mapInArrow(_near(num, den, spanning), schema3)
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    other = few.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    rest = few.withColumnRenamed("rep", "a").join(other, "token").filter(f"a < b and label <> other and {near}").select("a", "b")
+    large = base.written(large.select("token", "rep", "n", "members", "label"))
+    linked = first.unionByName(verified(base.written(rest.unionByName(tiled(large, True)).distinct())))
+    comps = base.written(base.components(linked))
+    named = large.drop("label").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    large = still_open(base.written(named.select("token", "rep", "n", "members", F.coalesce("comp", "rep").alias("label"))))
+    late = verified(base.written(tiled(large, False).distinct()))
+    if not late.isEmpty():
+        comps = base.written(base.components(linked.unionByName(late)))
     members = rows.join(classes, ["k1", "k2"], "left")
     members = base.written(members.select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")))
     out = members.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")

@@ -83,3 +83,80 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101)] + [(200, 200 + k) for k in range(1, 40)]
     got = {r.id: r.comp for r in base.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100} | {200 + k: 200 for k in range(40)}
+
+
+def near_group(n=240):
+    """One group of near copies around the threshold: few of its pairs are similar enough."""
+    pick = random.Random(3)
+    base_words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base_words)
+        for at in pick.sample(range(0, 150, 3), pick.randint(1, 7)):
+            w[at] = f"own{i}x{at}" if pick.random() < 0.6 else f"part{pick.randrange(4)}x{at}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def wanted(rows, size, num, den):
+    sets = {i: shingles(words(t, lower=True), size) for i, t in rows}
+    comps = components(sets, num, den)
+    return {i: (len(sets[i]), comps[i]) for i in sets}
+
+
+@pytest.mark.parametrize(("tile", "many"), [(16, 32_768), (8, 30)])
+def test_tiles_and_finer_blocks_equal_brute_force(spark, monkeypatch, tile, many):
+    for name, value in (("FEW", 2), ("TILE", tile), ("MANY", many)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    rows = [*near_group(), *((i + 5000, t) for i, t in corpus(3, 60))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in
+           ngram_join.jaccard_components(frame(spark, rows).repartition(5), 3, 90, 100).collect()}
+    want = wanted(rows, 3, 90, 100)
+    assert got == want and 3 < len({c for i, (_, c) in want.items() if i < 5000}) < 200
+
+
+def test_pairs_of_a_group_of_near_copies_grow_with_its_members(spark, monkeypatch):
+    """No table of pairs holds the square of the group."""
+    rows, pairs, write = near_group(), [], base.written
+
+    def watched(df):
+        out = write(df)
+        if out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(base, "written", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows), 3, 90, 100).collect()}
+    assert got == wanted(rows, 3, 90, 100)
+    assert pairs and max(pairs) < 4 * len(rows) < len(rows) ** 2 // 8
+
+
+def test_sketches_lose_no_similar_pair_and_forests_span():
+    import numpy as np
+    import pyarrow as pa
+
+    flat, offsets = ngram_join.token_sets(pa.array([t for _, t in near_group()] + [None, "a"]), 3, True)
+    sets = [set(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    n, x = np.diff(offsets), ngram_join.sketches(flat, offsets).view(np.uint64)
+    label, side = np.arange(len(n)) // 2, np.arange(len(n)) % 2
+    for sides in (None, side):
+        i, j, apart = ngram_join.near_pairs(x, n, label, sides, 90, 100)
+        found = set(zip(i.tolist(), j.tolist(), strict=True))
+        for b, y in enumerate(sets):
+            for a in range(b):
+                if y and label[a] != label[b] and (sides is None or side[a] != side[b]) and 100 * len(sets[a] & y) >= 90 * len(sets[a] | y):
+                    assert (a, b) in found
+        assert (i < j).all() and (label[i] != label[j]).all() and (apart <= [len(sets[a] ^ sets[b]) for a, b in zip(i, j, strict=True)]).all()
+        kept = ngram_join.forest(label, i, j, apart)
+        comp = {v: v for v in label.tolist()}
+
+        def root(v, comp=comp):
+            while comp[v] != v:
+                v = comp[v]
+            return v
+
+        for e in kept:
+            u, v = root(label[i[e]]), root(label[j[e]])
+            assert u != v  # no circle
+            comp[u] = v
+        assert all(root(label[a]) == root(label[b]) for a, b in found) and len(kept)
