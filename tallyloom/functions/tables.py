@@ -7,7 +7,9 @@
   that holds the smallest ends only; the rows are never held.
 * ``fold_part(TABLE t, key, value, how)`` and ``fold_all(TABLE t, key, how)``: a fold in two steps. The first
   runs where the rows are and hands on one state for each key that it meets; the second merges the states by key. So a
-  hot key is folded by all tasks before anything moves. ``how`` is a name in ``FOLDS``.
+  hot key is folded by all tasks before anything moves. ``how`` is a name in ``FOLDS``. Both take their columns packed
+  as well, thousands of rows in one as arrays, and then give arrays: a call from SQL costs some 0.2 ms a row, as each
+  row travels with its schema. ``packed`` makes such rows and ``unpacked`` undoes it.
 * ``wrap_text(text, cols)``: the pieces of a text, numbered, for a lateral join.
 """
 
@@ -18,7 +20,8 @@ from collections.abc import Callable, Iterator
 from math import gcd
 from typing import Any
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
@@ -75,60 +78,116 @@ class LongestRise:
             yield self.key, len(self.ends)
 
 
+def _is_packed(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.ArrayType)
+
+
+def _result(first: T.StructField, name: str, arrays: bool) -> T.StructType:
+    return T.StructType([first, T.StructField(name, T.ArrayType(T.LongType()) if arrays else T.LongType())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            ends = pa.array([0, batch.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in batch.columns], batch.schema.names)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The rows of each Arrow batch as one row of arrays, where and in the order they are."""
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema])
+    return rows.mapInArrow(_pack, schema)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """One row for each place of the arrays."""
+    return rows.select(F.inline(F.arrays_zip(*[_quoted(c) for c in rows.columns]))).toDF(*rows.columns)
+
+
 class FoldPart:
-    """``(<key>, state)``: the fold of what one task has of each key; null values are skipped."""
+    """``(<key>, state)``: the fold of what one task has of each key; null values are skipped.
+
+    A value column of arrays holds packed rows.
+    """
 
     @staticmethod
     def analyze(table: AnalyzeArgument, key: AnalyzeArgument, value: AnalyzeArgument, how: AnalyzeArgument) -> AnalyzeResult:
         first, second = _columns(table, [_named(key, "key"), _named(value, "value")])
         if _named(how, "how") not in FOLDS:
             raise ValueError(f"there is no fold {how.value}")
-        if not isinstance(second.dataType, T.IntegralType):
+        arrays = _is_packed(second)
+        if not isinstance(second.dataType.elementType if arrays else second.dataType, T.IntegralType):
             raise ValueError("the value must be an integer")
-        return AnalyzeResult(T.StructType([first, T.StructField("state", T.LongType())]),
+        if arrays and not _is_packed(first):
+            raise ValueError("keys and values must be packed alike")
+        return AnalyzeResult(_result(first, "state", arrays),
                              select=[SelectedColumn(_quoted(key.value)), SelectedColumn(_quoted(value.value))])
 
     def __init__(self) -> None:
         self.states: dict[Any, int] = {}
+        self.arrays = False
 
     def eval(self, row: T.Row, key: str, value: str, how: str) -> Iterator[tuple]:
-        k, v = row[0], row[1]
-        if v is None:
-            return
-        before = self.states.get(k)
-        if before is None:
-            self.states[k] = abs(v) if how == "gcd" else v
-        else:
-            self.states[k] = FOLDS[how](before, v)
-        if len(self.states) > HELD_KEYS:
-            yield from self.states.items()
-            self.states = {}
+        self.arrays = isinstance(row[1], list)
+        states, fold = self.states, FOLDS[how]
+        for k, v in zip(row[0], row[1], strict=True) if self.arrays else ((row[0], row[1]),):
+            if v is None:
+                continue
+            before = states.get(k)
+            if before is None:
+                states[k] = abs(v) if how == "gcd" else v
+            else:
+                states[k] = fold(before, v)
+            if len(states) > HELD_KEYS:
+                yield from self.terminate()
+                states.clear()
 
     def terminate(self) -> Iterator[tuple]:
-        yield from self.states.items()
+        if not self.arrays:
+            yield from self.states.items()
+        elif self.states:
+            yield list(self.states), list(self.states.values())
 
 
 class FoldAll:
-    """``(<key>, value)``: the states of each key, merged."""
+    """``(<key>, value)``: the states of each key, merged.
+
+    Packed states must lie in one partition for each key, next to each other: dealt by the key and sorted by it.
+    """
 
     @staticmethod
     def analyze(table: AnalyzeArgument, key: AnalyzeArgument, how: AnalyzeArgument) -> AnalyzeResult:
-        first, _ = _columns(table, [_named(key, "key"), "state"])
+        first, second = _columns(table, [_named(key, "key"), "state"])
         if _named(how, "how") not in FOLDS:
             raise ValueError(f"there is no fold {how.value}")
-        return AnalyzeResult(T.StructType([first, T.StructField("value", T.LongType())]), partitionBy=[PartitioningColumn(_quoted(key.value))],
+        arrays = _is_packed(second)
+        return AnalyzeResult(_result(first, "value", arrays), partitionBy=[] if arrays else [PartitioningColumn(_quoted(key.value))],
                              select=[SelectedColumn(_quoted(key.value)), SelectedColumn("state")])
 
     def __init__(self) -> None:
-        self.key, self.state = None, None
+        self.key, self.state, self.arrays = None, None, False
 
-    def eval(self, row: T.Row, key: str, how: str) -> None:
-        self.key = row[0]
-        self.state = row[1] if self.state is None else FOLDS[how](self.state, row[1])
+    def eval(self, row: T.Row, key: str, how: str) -> Iterator[tuple]:
+        self.arrays, fold = isinstance(row[1], list), FOLDS[how]
+        if not self.arrays:
+            self.key = row[0]
+            self.state = row[1] if self.state is None else fold(self.state, row[1])
+            return
+        keys, values = [], []
+        for k, v in zip(row[0], row[1], strict=True):
+            if self.state is not None and k == self.key:
+                self.state = fold(self.state, v)
+                continue
+            if self.state is not None:
+                keys.append(self.key)
+                values.append(self.state)
+            self.key, self.state = k, v
+        if keys:
+            yield keys, values
 
     def terminate(self) -> Iterator[tuple]:
         if self.state is not None:
-            yield self.key, self.state
+            yield ([self.key], [self.state]) if self.arrays else (self.key, self.state)
 
 
 class WrapText:

@@ -188,11 +188,13 @@ SELECT l_partkey, min(g) AS gcd FROM fold GROUP BY l_partkey"""
 
 @query("fold_table_function", GRANULARITY_SQL)
 def fold_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in SQL, in two steps: each task's states, then all of a key's."""
+    """The same in SQL, in two steps: each task's states, then all of a key's. Rows travel packed."""
     tables.register(spark)
     rows = load(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("bigint").alias("q"))
-    return spark.sql("""SELECT l_partkey, value AS gcd FROM fold_all(TABLE(
-        SELECT * FROM fold_part(TABLE(SELECT * FROM {rows}), 'l_partkey', 'q', 'gcd')), 'l_partkey', 'gcd')""", rows=rows)
+    part = spark.sql("SELECT * FROM fold_part(TABLE(SELECT * FROM {rows}), 'l_partkey', 'q', 'gcd')", rows=tables.packed(rows))
+    states = tables.unpacked(part).repartition("l_partkey").sortWithinPartitions("l_partkey")
+    whole = spark.sql("SELECT l_partkey, value AS gcd FROM fold_all(TABLE(SELECT * FROM {states}), 'l_partkey', 'gcd')", states=tables.packed(states))
+    return tables.unpacked(whole)
 
 
 @query("quantity_granularity", GRANULARITY_SQL)

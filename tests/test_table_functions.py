@@ -63,3 +63,32 @@ def test_wrong_calls_are_refused(spark, data):
                       ("fold_part(TABLE(SELECT * FROM {t}), 'the key', 'v', 'median')", "no fold")):
         with pytest.raises(Exception, match=why):
             spark.sql(f"SELECT * FROM {call}", t=data).collect()
+
+
+@pytest.mark.parametrize("how", sorted(tables.FOLDS))
+def test_folds_of_packed_rows(spark, data, how, monkeypatch):
+    """Arrays in, arrays out: the same folds with a call for each batch and not for each row."""
+    monkeypatch.setattr(tables, "HELD_KEYS", 2)
+    tables.register(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        def fold(rows):
+            part = spark.sql("SELECT * FROM fold_part(TABLE(SELECT * FROM {t}), 'the key', 'v', '" + how + "')", t=tables.packed(rows))
+            states = tables.unpacked(part).repartition(3, "the key").sortWithinPartitions("the key")
+            return tables.unpacked(spark.sql("SELECT * FROM fold_all(TABLE(SELECT * FROM {t}), 'the key', '" + how + "')", t=tables.packed(states)))
+        want = {}
+        for k, _, v, _ in rows():
+            if v is not None:
+                want[k] = (abs(v) if how == "gcd" else v) if k not in want else tables.FOLDS[how](want[k], v)
+        got = fold(data.select("the key", "v")).collect()
+        assert {r[0]: r.value for r in got} == want and len(got) == len(want)
+        assert fold(data.select("the key", "v").limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packed_wrongly(spark, data):
+    with pytest.raises(Exception, match="packed alike"):
+        spark.sql("SELECT * FROM fold_part(TABLE(SELECT o, array(v) AS v FROM {t}), 'o', 'v', 'gcd')", t=data).collect()
+    with pytest.raises(Exception, match="integer"):
+        spark.sql("SELECT * FROM fold_part(TABLE(SELECT array(o) AS o, array(state) AS v FROM {t}), 'o', 'v', 'gcd')", t=data).collect()
