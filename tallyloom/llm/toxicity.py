@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -124,30 +123,30 @@ def _learnt(known: DataFrame, last: int | None, sample: int):
     return place[place >= 0].astype(np.int32), weight[place >= 0], float(weight[place < 0].sum())
 
 
-def _score(kept: list[str], text: str, out: str, model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(model):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         place, value, bias = model.value
         w = np.zeros(1 << BITS)
         w[place] = value
-        for part in base.slices(batches, text):
-            flat, offsets = features(part.column(text))
-            total = np.concatenate([[0], np.cumsum(w[flat])])
-            score = total[offsets[1:]] - total[offsets[:-1]] + bias
-            score = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(score)], [*kept, out])
+        for batch in batches:
+            found = [np.zeros(0)]
+            for part in base.slices(iter([pa.RecordBatch.from_arrays([batch], ["text"])]), "text"):
+                flat, offsets = features(part.column("text"))
+                total = np.concatenate([[0], np.cumsum(w[flat])])
+                found.append(total[offsets[1:]] - total[offsets[:-1]] + bias)
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(found), -35, 35))))
     return run
 
 
 def score(docs: DataFrame, model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with ``out``, the probability (0 to 1) of the label; a null or empty text gets the bias's.
 
-    All rows and columns stay; a column named ``out`` is replaced. Only the text is read for it.
+    All rows and columns stay; a column named ``out`` is replaced. Only the text goes to Python, once, and only the score comes back.
     """
     kept = [c for c in docs.columns if c != out]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(kept).schema.add(out, "double")
-    own = f"text-{uuid4().hex}"
-    return docs.select(*kept, F.col(text).alias(own)).mapInArrow(_score(kept, own, out, shared), schema)
+    scored = F.arrow_udf(_score(shared), "double")
+    return docs.select(*kept, scored(F.col(text).cast("string")).alias(out))
 
 
 def held_out(key: str = "doc_id"):

@@ -87,3 +87,15 @@ def test_the_sample_is_that_of_the_least_hashes(spark):
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[2] == b[2]
     c = toxicity.fit(docs.join(labels, "doc_id").join(least, "doc_id"), label="toxic", sample=50)
     assert (a[0] == c[0]).all() and (a[1] == c[1]).all() and a[2] == c[2]
+
+
+def test_rows_stay_in_spark_while_their_texts_are_scored(spark):
+    """Python gets the text alone, once, and hands back a number a row."""
+    docs = spark.createDataFrame([(i, "idiot " * (i % 5), "en") for i in range(30)] + [(99, None, None)], "doc_id long, text string, lang string")
+    model = (np.array([1], np.int32), np.array([0.5]), -1.0)
+    got = toxicity.score(docs, model)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert set(got.drop("score").collect()) == set(docs.collect())
+    assert abs(got.filter("text is null").first().score - 1 / (1 + math.e)) < 1e-12
+    assert toxicity.score(docs, model, out="text").columns == ["doc_id", "lang", "text"]
