@@ -3,8 +3,8 @@
 Two sets of sizes m and n with Jaccard similarity t or more differ in few tokens, so under *any*
 total order of all tokens their prefixes of ``size - ceil(t * size) + 1`` tokens share a token. A
 pair is a candidate only if that holds under every one of the orders: the first order's prefixes are
-an inverted index, the other orders' prefixes are intersected for the pairs it yields, and only what
-is left is verified on the whole sets.
+an inverted index, the other orders' prefixes are intersected for the pairs that it and the sketches
+leave, and only what is left is verified on the whole sets.
 
 Each order sorts by (frequent or not, a hash seeded per order). The frequent tokens are found over
 all rows: each task counts its own tokens, tokens that it met repeatedly are summed, and the most
@@ -189,7 +189,7 @@ def _frequent_in(text: str, size: int, lower: bool):
     return run
 
 
-def _describe(key: str, text: str, size: int, lower: bool, num: int, den: int, orders: int, frequent):
+def _describe(key: str, text: str, size: int, lower: bool, num: int, den: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for part in base.slices(batches, text):
@@ -201,15 +201,11 @@ def _describe(key: str, text: str, size: int, lower: bool, num: int, den: int, o
                 np.cumsum(words.mix(flat, seed), out=summed[1:])
                 total = summed[offsets[1:]] - summed[offsets[:-1]]
                 keys.append(pa.array(words.mix(total + n.astype(words.U), seed).view(np.int64)))
-            columns = []
-            for k in range(orders):
-                # a token's rank in the order is its name: 48 bits in the index, 32 in the other prefixes
-                prefix, cut = prefixes(flat, offsets, num, den, often, k)
-                columns.append(base.lists(prefix.view(np.int64) if k == 0 else (prefix >> words.U(16)).astype(np.uint32).view(np.int32), cut))
-            sketch = base.lists(sketches(flat, offsets).ravel(), np.arange(len(n) + 1) * (BITS // 64))
+            prefix, cut = prefixes(flat, offsets, num, den, often, 0)
             yield pa.RecordBatch.from_arrays(
-                [part.column(key), pa.array(n.astype(np.int64)), *keys, *columns, sketch],
-                ["id", "n", "k1", "k2", *[f"p{k}" for k in range(orders)], "sketch"])
+                [part.column(key), pa.array(n.astype(np.int64)), *keys, base.lists(prefix.view(np.int64), cut),
+                 base.lists(sketches(flat, offsets).ravel(), np.arange(len(n) + 1) * (BITS // 64))],
+                ["id", "n", "k1", "k2", "p0", "sketch"])
     return run
 
 
@@ -256,11 +252,18 @@ def _parts(size: int, lower: bool, num: int, den: int, frequent):
     return run
 
 
-def _sets(key: str, text: str, size: int, lower: bool):
+def _sets(key: str, text: str, size: int, lower: bool, num: int, den: int, orders: int, frequent):
+    """Whole sets, and their prefixes under the other orders: a token's rank in the order is its name, cut to 32 bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value
         for part in base.slices(batches, text):
             flat, offsets = token_sets(part.column(text), size, lower)
-            yield pa.RecordBatch.from_arrays([part.column(key), base.lists(flat.view(np.int64), offsets)], ["id", "tokens"])
+            columns = []
+            for k in range(1, orders):
+                prefix, cut = prefixes(flat, offsets, num, den, often, k)
+                columns.append(base.lists((prefix >> words.U(16)).astype(np.uint32).view(np.int32), cut))
+            yield pa.RecordBatch.from_arrays([part.column(key), base.lists(flat.view(np.int64), offsets), *columns],
+                                             ["id", "tokens", *[f"p{k}" for k in range(1, orders)]])
     return run
 
 
@@ -286,33 +289,33 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
 
     schema = T.StructType([
         T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")],
-        *[T.StructField(f"p{k}", T.ArrayType(T.IntegerType() if k else T.LongType())) for k in range(orders)],
-        T.StructField("sketch", T.ArrayType(T.LongType()))])
-    rows = base.written(slim.mapInArrow(_describe("id", "text", size, lower, num, den, orders, frequent), schema))
+        *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("p0", "sketch")]])
+    rows = base.written(slim.mapInArrow(_describe("id", "text", size, lower, num, den, frequent), schema))
     classes = base.written(rows.filter("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep")))
     heads = rows.join(classes, ["k1", "k2"]).filter("id = rep").dropDuplicates(["k1", "k2"])
-    heads = base.written(heads.select("rep", "n", *[f"p{k}" for k in range(orders)], "sketch"))
+    heads = base.written(heads.select("rep", "n", "p0", "sketch"))
 
     posts = heads.select("rep", "n", F.explode("p0").alias("token"))
     blocks = base.written(posts.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("hub"))
         .filter("members > 1"))
     posts = base.written(posts.join(blocks, "token"))
-    schema = T.StructType([T.StructField("id", kind), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("tokens", T.ArrayType(T.LongType())),
+                           *[T.StructField(f"p{k}", T.ArrayType(T.IntegerType())) for k in range(1, orders)]])
     apart = "aggregate(zip_with(sa, sb, (x, y) -> cast(bit_count(x ^ y) as bigint)), 0L, (s, x) -> s + x)"
-    likely = [f"{apart} * {den + num} <= (na + nb) * {den - num}", *[f"arrays_overlap(a{k}, b{k})" for k in range(1, orders)]]
+    meet = [f"arrays_overlap(a{k}, b{k})" for k in range(1, orders)]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b): those whose sketches are near and whose other prefixes all meet, then those whose sets are similar."""
-        a, b = (heads.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"),
-                             *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(1, orders)]) for c in "ab")
-        pairs = base.written(pairs.join(a, "a").join(b, "b").filter(" and ".join(likely)).select("a", "b"))
+        """Of pairs (a, b): those whose sketches are near, whose other prefixes all meet, and whose sets are similar."""
+        a, b = (heads.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        pairs = pairs.join(a, "a").join(b, "b").filter(f"{apart} * {den + num} <= (na + nb) * {den - num}")
+        pairs = base.written(pairs.select("a", "b"))
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         texts = slim.join(ids, "id", "left_semi")
-        sets = base.written(texts.mapInArrow(_sets("id", "text", size, lower), schema))
-        a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-        b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-        both = pairs.join(a, "a").join(b, "b").withColumn("s", F.size(F.array_intersect("x", "y")))
+        sets = base.written(texts.mapInArrow(_sets("id", "text", size, lower, num, den, orders, frequent), schema))
+        a, b = (sets.select(F.col("id").alias(c), F.col("tokens").alias(x), *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(1, orders)])
+                for c, x in ("ax", "by"))
+        both = pairs.join(a, "a").join(b, "b").filter(" and ".join(meet) or "true").withColumn("s", F.size(F.array_intersect("x", "y")))
         links = base.written(both.filter(f"{den} * s >= {num} * (size(x) + size(y) - s)").select("a", "b"))
         base.free(sets)
         return links
