@@ -8,8 +8,7 @@
 * ``fold_part(TABLE t, key, value, how)`` and ``fold_all(TABLE t, key, how)``: a fold in two steps. The first
   runs where the rows are and hands on one state for each key that it meets; the second merges the states by key. So a
   hot key is folded by all tasks before anything moves. ``how`` is a name in ``FOLDS``. Both take their columns packed
-  as well, thousands of rows in one as arrays, and then give arrays: a call from SQL costs some 0.2 ms a row, as each
-  row travels with its schema. ``packed`` makes such rows and ``unpacked`` undoes it.
+  as well, thousands of rows in one as arrays, and then give arrays: a call from SQL for each row is what costs. ``packed`` makes such rows and ``unpacked`` undoes it.
 * ``wrap_text(text, cols)``: the pieces of a text, numbered, for a lateral join.
 """
 

@@ -21,7 +21,7 @@ sketch against sketch inside a task, and no pair becomes a row unless its sketch
 a spanning forest of the near pairs of a tile, nearest first, then, once those are verified, every near
 pair that still lies between two components. So the rows of a group grow with its members and its tiles, and every
 component comes out whole: a link is left unverified only between documents already connected. The
-sketch comparisons in a group that is not connected still grow with its square, some 30 ns each.
+sketch comparisons in a group that is not connected still grow with its square.
 Blocks of more than ``MANY`` members are blocked more finely before: sets this similar differ in at most
 D tokens, so of D + 1 parts of the token space (cut by a hash) they agree on one entirely, and members
 meet only under the contents of a part.
