@@ -12,8 +12,10 @@ frequent ``FREQUENT`` are sent to the tasks (8 bytes each, so at most 1 MB). Any
 valid orders; a good one keeps lines and passages that many documents share out of the prefixes.
 
 Rows with one and the same set are one class before any join; a class is joined by its smallest
-document id. Every pair must first pass a sketch: ``BITS`` parities of the set's hashed tokens, of which
-two sets differ in no more places than they have tokens that are not common, so no similar pair is lost.
+document id, from there on as a number in the order of the ids. Every pair must first pass a sketch:
+parities of the set's hashed tokens, of which two sets differ in no more places than they have tokens that are
+not common, so no similar pair is lost. A set has as many of them as tokens or more (``BITS`` at least, ``MOST``
+at most), as a sketch much smaller than its set tells nothing; of two lengths, the longer is folded to the shorter.
 
 Blocks (classes with a common prefix token) are linked in passes. The first compares every member with
 the block's hub. Blocks whose members are then not all connected are compared in tiles of bounded size,
@@ -24,7 +26,7 @@ component comes out whole: a link is left unverified only between documents alre
 sketch comparisons in a group that is not connected still grow with its square.
 Blocks of more than ``MANY`` members are blocked more finely before: sets this similar differ in at most
 D tokens, so of D + 1 parts of the token space (cut by a hash) they agree on one entirely, and members
-meet only under the contents of a part.
+meet only under the contents of a part. Of blocks with the same members one is compared.
 """
 
 from __future__ import annotations
@@ -46,7 +48,9 @@ OFTEN = 4
 """Times that a task must meet a token among ``COUNTED`` before it reports it as perhaps frequent."""
 COUNTED = 2_000_000
 BITS = 2048
-"""Places of a sketch. It tells little of sets that differ in more tokens than that; the prefixes still do."""
+"""Least places of a sketch."""
+MOST = 131_072
+"""Most places of a sketch. It tells little of sets that differ in more tokens than that; the prefixes still do."""
 FEW = 24
 """Members up to which the pairs of a block become rows; larger blocks are compared in tiles."""
 TILE = 1024
@@ -88,37 +92,71 @@ def prefixes(flat: np.ndarray, offsets: np.ndarray, num: int, den: int, often: n
     return np.sort(rank)[inside] & words.U(2**48 - 1), np.concatenate([[0], np.cumsum(p)])
 
 
-def sketches(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """``BITS`` parities of each set's tokens, as one row of 64-bit words a set."""
-    place = (words.mix(flat, 41) % words.U(BITS)).astype(np.int64)
-    found = [np.zeros((0, BITS // 8), np.uint8)]
-    for at in range(0, len(offsets) - 1, 256):  # 256 sets are counted at once
-        ends = offsets[at : at + 257]
+def sketches(flat: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """``bits`` parities of each set's tokens, as one row of 64-bit words a set."""
+    place = (words.mix(flat, 41) % words.U(bits)).astype(np.int64)
+    found, some = [np.zeros((0, bits // 8), np.uint8)], max(1, 256 * BITS // bits)
+    for at in range(0, len(offsets) - 1, some):  # 256 sets are counted at once, fewer if sketches are long
+        ends = offsets[at : at + some + 1]
         owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        odd = np.bincount(owner * BITS + place[ends[0] : ends[-1]], minlength=(len(ends) - 1) * BITS) & 1
-        found.append(np.packbits(odd.astype(bool).reshape(-1, BITS), axis=1))
+        odd = np.bincount(owner * bits + place[ends[0] : ends[-1]], minlength=(len(ends) - 1) * bits) & 1
+        found.append(np.packbits(odd.astype(bool).reshape(-1, bits), axis=1))
     return np.concatenate(found).view(np.int64)
 
 
-def near_pairs(x: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray | None, num: int, den: int):
+def fitted_sketches(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as long as the sets ask for, flat 64-bit words with row offsets: the next power of two of the size,
+    from ``BITS`` to ``MOST`` places."""
+    n = np.diff(offsets)
+    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), BITS, MOST)
+    cut = np.concatenate([[0], np.cumsum(bits // 64)])
+    out = np.zeros(cut[-1], np.int64)
+    for b in np.unique(bits):
+        rows = np.flatnonzero(bits == b)
+        mine = flat[np.repeat(bits == b, n)]
+        found = sketches(mine, np.concatenate([[0], np.cumsum(n[rows])]), int(b))
+        out[cut[rows][:, None] + np.arange(b // 64)] = found
+    return out, cut
+
+
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows of sketches as sketches of ``width`` words; zeros after a shorter sketch change nothing."""
+    return np.bitwise_xor.reduce(x.reshape(len(x), -1, width), axis=1)
+
+
+def padded(sketch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of sketches as rows of one length, zeros after the shorter ones, and their own lengths in words."""
+    width = sketch.value_lengths().to_numpy().astype(np.int64)
+    x = np.zeros((len(width), width.max(initial=BITS // 64)), words.U)
+    x[np.arange(x.shape[1]) < width[:, None]] = sketch.flatten().to_numpy().view(words.U)
+    return x, width
+
+
+def near_pairs(x: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray | None, num: int, den: int,
+               width: np.ndarray | None = None):
     """Pairs of rows with different labels whose sketches may be those of similar sets, and how far they are apart.
 
-    With ``side``, only pairs of different sides.
+    With ``side``, only pairs of different sides. ``width``: words of each sketch, which grow with ``n``; zeros follow them.
     """
     by = np.argsort(n, kind="stable")
     x, n, label = x[by], n[by], label[by]
     side = None if side is None else side[by]
+    width = np.full(len(n), x.shape[1]) if width is None else width[by]
     found = []
-    for at in range(0, len(n), 32):
-        rows = slice(at, min(at + 32, len(n)))
-        upto = int(np.searchsorted(n, n[rows][-1] * den // num, "right"))  # none larger is similar
-        apart = np.bitwise_count(x[rows, None] ^ x[None, at:upto]).sum(axis=2, dtype=np.int64)
-        on = apart * (den + num) <= (n[rows, None] + n[None, at:upto]) * (den - num)
-        on &= label[rows, None] != label[None, at:upto]
-        if side is not None:
-            on &= side[rows, None] != side[None, at:upto]
-        i, j = np.nonzero(np.triu(on, 1))
-        found.append(np.stack([by[i + at], by[j + at], apart[i, j]]))
+    for w in np.unique(width):
+        first, last = np.searchsorted(width, [w, w + 1])
+        y = folded(x[first : np.searchsorted(n, n[last - 1] * den // num, "right")], w)
+        step = max(1, 32 * BITS // 64 // int(w))
+        for at in range(first, last, step):
+            rows = slice(at, min(at + step, last))
+            upto = int(np.searchsorted(n, n[rows][-1] * den // num, "right"))  # none larger is similar
+            apart = np.bitwise_count(y[at - first : rows.stop - first, None] ^ y[None, at - first : upto - first]).sum(axis=2, dtype=np.int64)
+            on = apart * (den + num) <= (n[rows, None] + n[None, at:upto]) * (den - num)
+            on &= label[rows, None] != label[None, at:upto]
+            if side is not None:
+                on &= side[rows, None] != side[None, at:upto]
+            i, j = np.nonzero(np.triu(on, 1))
+            found.append(np.stack([by[i + at], by[j + at], apart[i, j]]))
     i, j, apart = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
     return np.minimum(i, j), np.maximum(i, j), apart
 
@@ -148,9 +186,9 @@ def _near(num: int, den: int, spanning: bool):
     """Near pairs (a, b) of each tile; rows come sorted by tile, and a tile may lie in several batches."""
     def pairs(tile: pa.RecordBatch) -> pa.RecordBatch:
         n, label = tile.column("n").to_numpy(), tile.column("name").to_numpy()
-        x = tile.column("sketch").flatten().to_numpy().view(words.U).reshape(len(n), -1)
+        x, width = padded(tile.column("sketch"))
         side = tile.column("side").to_numpy() if tile.column("i")[0] != tile.column("j")[0] else None
-        i, j, apart = near_pairs(x, n, label, side, num, den)
+        i, j, apart = near_pairs(x, n, label, side, num, den, width)
         if spanning:
             kept = forest(label, i, j, apart)
             i, j = i[kept], j[kept]
@@ -174,6 +212,22 @@ def _near(num: int, den: int, spanning: bool):
     return run
 
 
+def _near_enough(num: int, den: int):
+    """Of pairs (a, b, na, nb, sa, sb): those whose sketches may be those of similar sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                (x, wx), (y, wy) = padded(part.column("sa")), padded(part.column("sb"))
+                apart = np.zeros(len(x), np.int64)
+                for w in np.unique(both := np.minimum(wx, wy)):
+                    rows = np.flatnonzero(both == w)
+                    apart[rows] = np.bitwise_count(folded(x[rows], w) ^ folded(y[rows], w)).sum(axis=1, dtype=np.int64)
+                n = part.column("na").to_numpy() + part.column("nb").to_numpy()
+                yield part.select(["a", "b"]).filter(pa.array(apart * (den + num) <= n * (den - num)))
+    return run
+
+
 def _frequent_in(text: str, size: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
@@ -204,7 +258,7 @@ def _describe(key: str, text: str, size: int, lower: bool, num: int, den: int, f
             prefix, cut = prefixes(flat, offsets, num, den, often, 0)
             yield pa.RecordBatch.from_arrays(
                 [part.column(key), pa.array(n.astype(np.int64)), *keys, base.lists(prefix.view(np.int64), cut),
-                 base.lists(sketches(flat, offsets).ravel(), np.arange(len(n) + 1) * (BITS // 64))],
+                 base.lists(*fitted_sketches(flat, offsets))],
                 ["id", "n", "k1", "k2", "p0", "sketch"])
     return run
 
@@ -291,28 +345,45 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")],
         *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("p0", "sketch")]])
     rows = base.written(slim.mapInArrow(_describe("id", "text", size, lower, num, den, frequent), schema))
-    classes = base.written(rows.filter("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep")))
-    heads = rows.join(classes, ["k1", "k2"]).filter("id = rep").dropDuplicates(["k1", "k2"])
-    heads = base.written(heads.select("rep", "n", "p0", "sketch"))
-
-    posts = heads.select("rep", "n", F.explode("p0").alias("token"))
-    blocks = base.written(posts.groupBy("token").agg(
-        F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("hub"))
-        .filter("members > 1"))
+    classes = base.written(rows.filter("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("first")))
+    if isinstance(kind, T.LongType):
+        numbers = None
+        classes = classes.withColumn("rep", F.col("first"))
+    else:  # numbers in the order of the keys, as rows by token are many and should be short
+        numbers = base.written(classes.select("first").distinct().orderBy("first").withColumn("rep", F.monotonically_increasing_id()))
+        classes = base.written(classes.join(numbers, "first"))
+    fronts = rows.join(classes, ["k1", "k2"]).filter("id = first").dropDuplicates(["k1", "k2"])
+    fronts = base.written(fronts.select("rep", "n", "p0", "sketch"))
+    heads = base.written(fronts.select("rep", "n", "sketch"))
+    members_of = rows.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select(
+        "id", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("first", "rep")])
+    members_of = base.written(members_of)
+    base.free(rows)
+
+    posts = fronts.select("rep", "n", F.explode("p0").alias("token"))
+    blocks = base.written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
     posts = base.written(posts.join(blocks, "token"))
-    schema = T.StructType([T.StructField("id", kind), T.StructField("tokens", T.ArrayType(T.LongType())),
+    base.free(fronts, blocks)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType())),
                            *[T.StructField(f"p{k}", T.ArrayType(T.IntegerType())) for k in range(1, orders)]])
-    apart = "aggregate(zip_with(sa, sb, (x, y) -> cast(bit_count(x ^ y) as bigint)), 0L, (s, x) -> s + x)"
     meet = [f"arrays_overlap(a{k}, b{k})" for k in range(1, orders)]
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b): those whose sketches are near, whose other prefixes all meet, and whose sets are similar."""
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """Texts of classes: ``ids`` (id, ...) with every text of their keys."""
+        if numbers is None:
+            return slim.join(ids, "id")
+        named = ids.join(numbers.withColumnRenamed("rep", "id"), "id").withColumnRenamed("id", "number")
+        return slim.join(named, F.col("id") == F.col("first")).select(F.col("number").alias("id"), "text", *ids.drop("id").columns)
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b): those whose sketches are near."""
         a, b = (heads.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").filter(f"{apart} * {den + num} <= (na + nb) * {den - num}")
-        pairs = base.written(pairs.select("a", "b"))
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near_enough(num, den), "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of written pairs (a, b): those whose other prefixes all meet, and whose sets are similar."""
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = slim.join(ids, "id", "left_semi")
-        sets = base.written(texts.mapInArrow(_sets("id", "text", size, lower, num, den, orders, frequent), schema))
+        sets = base.written(texts_of(ids).mapInArrow(_sets("id", "text", size, lower, num, den, orders, frequent), schema))
         a, b = (sets.select(F.col("id").alias(c), F.col("tokens").alias(x), *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(1, orders)])
                 for c, x in ("ax", "by"))
         both = pairs.join(a, "a").join(b, "b").filter(" and ".join(meet) or "true").withColumn("s", F.size(F.array_intersect("x", "y")))
@@ -323,10 +394,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     near = f"least(m, n) * {den} >= greatest(m, n) * {num}"
 
     def spokes(members: DataFrame) -> DataFrame:
-        """Links of members (token, rep, n, hub) to the hubs of their blocks."""
-        found = members.filter("rep <> hub.rep").withColumn("m", F.col("hub.n")).filter(near)
-        return verified(base.written(found.select(
-            F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()))
+        """Links of members (token, rep, n) to the hubs of their blocks."""
+        hash_ = F.xxhash64("rep")
+        hubs = members.groupBy("token").agg(F.min_by("rep", hash_).alias("hub"), F.min_by("n", hash_).alias("m"))
+        found = members.join(hubs, "token").filter(f"rep <> hub and {near}")
+        found = base.written(found.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+        return verified(base.written(sketched(found)))
 
     def labels(links: DataFrame) -> DataFrame:
         """Each linked class under its smallest linked class, and that one's: equal labels are connected."""
@@ -337,7 +410,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
 
     def still_open(members: DataFrame) -> DataFrame:
         """Members (token, rep, n, label) of blocks in which not all labels are equal."""
-        mixed = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+        who = F.xxhash64("rep", "n")
+        mixed = members.groupBy("token").agg(
+            F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64(F.lit(1), "rep", "n")).alias("odd"),
+            F.sum(F.shiftright(who, 32)).alias("high"), F.sum(who.bitwiseAND(F.lit(2**32 - 1))).alias("low")).filter("x <> y")
+        mixed = mixed.groupBy("c", "odd", "high", "low").agg(F.min("token").alias("token"))  # one of those with the same members
         return base.written(members.join(base.written(mixed.select("token")), "token", "left_semi"))
 
     first = spokes(posts)
@@ -349,13 +426,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     huge = named_open.filter(F.col("members") > MANY)
     if not huge.isEmpty():
         todo = huge.groupBy(F.col("rep").alias("id")).agg(F.min("label").alias("label"))
-        texts = slim.join(base.written(todo), "id").dropDuplicates(["id"]).select("id", "text", "label")
-        schema2 = T.StructType([T.StructField("rep", kind), T.StructField("label", kind), T.StructField("n", T.LongType()), T.StructField("token", T.LongType())])
-        fine = still_open(base.written(texts.mapInArrow(_parts(size, lower, num, den, frequent), schema2)))
+        texts = texts_of(base.written(todo)).dropDuplicates(["id"]).select("id", "text", "label")
+        fine = base.written(texts.mapInArrow(_parts(size, lower, num, den, frequent), "rep long, label long, n long, token long"))
+        fine = still_open(fine)
         large = large.unionByName(fine.join(fine.groupBy("token").agg(F.count(F.lit(1)).alias("members")), "token"))
 
-    schema3 = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-
     def tiled(members: DataFrame, spanning: bool) -> DataFrame:
         """Near pairs (a, b) with different labels of members (token, rep, n, label, members) of one block."""
         cuts = F.ceil(F.col("members") / TILE)
@@ -365,21 +440,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "name",
             F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "sketch")
         tiles = tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-        pairs = tiles.mapInArrow(_near(num, den, spanning), schema3)
+        pairs = tiles.mapInArrow(_near(num, den, spanning), "a long, b long")
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     other = few.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
     rest = few.withColumnRenamed("rep", "a").join(other, "token").filter(f"a < b and label <> other and {near}").select("a", "b")
     large = base.written(large.select("token", "rep", "n", "members", "label"))
-    linked = first.unionByName(verified(base.written(rest.unionByName(tiled(large, True)).distinct())))
+    some = sketched(rest.distinct()).unionByName(tiled(large, True)).distinct()
+    linked = first.unionByName(verified(base.written(some)))
     comps = base.written(base.components(linked))
     named = large.drop("label").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     large = still_open(base.written(named.select("token", "rep", "n", "members", F.coalesce("comp", "rep").alias("label"))))
     late = verified(base.written(tiled(large, False).distinct()))
     if not late.isEmpty():
         comps = base.written(base.components(linked.unionByName(late)))
-    members = rows.join(classes, ["k1", "k2"], "left")
-    members = base.written(members.select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")))
-    out = members.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
+    comps = comps.withColumnRenamed("id", "rep")
+    if numbers is not None:
+        comps = comps.join(numbers.select(F.col("rep").alias("comp"), F.col("first").alias("least")), "comp").drop("comp").withColumnRenamed("least", "comp")
+    out = members_of.join(comps, "rep", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
-                      F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id"))
+                      F.when(F.col("id").isNotNull(), F.coalesce("comp", "first", "id")).alias("component_id"))

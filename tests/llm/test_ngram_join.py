@@ -160,3 +160,70 @@ def test_sketches_lose_no_similar_pair_and_forests_span():
             assert u != v  # no circle
             comp[u] = v
         assert all(root(label[a]) == root(label[b]) for a, b in found) and len(kept)
+
+
+def long_texts(n=30):
+    """Long documents of own words that share a passage with the next one, and a near copy of each third."""
+    own = [[f"d{i}w{j}" for j in range(5000)] for i in range(n)]
+    rows = []
+    for i, w in enumerate(own):
+        rows.append((i, " ".join([*own[i - 1][100:1200], *w])))
+        if i % 3 == 0:
+            rows.append((500 + i, " ".join([*own[i - 1][100:1200], *w[:4000], f"new{i}", *w[4000:]])))
+    return rows
+
+
+def test_long_sets_that_share_a_passage_are_told_apart_by_their_sketches(spark, monkeypatch):
+    """No whole set is read, much less moved for each of its pairs, but those of near copies."""
+    rows, whole, write = long_texts(), [], base.written
+
+    def watched(df):
+        out = write(df)
+        if "tokens" in out.columns:
+            whole.append(out.count())
+        return out
+
+    monkeypatch.setattr(base, "written", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
+    assert got == {i: (len(shingles(words(t), 5)), i - 500 if i >= 500 else i) for i, t in rows}
+    assert whole and max(whole) == 20
+
+
+def test_sketches_of_several_lengths_lose_no_similar_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    pick = random.Random(5)
+    sets = []
+    for n in (1900, 2040, 2056, 2300, 4000, 4090, 4100, 4500, 9000):
+        tokens = [pick.getrandbits(64) for _ in range(n)]
+        for cut in (0, 0.03, 0.09, 0.3, 0.6):
+            sets.append(np.unique(np.array(tokens[int(n * cut):] + [pick.getrandbits(64) for _ in range(int(n * cut / 20))], np.uint64)))
+    flat, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    words_, cut = ngram_join.fitted_sketches(flat, offsets)
+    x, width = ngram_join.padded(base.lists(words_, cut))
+    n = np.diff(offsets)
+    assert set(width.tolist()) == {32, 64, 128, 256} and (width * 64 >= n).all()
+    pairs = {(a, b) for b, y in enumerate(sets) for a in range(b)
+             if 100 * (s := len(np.intersect1d(sets[a], y))) >= 90 * (len(sets[a]) + len(y) - s)}
+    assert any(width[a] != width[b] for a, b in pairs)
+    i, j, apart = ngram_join.near_pairs(x, n, np.arange(len(n)), None, 90, 100, width)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert pairs <= found and len(found) < 2 * len(pairs)
+    a, b = map(np.array, zip(*((a, b) for b in range(len(n)) for a in range(b)), strict=True))
+    columns = pa.RecordBatch.from_arrays(
+        [pa.array(a), pa.array(b), pa.array(n[a]), pa.array(n[b]), *(base.lists(words_, cut).take(pa.array(k)) for k in (a, b))],
+        ["a", "b", "na", "nb", "sa", "sb"])
+    kept = {(r["a"], r["b"]) for out in ngram_join._near_enough(90, 100)(iter([columns])) for r in out.to_pylist()}
+    assert pairs <= kept and len(kept) < 2 * len(pairs)
+
+
+def test_keys_of_several_columns_and_blocks_with_the_same_members(spark):
+    """A key that is no number is one between the steps only; the smallest key names the component."""
+    from pyspark.sql import functions as F
+
+    rows = [*near_group(120), *((i + 5000, t) for i, t in corpus(4, 60))]
+    docs = frame(spark, rows).select(F.struct((-F.col("doc_id")).alias("x"), F.col("doc_id").cast("string").alias("y")).alias("doc_id"), "text")
+    got = {tuple(r.doc_id): (r.n_shingles, tuple(r.component_id)) for r in ngram_join.jaccard_components(docs.repartition(5), 3, 90, 100).collect()}
+    keyed = [((-i, str(i)), t) for i, t in rows]
+    assert got == wanted(keyed, 3, 90, 100)
